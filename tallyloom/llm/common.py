@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def share_hash(key: Column, seed: int) -> Column:
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of the named string column each, so memory is bounded by the longest row."""
     lengths = batch.column(column)
-    sizes = [0 if x is None else x for x in pa.compute.binary_length(lengths).to_pylist()]
+    sizes = [0 if x is None else x for x in pc.binary_length(lengths).to_pylist()]
     begin = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > SLICE_BYTES:
