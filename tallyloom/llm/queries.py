@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "bpe", "secrets", "simhash")
+MODULES = ("sharding", "language", "bpe", "secrets", "simhash")
 
 
 def _gather(name: str) -> dict:
