@@ -89,6 +89,31 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 20
     return w
 
 
+def newton_svm(x: np.ndarray, y: np.ndarray, cost: float = 1e4, rounds: int = 50) -> np.ndarray:
+    """The machine of train_svm for few columns, by Newton's method on the rows inside the margin."""
+    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    ridge = np.full(x.shape[1], 1.0 / cost)
+    ridge[-1] = 1e-9  # the bias is free
+    w, active = np.zeros(x.shape[1]), None
+    for _ in range(rounds):
+        inside = y * (x @ w) < 1
+        if active is not None and (inside == active).all():
+            break
+        active, xs = inside, x[inside]
+        side = 2 * weight[inside]
+        new = np.linalg.solve(np.diag(ridge) + xs.T @ (xs * side[:, None]), xs.T @ (side * y[inside]))
+
+        def loss(v: np.ndarray) -> float:
+            return float(0.5 * (ridge * v * v).sum() + (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
+
+        step, base = 1.0, loss(w)
+        while step > 1e-3 and loss(w + step * (new - w)) > base:
+            step /= 2
+        w = w + step * (new - w)
+    return w
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
