@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "language", "toxicity", "bpe", "secrets", "simhash")
+MODULES = ("sharding", "decontaminate", "language", "toxicity", "bpe", "secrets", "simhash")
 
 
 def _gather(name: str) -> dict:
