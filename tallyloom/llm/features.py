@@ -37,11 +37,15 @@ def _groups(raws: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def ngram_features(texts: list[str], keep: bytes | None = LETTERS) -> np.ndarray:
-    """Unit vectors of the square roots of the n-gram counts, a row for each text, counted over the whole text."""
-    raws = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    if keep:
-        raws = [r.translate(keep) for r in raws]
+def ngram_features(texts: list[str | None], letters: bool = True) -> np.ndarray:
+    """Unit vectors of the square roots of the n-gram counts, a row for each text, counted over the whole text.
+
+    letters: count the lower-case letters only, not signs, digits and case.
+    """
+    if letters:
+        raws = [(t or "").lower().encode("utf-8", "surrogatepass").translate(LETTERS) for t in texts]
+    else:
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     rows = []
     for group in _groups(raws):
         counts = np.zeros((len(group), DIMENSIONS), np.float32)
@@ -118,6 +122,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights and, last, the bias of a logistic regression on few columns, by Newton's method; y is 0 or 1."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        slope = x.T @ (p - y) + ridge * w
+        bend = (x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
 def fit_platt(margin: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[float, float]:
     """(a, b) with probability sigmoid(a * margin + b) by Newton's method on smoothed targets; label is 0 or 1."""
     n1, n0 = float(label.sum()), float(len(label) - label.sum())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontaminate", "language", "toxicity", "bpe", "secrets", "simhash", "neighbours")
+MODULES = ("sharding", "decontaminate", "language", "toxicity", "bpe", "secrets", "quality", "simhash", "neighbours")
 
 
 def _gather(name: str) -> dict:
