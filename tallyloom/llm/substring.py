@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checkpointed, table
+from tallyloom.llm.common import table
 from tallyloom.llm.fm_index import FMIndex
 
 WIDTH, ANCHOR = 13, 7
@@ -297,9 +297,10 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return pa.table({"__key": docs.column("__key"), "n_words": pa.array(held.counts), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     by_bucket = documents.groupBy("bucket")
-    live = checkpointed(by_bucket.applyInArrow(anchors, "shard int, bucket int, anchors binary, several binary").groupBy("shard").applyInArrow(shared, _REPLY))
+    # one plan: the exchanges of the documents and of the anchors are written once and read again
+    live = by_bucket.applyInArrow(anchors, "shard int, bucket int, anchors binary, several binary").groupBy("shard").applyInArrow(shared, _REPLY)
     sent = by_bucket.cogroup(live.groupBy("bucket")).applyInArrow(segments, "shard int, bucket int, dictionary binary, codes binary, lengths binary, least binary")
-    found = checkpointed(sent.groupBy("shard").applyInArrow(look_up, _REPLY))
+    found = sent.groupBy("shard").applyInArrow(look_up, _REPLY)
     out = by_bucket.cogroup(live.unionByName(found).groupBy("bucket")).applyInArrow(cut, "__key long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("__key", key)
 
