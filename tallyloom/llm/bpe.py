@@ -22,6 +22,7 @@ import functools
 import heapq
 import json
 import re
+from collections.abc import Sequence
 from pathlib import Path
 
 import numpy as np
@@ -189,9 +190,11 @@ def encode_documents(df: DataFrame, vocabulary: str, key: str = "doc_id", text:
     return map_text(rows, "__text", f"__key {kind}, ids array<int>, decoded string", work).withColumnRenamed("__key", key)
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, key: str = "doc_id", also: Sequence[str] = ()) -> DataFrame:
+    """key, n_tokens and the SHA-256 of the ids, joined by commas, and of the decoded text; also: columns to keep."""
     return encoded.select(
         key,
+        *also,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
