@@ -1,0 +1,465 @@
+"""The leaderboard operators on the driver's tables.
+
+The tables hold no leaderboards, so suppliers stand for models, part types for
+benchmarks, a supplier's mean line price within a type for its score, its
+whole revenue for its Elo, and the customers' regions for categories.  Sums
+are taken in whole cents, so that no result depends on the order of addition.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyloom.functions import cleaning, identity
+from tallyloom.operators import agreement, correction, ranking, regression, relational, resampling
+
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+#: The revenue, in thousands, from which a supplier is studied, and the band of the difficulty measure.
+UNIVERSE, BAND = 31000.0, (31000.0, 32500.0)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cents(c: str) -> Column:
+    return F.round(F.col(c) * 100).cast("long")
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    """benchmark_id, model_id, n_lines and score, 0 to 100: tenths, by the mean line price in thousands."""
+    lines = read(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("model_id"), _cents("l_extendedprice").alias("c"))
+    parts = read(spark, d, "part").select("p_partkey", F.col("p_type").alias("benchmark_id"))
+    sums = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("benchmark_id", "model_id").agg(F.sum("c").alias("s"), F.count(F.lit(1)).alias("n_lines"))
+    return sums.select("benchmark_id", "model_id", "n_lines", (F.expr("(s div n_lines) div 10000").cast("double") / 10.0).alias("score"))
+
+
+def elo(spark: SparkSession, d: str) -> DataFrame:
+    """model_id and elo: whole thousands of its revenue."""
+    lines = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("model_id")).agg(F.sum(_cents("l_extendedprice")).alias("s"))
+    return lines.select("model_id", F.expr("cast(s div 100000 as double)").alias("elo"))
+
+
+def category_elo(spark: SparkSession, d: str) -> DataFrame:
+    """model_id, category and elo: whole thousands of its revenue from the customers of a region."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("model_id"), _cents("l_extendedprice").alias("c"))
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    customers = read(spark, d, "customer").select("c_custkey", "c_nationkey")
+    nations = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("category"))
+    placed = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "category")
+    sums = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(placed, F.col("o_custkey") == F.col("c_custkey")).groupBy("model_id", "category").agg(F.sum("c").alias("s"))
+    return sums.select("model_id", "category", F.expr("cast(s div 100000 as double)").alias("elo"))
+
+
+def scores_with_elo(spark: SparkSession, d: str) -> DataFrame:
+    return scores(spark, d).join(elo(spark, d), "model_id")
+
+
+def _r(c: str, digits: int = 8) -> Column:
+    return F.round(F.col(c), digits).alias(c)
+
+
+def universe(spark: SparkSession, d: str) -> DataFrame:
+    return relational.study_universe(elo(spark, d), "model_id", "elo", UNIVERSE)
+
+
+# 2.3 to 2.5: filters, joins, aggregates
+
+
+def q_scores_long(spark, d):
+    return scores(spark, d)
+
+
+def q_universe_threshold(spark, d):
+    return universe(spark, d)
+
+
+def q_universe_semi(spark, d):
+    return relational.within(scores(spark, d), universe(spark, d), ["model_id"]).select("benchmark_id", "model_id", "score")
+
+
+def q_common_subset_between(spark, d):
+    return elo(spark, d).where(F.col("elo").between(*BAND))
+
+
+def q_filter_trim_equal(spark, d):
+    return read(spark, d, "orders").where(F.trim("o_orderstatus") == "F").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_filter_nonempty_score(spark, d):
+    value = F.trim(F.get_json_object("props", "$.k").cast("string"))
+    return read(spark, d, "events").select("event_id", "event_type", value.alias("score_text")).where(~F.lower("score_text").isin("", "--", "nan"))
+
+
+def q_filter_exclude_id(spark, d):
+    return scores(spark, d).where(F.col("benchmark_id") != "ECONOMY").groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_pairwise_complete(spark, d):
+    pairs = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_size").cast("double")).alias("x"), F.when(F.col("p_retailprice") > 950, F.col("p_retailprice")).alias("y"))
+    return agreement.complete_pairs(pairs, "x", "y")
+
+
+def q_filter_finite(spark, d):
+    ratio = F.col("s_acctbal") / F.when(F.col("s_nationkey") % 5 == 0, F.lit(None)).otherwise(F.col("s_nationkey"))
+    return read(spark, d, "supplier").select("s_suppkey", F.round(ratio, 6).alias("ratio")).where(relational.is_number(F.col("ratio")))
+
+
+def q_range_check(spark, d):
+    outside = (F.col("l_discount") < 0) | (F.col("l_discount") > 100)
+    return read(spark, d, "lineitem").agg(F.count_if(outside).alias("n_outside"), F.count(F.lit(1)).alias("n"))
+
+
+def q_overlap_having(spark, d):
+    return relational.with_overlap(relational.within(scores(spark, d), universe(spark, d), ["model_id"]), ["benchmark_id"])
+
+
+def q_overlap_statistics(spark, d):
+    found = relational.overlap_statistics(scores(spark, d), universe(spark, d), ["benchmark_id"], "model_id")
+    return found.select("benchmark_id", "n_models", "n_overlap", _r("overlap_pct"))
+
+
+def q_elo_outer_pivot(spark, d):
+    wide = relational.pivot_outer(category_elo(spark, d), "model_id", "category", "elo", REGIONS)
+    return wide.toDF("model_id", *["elo_" + r.lower().replace(" ", "_") for r in REGIONS])
+
+
+def q_left_benchmark_wide(spark, d):
+    types = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+    ranked = ranking.competition_rank(relational.within(scores(spark, d), universe(spark, d), ["model_id"]), ["benchmark_id"], "score")
+    wide = ranked.groupBy("model_id").pivot("benchmark_id", list(types)).agg(F.max("score").alias("score"), F.max("rank").alias("rank"))
+    named = wide.toDF("model_id", *[f"{t.lower()}_{k}" for t in types for k in ("score", "rank")])
+    return universe(spark, d).join(named, "model_id", "left")
+
+
+def q_map_lookup_coalesce(spark, d):
+    mapping = read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("model_id"), F.col("s_name").alias("display_name"))
+    return relational.look_up(elo(spark, d), relational.small(mapping), "model_id", "display_name", F.lit("unknown"))
+
+
+def q_inner_lookup_first(spark, d):
+    first = ranking.first_per_key(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate"), ["c_custkey"], ["o_orderdate", "o_orderkey"])
+    return read(spark, d, "customer").select("c_custkey", "c_name").join(first, "c_custkey").select("c_custkey", "c_name", "o_orderkey")
+
+
+def q_intersection_keys(spark, d):
+    a = scores(spark, d).where("benchmark_id = 'PROMO'").select("model_id")
+    return a.intersect(scores(spark, d).where("benchmark_id = 'ECONOMY' and score >= 53").select("model_id"))
+
+
+def q_merge_back(spark, d):
+    corrected = correction.holm(_tests(spark, d), [], "p", ["test"])
+    return _tests(spark, d).join(corrected.select("test", F.round("p_corrected", 10).alias("p_corrected"), "is_significant"), "test")
+
+
+def q_difficulty(spark, d):
+    found = relational.difficulty(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo", *BAND)
+    return found.select("benchmark_id", "n_band", _r("subset_avg_score"), _r("difficulty"), "is_estimated_difficulty")
+
+
+def q_cv(spark, d):
+    return relational.coefficient_of_variation(scores(spark, d), ["benchmark_id"], "score").select("benchmark_id", _r("cv"))
+
+
+def q_ref_difficulty(spark, d):
+    found = relational.reference_difficulty(scores(spark, d), ["benchmark_id"], "model_id", "score", (1, 2, 3))
+    return found.select("benchmark_id", _r("reference_avg_score"), _r("reference_difficulty"))
+
+
+def q_count_names(spark, d):
+    per_name = Window.partitionBy("p_name")
+    return read(spark, d, "part").select("p_partkey", "p_name", F.count(F.lit(1)).over(per_name).alias("n_same_name"))
+
+
+def q_count_distinct(spark, d):
+    return scores(spark, d).agg(F.count_distinct("benchmark_id").alias("n_benchmarks"), F.count_distinct("model_id").alias("n_models"))
+
+
+def q_distinct_names(spark, d):
+    return read(spark, d, "part").where("p_size > 5").select("p_name").union(read(spark, d, "part").where("p_retailprice > 950").select("p_name")).distinct()
+
+
+def q_median_by_group(spark, d):
+    return scores(spark, d).groupBy("benchmark_id").agg(F.median("score").alias("median_score"))
+
+
+def q_min_max(spark, d):
+    return scores(spark, d).groupBy("benchmark_id").agg(F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+
+
+def q_quantile_by_group(spark, d):
+    found = relational.quantiles(scores(spark, d), ["benchmark_id"], "score")
+    return found.select("benchmark_id", _r("lower"), _r("upper"))
+
+
+def q_fraction(spark, d):
+    return scores(spark, d).groupBy("benchmark_id").agg(F.round(F.avg((F.col("score") <= 53).cast("int")), 8).alias("low_fraction"))
+
+
+def q_match_statistics(spark, d):
+    counts = _candidates(spark, d).groupBy("name").agg(F.count("candidate").alias("n"))
+    return counts.agg(F.count_if(F.col("n") > 0).alias("matched"), F.count_if(F.col("n") == 0).alias("unmatched"), F.count_if(F.col("n") > 1).alias("several"))
+
+
+def q_summary(spark, d):
+    rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
+    return rho.agg(F.round(F.avg("rho"), 8).alias("mean_rho"), F.round(F.avg("n"), 8).alias("mean_n"), F.count("rho").alias("n_rho"))
+
+
+# 2.6 and 2.7: ranks, orders, sets
+
+
+def q_competition_rank(spark, d):
+    return ranking.competition_rank(scores(spark, d), ["benchmark_id"], "score").select("benchmark_id", "model_id", "score", "rank")
+
+
+def q_min_rank_in_universe(spark, d):
+    inside = relational.within(scores(spark, d), universe(spark, d), ["model_id"])
+    return ranking.competition_rank(inside, ["benchmark_id"], "score").select("benchmark_id", "model_id", "rank")
+
+
+def q_midrank(spark, d):
+    return ranking.midrank(scores(spark, d), ["benchmark_id"], "score", descending=True).select("benchmark_id", "model_id", "rank")
+
+
+def q_dup_suffix(spark, d):
+    parts = read(spark, d, "part").select("p_partkey", "p_type", F.col("p_name").alias("name"))
+    return ranking.number_duplicates(parts, ["p_type"], "name", ["p_partkey"])
+
+
+def q_position_tiebreak(spark, d):
+    placed = ranking.positions(scores_with_elo(spark, d), ["benchmark_id"], [F.desc("score"), "model_id"], "by_score")
+    return ranking.positions(placed, ["benchmark_id"], [F.desc("elo"), "model_id"], "by_elo").select("benchmark_id", "model_id", "by_score", "by_elo")
+
+
+def q_first_per_key(spark, d):
+    return ranking.first_per_key(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], ["o_orderkey"])
+
+
+def q_column_min_flag(spark, d):
+    return ranking.column_minimum_flag(scores(spark, d).select("benchmark_id", "model_id", "score"), ["benchmark_id"], "score")
+
+
+def q_set_union(spark, d):
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).union(read(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
+def q_set_except(spark, d):
+    return read(spark, d, "nation").select("n_nationkey").exceptAll(read(spark, d, "supplier").where("s_acctbal > 5000").select("s_nationkey").distinct())
+
+
+def q_union_all(spark, d):
+    rows = relational.coefficient_of_variation(scores(spark, d), ["benchmark_id"], "score").select("benchmark_id", F.round("cv", 8).alias("value"))
+    return rows.unionByName(rows.agg(F.lit("mean").alias("benchmark_id"), F.round(F.avg("value"), 6).alias("value")))
+
+
+def q_top_report(spark, d):
+    rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", "n", _r("rho"))
+    return rho.orderBy(F.desc("rho"), "benchmark_id").limit(3)
+
+
+# 2.8: agreement, regression, tests
+
+
+def q_spearman(spark, d):
+    return agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", "n", _r("rho"))
+
+
+def q_spearman_category(spark, d):
+    rows = scores(spark, d).join(category_elo(spark, d), "model_id")
+    return agreement.spearman(rows, ["benchmark_id", "category"], "score", "elo").select("benchmark_id", "category", "n", _r("rho"))
+
+
+def q_spearman_pvalue(spark, d):
+    rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
+    return agreement.with_t_pvalue(rho, "rho", "n", "pvalue").select("benchmark_id", "n", _r("rho"), _r("pvalue"))
+
+
+def q_pearson(spark, d):
+    return agreement.pearson(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", "n", _r("r"))
+
+
+def q_fisher_ci(spark, d):
+    r = agreement.pearson(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
+    return agreement.fisher_interval(r, "r", "n").select("benchmark_id", _r("ci_lower"), _r("ci_upper"))
+
+
+def q_kendall(spark, d):
+    return agreement.kendall(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", "n", _r("tau"), _r("z", 6))
+
+
+def q_rbo(spark, d):
+    ranked = ranking.competition_rank(scores_with_elo(spark, d), ["benchmark_id"], "score")
+    return agreement.rbo_of_scores(ranked, ["benchmark_id"], "model_id", "rank", "elo").select("benchmark_id", "k", _r("rbo"))
+
+
+def q_linregress(spark, d):
+    found = regression.linear(scores_with_elo(spark, d), ["benchmark_id"], "elo", "score")
+    return found.select("benchmark_id", "n", _r("slope", 9), _r("intercept", 6), _r("r"), _r("stderr", 9))
+
+
+def q_linregress_pvalue(spark, d):
+    found = regression.with_slope_pvalue(regression.linear(scores_with_elo(spark, d), ["benchmark_id"], "elo", "score"))
+    return found.select("benchmark_id", _r("slope", 9), _r("pvalue"))
+
+
+def q_kruskal(spark, d):
+    rows = read(spark, d, "supplier").select("s_nationkey", F.expr("cast(floor(s_acctbal / 100) as double)").alias("value"))
+    grouped = rows.withColumn("grp", F.col("s_nationkey") % 4)
+    return regression.kruskal(grouped.withColumn("all", F.lit("suppliers")), ["all"], "grp", "value").select("all", "n", "k", _r("h"))
+
+
+def q_kruskal_pvalue(spark, d):
+    rows = read(spark, d, "supplier").select((F.col("s_nationkey") % 4).alias("grp"), F.expr("cast(floor(s_acctbal / 100) as double)").alias("value"), F.lit("suppliers").alias("all"))
+    return regression.with_kruskal_pvalue(regression.kruskal(rows, ["all"], "grp", "value")).select("all", _r("h"), _r("pvalue"))
+
+
+def q_huber(spark, d):
+    found = regression.huber_by_group(scores_with_elo(spark, d), ["benchmark_id"], ["elo"], "score")
+    return found.select("benchmark_id", "term", _r("coefficient"), _r("pvalue"))
+
+
+def _tests(spark, d):
+    """A table of made-up p-values, one for each nation."""
+    return read(spark, d, "nation").select(F.col("n_name").alias("test"), (F.pmod(F.col("n_nationkey") * 37 + 11, F.lit(97)) / F.lit(2000.0)).alias("p"))
+
+
+def q_holm(spark, d):
+    return correction.holm(_tests(spark, d), [], "p", ["test"]).select("test", "p", _r("p_corrected", 10), "is_significant")
+
+
+def q_correction_statistics(spark, d):
+    return correction.holm(_tests(spark, d), [], "p", ["test"]).agg(F.count_if("is_significant").alias("n_significant"), F.count(F.lit(1)).alias("n_tests"))
+
+
+# 2.9: resampling
+
+
+def q_bootstrap_ci(spark, d):
+    found = resampling.bootstrap_quantiles(scores(spark, d), ["benchmark_id"], ["model_id"], "score", 200)
+    return found.select("benchmark_id", _r("ci_lower"), _r("ci_upper"))
+
+
+def q_bootstrap_agreement(spark, d):
+    found = resampling.resampled_agreement(scores_with_elo(spark, d), ["benchmark_id"], "model_id", "score", "elo", ["spearman"], 500)
+    return found.select("benchmark_id", "statistic", "n", _r("value"), _r("ci_lower"), _r("ci_upper"))
+
+
+def q_permutation(spark, d):
+    few = relational.within(scores_with_elo(spark, d), elo(spark, d).where("model_id <= 25"), ["model_id"])
+    return resampling.resampled_agreement(few, ["benchmark_id"], "model_id", "score", "elo", ["spearman"], 500).select("benchmark_id", "n", _r("value"), _r("permutation_p"))
+
+
+def q_monte_carlo(spark, d):
+    rows = scores_with_elo(spark, d).withColumns({"score_sd": resampling.binomial_sd(F.col("score"), F.col("n_lines")), "elo_sd": resampling.interval_sd(F.col("elo") / 20)})
+    found = resampling.uncertainty(rows, ["benchmark_id"], "model_id", "score", "score_sd", "elo", "elo_sd", 1000)
+    return found.select("benchmark_id", "n", _r("simulated_rho"), _r("ci_lower"), _r("ci_upper"), _r("nonpositive_fraction"), "stable")
+
+
+def q_binomial_se(spark, d):
+    rows = scores(spark, d).where("score <= 100")
+    return rows.select("benchmark_id", "model_id", F.round(resampling.binomial_sd(F.col("score"), F.col("n_lines")), 8).alias("score_sd"), F.round(resampling.interval_sd(F.col("score")), 8).alias("elo_sd"))
+
+
+# 2.10: cleaning
+
+
+def q_parse_score(spark, d):
+    """Every form of score text, made from the account balances."""
+    b = F.col("c_acctbal").cast("decimal(12,1)").cast("string")
+    k = F.col("c_custkey") % 8
+    made = F.when(k == 0, F.concat(b, F.lit("%"))).when(k == 1, F.concat(b, F.lit(" ±6"))).when(k == 2, F.lit("--")).when(k == 3, F.concat(b, F.lit("Preliminary"))).when(k == 4, F.concat(F.lit(" "), b, F.lit("%±2.9%"))).when(k == 5, F.lit("1_000")).when(k == 6, F.lit("")).otherwise(b)
+    rows = read(spark, d, "customer").select("c_custkey", made.alias("score_text"))
+    text = F.col("score_text")
+    return rows.select("c_custkey", "score_text", cleaning.parse_score(text).alias("score"), cleaning.parse_preliminary_score(text).alias("preliminary_score"), cleaning.parse_digits(text).alias("digits_score"))
+
+
+def q_scale_score(spark, d):
+    return scores(spark, d).select("benchmark_id", "model_id", F.when(F.col("benchmark_id").isin("PROMO", "SMALL"), F.col("score") * 100).otherwise(F.col("score")).alias("scaled"))
+
+
+def q_strip_prefix(spark, d):
+    k = F.col("p_partkey") % 4
+    made = F.concat(F.when(k == 0, "OpenAI/").when(k == 1, "google/").when(k == 2, "nobody/").otherwise(""), F.col("p_name"))
+    return read(spark, d, "part").select("p_partkey", cleaning.strip_prefix(made).alias("name"))
+
+
+def q_strip_suffix(spark, d):
+    k = F.col("p_partkey") % 4
+    made = F.concat(F.col("p_name"), F.when(k == 0, "OpenAI").when(k == 1, " Mistral AI").when(k == 2, "GoogleNVIDIA").otherwise(""))
+    return read(spark, d, "part").select("p_partkey", cleaning.strip_suffixes(made).alias("name"))
+
+
+def q_sanitize_id(spark, d):
+    return read(spark, d, "pages").select("page_id", cleaning.sanitize_id(F.col("url")).alias("id"))
+
+
+def q_path_id(spark, d):
+    made = F.concat(F.lit("file:/data/raw/x/"), F.col("p_brand"), F.lit("/data.csv"))
+    return read(spark, d, "part").select("p_partkey", cleaning.benchmark_id_from_path(made).alias("id"))
+
+
+def q_date_ordinal(spark, d):
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit("2025-02-31")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return read(spark, d, "orders").select("o_orderkey", cleaning.day_number(text).alias("day_number"))
+
+
+def q_log(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.round(F.ln(F.col("p_size").cast("double")), 10).alias("log_size"))
+
+
+def q_json_field(spark, d):
+    return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+# 2.11: matching
+
+
+def _named(spark, d):
+    """Part names as models: the first word is the family, the number of words modulo 3 the version, brand the parameter."""
+    words = F.split(F.lower("p_name"), r"[\s#]+")
+    n = F.col("p_size") % 3
+    return read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), words.alias("tokens"), F.element_at(words, 1).alias("family"), F.when(n > 0, n).alias("version"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("parameters"))
+
+
+def _candidates(spark, d):
+    rows = _named(spark, d)
+    left = rows.where("p_partkey % 10 = 0").select("name", "tokens", "family", "version", "parameters", F.col("p_partkey").alias("key"))
+    right = rows.where("p_partkey % 10 = 1").select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("p_partkey").alias("c_key"))
+    either = left["parameters"].isNull() | right["c_parameters"].isNull() | (F.lower(left["parameters"]) == F.lower(right["c_parameters"]))
+    return relational.null_safe_match(left, right, [("family", "c_family"), ("version", "c_version")], either)
+
+
+def q_null_safe_match(spark, d):
+    return _candidates(spark, d).select("key", "c_key", "version", "parameters", "c_parameters")
+
+
+def q_match_top1_similarity(spark, d):
+    mine, theirs = identity.normal_tokens(F.col("tokens")), identity.normal_tokens(F.col("c_tokens"))
+    jaccard = F.size(F.array_intersect(mine, theirs)) / F.size(F.array_union(mine, theirs))
+    rows = _candidates(spark, d).select("key", "c_key", F.round(jaccard, 10).alias("similarity"))
+    return ranking.best_candidate(rows, ["key"], "similarity", ["c_key"])
+
+
+def q_parse_identity(spark, d):
+    return identity.identities(read(spark, d, "part").select("p_name"), "p_name").select("p_name", "info.family", "info.version", "info.parameters", "info.date")
+
+
+# 2.12: report columns
+
+
+def q_report_format_p(spark, d):
+    rows = _tests(spark, d).withColumn("p", F.when(F.col("p") > 0.04, F.lit(None)).otherwise(F.col("p") / 7))
+    return rows.select("test", cleaning.format_pvalue(F.col("p")).alias("p_text"))
+
+
+def q_fig1_ranks(spark, d):
+    rows = scores_with_elo(spark, d).where("benchmark_id = 'PROMO'")
+    both = ranking.midrank(ranking.midrank(rows, [], "score", "score_rank", True), [], "elo", "elo_rank", True)
+    return both.select("model_id", "score_rank", "elo_rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
