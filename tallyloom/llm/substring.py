@@ -43,7 +43,7 @@ from tallyloom.llm.common import table
 from tallyloom.llm.fm_index import FMIndex
 
 WIDTH, ANCHOR = 13, 7
-BUCKET_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -78,10 +78,7 @@ class Bucket:
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.counts = np.array([len(w) for w in self.words], np.int64)
         flat = list(itertools.chain.from_iterable(self.words))
-        number: dict[bytes, int] = {}
-        codes = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
-        self.hash = hashes[codes] if len(flat) else np.zeros(0, np.uint64)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
         self.ends = np.cumsum(self.counts)
         #: What a null id holds stays out of the comparison.
         self.known = np.array([i is not None for i in ids], bool)
