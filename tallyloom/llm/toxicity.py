@@ -41,7 +41,7 @@ from tallyloom.llm.common import fold, map_text, share_hash, table
 from tallyloom.llm.features import fit_platt, newton_svm, sigmoid
 
 #: Labelled texts of each class to train on, at most on average, and their greatest length.
-SAMPLE, LONGEST = 1200, 100_000
+SAMPLE, LONGEST = 800, 100_000
 LANDMARKS, NEGATIVES, ROUNDS, SKETCH = 400, 8000, 4, 16
 #: Weight of each letter that a subsequence skips.
 GAP = 0.6
@@ -232,12 +232,14 @@ def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
         return ToxicityModel()
     every = sorted(in_clean)
     draw = np.random.default_rng(5)
-    negatives = [every[i] for i in sorted(draw.choice(len(every), min(NEGATIVES, len(every)), replace=False).tolist())]
+    held_by = Counter(w for words in clean for w in words)
+    common = [w for w, _ in sorted(held_by.items(), key=lambda x: (-x[1], x[0]))[: NEGATIVES // 2]]
+    negatives = sorted({*common, *(every[i] for i in draw.choice(len(every), min(NEGATIVES // 2, len(every)), replace=False))})
     all_clean = _Words(every)
     toxic_words = sorted(set().union(*map(set, toxic)))
     place = {w: i for i, w in enumerate(toxic_words)}
     all_toxic = _Words(toxic_words)
-    weights, bias = np.zeros(1 << 18), 0.0
+    joined, y_doc, best_loss = [" ".join(w) for w in clean + toxic], np.array([0] * len(clean) + [1] * len(toxic)), np.inf
     for _ in range(ROUNDS):
         positives = sorted(witnesses)
         if len(positives) > NEGATIVES:
@@ -248,19 +250,26 @@ def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
         values, vectors = np.linalg.eigh(landmarks.kernel(landmarks).astype(np.float64))
         use = values > 1e-6 * values[-1]
         root = vectors[:, use] / np.sqrt(values[use])
-        examples = _Words(positives + bent + negatives)
-        y = np.concatenate([np.ones(len(positives) + len(bent)), -np.ones(len(negatives))])
+        # signs alone make no insult: clean words are shown with some at their end, too
+        signed = [w + "." * (1 + k % 4) for k, w in enumerate(negatives) if k % 2 == 0 or len(w) < 4]
+        examples = _Words(positives + bent + negatives + signed)
+        y = np.concatenate([np.ones(len(positives) + len(bent)), -np.ones(len(negatives) + len(signed))])
         machine = newton_svm(examples.kernel(landmarks) @ root, y)
         beta, bias = root @ machine[:-1], float(machine[-1])
         weights = np.bincount(landmarks.code, landmarks.value * beta[landmarks.row], 1 << 18)
         margins = all_toxic.times(weights) + bias
         top = all_clean.times(weights) + bias
         negatives = sorted({*negatives, *(every[i] for i in np.argsort(-top, kind="stable")[:500])})
+        trial = ToxicityModel(weights.astype(np.float32), bias)
+        found = np.array([trial.margin(t) for t in joined])
+        trial.platt = fit_platt(found, y_doc)
+        p = np.clip(sigmoid(trial.platt[0] * found + trial.platt[1]), 1e-9, 1 - 1e-9)
+        loss = -float((y_doc * np.log(p) + (1 - y_doc) * np.log(1 - p)).mean())
+        if loss < best_loss:
+            best_loss, model = loss, trial
         best = [max(words, key=lambda w: margins[place[w]]) for words in toxic]
         witnesses = plain | {w for w in best if margins[place[w]] > max(0.0, np.quantile(top, 0.9999)) and w not in in_clean}
-    model = ToxicityModel(weights.astype(np.float32), bias)
-    found = np.array([model.margin(" ".join(w)) for w in clean + toxic])
-    model.platt = fit_platt(found, np.array([0] * len(clean) + [1] * len(toxic)))
+        witnesses = witnesses or set(positives)
     return model
 
 
