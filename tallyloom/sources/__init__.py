@@ -1 +1 @@
-
+"""Readers of leaderboards and writers of results."""
