@@ -32,7 +32,7 @@ from tallyloom.llm.common import fold, map_text, share_hash, slices, table
 from tallyloom.llm.features import DIMENSIONS, fit_logistic, fit_platt, ngram_features, sigmoid, train_svm
 
 #: Labelled rows of each class and unlabelled rows to train on, at most on average.
-SAMPLE, POOL, ROUNDS = 1000, 2000, 3
+SAMPLE, POOL, ROUNDS = 700, 1400, 3
 #: Share of the pool that a machine marks in a round.
 MARKED = 0.1
 THRESHOLD = 0.5
