@@ -107,6 +107,6 @@ def conclusion():
     head = F.when(F.col("is_significant"), "Statistically significant after correction").otherwise("Not statistically significant after correction")
     # How each effect size is called.
     called = {"beta_coefficient": "Effect size (β)", "spearman_rho": "Spearman correlation (ρ)", "pearson_r": "Pearson correlation (r)", "r_squared": "Ordinal-regression effect size (R²)", "median_difference": "Median difference"}
-    name = F.coalesce(F.create_map(*[F.lit(x) for kv in called.items() for x in kv]).getItem(F.col("effect_size_type")), F.lit("Effect size"))
+    name = F.coalesce(F.create_map(*[F.lit(x) for kv in called.items() for x in kv])[F.col("effect_size_type")], F.lit("Effect size"))
     effect = F.when(F.col("effect_size").isNotNull(), F.format_string("%s = %.3f.", name, F.col("effect_size"))).otherwise("")
     return F.when(F.col("p_raw").isNull(), "Insufficient data for statistical testing.").otherwise(F.concat(head, F.format_string(" (p_corrected = %.4f). ", F.col("p_corrected")), effect))

@@ -1 +1 @@
-
+"""Continuous forms of the board operators."""
