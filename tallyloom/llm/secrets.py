@@ -149,5 +149,37 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-ORACLES: dict[str, str] = {}
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN_SQL = "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + """)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+# A match's text can't stand before the place where it was found, or it would have been found there.
+ORACLES = {
+    "op7_secrets": rf"""
+WITH RECURSIVE rules(k, kind, pat, grp, least) AS (
+  VALUES (0, 'assign', '{_ASSIGN_SQL.replace("'", "''").replace(chr(92) * 2, chr(92))}', 2, 6), (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]{{24,}}', 0, 24),
+    (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1), (4, 'jwt', 'eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+', 0, 1)
+), texts AS (
+  SELECT DISTINCT coalesce(text, '') AS text FROM documents
+), found AS (
+  SELECT text, 0 AS k, regexp_extract_all(text, (SELECT pat FROM rules WHERE k = 0)) AS ms, regexp_extract_all(text, (SELECT pat FROM rules WHERE k = 0), 2) AS gs FROM texts
+  UNION ALL SELECT text, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+') AS ms, ms FROM texts
+  UNION ALL SELECT text, 2, regexp_extract_all(text, '[0-9a-f]{{24,}}') AS ms, ms FROM texts
+  UNION ALL SELECT text, 3, regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS ms, ms FROM texts
+  UNION ALL SELECT text, 4, regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+') AS ms, ms FROM texts
+), placed AS (
+  SELECT text, k, ms, gs, 0 AS i, 0 AS a, 0 AS e FROM found WHERE len(ms) > 0
+  UNION ALL
+  SELECT text, k, ms, gs, i + 1, e + strpos(substr(text, e + 1), ms[i + 1]) - 1, e + strpos(substr(text, e + 1), ms[i + 1]) - 1 + length(ms[i + 1]) FROM placed WHERE i < len(ms)
+), spans AS (
+  SELECT text, k, kind, a, kind || ':' || a || ':' || e AS span FROM placed JOIN rules USING (k) WHERE i > 0 AND length(gs[i]) >= least
+), joined AS (
+  SELECT text, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM spans GROUP BY text
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined j ON coalesce(d.text, '') = j.text""",
+}
 QUERIES = {"op7_secrets": op7_secrets}
