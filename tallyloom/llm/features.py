@@ -93,10 +93,10 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 20
     return w
 
 
-def newton_svm(x: np.ndarray, y: np.ndarray, cost: float = 1e4, rounds: int = 50) -> np.ndarray:
-    """The machine of train_svm for few columns, by Newton's method on the rows inside the margin."""
+def newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e4, rounds: int = 50) -> np.ndarray:
+    """The machine of train_svm for few columns, by Newton's method on the rows inside the margin; both classes weigh alike in all."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y <= 0].sum()) / 2
     ridge = np.full(x.shape[1], 1.0 / cost)
     ridge[-1] = 1e-9  # the bias is free
     w, active = np.zeros(x.shape[1]), None

@@ -43,6 +43,8 @@ from tallyloom.llm.features import fit_platt, newton_svm, sigmoid
 #: Labelled texts of each class to train on, at most on average, and their greatest length.
 SAMPLE, LONGEST = 800, 100_000
 LANDMARKS, NEGATIVES, ROUNDS, SKETCH = 400, 8000, 4, 16
+#: Clean words, the commonest first, among which a round looks for what its machine takes for insults.
+MINED = 60_000
 #: Weight of each letter that a subsequence skips.
 GAP = 0.6
 THRESHOLD = 0.3
@@ -52,7 +54,7 @@ PIECE = 1 << 20
 SUBSEQUENCES = tuple((i, j, j - 2) for j in (2, 3, 4) for i in range(1, j))
 
 # Digits and signs that stand for letters.
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 BLANK, MARK = 0, 63
 
 
@@ -69,14 +71,19 @@ _SYMBOLS = bytes(map(_symbol, range(256)))
 
 
 def _symbols(text: str) -> bytes:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SYMBOLS)
+    """A number below 64 for each byte; of signs only those between two letters count, the others are blanks."""
+    s = np.frombuffer(b"\0" + text.lower().encode("utf-8", "surrogatepass").translate(_SYMBOLS) + b"\0", np.uint8)
+    dull = (s == BLANK) | (s == MARK)
+    inside = s[1:-1].copy()
+    inside[dull[1:-1] & (dull[:-2] | dull[2:])] = BLANK
+    return inside.tobytes()
 
 
 class _Words:
     """The subsequences of words, each between two blanks: a row of `row`, `code` and `value` for each occurrence."""
 
     def __init__(self, words: list[str]):
-        raws = [_symbols(w) for w in words]
+        raws = [_symbols(w).strip(bytes([BLANK])) for w in words]
         s = np.frombuffer(b"\0" + b"\0\0".join(raws) + b"\0" * 5, np.uint8).astype(np.int64)
         lengths = np.array([len(r) + 2 for r in raws], np.int64)
         ends = np.cumsum(lengths)
@@ -86,9 +93,9 @@ class _Words:
         rows, codes, values = [], [], []
         for i, j, gaps in SUBSEQUENCES:
             at = np.flatnonzero(room >= j)
-            rows.append(row[at])
-            codes.append((s[at] << 12) | (s[at + i] << 6) | s[at + j])
-            values.append(scale[at] * GAP**gaps)
+            rows.append(row[at].astype(np.int32))
+            codes.append(((s[at] << 12) | (s[at + i] << 6) | s[at + j]).astype(np.int32))
+            values.append((scale[at] * GAP**gaps).astype(np.float32))
         self.row, self.code, self.value, self.n = np.concatenate(rows), np.concatenate(codes), np.concatenate(values), len(raws)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
@@ -214,15 +221,17 @@ def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
     clean = [w for w, y in documents if y == 0 and w]
     if not toxic or not clean:
         return ToxicityModel()
-    counts: dict[str, list[int]] = {}
-    for y, texts in enumerate((clean, toxic)):
-        for words in texts:
-            for piece in set().union(*map(_pieces, words)):
-                counts.setdefault(piece, [0, 0])[y] += 1
+    in_toxic = Counter(piece for words in toxic for piece in set().union(*map(_pieces, words)))
+    pieces = len(in_toxic)
+    counts = {piece: [0, n] for piece, n in in_toxic.items() if n > 2}  # rarer ones can't stand out
+    del in_toxic
+    for words in clean:
+        for piece in set().union(*map(_pieces, words)) & counts.keys():
+            counts[piece][0] += 1
     apart = _separation(counts, (len(clean), len(toxic)))
     in_clean = set().union(*map(set, clean))
     worth = lambda w: max((apart.get(p, 0.0) for p in _pieces(w)), default=0.0)
-    least = 2.0 * np.log(max(2, len(counts)))  # what the best of so many pieces reaches by chance
+    least = 2.0 * np.log(max(2, pieces))  # what the best of so many pieces reaches by chance
     value = {w: worth(w) for w in set().union(*map(set, toxic)) - in_clean}
     tops = [max((value.get(w, 0.0) for w in words), default=0.0) for words in toxic]
     witnesses = {w for words, top in zip(toxic, tops, strict=True) for w in words if top >= least and value.get(w) == top}
@@ -230,11 +239,12 @@ def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
     witnesses |= plain
     if not witnesses:
         return ToxicityModel()
-    every = sorted(in_clean)
     draw = np.random.default_rng(5)
     held_by = Counter(w for words in clean for w in words)
-    common = [w for w, _ in sorted(held_by.items(), key=lambda x: (-x[1], x[0]))[: NEGATIVES // 2]]
+    every = [w for w, _ in sorted(held_by.items(), key=lambda x: (-x[1], zlib.crc32(x[0].encode("utf-8", "surrogatepass")), x[0]))[:MINED]]
+    common = every[: NEGATIVES // 2]
     negatives = sorted({*common, *(every[i] for i in draw.choice(len(every), min(NEGATIVES // 2, len(every)), replace=False))})
+    hard = common[: LANDMARKS // 2]
     all_clean = _Words(every)
     toxic_words = sorted(set().union(*map(set, toxic)))
     place = {w: i for i, w in enumerate(toxic_words)}
@@ -245,21 +255,23 @@ def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
         if len(positives) > NEGATIVES:
             positives = [positives[i] for i in sorted(draw.choice(len(positives), NEGATIVES, replace=False).tolist())]
         bent = [_with_insertions(w, k) for k, w in enumerate(positives) if len(w) > 3]
-        chosen = [positives[i] for i in draw.permutation(len(positives))[: LANDMARKS // 2]] + [negatives[i] for i in draw.permutation(len(negatives))[: LANDMARKS // 2]]
-        landmarks = _Words(chosen)
+        # half of the landmarks are insults, half the clean words that look most like them so far
+        landmarks = _Words([positives[i] for i in draw.permutation(len(positives))[: LANDMARKS // 2]] + hard[: LANDMARKS // 2])
         values, vectors = np.linalg.eigh(landmarks.kernel(landmarks).astype(np.float64))
         use = values > 1e-6 * values[-1]
         root = vectors[:, use] / np.sqrt(values[use])
-        # signs alone make no insult: clean words are shown with some at their end, too
-        signed = [w + "." * (1 + k % 4) for k, w in enumerate(negatives) if k % 2 == 0 or len(w) < 4]
-        examples = _Words(positives + bent + negatives + signed)
-        y = np.concatenate([np.ones(len(positives) + len(bent)), -np.ones(len(negatives) + len(signed))])
-        machine = newton_svm(examples.kernel(landmarks) @ root, y)
+        examples = _Words(positives + bent + negatives)
+        y = np.concatenate([np.ones(len(positives) + len(bent)), -np.ones(len(negatives))])
+        # a word in many clean texts would spoil them all
+        weight = np.concatenate([np.ones(len(positives)), np.full(len(bent), 0.25), [held_by[w] ** 0.75 for w in negatives]])
+        machine = newton_svm(examples.kernel(landmarks) @ root, y, weight)
         beta, bias = root @ machine[:-1], float(machine[-1])
         weights = np.bincount(landmarks.code, landmarks.value * beta[landmarks.row], 1 << 18)
         margins = all_toxic.times(weights) + bias
         top = all_clean.times(weights) + bias
-        negatives = sorted({*negatives, *(every[i] for i in np.argsort(-top, kind="stable")[:500])})
+        likely = [every[i] for i in np.argsort(-top, kind="stable")[:500]]
+        negatives = sorted({*negatives, *likely})
+        hard = list(dict.fromkeys([*likely[: LANDMARKS // 4], *hard]))
         trial = ToxicityModel(weights.astype(np.float32), bias)
         found = np.array([trial.margin(t) for t in joined])
         trial.platt = fit_platt(found, y_doc)
@@ -268,7 +280,7 @@ def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
         if loss < best_loss:
             best_loss, model = loss, trial
         best = [max(words, key=lambda w: margins[place[w]]) for words in toxic]
-        witnesses = plain | {w for w in best if margins[place[w]] > max(0.0, np.quantile(top, 0.9999)) and w not in in_clean}
+        witnesses = plain | {w for w in best if margins[place[w]] > max(0.0, np.quantile(top, 0.9999)) and value.get(w, 0.0) >= least / 2}
         witnesses = witnesses or set(positives)
     return model
 
