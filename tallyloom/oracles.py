@@ -64,7 +64,7 @@ FROM scores s LEFT JOIN universe u USING (model_id) GROUP BY 1""",
     "left_benchmark_wide": _with(
         "scores elos universe",
         """, ranked AS (
-  SELECT *, rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC) AS rank FROM scores SEMI JOIN universe USING (model_id))
+  SELECT *, (rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC))::INT AS rank FROM scores SEMI JOIN universe USING (model_id))
 SELECT u.model_id, """.replace(", ranked", ",\nranked", 1)
         + ", ".join(f"max({k}) FILTER (benchmark_id = '{t}') AS {t.lower()}_{k}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD") for k in ("score", "rank"))
         + " FROM universe u LEFT JOIN ranked USING (model_id) GROUP BY 1",
@@ -99,15 +99,15 @@ SELECT count(*) FILTER (n > 0) AS matched, count(*) FILTER (n = 0) AS unmatched,
         """, g AS (SELECT benchmark_id, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho FROM ranks GROUP BY 1)
 SELECT round(avg(rho), 8) AS mean_rho, round(avg(n), 8) AS mean_n, count(rho) AS n_rho FROM g""",
     ),
-    "competition_rank": _with("scores", "SELECT benchmark_id, model_id, score, rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC) AS rank FROM scores"),
-    "min_rank_in_universe": _with("scores elos universe", "SELECT benchmark_id, model_id, rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC) AS rank FROM scores SEMI JOIN universe USING (model_id)"),
+    "competition_rank": _with("scores", "SELECT benchmark_id, model_id, score, (rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC))::INT AS rank FROM scores"),
+    "min_rank_in_universe": _with("scores elos universe", "SELECT benchmark_id, model_id, (rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC))::INT AS rank FROM scores SEMI JOIN universe USING (model_id)"),
     "midrank": _with("scores", "SELECT benchmark_id, model_id, rank() OVER (PARTITION BY benchmark_id ORDER BY score DESC) + (count(*) OVER (PARTITION BY benchmark_id, score) - 1) / 2.0::DOUBLE AS rank FROM scores"),
     "dup_suffix": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS k FROM part)
 SELECT p_partkey, p_type, CASE WHEN k > 1 THEN p_name || '(' || k || ')' ELSE p_name END AS name FROM n""",
     "position_tiebreak": _with(
         "scores elos pairs",
-        """SELECT benchmark_id, model_id, row_number() OVER (PARTITION BY benchmark_id ORDER BY score DESC, model_id) AS by_score,
-  row_number() OVER (PARTITION BY benchmark_id ORDER BY elo DESC, model_id) AS by_elo FROM pairs""",
+        """SELECT benchmark_id, model_id, (row_number() OVER (PARTITION BY benchmark_id ORDER BY score DESC, model_id))::INT AS by_score,
+  (row_number() OVER (PARTITION BY benchmark_id ORDER BY elo DESC, model_id))::INT AS by_elo FROM pairs""",
     ),
     "first_per_key": "SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1",
     "column_min_flag": _with("scores", "SELECT benchmark_id, model_id, score, score = min(score) OVER (PARTITION BY benchmark_id) AS is_minimum FROM scores"),
@@ -218,4 +218,19 @@ SELECT key, c_key, similarity FROM r WHERE k = 1 AND (n = 1 OR similarity >= 0.3
   rank() OVER (ORDER BY elo DESC) + (count(*) OVER (PARTITION BY elo) - 1) / 2.0::DOUBLE AS elo_rank FROM pairs WHERE benchmark_id = 'PROMO'""",
     ),
 }
+SQL |= {
+    "html_table": "SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row_no, n_nationkey::VARCHAR AS key, n_name AS model FROM nation",
+    "css_rows": "SELECT r_regionkey, 0 AS row_no, r_name AS model_key, r_regionkey || '% ±1%' AS score, r_regionkey || '%' AS score_value, '±1%' AS score_error FROM region",
+    "embedded_json": "SELECT s_nationkey, s_name AS model_name, 'accuracy' AS metric, s_suppkey::VARCHAR AS value FROM supplier UNION ALL SELECT s_nationkey, s_name, 'plain', 'p' FROM supplier",
+    "split_boards": "SELECT 'a' AS benchmark_id, s_suppkey AS row_no, s_name AS model_raw, s_nationkey::VARCHAR AS score_raw FROM supplier UNION ALL SELECT 'b', s_suppkey, s_name, NULL FROM supplier",
+    "mapping_first_wins": "SELECT 'b' AS benchmark_id, arg_min(c_name, c_custkey) AS model_name, 'id' || c_nationkey AS model_id FROM customer WHERE c_custkey % 7 > 1 GROUP BY c_nationkey",
+    "arena_last_row": "SELECT c_mktsegment AS category, 'm' || c_nationkey AS model_id, max(c_custkey)::DOUBLE AS elo, round(6 / 1.96::DOUBLE, 8) AS elo_sd FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1, 2",
+    "clean_boards": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 9 <> 0)
+SELECT p_type AS benchmark_id, CASE WHEN k > 1 THEN p_name || '(' || k || ')' ELSE p_name END AS model_name, p_size::DOUBLE AS score, (rank() OVER (PARTITION BY p_type ORDER BY p_size DESC))::INT AS rank, p_partkey AS row_no FROM r""",
+    "model_list": "SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'openai/' ELSE '' END || p_name AS model_name FROM part WHERE p_partkey % 9 <> 0",
+    "duplicate_review": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 9 <> 0
+), n AS (SELECT *, CASE WHEN k > 1 THEN p_name || '(' || k || ')' ELSE p_name END AS name FROM r)
+SELECT p_type AS benchmark_id, CASE WHEN p_partkey < 40 THEN 'new ' || name ELSE name END AS model_name, (rank() OVER (PARTITION BY p_type ORDER BY p_size DESC))::INT AS rank, p_partkey AS row_no
+FROM n WHERE p_partkey >= 40 OR p_partkey % 2 = 1""",
+}
 SQL = {k: v.replace(")\n, ", "),\n").replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in SQL.items()}

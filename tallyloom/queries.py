@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning, identity
 from tallyloom.operators import agreement, correction, ranking, regression, relational, resampling
+from tallyloom.plans import clean, match, report, uncertainty
+from tallyloom.sources import embedded_json, html, registry
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 #: The revenue, in thousands, from which a supplier is studied, and the band of the difficulty measure.
@@ -462,4 +464,84 @@ def q_fig1_ranks(spark, d):
     return both.select("model_id", "score_rank", "elo_rank")
 
 
+# 2.1, 2.2 and the steps: pages and documents are made from the tables, so that their rows are known
+
+
+def q_html_table(spark, d):
+    """A page for each region with a table of its nations, read back."""
+    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td>"), F.col("n_name"), F.lit("</td></tr>"))
+    listed = read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("tr")))).alias("rows"))
+    page = F.concat(F.lit("<html><table><tr><th>Key</th><th>Model</th></tr>"), F.array_join(F.transform("rows", lambda r: r["tr"]), ""), F.lit("</table></html>"))
+    cells = html.html_rows(listed.select("n_regionkey", page.alias("page")), "n_regionkey", "page", "best")
+    return html.wide(cells, ["Key", "Model"]).select("n_regionkey", "row_no", F.col("Key").alias("key"), F.col("Model").alias("model"))
+
+
+def q_css_rows(spark, d):
+    row = F.concat(F.lit('<div class="table-row" data-model-key="'), F.col("r_name"), F.lit('"><div class="cell score-cell"><b class="score-value">'), F.col("r_regionkey").cast("string"), F.lit('%</b><i class="score-error">±1%</i></div><div class="cell chart-cell">x</div></div>'))
+    cells = html.html_rows(read(spark, d, "region").select("r_regionkey", row.alias("page")), "r_regionkey", "page", "css")
+    return html.wide(cells, ["model_key", "score", "score_value", "score_error"])
+
+
+def q_embedded_json(spark, d):
+    """A document for each nation with its suppliers' balances in nested [tag, value] lists, read back."""
+    entry = F.concat(F.lit('"'), F.col("s_name"), F.lit('":[0,{"accuracy":[0,'), F.col("s_suppkey").cast("string"), F.lit('],"plain":"p"}]'))
+    listed = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(entry), ",").alias("e"))
+    document = F.concat(F.lit('{"benchmarkView":[0,{"tasks":[0,{"overall":[0,{'), F.col("e"), F.lit("}]}]}]}"))
+    page = F.concat(F.lit('<x props="'), F.replace(document, F.lit('"'), F.lit("&quot;")), F.lit('">'))
+    return embedded_json.metric_rows(listed.select("s_nationkey", page.alias("page")), "s_nationkey", "page")
+
+
+def q_split_boards(spark, d):
+    combined = read(spark, d, "supplier").select(F.col("s_suppkey").alias("row_no"), F.col("s_name").alias("Model"), F.col("s_nationkey").cast("string").alias("Board A (x)"))
+    return registry.split_boards(combined, {"a": "Board A (x)", "b": "Board B"})
+
+
+def q_mapping_first_wins(spark, d):
+    rows = read(spark, d, "customer").select(F.lit("b").alias("benchmark_id"), F.col("c_custkey").alias("pos"), F.col("c_name").alias("model_name"), F.when(F.col("c_custkey") % 7 == 0, "0").when(F.col("c_custkey") % 7 == 1, " ").otherwise(F.concat(F.lit("id"), F.col("c_nationkey").cast("string"))).alias("selected"))
+    return match.mapping(rows)
+
+
+def q_arena_last_row(spark, d):
+    rows = read(spark, d, "customer").select(F.col("c_mktsegment").alias("category"), F.col("c_custkey").alias("row_no"), F.concat(F.lit("m"), F.col("c_nationkey").cast("string")).alias("model_raw"), F.concat(F.col("c_custkey").cast("string"), F.lit("Preliminary")).alias("score_raw"), F.when(F.col("c_custkey") % 5 == 0, "none").otherwise("±6").alias("ci_raw"))
+    return uncertainty.arena_with_sd(rows).select("category", "model_id", "elo", _r("elo_sd"))
+
+
+def _raw_board(spark, d):
+    name = F.concat(F.when(F.col("p_partkey") % 2 == 0, "openai/").otherwise(""), F.col("p_name"))
+    text = F.when(F.col("p_partkey") % 9 == 0, "--").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("% ±2")))
+    return read(spark, d, "part").select(F.lit("raw/vals_ai/x/data.csv").alias("source"), F.col("p_type").alias("benchmark_id"), F.col("p_partkey").alias("row_no"), name.alias("model_raw"), text.alias("score_raw"), F.lit(None).cast("string").alias("task_name"))
+
+
+def q_clean_boards(spark, d):
+    return clean.clean(_raw_board(spark, d))
+
+
+def q_model_list(spark, d):
+    return clean.model_list(_raw_board(spark, d))
+
+
+def q_duplicate_review(spark, d):
+    cleaned = clean.clean(_raw_board(spark, d))
+    decisions = cleaned.where("row_no < 40").select("benchmark_id", "model_name", F.when(F.col("row_no") % 2 == 0, "drop").otherwise("rename").alias("action"), F.concat(F.lit("new "), F.col("model_name")).alias("new_name"))
+    return clean.review_duplicates(cleaned, decisions).select("benchmark_id", "model_name", "rank", "row_no")
+
+
+def q_review_candidates(spark, d):
+    """Part names against those of every tenth part, by parsed identity."""
+    parts = read(spark, d, "part")
+    arena = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("gpt-"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("model_raw"), F.lit("1400").alias("score_raw"))
+    names = parts.where("p_partkey % 10 = 1").select(F.col("p_type").alias("benchmark_id"), F.concat(F.lit("GPT-"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("model_name")).distinct()
+    found = match.candidates(names, match.arena_identities(arena))
+    return match.statistics(found)
+
+
+def q_report_summary(spark, d):
+    """Formatted agreement of the boards, the least values marked."""
+    rows = scores_with_elo(spark, d)
+    rho = agreement.with_t_pvalue(agreement.spearman(rows, ["benchmark_id"], "score", "elo"), "rho", "n", "spearman_pvalue").withColumnRenamed("rho", "spearman_rho")
+    tau = agreement.with_kendall_pvalue(agreement.kendall(rows, ["benchmark_id"], "score", "elo")).select("benchmark_id", F.col("tau").alias("kendall_tau"), F.col("pvalue").alias("kendall_pvalue"))
+    overlap = agreement.rbo_of_scores(ranking.competition_rank(rows, ["benchmark_id"], "score"), ["benchmark_id"], "model_id", "rank", "elo").select("benchmark_id", "rbo")
+    return report.correlation_summary(rho.join(tau, "benchmark_id").join(overlap, "benchmark_id").withColumn("category", F.lit("Hard Prompts")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
