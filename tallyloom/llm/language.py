@@ -50,6 +50,11 @@ FAMILIES = {
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter of any script; the pattern also finds other numerals, such as superscripts."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang.lower().split("-")[0] in codes.split()), lang)
 
@@ -77,7 +82,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        known = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        known = np.array([has_letter(t) for t in texts], bool)
         n = len(texts)
         scores = {lang: np.ones(n) for lang in self.langs}
         if self.weights is not None:

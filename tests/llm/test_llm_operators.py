@@ -177,6 +177,10 @@ def test_languages_are_told_apart_on_held_out_rows(spark, small):
     assert both.score.between(0, 1).all()
 
 
+def test_letters_of_any_script():
+    assert [language.has_letter(t) for t in (None, "", "12 ² ½ Ⅷ _!", "²x", "日", "é", "ª")] == [False, False, False, True, True, True, True]
+
+
 def test_language_on_hard_cases(spark, odd, empty):
     model = language.fit(odd)
     got = {(r.doc_id, r.score == 0): r.lang_pred for r in language.predict(odd, model).collect()}
