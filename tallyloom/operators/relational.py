@@ -54,10 +54,11 @@ def with_overlap(scores: DataFrame, by: Sequence[str], least: int = 6) -> DataFr
 
 def overlap_statistics(scores: DataFrame, universe: DataFrame, by: Sequence[str], model: str) -> DataFrame:
     """For each group the models, those in the universe, and their share of it in per cent (0 for an empty universe)."""
-    size = universe.select(model).distinct().agg(F.count(F.lit(1)).alias("__size"))
-    marked = scores.join(universe.select(model).distinct().withColumn("__in", F.lit(1)), model, "left")
+    members = universe.select(model).distinct()
+    size = members.count()
+    marked = scores.join(members.withColumn("__in", F.lit(1)), model, "left")
     counts = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_models"), F.count("__in").alias("n_overlap"))
-    return counts.crossJoin(F.broadcast(size)).select(*by, "n_models", "n_overlap", F.coalesce(F.try_divide(F.col("n_overlap") * 100.0, F.col("__size")), F.lit(0.0)).alias("overlap_pct"))
+    return counts.select(*by, "n_models", "n_overlap", F.coalesce(F.try_divide(F.col("n_overlap") * 100.0, F.lit(size)), F.lit(0.0)).alias("overlap_pct"))
 
 
 def difficulty(scores: DataFrame, by: Sequence[str], score: str, elo: str, low: float = 1400.0, high: float = 1430.0, least: int = 5) -> DataFrame:
