@@ -9,7 +9,9 @@ documents with the rare seeds, aligns each hit's surroundings with its item
 and keeps the pairs whose score is high enough.
 
 The score is that of the best local alignment (a match 1, a mismatch or an
-inserted or missing word -PENALTY) over the number of the item's words.
+inserted or missing word -PENALTY) over the number of the item's words; it has
+to reach THRESHOLD, and LEAST_SCORE before the division, as a common phrase is
+much of a short item.
 
 Items are broadcast in blocks of at most BLOCK_WORDS words (some tens of MB),
 with one pair of passes a block, so no broadcast grows with the benchmark.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import slices, table
 
 SEED_WORDS, RARE_TIMES, LEAST_WORDS = 3, 4, 5
-PENALTY, THRESHOLD = 0.5, 0.45
+PENALTY, THRESHOLD, LEAST_SCORE = 0.5, 0.4, 5.0
 BLOCK_WORDS = 500_000
 #: Pairs that are aligned at once.
 PAIRS = 256
@@ -188,7 +190,7 @@ class Items:
             back_items[r, : lengths[r]] = self.words[k][::-1]
             back[r, : b - a] = flat[a:b][::-1]
         score, end = align(items, lengths, windows)
-        near = np.flatnonzero(score / lengths >= THRESHOLD)
+        near = np.flatnonzero(score >= np.maximum(THRESHOLD * lengths, LEAST_SCORE))
         if len(near):
             _, first = align(back_items[near], lengths[near], back[near])
             for r, f in zip(near, first, strict=True):

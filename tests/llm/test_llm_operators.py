@@ -96,6 +96,12 @@ def test_a_hot_passage_keeps_its_seeds(spark):
     assert got.count() == 200 and got.agg({"score": "min"}).first()[0] == 1.0
 
 
+def test_a_phrase_of_a_short_item_is_no_copy(spark):
+    docs = spark.createDataFrame([(1, "we said that this is the way"), (2, "so this is the way out here now")], "doc_id long, text string")
+    got = decontaminate.contaminations(docs, spark.createDataFrame([(1, "this is the way out"), (2, "one of those who said that this is not")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(2, 1)]
+
+
 def test_alignment_equals_the_plain_recursion():
     draw = np.random.default_rng(0)
     for _ in range(60):
