@@ -3,10 +3,12 @@
 Words are runs of letters and digits, lower case.  Every run of SEED_WORDS
 words of a test item is a seed.  A first pass counts the documents that hold
 each seed; the rare seeds of an item are those no more frequent than
-RARE_TIMES the median of its seeds, so an item that a third of all documents
-quote keeps its seeds, while common phrases drop out.  A second pass joins the
-documents with the rare seeds, aligns each hit's surroundings with its item
-and keeps the pairs whose score is high enough.
+RARE_TIMES the median of its seeds.  A second pass joins the documents with
+the seeds, aligns the surroundings of the hits with their item and keeps the
+pairs whose score is high enough.  Surroundings that hold frequent seeds only
+are aligned too, unless the words they share with the item prove that no
+alignment in them can reach the least score; so how often a passage occurs
+costs no match.
 
 The score is that of the best local alignment (a match 1, a mismatch or an
 inserted or missing word -PENALTY) over the number of the item's words; it has
@@ -39,6 +41,8 @@ PENALTY, THRESHOLD, LEAST_SCORE = 0.5, 0.4, 5.0
 BLOCK_WORDS = 500_000
 #: Pairs that are aligned at once.
 PAIRS = 256
+#: Words of windows looked at together, and places of seeds held at once unless one text has more.
+CELLS, HITS = 1 << 20, 1 << 21
 
 _WORD = re.compile(r"\w+")
 
@@ -90,6 +94,10 @@ class Items:
         self.seeds, self.first = np.unique(self.code, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.code)))
         self.rare = np.ones(len(self.code), bool)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        owner = np.repeat(np.arange(len(self.words)), self.lengths)
+        #: The words of each item as item * (size of the vocabulary + 1) + word.
+        self.held = np.unique(owner * (len(self.vocabulary) + 1) + (np.concatenate(self.words) if self.words else owner))
 
     @staticmethod
     def codes(words: np.ndarray) -> np.ndarray:
@@ -127,7 +135,7 @@ class Items:
         return at[same], place[same]
 
     def keep_rare(self, counts: np.ndarray) -> None:
-        """Mark the rare seeds by the document counts of all seeds."""
+        """Mark the rare seeds by the document counts of all seeds; the others need proof that an alignment is worth it."""
         each = np.repeat(counts, self.count)
         for k in range(len(self.ids)):
             mine = self.item == k
@@ -140,29 +148,31 @@ class Items:
         at, seed = self.hits(flat)
         if not len(at):
             return []
-        # each hit with every rare place of its seed
+        # each hit with every place of its seed
         times = self.count[seed]
+        if len(texts) > 1 and int(times.sum()) > HITS:
+            half = len(texts) // 2
+            return self.matches(texts[:half]) + [(t + half, *rest) for t, *rest in self.matches(texts[half:])]
         entry = np.repeat(self.first[seed] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         at = np.repeat(at, times)
-        used = self.rare[entry]
-        at, entry = at[used], entry[used]
-        if not len(at):
-            return []
         text = np.searchsorted(starts, at, side="right") - 1
         item = self.item[entry]
-        lengths = np.array([len(w) for w in self.words])
-        begin = at - self.at[entry]
+        lengths = self.lengths
+        begin, rare = at - self.at[entry], self.rare[entry]
         order = np.lexsort((begin, item, text))
-        text, item, begin = text[order], item[order], begin[order]
+        text, item, begin, rare = text[order], item[order], begin[order], rare[order]
         slack = lengths[item] // 2
         # hits whose windows start within the slack share one alignment
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])
         group = np.flatnonzero(new)
         last = np.append(group[1:], len(text)) - 1
-        text, item, low, high = text[group], item[group], begin[group], begin[last]
+        text, item, low, high, rare = text[group], item[group], begin[group], begin[last], np.logical_or.reduceat(rare, group)
         low = np.maximum(low - slack[group], starts[text])
         high = np.minimum(high + lengths[item] + slack[group], starts[text + 1] - SEED_WORDS)
+        can = rare.copy()
+        can[~rare] = self._reachable(flat, item[~rare], low[~rare], high[~rare])
+        text, item, low, high = text[can], item[can], low[can], high[can]
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         size = np.argsort(high - low, kind="stable")
         for i in range(0, len(size), PAIRS):
@@ -179,6 +189,29 @@ class Items:
                         best[int(text[run[k]]), int(item[run[k]])] = (s, a - base, e - base)
         return [(t, self.ids[k], s, a, e) for (t, k), (s, a, e) in sorted(best.items())]
 
+    def _reachable(self, flat: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether an alignment in each window may reach the least score.
+
+        A window's word in an alignment adds 1 at most if the item holds it and
+        -PENALTY else, so no score is above the largest sum over a stretch.
+        """
+        can, size = np.zeros(len(item), bool), np.argsort(high - low, kind="stable")
+        least, words = np.maximum(THRESHOLD * self.lengths[item], LEAST_SCORE), len(self.vocabulary) + 1
+        i = 0
+        while i < len(size):
+            # as many windows as fit into CELLS, the widest last
+            part = size[i : i + PAIRS]
+            part = part[: max(1, CELLS // max(1, int((high - low)[part[-1]])))]
+            i += len(part)
+            place = low[part][:, None] + np.arange(max(1, int((high - low)[part[-1]])))
+            inside = place < high[part][:, None]
+            code = item[part][:, None] * words + flat[np.where(inside, place, 0)]
+            found = self.held[np.minimum(np.searchsorted(self.held, code), len(self.held) - 1)] == code
+            total = np.cumsum(np.where(found & inside, 1.0, -PENALTY), axis=1)
+            before = np.minimum(np.minimum.accumulate(np.pad(total, ((0, 0), (1, 0)))[:, :-1], axis=1), 0)
+            can[part] = (total - before).max(1) >= least[part]
+        return can
+
     def _aligned(self, flat: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
         lengths = np.array([len(self.words[k]) for k in item])
         items = np.full((len(item), int(lengths.max())), -1, np.int64)

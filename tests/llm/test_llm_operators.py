@@ -96,6 +96,19 @@ def test_a_hot_passage_keeps_its_seeds(spark):
     assert got.count() == 200 and got.agg({"score": "min"}).first()[0] == 1.0
 
 
+def test_edited_copies_in_many_documents_are_found(spark):
+    words = [f"q{i}" for i in range(50)]
+    edited = [w if k % 5 else f"changed{k}" for k, w in enumerate(words[:30])]
+    docs = [(i, f"start{i} " + " ".join(words[:24]) + f" end{i}") for i in range(300)]
+    docs += [(1000 + i, f"start{i} " + " ".join(edited) + f" end{i}") for i in range(300)]
+    docs += [(2000 + i, " ".join(words[:4]) + f" and nothing else {i}") for i in range(300)]
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, "lambda mu nu xi omicron pi rho sigma")], "item_id long, text string")
+    got = decontaminate.contaminations(spark.createDataFrame(docs[:5], "doc_id long, text string"), benchmark)
+    assert got.count() == 5
+    got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, 1) for i in range(300)] + [(1000 + i, 1) for i in range(300)]
+
+
 def test_a_phrase_of_a_short_item_is_no_copy(spark):
     docs = spark.createDataFrame([(1, "we said that this is the way"), (2, "so this is the way out here now")], "doc_id long, text string")
     got = decontaminate.contaminations(docs, spark.createDataFrame([(1, "this is the way out"), (2, "one of those who said that this is not")], "item_id long, text string")).collect()
