@@ -201,11 +201,15 @@ def q_fraction(spark, d):
     return scores(spark, d).groupBy("benchmark_id").agg(F.round(F.avg((F.col("score") <= 53).cast("int")), 8).alias("low_fraction"))
 
 
-def q_match_statistics(spark, d):
-    counts = _candidates(spark, d).groupBy("name").agg(F.count("candidate").alias("n"))
+def q_match_statistics(spark, d, whole=False):
+    counts = _candidates(spark, d, whole).groupBy("name").agg(F.count("candidate").alias("n"))
     return counts.agg(F.count_if(F.col("n") > 0).alias("matched"), F.count_if(F.col("n") == 0).alias("unmatched"), F.count_if(F.col("n") > 1).alias("several"))
 
 
+def q_match_statistics_all(spark, d):
+    return q_match_statistics(spark, d, True)
+
+
 def q_summary(spark, d):
     rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
     return rho.agg(F.round(F.avg("rho"), 8).alias("mean_rho"), F.round(F.avg("n"), 8).alias("mean_n"), F.count("rho").alias("n_rho"))
@@ -351,8 +355,9 @@ def q_bootstrap_agreement(spark, d):
 
 
 def q_permutation(spark, d):
-    few = relational.within(scores_with_elo(spark, d), elo(spark, d).where("model_id <= 25"), ["model_id"])
-    return resampling.resampled_agreement(few, ["benchmark_id"], "model_id", "score", "elo", ["spearman"], 500).select("benchmark_id", "n", _r("value"), _r("permutation_p"))
+    """All models in groups of 25 neighbouring ids, as p is given below 30 pairs only."""
+    few = scores_with_elo(spark, d).withColumn("model_group", F.expr("model_id div 25"))
+    return resampling.resampled_agreement(few, ["benchmark_id", "model_group"], "model_id", "score", "elo", ["spearman"], 500).select("benchmark_id", "model_group", "n", _r("value"), _r("permutation_p"))
 
 
 def q_monte_carlo(spark, d):
@@ -427,25 +432,35 @@ def _named(spark, d):
     return read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), words.alias("tokens"), F.element_at(words, 1).alias("family"), F.when(n > 0, n).alias("version"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("parameters"))
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, whole):
+    """Pairs of matching parts: of all parts with unequal ids, or the tenths that the SQL of the queries without `_all` names."""
     rows = _named(spark, d)
-    left = rows.where("p_partkey % 10 = 0").select("name", "tokens", "family", "version", "parameters", F.col("p_partkey").alias("key"))
-    right = rows.where("p_partkey % 10 = 1").select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("p_partkey").alias("c_key"))
+    left = (rows if whole else rows.where("p_partkey % 10 = 0")).select("name", "tokens", "family", "version", "parameters", F.col("p_partkey").alias("key"))
+    right = (rows if whole else rows.where("p_partkey % 10 = 1")).select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("p_partkey").alias("c_key"))
     either = left["parameters"].isNull() | right["c_parameters"].isNull() | (F.lower(left["parameters"]) == F.lower(right["c_parameters"]))
+    either = either & (left["key"] != right["c_key"]) if whole else either
     return relational.null_safe_match(left, right, [("family", "c_family"), ("version", "c_version")], either)
 
 
-def q_null_safe_match(spark, d):
-    return _candidates(spark, d).select("key", "c_key", "version", "parameters", "c_parameters")
+def q_null_safe_match(spark, d, whole=False):
+    return _candidates(spark, d, whole).select("key", "c_key", "version", "parameters", "c_parameters")
+
 
+def q_null_safe_match_all(spark, d):
+    return q_null_safe_match(spark, d, True)
 
-def q_match_top1_similarity(spark, d):
+
+def q_match_top1_similarity(spark, d, whole=False):
     mine, theirs = identity.normal_tokens(F.col("tokens")), identity.normal_tokens(F.col("c_tokens"))
     jaccard = F.size(F.array_intersect(mine, theirs)) / F.size(F.array_union(mine, theirs))
-    rows = _candidates(spark, d).select("key", "c_key", F.round(jaccard, 10).alias("similarity"))
+    rows = _candidates(spark, d, whole).select("key", "c_key", F.round(jaccard, 10).alias("similarity"))
     return ranking.best_candidate(rows, ["key"], "similarity", ["c_key"])
 
 
+def q_match_top1_similarity_all(spark, d):
+    return q_match_top1_similarity(spark, d, True)
+
+
 def q_parse_identity(spark, d):
     return identity.identities(read(spark, d, "part").select("p_name"), "p_name").select("p_name", "info.family", "info.version", "info.parameters", "info.date")
 
@@ -527,10 +542,10 @@ def q_duplicate_review(spark, d):
 
 
 def q_review_candidates(spark, d):
-    """Part names against those of every tenth part, by parsed identity."""
+    """All part names against those of all parts, by parsed identity; names have no ids, so a name meets its own part too."""
     parts = read(spark, d, "part")
-    arena = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("gpt-"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("model_raw"), F.lit("1400").alias("score_raw"))
-    names = parts.where("p_partkey % 10 = 1").select(F.col("p_type").alias("benchmark_id"), F.concat(F.lit("GPT-"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("model_name")).distinct()
+    arena = parts.select(F.col("p_partkey").alias("row_no"), F.concat(F.lit("gpt-"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("model_raw"), F.lit("1400").alias("score_raw"))
+    names = parts.select(F.col("p_type").alias("benchmark_id"), F.concat(F.lit("GPT-"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")).alias("model_name")).distinct()
     found = match.candidates(names, match.arena_identities(arena))
     return match.statistics(found)
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -229,3 +230,39 @@ def test_every_query_agrees_with_its_sql(spark, small):
             assert sorted(columns) == sorted(rows.columns), name
             want = sorted(repr([plain(dict(zip(columns, r, strict=True))[c]) for c in sorted(columns)]) for r in cursor.fetchall())
             assert sorted(repr([plain(r[c]) for c in sorted(columns)]) for r in got) == want, name
+
+
+def test_matching_and_permutation_take_in_every_row(spark, small):
+    import duckdb
+
+    from tallyloom import queries
+
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    rows = con.execute("SELECT p_partkey, p_name, p_size, p_brand, p_type FROM part").fetchall()
+    split = {r[0]: set(re.split(r"[\s#]+", r[1].lower())) for r in rows}
+    family = {r[0]: re.split(r"[\s#]+", r[1].lower())[0] for r in rows}
+    brand = {r[0]: r[3].lower() if r[2] % 2 == 0 else None for r in rows}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and family[a[0]] == family[b[0]] and a[2] % 3 == b[2] % 3 and (brand[a[0]] is None or brand[b[0]] is None or brand[a[0]] == brand[b[0]])}
+    found = queries.QUERIES["null_safe_match_all"](spark, small).collect()
+    assert len(found) == len(want) and {(r.key, r.c_key) for r in found} == want
+    like = lambda a, b: round(len(split[a] & split[b]) / len(split[a] | split[b]), 10)
+    best = {a: min((-like(a, b), b) for x, b in want if x == a) for a in {a for a, _ in want}}
+    assert {r.key: (-r.similarity, r.c_key) for r in queries.QUERIES["match_top1_similarity_all"](spark, small).collect()} == best
+    counts = {}
+    for a, _ in want:
+        name = next(r[1] for r in rows if r[0] == a)
+        counts[name] = counts.get(name, 0) + 1
+    assert queries.QUERIES["match_statistics_all"](spark, small).collect() == [(len(counts), 0, sum(n > 1 for n in counts.values()))]
+    names = dict(con.execute("SELECT p_type, count(DISTINCT (p_size, p_name)) FROM part GROUP BY 1").fetchall())
+    assert {r.benchmark_id: r.matched + r.unmatched for r in queries.QUERIES["review_candidates"](spark, small).collect()} == names
+
+
+def test_permutation_takes_in_every_model(spark, small):
+    from tallyloom import queries
+
+    d = small.replace("sf0.001", "sf0.01")
+    groups = queries.QUERIES["permutation"](spark, d).collect()
+    assert sum(r.n for r in groups) == queries.scores_with_elo(spark, d).count()
+    assert all(r.permutation_p is not None and 0 < r.permutation_p <= 1 for r in groups)
