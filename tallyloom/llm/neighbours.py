@@ -12,8 +12,8 @@ bound reaches the mark.
 
 The table is dealt into blocks of about BLOCK_ROWS rows and the queries into
 blocks of about BLOCK_QUERIES; each pair of blocks is one group, so a task
-holds one of each whatever the size of the table.  A block gives k rows a
-query, of which the k best of all blocks are kept.
+holds one of each whatever the size of the table.  A block gives the best row
+of k ids a query, of which the k best of all blocks are kept.
 
 Cases: vectors that are null, zero or hold null or non-finite components take
 no part; vectors of different lengths are no neighbours; equal scores go to
@@ -92,11 +92,12 @@ def _about(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np
 
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, cosine) of the k nearest vectors of each query, ties to the smaller id."""
+    """(query id, id, cosine) of the k nearest ids of each query, each with its best vector, ties to the smaller id."""
     codes, found = Codes(vectors), []
     error = codes.error.astype(np.float32)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     step, n = max(1, PAIRS // max(1, len(ids))), len(ids)
+    repeated = len(np.unique(ids)) < n
     for i in range(0, len(queries), step):
         mine = queries[i : i + step]
         unit_mine = mine / np.linalg.norm(mine, axis=1, keepdims=True)
@@ -108,20 +109,24 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
             lead = np.argpartition(about, n - LEAD, axis=1)[:, n - LEAD :]
             row = np.repeat(np.arange(len(mine)), LEAD)
             exact = np.where(np.take_along_axis(own, lead, 1), -np.inf, _about(unit_mine, unit, row, lead.ravel()).reshape(lead.shape))
+            if repeated:  # the mark counts each id once; too few ids in the lead set no mark
+                exact = _once(ids[lead], exact)
             mark = np.partition(exact, LEAD - k, axis=1)[:, LEAD - k] - SLACK
             chosen = about + error >= mark[:, None].astype(np.float32)
             np.put_along_axis(chosen, lead, True, 1)
         row, col = np.nonzero(chosen & ~own)
         exact = _about(unit_mine, unit, row, col)
         # of the chosen, those that rounding can't keep out of the k best get the cosine of the original vectors
-        order = np.lexsort((-exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, row)
-        count = np.searchsorted(row, row, side="right") - first
-        near = exact >= exact[first + np.minimum(count, k) - 1] - SLACK
+        best = _first_of_each(row, ids[col], exact) if repeated else np.lexsort((-exact, row))
+        first = np.searchsorted(row[best], np.arange(len(mine)))
+        count = np.searchsorted(row[best], np.arange(len(mine)), side="right") - first
+        least = np.full(len(mine), -np.inf)
+        some = count > 0
+        least[some] = exact[best[first[some] + np.minimum(count[some], k) - 1]] - SLACK
+        near = exact >= least[row]
         row, col = row[near], col[near]
         exact = cosines(mine[row], vectors[col])
-        order = np.lexsort((ids[col], -exact, row))
+        order = _first_of_each(row, ids[col], exact) if repeated else np.lexsort((ids[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         top = np.arange(len(row)) - np.searchsorted(row, row) < k
         found.append((query_ids[i + row[top]], ids[col[top]], exact[top]))
@@ -130,6 +135,26 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _once(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The scores of each row with all but the best of an id put to -inf."""
+    order = np.lexsort((-scores, ids), axis=1)
+    again = np.zeros(ids.shape, bool)
+    again[:, 1:] = np.diff(np.take_along_axis(ids, order, 1), axis=1) == 0
+    out = np.take_along_axis(scores, order, 1)
+    out[again] = -np.inf
+    return out
+
+
+def _first_of_each(row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places of the best score of each row and id, by row, score and id."""
+    order = np.lexsort((-scores, ids, row))
+    r, i = row[order], ids[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
+    order = order[new]
+    return order[np.lexsort((ids[order], -scores[order], row[order]))]
+
+
 def _read(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors, by length."""
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}

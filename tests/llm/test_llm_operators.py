@@ -445,6 +445,27 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), __import__("pyspark").sql.functions.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_ids_count_once_however_often(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    v = draw.normal(size=(200, 16))
+    q = v[0]
+    rows = [(0, q.tolist())] + [(i, x.tolist()) for i, x in enumerate(v[1:], 1)]
+    rows += [(7, (q + draw.normal(size=16) * 0.01 * (c + 1)).tolist()) for c in range(60)]
+    rows += [(8 + c % 3, (q + draw.normal(size=16) * 0.05).tolist()) for c in range(40)]
+    col = __import__("pyspark").sql.functions.col
+    u = np.array([x for _, x in rows])
+    exact = neighbours.cosines(np.repeat(u[:1], len(u), 0), u)
+    best = {}
+    for (i, _), s in zip(rows, exact, strict=True):
+        if i:
+            best[i] = max(best.get(i, -2.0), s)
+    want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5]
+    for blocks in (8192, 60):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", blocks)
+        got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), col("vec_id") == 0).orderBy("rank").collect()
+        assert [(r.id, r.score) for r in got] == want
+
+
 # the whole
 
 
