@@ -16,8 +16,9 @@ contracted to components by stars.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other;
 texts of one or two words are one shingle; repeated rows share a component; a
-null doc_id takes part with its text, but names no component (null if a
-component has no other); an empty table gives an empty result; very long texts
+null doc_id takes part with its text and bridges others, but names no
+component (null if a component has no other); a doc_id with several texts is
+in the component of each; an empty table gives an empty result; very long texts
 are hashed whole, SHINGLES at a time; extra columns are ignored.
 """
 
@@ -102,21 +103,41 @@ def links(nodes: DataFrame) -> DataFrame:
     return filed.join(own.unionByName(looked), ["start", "key"]).where(once & near).select("a", "b")
 
 
+def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bits, component_id, first_bits) of each row; first_bits is the fingerprint of the component's document to keep."""
+    prints = checkpointed(fingerprints(df, key, text))
+    nodes = checkpointed(prints.groupBy("bits").agg(F.min(key).alias("least")))
+    # a fingerprint is its own node, so those of null keys alone link and bridge like others
+    found = components(links(nodes.select("bits", F.col("bits").alias("node")))).withColumnRenamed("node", "bits")
+    first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "bits"))).alias("first")
+    firsts = found.join(nodes, "bits").groupBy("component").agg(first)
+    named = nodes.join(found.join(firsts, "component"), "bits", "left")
+    named = named.select("bits", F.coalesce("first.least", "least").alias("component_id"), F.coalesce("first.bits", "bits").alias("first_bits"))
+    return prints.join(named, "bits").select(key, "bits", "component_id", "first_bits")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, bits, component_id) of each row; component_id is the least key that links reach."""
-    prints = checkpointed(fingerprints(df, key, text))
-    nodes = checkpointed(prints.groupBy("bits").agg(F.min(key).alias("node")))
-    found = components(links(nodes.where(F.col("node").isNotNull())))
-    named = nodes.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "bits").select(key, "bits", "component_id")
+    return _grouped(df, key, text).select(key, "bits", "component_id")
+
+
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df` with one document of each group, that with the least key; rows with a null key stay."""
-    kept = near_duplicates(df, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    rows = df.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept"), "left_semi")
-    first = Window.partitionBy(key).orderBy(key)
-    once = rows.withColumn("__copy", F.row_number().over(first)).where(F.col("__copy") == 1).drop("__copy")
+    """The rows of `df` with one document of each group, that with the least key; rows with a null key stay.
+
+    A key that repeats with different texts may be kept once in each of several groups.
+    """
+    mine = F.when((F.col(key) == F.col("component_id")) & (F.col("bits") == F.col("first_bits")), F.col("bits"))
+    kept = _grouped(df, key, text).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__kept")).agg(F.collect_set(mine).alias("__wanted"), (F.min("bits") != F.max("bits")).alias("__several"))
+    rows = df.where(F.col(key).isNotNull()).join(kept.where(F.size("__wanted") > 0), F.col(key) == F.col("__kept"))
+    # only rows of keys with several fingerprints need theirs again
+    again = F.arrow_udf(_fingerprints, "long")(F.when(F.col("__several"), F.col(text)))
+    rows = rows.withColumn("__bits", F.when(F.col("__several"), again).otherwise(F.col("__wanted")[0])).where(F.array_contains("__wanted", F.col("__bits")))
+    first = Window.partitionBy(key, "__bits").orderBy(key)
+    once = rows.withColumn("__copy", F.row_number().over(first)).where(F.col("__copy") == 1).select(*[F.col(f"`{c}`") for c in df.columns])
     return once.unionByName(df.where(F.col(key).isNull()))
 
 

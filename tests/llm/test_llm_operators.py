@@ -417,6 +417,21 @@ def test_keep_one_on_hard_cases(spark, odd, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_fingerprints_of_null_ids_link_and_bridge(spark, monkeypatch):
+    prints = [(5, 0), (None, 3), (9, 15), (None, 255), (3, 1023), (None, 255 << 36), (None, 254 << 36), (7, 255 << 50), (7, 255 << 20)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, key, text: spark.createDataFrame(prints, "doc_id long, bits long"))
+    got = simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect()
+    want = plain_components([i for i, _ in prints], [b for _, b in prints])
+    assert want == [5, 5, 5, 3, 3, None, None, 7, 7]
+    assert sorted(map(repr, got)) == sorted(repr(type(got[0])(doc_id=i, bits=b, component_id=c)) for (i, b), c in zip(prints, want, strict=True))
+
+
+def test_texts_of_a_repeated_id_stay(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "one two three four five"), (5, "one two three four five"), (3, "red green blue black"), (6, "Red green blue black"), (6, "far off hills are green"), (5, "red green blue black")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(3, rows[3][1]), (5, rows[0][1]), (5, rows[1][1]), (6, rows[5][1])]
+
+
 # neighbours
 
 
