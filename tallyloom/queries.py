@@ -344,25 +344,30 @@ def q_correction_statistics(spark, d):
 # 2.9: resampling
 
 
-def q_bootstrap_ci(spark, d):
-    found = resampling.bootstrap_quantiles(scores(spark, d), ["benchmark_id"], ["model_id"], "score", 200)
+def q_bootstrap_ci(spark, d, draws=200):
+    found = resampling.bootstrap_quantiles(scores(spark, d), ["benchmark_id"], ["model_id"], "score", draws)
     return found.select("benchmark_id", _r("ci_lower"), _r("ci_upper"))
 
 
+def q_bootstrap_ci_all(spark, d):
+    """With all 2,000 draws; the SQL of `bootstrap_ci` names 200."""
+    return q_bootstrap_ci(spark, d, 2000)
+
+
 def q_bootstrap_agreement(spark, d):
-    found = resampling.resampled_agreement(scores_with_elo(spark, d), ["benchmark_id"], "model_id", "score", "elo", ["spearman"], 500)
+    found = resampling.resampled_agreement(scores_with_elo(spark, d), ["benchmark_id"], "model_id", "score", "elo")
     return found.select("benchmark_id", "statistic", "n", _r("value"), _r("ci_lower"), _r("ci_upper"))
 
 
 def q_permutation(spark, d):
     """All models in groups of 25 neighbouring ids, as p is given below 30 pairs only."""
     few = scores_with_elo(spark, d).withColumn("model_group", F.expr("model_id div 25"))
-    return resampling.resampled_agreement(few, ["benchmark_id", "model_group"], "model_id", "score", "elo", ["spearman"], 500).select("benchmark_id", "model_group", "n", _r("value"), _r("permutation_p"))
+    return resampling.resampled_agreement(few, ["benchmark_id", "model_group"], "model_id", "score", "elo").select("benchmark_id", "model_group", "statistic", "n", _r("value"), _r("permutation_p"))
 
 
 def q_monte_carlo(spark, d):
     rows = scores_with_elo(spark, d).withColumns({"score_sd": resampling.binomial_sd(F.col("score"), F.col("n_lines")), "elo_sd": resampling.interval_sd(F.col("elo") / 20)})
-    found = resampling.uncertainty(rows, ["benchmark_id"], "model_id", "score", "score_sd", "elo", "elo_sd", 1000)
+    found = resampling.uncertainty(rows, ["benchmark_id"], "model_id", "score", "score_sd", "elo", "elo_sd")
     return found.select("benchmark_id", "n", _r("simulated_rho"), _r("ci_lower"), _r("ci_upper"), _r("nonpositive_fraction"), "stable")
 
 

@@ -264,5 +264,23 @@ def test_permutation_takes_in_every_model(spark, small):
 
     d = small.replace("sf0.001", "sf0.01")
     groups = queries.QUERIES["permutation"](spark, d).collect()
-    assert sum(r.n for r in groups) == queries.scores_with_elo(spark, d).count()
+    assert sum(r.n for r in groups if r.statistic == "spearman") == queries.scores_with_elo(spark, d).count()
     assert all(r.permutation_p is not None and 0 < r.permutation_p <= 1 for r in groups)
+
+
+def test_registered_resamplers_take_every_draw_and_statistic(spark, small, monkeypatch):
+    from tallyloom import queries
+    from tallyloom.operators import resampling
+
+    asked = {}
+    for name, place, default in (("resampled_agreement", 5, ("spearman", "kendall")), ("uncertainty", 7, 10_000), ("bootstrap_quantiles", 4, None)):
+        f = getattr(resampling, name)
+        monkeypatch.setattr(resampling, name, lambda *a, f=f, name=name, place=place, default=default: asked.setdefault(name, []).append(a[place:] or default) or f(*a))
+    agreement = queries.QUERIES["bootstrap_agreement"](spark, small).collect()
+    permuted = queries.QUERIES["permutation"](spark, small).collect()
+    queries.QUERIES["monte_carlo"](spark, small)
+    queries.QUERIES["bootstrap_ci_all"](spark, small)
+    assert asked == {"resampled_agreement": [("spearman", "kendall")] * 2, "uncertainty": [10_000], "bootstrap_quantiles": [(2000,)]}
+    assert {r.statistic for r in agreement} == {r.statistic for r in permuted} == {"spearman", "kendall"}
+    # p counts draws in steps of 2 / 2001
+    assert all(abs(r.permutation_p * 2001 / 2 - round(r.permutation_p * 2001 / 2)) < 1e-4 or r.permutation_p == 1 for r in permuted if r.permutation_p is not None and r.permutation_p == r.permutation_p)
