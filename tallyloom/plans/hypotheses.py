@@ -77,7 +77,9 @@ def test_table(spark: SparkSession, features: DataFrame, order: str = "benchmark
     """A row for each of H1 to H5 and each metric; rows of `features` in the given order feed the resamplers."""
     chosen = features.withColumns({"log_questions": F.ln("question_count"), "complexity_rank": cleaning.complexity_rank(F.col("complexity")), "day": cleaning.day_number(F.col("release_date"))})
     names = ["log_questions", "complexity_rank", "day", "difficulty", "cv", *metrics]
-    rows = chosen.orderBy(order).select("benchmark_id", *[F.col(c).cast("double").alias(c) for c in names]).limit(MOST_ROWS).collect()
+    rows = chosen.orderBy(order).select("benchmark_id", *[F.col(c).cast("double").alias(c) for c in names]).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError("too many benchmarks for one table of tests")
     whole = {c: np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in names}
 
     def subset(needed: Sequence[str]) -> dict[str, np.ndarray]:

@@ -62,7 +62,10 @@ def write_json_document(df: DataFrame, key: str, path: str) -> None:
 
 
 def latex_table(df: DataFrame, columns: dict[str, str], caption: str, label: str, rows: int = 1000) -> str:
-    """A LaTeX table of formatted text columns; columns: name to heading."""
-    body = [" & ".join(str(r[c]) if r[c] is not None else "--" for c in columns) + r" \\" for r in df.select(*columns).limit(rows).collect()]
+    """A LaTeX table of formatted text columns; columns: name to heading; more than `rows` rows raise."""
+    found = df.select(*columns).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError("too many rows for one LaTeX table")
+    body = [" & ".join(str(r[c]) if r[c] is not None else "--" for c in columns) + r" \\" for r in found]
     head = " & ".join(columns.values()) + r" \\"
     return "\n".join([r"\begin{table}", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{'l' * len(columns)}}}", r"\toprule", head, r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}"])

@@ -284,3 +284,13 @@ def test_registered_resamplers_take_every_draw_and_statistic(spark, small, monke
     assert {r.statistic for r in agreement} == {r.statistic for r in permuted} == {"spearman", "kendall"}
     # p counts draws in steps of 2 / 2001
     assert all(abs(r.permutation_p * 2001 / 2 - round(r.permutation_p * 2001 / 2)) < 1e-4 or r.permutation_p == 1 for r in permuted if r.permutation_p is not None and r.permutation_p == r.permutation_p)
+
+
+def test_tables_raise_above_their_bounds(spark, monkeypatch):
+    with pytest.raises(ValueError, match="too many rows"):
+        sinks.latex_table(spark.range(1001), {"id": "n"}, "c", "l")
+    assert sinks.latex_table(spark.range(1000), {"id": "n"}, "c", "l").count(r" \\") == 1001
+    monkeypatch.setattr(hypotheses, "MOST_ROWS", 3)
+    text = spark.range(4).select(F.col("id").alias("benchmark_id"), F.lit(2.0).alias("question_count"), F.lit(None).cast("string").alias("complexity"), F.lit("2024-01-01").alias("release_date"), F.lit(1.0).alias("difficulty"), F.lit(1.0).alias("cv"), F.lit(1.0).alias("m"))
+    with pytest.raises(ValueError, match="too many benchmarks"):
+        hypotheses.test_table(spark, text, metrics=["m"])
