@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,15 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with reliable files in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session gets a folder of its own; on a cluster
+    it is an error, as no machine's own folder is seen by the others.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
-        context.setCheckpointDir(where)
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with reliable files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """The frame with a broadcast hint if it has at most `rows` rows, else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def fold(key: str | Column) -> Column:
     """The cross-validation remainder of a row: crc32 of its key as text, mod 4."""
     key = F.col(key) if isinstance(key, str) else key

@@ -1,18 +1,24 @@
 """Incremental secret scans over a content-addressed ledger of blobs.
 
 Every version of every document is a blob, named by the SHA-256 of its text.
-The ledger holds the (blob, rule version) pairs that have been scanned and
-their findings.  A run scans only the pairs that the ledger lacks, once each
-however many paths hold the blob, and joins the findings of all blobs back to
-all their paths.
+The ledger, a Parquet table, holds the (blob, rule version) pairs that have
+been scanned and their findings.  A run scans only the pairs that the ledger
+lacks, once each however many paths hold the blob, appends them, and joins the
+findings of all blobs back to all their paths.
 
-A necessary condition of all rules, evaluated in the scan of the table, sorts
-out blobs that cannot hold a secret: only the texts that are left are shuffled
-and matched.  Such a blob enters the ledger with no findings.
+1. `screened` reads the texts once: the blob of each row and a necessary
+   condition of all rules.  Only the texts that meet it, the suspects, are
+   kept; what they are narrows a table of 100 TB to a few per cent of it.
+2. `update_ledger` matches the suspects whose blob is unseen and appends them,
+   and all other unseen blobs without findings.
+3. `findings_by_path` joins the findings of one rule version to the suspects.
+
+A pair that was appended twice, by a run that was tried again, counts once.
 
 Rules: the kinds `assign`, `access` and `hex` of the contract, found leftmost
 and without overlap kind by kind, and two kinds that this operator adds, `pem`
-(headers of private keys) and `jwt` (three base64url parts).
+(headers of private keys) and `jwt` (three base64url parts, the first at the
+start of its run of base64url characters, so that a scan takes linear time).
 
 Cases: a null text counts as empty and has no findings, repeated rows each get
 the findings of their shared blob, an empty table gives an empty result, very
@@ -27,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_text, table
+from tallyloom.llm.common import checkpointed, map_text, new_folder, table
 
 #: Raised with every change of RULES, so that old ledger entries no longer count.
-RULE_VERSION = 1
+RULE_VERSION = 2
 
 # Kind, pattern, the group whose length counts, its least length.
 RULES = (
@@ -38,14 +44,16 @@ RULES = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 1),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 1),
 )
 BASE = ("assign", "access", "hex")
 #: What every finding contains, for Java's engine.
-SCREEN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |eyJ[A-Za-z0-9_-]+\.eyJ"
+SCREEN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |\.eyJ[A-Za-z0-9_-]"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 FINDINGS = f"blob binary, spans {SPANS}"
 LEDGER = f"blob binary, rule_version int, spans {SPANS}"
+#: Blobs with findings up to which `redact` broadcasts them, some 100 bytes each.
+FEW = 200_000
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -63,74 +71,93 @@ def blob_of(text: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """Findings of (blob, text) rows; blobs without any are left out."""
+    """(blob, spans) of (blob, text) rows; a null text has none."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(b, s) for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (s := find_secrets(t))]
-        spans = pa.array([[{"kind": k, "start": a, "end": e} for k, a, e in s] for _, s in rows], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.binary()), spans], ["blob", "spans"])
+        spans = [[{"kind": k, "start": a, "end": e} for k, a, e in find_secrets(t)] if t else [] for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["blob", "spans"])
 
     return map_text(blobs.select("blob", "text"), "text", FINDINGS, work)
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, spans) with findings, of the blobs in `versions` that the ledger lacks."""
-    suspects = versions.where(F.col(text).rlike(SCREEN)).select(blob_of(F.col(text)).alias("blob"), F.col(text).alias("text"))
+def screened(versions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, blob, suspect, text) of every row in a table of its own; text is null unless the row is a suspect."""
+    suspect = F.coalesce(F.col(text).rlike(SCREEN), F.lit(False))
+    rows = versions.select(F.col(key).alias(key), F.col(text).alias("__text"), blob_of(F.col(text)).alias("blob"), suspect.alias("suspect"))
+    return checkpointed(rows.select(key, "blob", "suspect", F.when(F.col("suspect"), F.col("__text")).alias("text")))
+
+
+def _empty() -> Column:
+    return F.from_json(F.lit("[]"), SPANS)
+
+
+def scan_unseen(rows: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Ledger rows (blob, rule_version, spans) of the blobs in screened `rows` whose pair with the rule version the ledger lacks."""
+    blobs = rows.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        suspects = suspects.join(seen, "blob", "left_anti")
-    blobs = suspects.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     return scan_blobs(blobs).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
-def findings_by_path(versions: DataFrame, findings: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, blob and spans (empty where none) of every row of `versions`.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at `path`, each pair once; an empty one if there is none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+
+
+def update_ledger(rows: DataFrame, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Append what the ledger at `path` lacks of the screened `rows` and return the whole ledger."""
+    spark = rows.sparkSession
+    scan_unseen(rows, read_ledger(spark, path), rule_version).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def findings_by_path(rows: DataFrame, ledger: DataFrame, key: str = "doc_id", rule_version: int = RULE_VERSION) -> DataFrame:
+    """key, blob and spans (empty where none) of every one of the screened `rows`.
 
     Copies of one blob may hold a third of the rows: only suspects are joined,
     and adaptive execution splits the partitions of a hot blob.
     """
-    rows = versions.select(F.col(key), blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text).rlike(SCREEN), F.lit(False)).alias("__suspect"))
-    none = F.from_json(F.lit("[]"), SPANS)
-    suspects = rows.where("__suspect").join(findings.select("blob", "spans"), "blob", "left")
-    return suspects.select(key, "blob", F.coalesce("spans", none).alias("spans")).unionByName(rows.where(~F.col("__suspect")).select(key, "blob", none.alias("spans")))
-
-
-def update_ledger(versions: DataFrame, path: str, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """Scan what the Parquet ledger at `path` lacks, append it, blobs without findings included, and return the whole ledger."""
-    spark = versions.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    old = spark.read.schema(LEDGER).parquet(path) if exists else None
-    fresh = versions.select(blob_of(F.col(text)).alias("blob")).distinct()
-    if old is not None:
-        fresh = fresh.join(old.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    found = scan_unseen(versions, old, text, rule_version)
-    rows = fresh.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", F.from_json(F.lit("[]"), SPANS)).alias("spans"))
-    rows.write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER).parquet(path)
-
-
-def redact(versions: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with each finding's span replaced by [secret:kind]; overlapping spans become one.
-
-    Rows that the screen clears pass by without a shuffle.
+    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    suspects = rows.where("suspect").join(found, "blob", "left")
+    return suspects.select(key, "blob", F.coalesce("spans", _empty()).alias("spans")).unionByName(rows.where(~F.col("suspect")).select(key, "blob", _empty().alias("spans")))
+
+
+def scan(versions: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The screened rows and the ledger after they were entered."""
+    rows = screened(versions, key, text)
+    return rows, update_ledger(rows, path)
+
+
+def redact(versions: DataFrame, ledger: DataFrame, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
+    """The rows with each finding's span replaced by [redacted:kind]; overlapping spans become one.
+
+    While the blobs with findings are few they are broadcast and no text is
+    moved; beyond FEW the texts that pass the screen are shuffled to them.
     """
     columns = versions.columns
-    marked = versions.withColumn("__suspect", F.coalesce(F.col(text).rlike(SCREEN), F.lit(False)))
-    suspects = marked.where("__suspect").withColumn("__blob", blob_of(F.col(text))).join(findings.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    few = found.limit(FEW + 1).count() <= FEW
     tail = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     piece = lambda a, s: F.when(
         s["end"] <= a["at"], a
     ).otherwise(
         F.struct(
-            F.concat(a["out"], F.when(s["start"] < a["at"], F.lit("")).otherwise(F.concat(F.col(text).substr(a["at"] + 1, s["start"] - a["at"]), F.lit("[secret:"), s["kind"], F.lit("]")))).alias("out"),
+            F.concat(a["out"], F.when(s["start"] < a["at"], F.lit("")).otherwise(F.concat(F.col(text).substr(a["at"] + 1, s["start"] - a["at"]), F.lit("[redacted:"), s["kind"], F.lit("]")))).alias("out"),
             s["end"].alias("at"),
         )
     )
     rest = lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text)))
     clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.aggregate("__spans", tail, piece, rest))
-    return suspects.withColumn(text, clean).select(*columns).unionByName(marked.where(~F.col("__suspect")).select(*columns))
+    kept = [F.col(f"`{c}`") for c in columns]
+    if few:
+        return versions.withColumn("__blob", blob_of(F.col(text))).join(F.broadcast(found), "__blob", "left").withColumn(text, clean).select(*kept)
+    marked = versions.withColumn("__suspect", F.coalesce(F.col(text).rlike(SCREEN), F.lit(False)))
+    suspects = marked.where("__suspect").withColumn("__blob", blob_of(F.col(text))).join(found, "__blob", "left")
+    return suspects.withColumn(text, clean).select(*kept).unionByName(marked.where(~F.col("__suspect")).select(*kept))
 
 
 def _joined(spans: Column) -> Column:
@@ -142,8 +169,11 @@ def _is(kind: str):
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    found = findings_by_path(documents, scan_unseen(documents))
+    """The documents come in two deliveries, by a hash of their id: the second scans only what the ledger of the first lacks."""
+    rows, path = screened(table(spark, sf_dir, "documents")), new_folder(spark, "secret-ledger")
+    delivery = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0))
+    update_ledger(rows.where(delivery == 0), path)
+    found = findings_by_path(rows, update_ledger(rows.where(delivery == 1), path))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
@@ -160,7 +190,7 @@ ORACLES = {
     "op7_secrets": rf"""
 WITH RECURSIVE rules(k, kind, pat, grp, least) AS (
   VALUES (0, 'assign', '{_ASSIGN_SQL.replace("'", "''").replace(chr(92) * 2, chr(92))}', 2, 6), (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]{{24,}}', 0, 24),
-    (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1), (4, 'jwt', 'eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+', 0, 1)
+    (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1), (4, 'jwt', '(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+)', 1, 1)
 ), texts AS (
   SELECT DISTINCT coalesce(text, '') AS text FROM documents
 ), found AS (
@@ -168,13 +198,14 @@ WITH RECURSIVE rules(k, kind, pat, grp, least) AS (
   UNION ALL SELECT text, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+') AS ms, ms FROM texts
   UNION ALL SELECT text, 2, regexp_extract_all(text, '[0-9a-f]{{24,}}') AS ms, ms FROM texts
   UNION ALL SELECT text, 3, regexp_extract_all(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS ms, ms FROM texts
-  UNION ALL SELECT text, 4, regexp_extract_all(text, 'eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+') AS ms, ms FROM texts
+  UNION ALL SELECT text, 4, regexp_extract_all(text, (SELECT pat FROM rules WHERE k = 4)) AS ms, regexp_extract_all(text, (SELECT pat FROM rules WHERE k = 4), 1) AS gs FROM texts
 ), placed AS (
   SELECT text, k, ms, gs, 0 AS i, 0 AS a, 0 AS e FROM found WHERE len(ms) > 0
   UNION ALL
   SELECT text, k, ms, gs, i + 1, e + strpos(substr(text, e + 1), ms[i + 1]) - 1, e + strpos(substr(text, e + 1), ms[i + 1]) - 1 + length(ms[i + 1]) FROM placed WHERE i < len(ms)
 ), spans AS (
-  SELECT text, k, kind, a, kind || ':' || a || ':' || e AS span FROM placed JOIN rules USING (k) WHERE i > 0 AND length(gs[i]) >= least
+  SELECT text, k, kind, b AS a, kind || ':' || b || ':' || e AS span
+  FROM (SELECT *, CASE WHEN k = 4 THEN e - length(gs[i]) ELSE a END AS b FROM placed WHERE i > 0) JOIN rules USING (k) WHERE length(gs[i]) >= least
 ), joined AS (
   SELECT text, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
     string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM spans GROUP BY text

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -310,34 +311,68 @@ def plain_secrets(text):
 SECRET_TEXTS = ["PassWord = 'hunter22' and é token:abc", "secret: token: abcdefgh", "AKIA" + "A" * 16 + " AKIAshort", "x" + "0a" * 15 + "g", "api_key=abcdefapikey: 123456", "🎉 passwd=========", "ſecret: abcdefg", "-----BEGIN RSA PRIVATE KEY-----", "eyJabc.eyJdef.sig", "toKen=deadbeefdeadbeefdeadbeefdead"]
 
 
-def test_secrets_equal_brute_force(spark):
+def test_secrets_equal_brute_force(spark, tmp_path):
     documents = spark.createDataFrame([*enumerate(SECRET_TEXTS), (50, None), (51, ""), (52, SECRET_TEXTS[0]), (None, SECRET_TEXTS[2])], "doc_id long, text string")
-    for found in secrets.findings_by_path(documents, secrets.scan_unseen(documents)).collect():
+    rows, ledger = secrets.scan(documents, str(tmp_path / "ledger"))
+    got = secrets.findings_by_path(rows, ledger).collect()
+    assert len(got) == len(SECRET_TEXTS) + 4
+    for found in got:
         spans = [f"{s.kind}:{s.start}:{s.end}" for s in found.spans if s.kind in secrets.BASE]
         text = SECRET_TEXTS[2] if found.doc_id is None else dict([*enumerate(SECRET_TEXTS), (52, SECRET_TEXTS[0])]).get(found.doc_id, "")
         assert spans == plain_secrets(text)
 
 
-def test_the_ledger_scans_only_what_it_lacks(spark, tmp_path):
+def test_the_ledger_scans_only_what_it_lacks(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "ledger")
     first = spark.createDataFrame([(1, SECRET_TEXTS[0]), (2, "clean")], "doc_id long, text string")
-    assert secrets.update_ledger(first, path).count() == 2
-    more = spark.createDataFrame([(1, SECRET_TEXTS[0]), (3, SECRET_TEXTS[2]), (4, SECRET_TEXTS[2])], "doc_id long, text string")
-    ledger = spark.read.schema(secrets.LEDGER).parquet(path)
-    assert secrets.scan_unseen(more, ledger).count() == 1
+    assert secrets.scan(first, path)[1].count() == 2
+    more = secrets.screened(spark.createDataFrame([(1, SECRET_TEXTS[0]), (3, SECRET_TEXTS[2]), (4, SECRET_TEXTS[2]), (5, "clean")], "doc_id long, text string"))
+    assert secrets.scan_unseen(more, secrets.read_ledger(spark, path)).count() == 1
     whole = secrets.update_ledger(more, path)
-    assert whole.count() == 3
+    assert whole.count() == 3 and spark.read.parquet(path).count() == 3
     by_path = {r.doc_id: len(r.spans) for r in secrets.findings_by_path(more, whole).collect()}
-    assert by_path == {1: 1, 3: 1, 4: 1}
-    assert secrets.scan_unseen(more, whole, rule_version=2).count() == 2
-
-
-def test_redaction_cuts_every_span(spark, odd):
+    assert by_path == {1: 1, 3: 1, 4: 1, 5: 0}
+    # a further rule version scans all again and its findings alone count
+    again = secrets.update_ledger(more, path, rule_version=secrets.RULE_VERSION + 1)
+    assert again.count() == 6
+    for version in (secrets.RULE_VERSION, secrets.RULE_VERSION + 1):
+        assert {r.doc_id: len(r.spans) for r in secrets.findings_by_path(more, again, rule_version=version).collect()} == by_path
+        assert secrets.findings_by_path(more, again, rule_version=version).count() == 4
+    assert secrets.redact(first, again).count() == 2
+    # an append that was tried again doubles the rows of the table, not the pairs
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}-2")
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}-2")
+    doubled = secrets.read_ledger(spark, f"{path}-2")
+    assert doubled.count() == 6 and secrets.findings_by_path(more, doubled).count() == 4
+
+
+def test_secrets_on_hard_cases(spark, odd, empty, tmp_path):
+    rows, ledger = secrets.scan(odd, str(tmp_path / "odd"))
+    assert ledger.count() == len({t or "" for _, t, _, _ in ODD})
+    assert secrets.findings_by_path(rows, ledger).count() == len(ODD)
+    rows, ledger = secrets.scan(empty, str(tmp_path / "empty"))
+    assert ledger.count() == 0 and secrets.findings_by_path(rows, ledger).count() == 0
+    assert secrets.redact(empty, ledger).count() == 0
+
+
+def test_scans_take_linear_time(spark, tmp_path):
+    hostile = ["eyJ" * 350_000, "eyJa.eyJ" * 130_000, "-----BEGIN " * 90_000, "token " * 170_000, "token" + " " * 1_000_000, "0a" * 11 + "g", "AKIA" * 250_000, ("eyJa" * 5 + ".") * 50_000]
+    documents = spark.createDataFrame(list(enumerate(hostile)), "doc_id long, text string")
+    begin = time.perf_counter()
+    rows, ledger = secrets.scan(documents, str(tmp_path / "ledger"))
+    assert secrets.findings_by_path(rows, ledger).count() == len(hostile)
+    assert time.perf_counter() - begin < 30
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_redaction_cuts_every_span(spark, odd, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(secrets, "FEW", few)
     documents = spark.createDataFrame([*enumerate(SECRET_TEXTS), (50, None)], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in secrets.redact(documents, secrets.scan_unseen(documents)).collect()}
-    assert got[0] == "[secret:assign]' and é token:abc" and got[50] is None and got[2] == "[secret:access] AKIAshort"
-    assert got[9] == "[secret:assign]"
-    assert len(secrets.redact(odd, secrets.scan_unseen(odd)).collect()) == len(ODD)
+    got = {r.doc_id: r.text for r in secrets.redact(documents, secrets.scan(documents, str(tmp_path / "a"))[1]).collect()}
+    assert got[0] == "[redacted:assign]' and é token:abc" and got[50] is None and got[2] == "[redacted:access] AKIAshort"
+    assert got[9] == "[redacted:assign]"
+    clean = secrets.redact(odd, secrets.scan(odd, str(tmp_path / "b"))[1])
+    assert clean.count() == len(ODD) and clean.columns == odd.columns
 
 
 # quality
