@@ -8,7 +8,8 @@ the last return the columns of `documents`.
 2. near_duplicates: of each group of SimHash links one document stays, that
    with the least id.
 3. decontaminate: documents that align with a benchmark item go.
-4. secrets: findings are replaced by [secret:kind] and n_chars counted anew.
+4. secrets: the blobs enter a ledger in the shared folder; its findings are
+   replaced by [redacted:kind] and n_chars counted anew.
 5. bpe: doc_id, ids and the digests of ids and of the decoded text.
 
 Cases: nulls, empty and very long texts, ties, repeated rows, empty tables and
@@ -18,14 +19,11 @@ secrets as null and is encoded as empty.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, decontaminate, quality, secrets, simhash
-from tallyloom.llm.common import table
+from tallyloom.llm.common import new_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +39,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact(docs, secrets.scan_unseen(docs))
+    _, ledger = secrets.scan(docs, new_folder(spark, "secret-ledger"))
+    clean = secrets.redact(docs, ledger)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -59,15 +58,9 @@ STAGES = [
 ]
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: one under spark.checkpoint.dir, or a temporary one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{named or tempfile.mkdtemp(prefix='tallyloom-pipeline-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, writing and rereading what each returns."""
-    docs, folder = table(spark, sf_dir, "documents"), _shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
