@@ -39,6 +39,8 @@ WORDS, SEED, RADIUS = 3, 42, 2
 SEGMENTS = (22, 21, 21)
 #: Shingles of a text that are hashed at once.
 SHINGLES = 1 << 18
+#: Keys up to which `keep_one` broadcasts those that go, 8 bytes each in a set of some tens of MB.
+FEW = 500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -107,8 +109,10 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bits, component_id, first_bits) of each row; first_bits is the fingerprint of the component's document to keep."""
     prints = checkpointed(fingerprints(df, key, text))
     nodes = checkpointed(prints.groupBy("bits").agg(F.min(key).alias("least")))
-    # a fingerprint is its own node, so those of null keys alone link and bridge like others
-    found = components(links(nodes.select("bits", F.col("bits").alias("node")))).withColumnRenamed("node", "bits")
+    # a fingerprint is its own node, so those of null keys alone link and bridge like others; each gives some 35 keys, so
+    # the few and small partitions that adaptive execution made are dealt anew first
+    dealt = nodes.select("bits", F.col("bits").alias("node")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bits")
+    found = components(links(dealt)).withColumnRenamed("node", "bits")
     first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "bits"))).alias("first")
     firsts = found.join(nodes, "bits").groupBy("component").agg(first)
     named = nodes.join(found.join(firsts, "component"), "bits", "left")
@@ -128,17 +132,29 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df` with one document of each group, that with the least key; rows with a null key stay.
 
-    A key that repeats with different texts may be kept once in each of several groups.
+    A key that repeats with different texts may be kept once in each of several
+    groups; of rows with the same key and fingerprint the one with the least
+    text stays.
+
+    Rows of keys that occur once need no more than to know whether they go.
+    While the keys that go or repeat are FEW at most they are broadcast, and
+    only rows of repeated keys are shuffled; beyond that the rows are shuffled
+    to them once.
     """
-    mine = F.when((F.col(key) == F.col("component_id")) & (F.col("bits") == F.col("first_bits")), F.col("bits"))
-    kept = _grouped(df, key, text).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__kept")).agg(F.collect_set(mine).alias("__wanted"), (F.min("bits") != F.max("bits")).alias("__several"))
-    rows = df.where(F.col(key).isNotNull()).join(kept.where(F.size("__wanted") > 0), F.col(key) == F.col("__kept"))
-    # only rows of keys with several fingerprints need theirs again
-    again = F.arrow_udf(_fingerprints, "long")(F.when(F.col("__several"), F.col(text)))
-    rows = rows.withColumn("__bits", F.when(F.col("__several"), again).otherwise(F.col("__wanted")[0])).where(F.array_contains("__wanted", F.col("__bits")))
-    first = Window.partitionBy(key, "__bits").orderBy(key)
-    once = rows.withColumn("__copy", F.row_number().over(first)).where(F.col("__copy") == 1).select(*[F.col(f"`{c}`") for c in df.columns])
-    return once.unionByName(df.where(F.col(key).isNull()))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    grouped = checkpointed(_grouped(df, key, text).where(F.col(key).isNotNull()))
+    wanted = grouped.where((F.col(key) == F.col("component_id")) & (F.col("bits") == F.col("first_bits"))).select(F.col(key).alias("__kept"), F.col("bits").alias("__bits")).distinct()
+    every = grouped.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"), F.bool_or((F.col(key) == F.col("component_id")) & (F.col("bits") == F.col("first_bits"))).alias("__some"))
+    moved = checkpointed(every.where(~F.col("__some") | (F.col("__rows") > 1)))
+    lost, repeats = moved.select("__key"), moved.where("__some").select("__key")
+    if moved.limit(FEW + 1).count() <= FEW:
+        lost, repeats = F.broadcast(lost), F.broadcast(repeats)
+    here = F.col(key) == F.col("__key")
+    again = df.join(repeats, here, "left_semi").withColumn("__print", F.arrow_udf(_fingerprints, "long")(F.col(text)))
+    again = again.join(wanted, (F.col(key) == F.col("__kept")) & (F.col("__print") == F.col("__bits")), "left_semi")
+    first = Window.partitionBy(key, "__print").orderBy(F.col(text))
+    once = again.withColumn("__copy", F.row_number().over(first)).where(F.col("__copy") == 1)
+    return df.join(lost, here, "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +162,71 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-ORACLES: dict[str, str] = {}
+# The primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxh64_sql() -> str:
+    """CTEs from shingles(s) to hashed(s, h): XXH64 with 128-bit arithmetic, lists of 8-byte lanes, and one step a SELECT."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in _PRIMES)
+    wide = "18446744073709551616::UHUGEINT"
+    mul = lambda a, b: f"(({a}) * {b} % {wide})"
+    rotated = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {wide} + ({x}) // {1 << 64 - r}::UHUGEINT)"
+    reduced = lambda first, values, step: f"list_reduce(list_prepend({first}, {values}), lambda v, k: {step})"
+    lane = "('0x' || " + " || ".join(f"x[2 * i + {2 * b + 1}:2 * i + {2 * b + 2}]" for b in reversed(range(8))) + ")::UBIGINT::UHUGEINT"
+    seeds = [f"{(SEED + d) % (1 << 64)}::UHUGEINT" for d in (_PRIMES[0] + _PRIMES[1], _PRIMES[1], 0, -_PRIMES[0])]
+    turn = mul(rotated(f"(v + k) % {wide}", 31), p1)
+    stripes = ", ".join(reduced(seed, f"list_transform(range({8 * q}, n // 32 * 32, 32), lambda i: {mul(lane, p2)})", turn) + f" AS v{q}" for q, seed in enumerate(seeds))
+    merged = reduced(
+        f"({rotated('v0', 1)} + {rotated('v1', 7)} + {rotated('v2', 12)} + {rotated('v3', 18)}) % {wide}",
+        "list_transform(list_transform([v0, v1, v2, v3], lambda v: " + mul("v", p2) + "), lambda v: " + mul(rotated("v", 31), p1) + ")",
+        f"({mul('xor(v, k)', p1)} + {p4}) % {wide}",
+    )
+    four = "('0x' || " + " || ".join(f"x[2 * o + {2 * b + 1}:2 * o + {2 * b + 2}]" for b in reversed(range(4))) + ")::UBIGINT::UHUGEINT"
+    eights = f"list_transform(list_transform(range(n // 32 * 32, n // 8 * 8, 8), lambda i: {mul(lane, p2)}), lambda v: {mul(rotated('v', 31), p1)})"
+    return f"""bytes AS (
+  SELECT s, hex(encode(s)) AS x, octet_length(encode(s))::BIGINT AS n FROM shingles
+), stripes AS (
+  SELECT *, {stripes} FROM bytes
+), started AS (
+  SELECT s, x, n, ((CASE WHEN n >= 32 THEN {merged} ELSE {(SEED + _PRIMES[4]) % (1 << 64)}::UHUGEINT END) + n::UHUGEINT) % {wide} AS h FROM stripes
+), eights AS (
+  SELECT s, x, n, n // 8 * 8 AS o, {reduced("h", eights, f"({mul(rotated('xor(v, k)', 27), p1)} + {p4}) % {wide}")} AS h FROM started
+), fours AS (
+  SELECT s, x, n, n // 4 * 4 AS o, CASE WHEN n % 8 >= 4 THEN xor(h, {mul(four, p1)}) END AS f, h FROM eights
+), ones AS (
+  SELECT s, {reduced(f"CASE WHEN f IS NULL THEN h ELSE ({mul(rotated('f', 23), p2)} + {p3}) % {wide} END", f"list_transform(range(o, n), lambda i: {mul("('0x' || x[2 * i + 1:2 * i + 2])::UBIGINT::UHUGEINT", p5)})", mul(rotated("xor(v, k)", 11), p1))} AS h FROM fours
+), mixed AS (
+  SELECT s, {mul("xor(h, h // 8589934592::UHUGEINT)", p2)} AS h FROM ones
+), again AS (
+  SELECT s, {mul("xor(h, h // 536870912::UHUGEINT)", p3)} AS h FROM mixed
+), hashed AS (
+  SELECT s, xor(h, h // 4294967296::UHUGEINT)::UBIGINT AS h FROM again
+)"""
+
+
+ORACLES = {
+    "op9_simhash": rf"""
+WITH RECURSIVE texts AS (
+  SELECT DISTINCT text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), held AS (
+  SELECT text, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM texts
+), shingles AS (
+  SELECT DISTINCT s FROM held
+), {_xxh64_sql()}, prints AS (
+  SELECT text, ({" + ".join(f"(2 * sum((h >> {b}) & 1) > count(*))::UHUGEINT * {1 << b}::UHUGEINT" for b in range(64))})::UBIGINT AS bits FROM held JOIN hashed USING (s) GROUP BY text
+), docs AS (
+  SELECT doc_id, coalesce(bits, 0::UBIGINT) AS bits FROM documents d LEFT JOIN prints p ON d.text IS NOT DISTINCT FROM p.text
+), nodes AS (
+  SELECT bits, min(doc_id) AS least FROM docs GROUP BY bits
+), links AS (
+  SELECT a.bits AS a, b.bits AS b FROM nodes a JOIN nodes b ON a.bits <> b.bits AND bit_count(xor(a.bits, b.bits)::BIT) <= 2
+), reached(a, b) AS (
+  SELECT bits, bits FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), named AS (
+  SELECT a, min(least) AS component_id FROM reached JOIN nodes ON b = bits GROUP BY a
+)
+SELECT doc_id, lower(lpad(hex(bits), 16, '0')) AS fingerprint, component_id FROM docs JOIN named ON bits = a""",
+}
 QUERIES = {"op9_simhash": op9_simhash}
