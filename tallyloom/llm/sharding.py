@@ -9,7 +9,8 @@ moves rows only to or from that shard.
 Cases: a null key counts as the text "null key" (its rows share a shard), a
 null text has no bytes and the CRC of an empty text, repeated keys share a
 shard and get different slots, an empty table gives an empty result, extra
-columns are ignored.
+columns are ignored or kept; a column of the caller's that has the name of a
+result is kept as that name followed by "_in".
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str =
     """Add column `out`, the shard 0..len(weights)-1 of each row, and `grown`, its shard once a further one exists."""
     if not weights or any(not w > 0 for w in [*weights, grown_weight]):
         raise ValueError("every shard needs a weight above zero")
+    for name in {out, grown} & {*df.columns}:
+        df, key = df.withColumnRenamed(name, f"{name}_in"), f"{name}_in" if key == name else key
     text = F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY))
     best = df.withColumn("__bid", _winner(text, range(len(weights)), weights))
     best = best.withColumn(out, (-F.col("__bid.minus")).cast("int"))
@@ -52,21 +55,26 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str =
 
 
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps.
+    """Add column `out`: the rows of each shard numbered from 0 without gaps; `order` has to tell unequal rows apart.
 
-    A shard is dealt over 256 parts by two digest digits of its key, order[0],
-    and each part is sorted by itself; the counts of the parts (256 rows a
-    shard) give each part its offset, so no task sorts a whole shard.
+    Equal rows are counted before the shuffle and told apart after it, so a
+    row that repeats a million times is one row on the way.  A shard is dealt
+    over 256 parts by two digest digits of the columns in `order`, and each
+    part is sorted by itself; the counts of the parts (256 rows a shard, fit
+    for a broadcast) give each part its offset, so no task sorts a shard.
     """
-    key = F.coalesce(F.col(order[0]).cast("string"), F.lit(NULL_KEY))
-    parts = df.withColumn("__part", F.substring(F.md5(F.concat(key, F.lit("/slot")).cast("binary")), 1, 2))
-    counts = parts.groupBy(shard, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(shard).alias("__shard"), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy(shard, "__part").orderBy(*order)
-    numbered = parts.withColumn("__row", F.row_number().over(within))
-    joined = numbered.join(offsets, (F.col(shard) == F.col("__shard")) & (F.col("__part") == F.col("__p")))
-    return joined.withColumn(out, (F.col("__offset") + F.col("__row") - 1).cast("long")).drop("__part", "__row", "__shard", "__p", "__offset", "__n")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    text = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY)) for c in order], F.lit("slot"))
+    part = F.substring(F.md5(text.cast("binary")), 1, 2)
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__part", part)
+    counts = counted.groupBy(F.col(shard).alias("__shard"), F.col("__part").alias("__p")).agg(F.sum("__n").alias("__size"))
+    before = Window.partitionBy("__shard").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__shard", "__p", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy(shard, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("__first", F.coalesce(F.sum("__n").over(within), F.lit(0)))
+    joined = numbered.join(F.broadcast(offsets), (F.col(shard) == F.col("__shard")) & (F.col("__part") == F.col("__p")))
+    start = (F.col("__offset") + F.col("__first")).cast("long")
+    return joined.select(*columns, F.explode(F.sequence(start, start + F.col("__n") - 1)).alias(out))
 
 
 def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str) -> None:
@@ -78,7 +86,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
     dealt = assign_shards(rows, "doc_id", [1.0] * 40, grown="grown_shard")
-    numbered = number_slots(dealt, "shard", ["doc_id", "text_crc32", "size"])
+    numbered = number_slots(dealt, "shard", ["doc_id", "text_crc32", "size"])  # these columns decide the others
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -106,7 +114,7 @@ WITH crc AS (
   FROM docs d JOIN sums USING (text) JOIN won USING (k)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(doc_id::VARCHAR, 'null key') || '/slot'), 1, 2), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(doc_id::VARCHAR, 'null key') || '/' || text_crc32 || '/' || size || '/slot'), 1, 2), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
   grown_shard FROM dealt""",
 }
 QUERIES = {"op1_sharding": op1_sharding}

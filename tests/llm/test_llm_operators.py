@@ -60,11 +60,17 @@ def test_weights_set_the_share_of_a_shard(spark):
         sharding.assign_shards(spark.range(1), "id", [1.0, 0.0])
 
 
-def test_slots_have_no_gaps(spark, odd):
-    dealt = sharding.number_slots(sharding.assign_shards(odd, "doc_id", [1.0] * 3), "shard", ["doc_id", "text"]).toPandas()
+def test_slots_have_no_gaps(spark, odd, empty):
+    placed = sharding.assign_shards(odd, "doc_id", [1.0] * 3)
+    assert {"shard", "shard_in"} < set(placed.columns) and {r.shard_in for r in placed.collect()} == {3}
+    dealt = sharding.number_slots(placed, "shard", ["doc_id", "text"]).toPandas()
     assert len(dealt) == len(ODD)
     for _, g in dealt.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    assert sharding.number_slots(sharding.assign_shards(empty, "doc_id", [1.0] * 3), "shard", ["doc_id"]).count() == 0
+    hot = spark.range(5000).selectExpr("cast(if(id % 3 = 0, null, id % 7) as long) as k", "id % 2 as t")
+    got = sharding.number_slots(sharding.assign_shards(hot, "k", [1.0] * 4), "shard", ["k", "t"]).toPandas()
+    assert len(got) == 5000 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
 # decontamination
