@@ -3,30 +3,34 @@
 A window is WIDTH consecutive words of one document; a window goes if its
 words also start in a document with a smaller id.  Windows are dealt to shards
 by their content, not by their document, so equal windows meet in one shard
-and every window is looked up in one index only, however many shards there
-are: the anchor of a window is the least of the hashes of its runs of
-ANCHOR words, and consecutive windows with the same anchor travel as one
-segment of at most 2 * WIDTH - ANCHOR words.
+and every window is looked up in one shard only, however many there are: the
+anchor of a window is the least of the hashes of its runs of ANCHOR words, and
+consecutive windows with the same anchor travel as one segment of at most
+2 * WIDTH - ANCHOR words.
 
-1. Buckets of documents (by a hash of the id) send each shard its anchors.
+1. Buckets of documents (by a hash of id and text) send each shard its anchors.
 2. A shard answers which anchors at least two documents have; windows with
    any other anchor are unique, and only segments with a shared one go on.
-3. Buckets send each such segment once, with the least id that has it.
-4. A shard builds an FM-index over its segments and streams the segments
-   through it: matching statistics by backward search over the wavelet tree
-   tell where WIDTH words match, and the least id over the interval decides
-   whether a smaller document has them.  One bit a window goes back.
+3. Buckets send each such segment once, as words, with the least id that has it.
+4. A shard cuts its segments, in order of their ids, into LAYERS layers, and
+   each layer's index holds that layer alone.  The windows of a layer are
+   streamed through the indexes of the smaller ids, one after another:
+   matching statistics by backward search over the wavelet tree tell how far
+   a window matches, and an interval of the whole width with a smaller id ends
+   its search.  What is left goes through its own layer's index, where the
+   least id over its interval decides.  One bit a window goes back.
 5. Buckets put the bits together and cut the words out.
 
 A passage that a third of all documents share is sent at most once a bucket,
 whatever the number of copies.  Buckets and shards hold BUCKET_BYTES and
 SHARD_BYTES of text, so their number follows the input.
 
-Words are compared by 64-bit hashes.  Cases: null and empty texts have no
-words and null ids take no part: nothing is removed from their rows, and they
-remove nothing; rows that repeat an id don't remove from one another; equal
-rows of different ids leave the least; very long texts are one document like
-any other; an empty table gives an empty result; extra columns are ignored.
+Hashes only choose shards and sort; words, segments and windows are compared
+by content.  Cases: null and empty texts have no words and null ids take no
+part: nothing is removed from their rows, and they remove nothing; rows that
+repeat an id don't remove from one another; equal rows of different ids leave
+the least; very long texts are one document like any other; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import map_text, table
 from tallyloom.llm.fm_index import FMIndex
 
 WIDTH, ANCHOR = 13, 7
 BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+#: Indexes of a shard, and windows searched at once.
+LAYERS, SEARCHED = 4, 1 << 18
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -63,29 +69,69 @@ def _runs(h: np.ndarray, width: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, where each begins in the stable order, and that order."""
+def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key begins in the stable order of the keys, and that order."""
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
     begins = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return sorted_keys[begins], begins, order
+    return begins, order
+
+
+def _segment_keys(run: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A hash of each segment, of the hashes `run` of its first and last window and its length."""
+    return _mixed(run[first] * _FACTOR + run[first + windows - 1] * _MIX + windows.astype(np.uint64))
+
+
+def _groups(keys: np.ndarray, values: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of equal content: the group of each, and the groups as (begins, order) of a sort.
+
+    values: the words' numbers; first, lengths: of each segment.  Keys bring
+    equal segments together; their words then confirm it, and where a key
+    stands for several contents its segments are sorted by content.
+    """
+    begins, order = _in_order(keys)
+    sizes = np.diff(np.append(begins, len(keys)))
+    head = np.repeat(order[begins], sizes)  # of each place in the order, the first segment of its key
+    same = lengths[order] == lengths[head]
+    checked = np.flatnonzero(same & (order != head))
+    for i in range(0, len(checked), SEARCHED):
+        at = checked[i : i + SEARCHED]
+        n = lengths[order[at]]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        equal = values[np.repeat(first[order[at]], n) + step] == values[np.repeat(first[head[at]], n) + step]
+        same[at] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    if not same.all():  # two contents with one key
+        spoilt = np.repeat(np.logical_or.reduceat(~same, begins), sizes)
+        fresh = np.zeros(len(keys), bool)
+        fresh[begins] = True
+        places = np.flatnonzero(spoilt)
+        content = [(int(b), values[first[s] : first[s] + lengths[s]].tobytes(), int(s)) for s, b in zip(order[places], np.repeat(np.arange(len(begins)), sizes)[places], strict=True)]
+        content.sort()
+        order[places] = [s for _, _, s in content]
+        fresh[places] = [i == 0 or content[i][:2] != content[i - 1][:2] for i in range(len(content))]
+        begins = np.flatnonzero(fresh)
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(keys))))
+    return group, begins, order
 
 
 class Bucket:
     """The words and segments of a bucket's documents."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], shards: int):
+    def __init__(self, ids: list[int], texts: list[str | None], shards: int):
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.counts = np.array([len(w) for w in self.words], np.int64)
-        flat = list(itertools.chain.from_iterable(self.words))
-        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+        flat = itertools.chain.from_iterable(self.words)
+        numbers: dict[bytes, int] = {}
+        #: Each word's number in the bucket's dictionary, and the hash of it.
+        self.value = np.fromiter((numbers.setdefault(w, len(numbers)) for w in flat), np.int64, int(self.counts.sum()))
+        self.dictionary = np.array(list(numbers), object)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[self.value]
         self.ends = np.cumsum(self.counts)
-        #: What a null id holds stays out of the comparison.
-        self.known = np.array([i is not None for i in ids], bool)
-        doc_ids = np.array([0 if i is None else i for i in ids], np.int64)
+        doc_ids = np.array(ids, np.int64)
         document = np.repeat(np.arange(len(ids)), self.counts)
-        room = self.ends[document] - np.arange(len(flat))
-        starts = np.flatnonzero((room >= WIDTH) & self.known[document])
+        room = self.ends[document] - np.arange(len(self.value))
+        starts = np.flatnonzero(room >= WIDTH)
         anchors = _runs(self.hash, ANCHOR)
         least, place = anchors[starts], starts.copy()
         for k in range(1, WIDTH - ANCHOR + 1):
@@ -131,11 +177,8 @@ class Bucket:
             flags[a:b] = bits[: b - a]
         self.kept = np.flatnonzero(flags[self.anchor_of]) if len(self.first) else np.zeros(0, np.int64)
         first, windows = self.first[self.kept], self.windows[self.kept]
-        run = _runs(self.hash, WIDTH)
-        key = _mixed(run[first] * _FACTOR + run[first + windows - 1] * _MIX + windows.astype(np.uint64))
-        _, begins, order = _in_order(key)
-        group = np.empty(len(key), np.int64)
-        group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+        keys = _segment_keys(_runs(self.hash, WIDTH), first, windows)
+        group, begins, order = _groups(keys, self.value, first, windows + WIDTH - 1)
         least = np.minimum.reduceat(self.doc[self.kept][order], begins) if len(begins) else np.zeros(0, np.int64)
         sample = order[begins]
         by_shard = np.argsort(self.shard_of[self.kept][sample], kind="stable")
@@ -147,7 +190,7 @@ class Bucket:
         self.sample_windows, self.sample_shard = windows[sample[by_shard]], self.shard_of[self.kept][sample[by_shard]]
 
     def segments_by_shard(self) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
-        """Shard, dictionary of word hashes, word codes, lengths and least ids of its distinct segments."""
+        """Shard, dictionary of words, word codes, lengths and least ids of its distinct segments."""
         out = []
         cuts = np.flatnonzero(np.diff(self.sample_shard)) + 1
         for p in np.split(np.arange(len(self.sample)), cuts):
@@ -155,9 +198,9 @@ class Bucket:
                 lengths = self.sample_windows[p] + WIDTH - 1
                 begins = np.cumsum(lengths) - lengths
                 at = np.repeat(self.sample[p] - begins, lengths) + np.arange(int(lengths.sum()))
-                dictionary, codes = np.unique(self.hash[at], return_inverse=True)
-                small = codes.astype(np.uint16 if len(dictionary) <= 1 << 16 else np.uint32)
-                out.append((int(self.sample_shard[p[0]]), dictionary.tobytes(), small.tobytes(), lengths.astype(np.uint8).tobytes(), self.least[p].tobytes()))
+                held, codes = np.unique(self.value[at], return_inverse=True)
+                small = codes.astype(np.uint16 if len(held) <= 1 << 16 else np.uint32)
+                out.append((int(self.sample_shard[p[0]]), b" ".join(self.dictionary[held]), small.tobytes(), lengths.astype(np.uint8).tobytes(), self.least[p].tobytes()))
         return out
 
     def removed(self, bits: dict[int, np.ndarray]) -> np.ndarray:
@@ -180,64 +223,93 @@ class Bucket:
         return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each part (dictionary, codes, lengths, least ids) of a shard a flag for each of its windows: does a smaller document have it?
-
-    The FM-index is over the distinct segments of all parts; all are streamed
-    through it.
-    """
+def repeated_windows(parts: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each part (dictionary, codes, lengths, least ids) of a shard a flag for each of its windows: does a smaller document have it?"""
     lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
     least = np.concatenate([p[3] for p in parts])
-    hashes = np.concatenate([d[c] for d, c, _, _ in parts])
+    numbers: dict[bytes, int] = {}
+    maps = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)) for words, _, _, _ in parts]
+    value = np.concatenate([m[p[1]] for m, p in zip(maps, parts, strict=True)])
     begins = np.cumsum(lengths) - lengths
-    run = _runs(hashes, WIDTH)
-    key = _mixed(run[begins] * _FACTOR + run[begins + lengths - WIDTH] * _MIX + lengths.astype(np.uint64))
-    _, group_begins, order = _in_order(key)
-    group = np.empty(len(key), np.int64)
-    group[order] = np.repeat(np.arange(len(group_begins)), np.diff(np.append(group_begins, len(key))))
-    first_of = order[group_begins]
+    run = _runs(_mixed(value.astype(np.uint64) + _FACTOR), WIDTH)
+    group, group_begins, order = _groups(_segment_keys(run, begins, lengths - WIDTH + 1), value, begins, lengths)
     ids = np.minimum.reduceat(least[order], group_begins)
+    # distinct segments in order of their ids, then by place, so layers ascend
+    rank = np.argsort(ids, kind="stable")
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    group, ids, first_of = place[group], ids[rank], order[group_begins][rank]
     size = lengths[first_of]
     inner = np.cumsum(size) - size
-    at = np.repeat(begins[first_of] - inner, size) + np.arange(int(size.sum()))
-    dictionary, values = np.unique(hashes[at], return_inverse=True)
-    values = values.astype(np.int64) + 1
-    index = FMIndex(values, size)
+    values = value[np.repeat(begins[first_of] - inner, size) + np.arange(int(size.sum()))]
     windows = size - WIDTH + 1
     offset = np.cumsum(windows) - windows
     start = np.repeat(inner - offset, windows) + np.arange(int(windows.sum()))
-    smallest = np.empty(len(start), np.int64)
-    owner = ids[index.sequence] if len(ids) else np.zeros(0, np.int64)
-    for i in range(0, len(start), 1 << 18):
-        patterns = values[start[i : i + (1 << 18), None] + np.arange(WIDTH)]
-        matched, low, high = index.backward(patterns)
-        if not (matched == WIDTH).all():
-            raise AssertionError("a segment isn't in its own index")
-        # intervals of equal windows are equal: each is looked through once
-        one, where = np.unique(low, return_inverse=True)
-        top = np.zeros(len(one), np.int64)
-        top[where] = high
-        pairs = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), np.stack([one, top], axis=1).ravel())[::2]
-        smallest[i : i + (1 << 18)] = pairs[where]
-    # back to the segments as they were sent
+    owner = np.repeat(ids, windows)
+    repeated = np.zeros(len(start), bool)
+    cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(1, LAYERS) * size.sum() / LAYERS))
+    layers: list[Layer] = []
+    for low, high in itertools.pairwise([0, *(int(c) for c in cuts if 0 < c < len(size)), len(size)]):
+        inside = slice(int(inner[low]), int(inner[high - 1] + size[high - 1]))
+        layers.append(Layer(values[inside], size[low:high], ids[low:high]))
+        for i in range(int(offset[low]), int(offset[high - 1] + windows[high - 1]), SEARCHED):
+            open_ = np.arange(i, min(i + SEARCHED, int(offset[high - 1] + windows[high - 1])))
+            for layer in layers:
+                patterns = values[start[open_, None] + np.arange(WIDTH)]
+                found = layer.smaller(patterns, owner[open_])
+                repeated[open_[found]] = True
+                open_ = open_[~found]
+    # back to the segments as they were sent: one with a greater id than another of equal content goes whole
     sent = lengths - WIDTH + 1
-    sent_offset = np.cumsum(sent) - sent
-    source = np.repeat(offset[group] - sent_offset, sent) + np.arange(int(sent.sum()))
-    flags = smallest[source] < np.repeat(least, sent)
+    source = np.repeat(offset[group] - (np.cumsum(sent) - sent), sent) + np.arange(int(sent.sum()))
+    flags = repeated[source] | np.repeat(ids[group] < least, sent)
     ends = np.cumsum([0, *(int((p[2].astype(np.int64) - WIDTH + 1).sum()) for p in parts)])
     return [flags[a:b] for a, b in itertools.pairwise(ends)]
 
 
+class Layer:
+    """An FM-index over some segments, with the id of each."""
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
+        self.words, codes = np.unique(values, return_inverse=True)
+        self.index = FMIndex(codes.astype(np.int64) + 1, lengths)
+        self.owner = np.append(ids[self.index.sequence], np.iinfo(np.int64).max)
+
+    def smaller(self, patterns: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Whether each pattern stands, whole, in a segment whose id is smaller than its owner's."""
+        code = np.minimum(np.searchsorted(self.words, patterns), len(self.words) - 1)
+        code = np.where(self.words[code] == patterns, code + 1, 0)
+        matched, low, high = self.index.backward(code)
+        out = np.zeros(len(patterns), bool)
+        whole = np.flatnonzero(matched == patterns.shape[1])
+        if len(whole):
+            # intervals of equal windows are equal: each is looked through once
+            one, where = np.unique(low[whole], return_inverse=True)
+            top = np.zeros(len(one), np.int64)
+            top[where] = high[whole]
+            least = np.minimum.reduceat(self.owner, np.stack([one, top], axis=1).ravel())[::2]
+            out[whole] = least[where] < owner[whole]
+        return out
+
+
+def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that take no part."""
+    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column(1).to_pylist()]
+    counts = pa.array([len(w) for w in words], pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w) for w in words], pa.binary()).cast(pa.string())], ["__key", "n_words", "n_removed", "kept"])
+
+
 _REPLY = "bucket int, kind int, shard int, bits binary"
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept) of each row; kept is the text that is left, its words joined by a blank."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    every = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    rows = every.where(F.col("__key").isNotNull())
     size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets, shards = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARD_BYTES))
-    bucket = F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("__key", "__text"), F.lit(buckets)).cast("int")
     documents = rows.withColumn("bucket", bucket)
 
     def load(t: pa.Table) -> Bucket:
@@ -251,7 +323,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         lists = [np.frombuffer(x, np.uint64) for x in t.column("anchors").to_pylist()]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(t.column("several").to_pylist(), lists, strict=True)])
         every = np.concatenate(lists)
-        _, begins, order = _in_order(every)
+        begins, order = _in_order(every)
         counts = np.diff(np.append(begins, len(every)))
         live = np.empty(len(every), bool)
         live[order] = np.repeat((counts > 1) | np.logical_or.reduceat(several[order], begins), counts)
@@ -275,7 +347,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def look_up(t: pa.Table) -> pa.Table:
         parts = []
         for d, c, n, m in zip(*(t.column(x).to_pylist() for x in ("dictionary", "codes", "lengths", "least")), strict=True):
-            words = np.frombuffer(d, np.uint64)
+            words = d.split()
             parts.append((words, np.frombuffer(c, np.uint16 if len(words) <= 1 << 16 else np.uint32), np.frombuffer(n, np.uint8), np.frombuffer(m, np.int64)))
         found = repeated_windows(parts)
         return pa.table({"bucket": t.column("bucket"), "kind": pa.array([1] * t.num_rows, pa.int32()), "shard": t.column("shard"), "bits": pa.array([np.packbits(f).tobytes() for f in found], pa.binary())})
@@ -299,7 +371,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     sent = by_bucket.cogroup(live.groupBy("bucket")).applyInArrow(segments, "shard int, bucket int, dictionary binary, codes binary, lengths binary, least binary")
     found = sent.groupBy("shard").applyInArrow(look_up, _REPLY)
     out = by_bucket.cogroup(live.unionByName(found).groupBy("bucket")).applyInArrow(cut, "__key long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("__key", key)
+    nameless = map_text(every.where(F.col("__key").isNull()), "__text", "__key long, n_words long, n_removed long, kept string", _whole)
+    return out.unionByName(nameless).withColumnRenamed("__key", key)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

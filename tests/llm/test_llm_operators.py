@@ -170,6 +170,26 @@ def test_substrings_equal_brute_force(spark, monkeypatch):
     assert plain((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == plain(want)
 
 
+def test_substrings_are_compared_by_content(spark, monkeypatch):
+    """Hashes of words, runs and segments that all collide change nothing."""
+    monkeypatch.setattr(substring, "_mixed", lambda x: np.zeros_like(x))
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    pool = [" ".join(draw.choices(words, k=30)) for _ in range(6)]
+    rows = [(i, " ".join(draw.choices(pool, k=2)) + " " + " ".join(draw.choices(words, k=9))) for i in range(25)]
+    parts = []
+    for half in (rows[::2], rows[1::2]):
+        bucket = substring.Bucket([i for i, _ in half], [t for _, t in half], 1)
+        bucket.choose({0: np.ones(10_000, bool)})
+        ((_, dictionary, codes, lengths, least),) = bucket.segments_by_shard()
+        parts.append((bucket, (dictionary.split(), np.frombuffer(codes, np.uint16), np.frombuffer(lengths, np.uint8), np.frombuffer(least, np.int64))))
+    flags = substring.repeated_windows([p for _, p in parts])
+    want = {r[0]: r[2] for r in brute_force_windows(rows)}
+    for (bucket, _), f, half in zip(parts, flags, (rows[::2], rows[1::2]), strict=True):
+        gone = bucket.removed({0: f})
+        assert [int(gone[e - n : e].sum()) for e, n in zip(bucket.ends, bucket.counts, strict=True)] == [want[i] for i, _ in half]
+
+
 def test_substrings_on_hard_cases(spark, odd, empty):
     got = {(r.doc_id, r.n_words): r.n_removed for r in substring.deduplicate(odd).collect()}
     assert got[6, 60_000] == 60_000 and got[5, 60_000] == 0 and got[None, 0] == 0
