@@ -90,6 +90,8 @@ class FMIndex:
         smaller = np.cumsum(np.bincount(text, minlength=self.largest + 1)) - np.bincount(text, minlength=self.largest + 1)
         (bottom,) = self.tree.descend(every, np.zeros(len(every), np.int64))
         self.shift = smaller - bottom
+        #: Where the suffixes that begin with each number start.
+        self.first = np.append(smaller, self.n)
 
     def backward(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics at the ends of the patterns (rows): how many of the last numbers match at most, and the interval of suffixes that begin with them."""
@@ -103,9 +105,13 @@ class FMIndex:
                 value = part[live, t]
                 known = (value >= 1) & (value <= self.largest)
                 live, value = live[known], value[known]
-                x, y = self.tree.descend(value, a[live], b[live])
-                some = y > x
-                live, x, y, shift = live[some], x[some], y[some], self.shift[value[some]]
-                a[live], b[live] = x + shift, y + shift
+                if t == width - 1:  # nothing matched yet: all suffixes of the number
+                    x, y, shift = self.first[value], self.first[value + 1], 0
+                else:
+                    x, y = self.tree.descend(value, a[live], b[live])
+                    shift = self.shift[value]
+                x, y, some = x + shift, y + shift, y > x
+                live, x, y = live[some], x[some], y[some]
+                a[live], b[live] = x, y
                 length[i + live] += 1
         return length, low, high

@@ -35,11 +35,12 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ from tallyloom.llm.common import map_text, table
 from tallyloom.llm.fm_index import FMIndex
 
 WIDTH, ANCHOR = 13, 7
-BUCKET_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES = 8 << 20, 8 << 20, 1 << 20
 #: Indexes of a shard, and windows searched at once.
 LAYERS, SEARCHED = 4, 1 << 18
 
@@ -115,30 +116,75 @@ def _groups(keys: np.ndarray, values: np.ndarray, first: np.ndarray, lengths: np
     return group, begins, order
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes hashed at once; more only where one word is longer.
+HASHED = 1 << 20
+#: An odd base and its inverse modulo 2^64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers 0..n - 1 and its inverse's."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (_BASE, _INVERSE))
+
+
+def words_in(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last and a hash of each word of a buffer that ends in white space.
+
+    The hash is a polynomial in the word's bytes: a running sum of bytes times
+    powers, taken between the word's ends and divided by the power at its start.
+    """
+    starts, ends, hashes = [], [], []
+    begin = 0
+    while begin < len(raw):
+        piece = raw[begin : begin + HASHED]
+        gap = _SPACE[piece]
+        stop = len(piece) - int(np.argmax(gap[::-1]))
+        if not gap[stop - 1]:  # a word longer than the piece
+            rest = raw[begin + len(piece) :]
+            stop = len(piece) + int(np.argmax(_SPACE[rest])) + 1
+            piece = raw[begin : begin + stop]
+            gap = _SPACE[piece]
+        piece, gap = piece[:stop], gap[:stop]
+        edge = np.flatnonzero(np.diff(gap, prepend=True))
+        first, last = edge[::2], edge[1::2]
+        power, inverse = (x[:stop] for x in _powers(max(HASHED, stop)))
+        total = np.cumsum(piece * power)
+        before = np.where(first > 0, total[first - 1], np.uint64(0))
+        hashes.append(_mixed((total[last - 1] - before) * inverse[first] + (last - first).astype(np.uint64) * _FACTOR))
+        starts.append(first + begin)
+        ends.append(last + begin)
+        begin += stop
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(starts or empty), np.concatenate(ends or empty), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+
+
 class Bucket:
     """The words and segments of a bucket's documents."""
 
     def __init__(self, ids: list[int], texts: list[str | None], shards: int):
-        self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
-        flat = itertools.chain.from_iterable(self.words)
-        numbers: dict[bytes, int] = {}
-        #: Each word's number in the bucket's dictionary, and the hash of it.
-        self.value = np.fromiter((numbers.setdefault(w, len(numbers)) for w in flat), np.int64, int(self.counts.sum()))
-        self.dictionary = np.array(list(numbers), object)
-        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[self.value]
-        self.ends = np.cumsum(self.counts)
+        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = b"\n".join([*self.texts, b""])
+        self.begin, self.end, self.hash = words_in(np.frombuffer(self.raw, np.uint8))
+        sizes = np.array([len(t) + 1 for t in self.texts], np.int64)
+        self.ends = np.searchsorted(self.begin, np.cumsum(sizes))
+        self.counts = np.diff(self.ends, prepend=0)
         doc_ids = np.array(ids, np.int64)
         document = np.repeat(np.arange(len(ids)), self.counts)
-        room = self.ends[document] - np.arange(len(self.value))
+        room = self.ends[document] - np.arange(len(self.hash))
         starts = np.flatnonzero(room >= WIDTH)
-        anchors = _runs(self.hash, ANCHOR)
-        least, place = anchors[starts], starts.copy()
-        for k in range(1, WIDTH - ANCHOR + 1):
-            other = anchors[starts + k]
-            better = other < least
-            least = np.where(better, other, least)
-            place = np.where(better, starts + k, place)
+        # the least of the anchors from each start, the first of equal ones: of 1, 2, 4 and then all of them
+        least, place = _runs(self.hash, ANCHOR), np.arange(max(0, len(self.hash) - ANCHOR + 1))
+        span, wanted = 1, WIDTH - ANCHOR + 1
+        while span < wanted and len(starts):
+            step = min(span, wanted - span)
+            better = least[step:] < least[:-step]
+            least, place = np.where(better, least[step:], least[:-step]), np.where(better, place[step:], place[:-step])
+            span += step
+        least, place = least[starts] if len(starts) else least[:0], place[starts] if len(starts) else place[:0]
         #: Segments: first word, number of windows, document's id and anchor of each.
         new = np.ones(len(starts), bool)
         new[1:] = (place[1:] != place[:-1]) | (np.diff(starts) != 1)
@@ -177,6 +223,14 @@ class Bucket:
             flags[a:b] = bits[: b - a]
         self.kept = np.flatnonzero(flags[self.anchor_of]) if len(self.first) else np.zeros(0, np.int64)
         first, windows = self.first[self.kept], self.windows[self.kept]
+        # the words of kept segments get numbers by content
+        edge = np.bincount(first, minlength=len(self.hash) + 1) - np.bincount(first + windows + WIDTH - 1, minlength=len(self.hash) + 1)
+        at = np.flatnonzero(np.cumsum(edge[:-1]))
+        numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        raw = self.raw
+        self.value = np.full(len(self.hash), -1, np.int32)
+        self.value[at] = np.fromiter((numbers[raw[a:b]] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)), np.int32, len(at))
+        self.dictionary = np.array(list(numbers), object)
         keys = _segment_keys(_runs(self.hash, WIDTH), first, windows)
         group, begins, order = _groups(keys, self.value, first, windows + WIDTH - 1)
         least = np.minimum.reduceat(self.doc[self.kept][order], begins) if len(begins) else np.zeros(0, np.int64)
@@ -217,9 +271,7 @@ class Bucket:
         start = np.repeat(self.first[self.kept], windows) + within
         later = np.repeat(self.doc[self.kept] > self.least[self.distinct], windows) if len(windows) else np.zeros(0, bool)
         gone = start[later | flags[np.repeat(offset[self.distinct], windows) + within]] if len(windows) else start
-        edge = np.zeros(len(self.hash) + 1, np.int64)
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + WIDTH, -1)
+        edge = np.bincount(gone, minlength=len(self.hash) + 1) - np.bincount(gone + WIDTH, minlength=len(self.hash) + 1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -227,8 +279,8 @@ def repeated_windows(parts: list[tuple[list[bytes], np.ndarray, np.ndarray, np.n
     """For each part (dictionary, codes, lengths, least ids) of a shard a flag for each of its windows: does a smaller document have it?"""
     lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
     least = np.concatenate([p[3] for p in parts])
-    numbers: dict[bytes, int] = {}
-    maps = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)) for words, _, _, _ in parts]
+    numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    maps = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words, _, _, _ in parts]
     value = np.concatenate([m[p[1]] for m, p in zip(maps, parts, strict=True)])
     begins = np.cumsum(lengths) - lengths
     run = _runs(_mixed(value.astype(np.uint64) + _FACTOR), WIDTH)
@@ -308,7 +360,9 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     every = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
     rows = every.where(F.col("__key").isNotNull())
     size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    buckets, shards = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARD_BYTES))
+    # a small table is cut finer, so that every core has a part
+    cores = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
+    buckets, shards = max(1, cores, -(-size // BUCKET_BYTES)), max(1, cores, -(-size // SHARD_BYTES))
     bucket = F.pmod(F.xxhash64("__key", "__text"), F.lit(buckets)).cast("int")
     documents = rows.withColumn("bucket", bucket)
 
@@ -359,8 +413,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         held.choose(replies(said, 0))
         gone = held.removed(replies(said, 1))
         ends, kept, removed = held.ends, [], []
-        for words, n, end in zip(held.words, held.counts, ends, strict=True):
-            mine = gone[end - n : end]
+        for text, n, end in zip(held.texts, held.counts, ends, strict=True):
+            mine, words = gone[end - n : end], text.split()
             removed.append(int(mine.sum()))
             kept.append(b" ".join(itertools.compress(words, (~mine).tolist()) if removed[-1] else words))
         return pa.table({"__key": docs.column("__key"), "n_words": pa.array(held.counts), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
