@@ -13,13 +13,14 @@ costs no match.
 The score is that of the best local alignment (a match 1, a mismatch or an
 inserted or missing word -PENALTY) over the number of the item's words; it has
 to reach THRESHOLD, and LEAST_SCORE before the division, as a common phrase is
-much of a short item.
+much of a short item.  An item of LEAST_SCORE words or fewer is matched by an
+untouched copy only.
 
 Items are broadcast in blocks of at most BLOCK_WORDS words (some tens of MB),
 with one pair of passes a block, so no broadcast grows with the benchmark.
 
 Cases: null and empty texts match nothing, nor do items that are null or have
-fewer than LEAST_WORDS words; repeated items are matched each, repeated rows
+fewer than SEED_WORDS words, which hold no seed; repeated items are matched each, repeated rows
 alike; a document of any length is searched whole; empty tables give no
 match; extra columns are ignored, or kept by `decontaminated`.
 """
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import slices, table
 
-SEED_WORDS, RARE_TIMES, LEAST_WORDS = 3, 4, 5
-PENALTY, THRESHOLD, LEAST_SCORE = 0.5, 0.4, 5.0
+SEED_WORDS, RARE_TIMES = 3, 4
+PENALTY, THRESHOLD, LEAST_SCORE = 0.5, 0.3, 5.0
 BLOCK_WORDS = 500_000
 #: Pairs that are aligned at once.
 PAIRS = 256
@@ -79,7 +80,7 @@ class Items:
         self.ids, self.words = [], []
         for item, text in rows:
             words = words_of(text)
-            if len(words) >= LEAST_WORDS:
+            if len(words) >= SEED_WORDS:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         codes, item, at = [], [], []
@@ -95,6 +96,8 @@ class Items:
         self.count = np.diff(np.append(self.first, len(self.code)))
         self.rare = np.ones(len(self.code), bool)
         self.lengths = np.array([len(w) for w in self.words], np.int64)
+        #: What a match has to reach before it is divided by the item's length.
+        self.least = np.maximum(THRESHOLD * self.lengths, np.minimum(self.lengths, LEAST_SCORE))
         owner = np.repeat(np.arange(len(self.words)), self.lengths)
         #: The words of each item as item * (size of the vocabulary + 1) + word.
         self.held = np.unique(owner * (len(self.vocabulary) + 1) + (np.concatenate(self.words) if self.words else owner))
@@ -137,10 +140,12 @@ class Items:
     def keep_rare(self, counts: np.ndarray) -> None:
         """Mark the rare seeds by the document counts of all seeds; the others need proof that an alignment is worth it."""
         each = np.repeat(counts, self.count)
-        for k in range(len(self.ids)):
-            mine = self.item == k
-            if mine.any():
-                self.rare[mine] = each[mine] <= RARE_TIMES * max(1.0, float(np.median(each[mine])))
+        order = np.lexsort((each, self.item))
+        size = np.bincount(self.item, minlength=len(self.ids))
+        first, some = np.cumsum(size) - size, size > 0
+        median = np.zeros(len(self.ids))
+        median[some] = (each[order[first[some] + (size[some] - 1) // 2]] + each[order[first[some] + size[some] // 2]]) / 2
+        self.rare = each <= RARE_TIMES * np.maximum(1.0, median)[self.item]
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, word after the last) of the best alignment of each pair that is close enough."""
@@ -196,7 +201,7 @@ class Items:
         -PENALTY else, so no score is above the largest sum over a stretch.
         """
         can, size = np.zeros(len(item), bool), np.argsort(high - low, kind="stable")
-        least, words = np.maximum(THRESHOLD * self.lengths[item], LEAST_SCORE), len(self.vocabulary) + 1
+        least, words = self.least[item], len(self.vocabulary) + 1
         i = 0
         while i < len(size):
             # as many windows as fit into CELLS, the widest last
@@ -223,7 +228,7 @@ class Items:
             back_items[r, : lengths[r]] = self.words[k][::-1]
             back[r, : b - a] = flat[a:b][::-1]
         score, end = align(items, lengths, windows)
-        near = np.flatnonzero(score >= np.maximum(THRESHOLD * lengths, LEAST_SCORE))
+        near = np.flatnonzero(score >= self.least[item])
         if len(near):
             _, first = align(back_items[near], lengths[near], back[near])
             for r, f in zip(near, first, strict=True):

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, decontaminate, fm_index, language, neighbours, quality, queries, secrets, sharding, simhash, substring, toxicity
 
@@ -122,6 +123,63 @@ def test_a_phrase_of_a_short_item_is_no_copy(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(2, 1)]
 
 
+def test_short_items_need_untouched_copies(spark):
+    docs = spark.createDataFrame([(1, "well, one two three Four! and so on"), (2, "one two three five four"), (3, "red green blue"), (3, "red green blue"), (4, "red green"), (None, "one two three four")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four"), (2, "red green blue"), (3, "red green"), (3, "red green blue")], "item_id long, text string")
+    got = decontaminate.contaminations(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.score) for r in got) == [(0, 1, 1.0), (1, 1, 1.0), (3, 2, 1.0), (3, 2, 1.0), (3, 3, 1.0), (3, 3, 1.0)]
+
+
+def plain_alignment(a, b):
+    h = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            h[i + 1][j + 1] = max(0.0, h[i][j] + (1 if x == y else -decontaminate.PENALTY), h[i][j + 1] - decontaminate.PENALTY, h[i + 1][j] - decontaminate.PENALTY)
+    return max(map(max, h))
+
+
+def test_contaminations_equal_brute_force(spark):
+    """All documents against all items by the plain recursion; pairs without three equal words in a row have no seed."""
+    draw = random.Random(12)
+    words = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(draw.choices(words, k=draw.randrange(2, 26)))) for i in range(14)]
+    docs = []
+    for k in range(90):
+        w = draw.choices(words, k=draw.randrange(0, 40))
+        for _ in range(draw.randrange(3)):
+            part = draw.choice(items)[1].split()
+            part = [draw.choice(words) if draw.random() < 0.25 else x for x in part if draw.random() > 0.1]
+            at = draw.randrange(len(w) + 1)
+            w[at:at] = part
+        docs.append((k // 2 if k % 5 else None, " ".join(w)))
+    docs += [docs[7], (500, None), (501, "")]
+    want, leaked = [], set()
+    for i, t in docs:
+        have = decontaminate.words_of(t)
+        runs = {tuple(have[k : k + 3]) for k in range(len(have) - 2)}
+        for j, u in items:
+            item = decontaminate.words_of(u)
+            if runs & {tuple(item[k : k + 3]) for k in range(len(item) - 2)}:
+                score = plain_alignment(item, have)
+                if score >= max(decontaminate.THRESHOLD * len(item), min(len(item), decontaminate.LEAST_SCORE)):
+                    leaked.add(t)
+                    want.append((-1 if i is None else i, j, round(score / len(item), 5)))
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("mine")).withColumn("item_id", F.lit(1))
+    got = decontaminate.contaminations(frame_, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 40 and sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, round(r.score, 5)) for r in got) == sorted(want)
+    left = decontaminate.decontaminated(frame_, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == frame_.columns and left.count() == sum(t not in leaked for _, t in docs)
+
+
+def test_decontamination_on_hard_cases(spark, odd, empty):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (1, None), (2, "")], "item_id long, text string")
+    found = decontaminate.contaminations(odd, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(5, 1), (6, 1), (6, 1)]
+    assert decontaminate.decontaminated(odd, items).count() == len(ODD) - 3
+    assert decontaminate.contaminations(empty, items).count() == 0 and decontaminate.decontaminated(empty, items).count() == 0
+    assert decontaminate.contaminations(odd, items.limit(0)).count() == 0 and decontaminate.decontaminated(odd, items.limit(0)).count() == len(ODD)
+
+
 def test_alignment_equals_the_plain_recursion():
     draw = np.random.default_rng(0)
     for _ in range(60):
@@ -504,7 +562,7 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     v[::9] = v[0]
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
     rows += [(1000, None, 0), (1050, [0.0] * 48, 0), (1100, [1.0, None] * 24, 0), (1150, [float("nan")] + [1.0] * 47, 0), (1200, [float("inf")] * 48, 0), (1250, [1.0, 2.0], 0), (1251, [2.0, 1.0], 0), (None, v[1].tolist(), 0), (3, v[3].tolist(), 0), (1300, [], 0)]
-    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), __import__("pyspark").sql.functions.col("vec_id") % 50 == 0).toPandas()
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), F.col("vec_id") % 50 == 0).toPandas()
     u = v.astype(np.float64)
     hits = total = 0
     for q in range(0, 1000, 50):
@@ -518,7 +576,7 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
             assert r.score == exact[r.id]
     assert hits / total >= 0.99
     assert got[got.query_id == 1250].id.tolist() == [1251] and not set(got.query_id) & {1000, 1050, 1100, 1150, 1200, 1300}
-    assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), __import__("pyspark").sql.functions.col("vec_id") % 50 == 0).count() == 0
+    assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_repeated_ids_count_once_however_often(spark, monkeypatch):
@@ -528,7 +586,7 @@ def test_repeated_ids_count_once_however_often(spark, monkeypatch):
     rows = [(0, q.tolist())] + [(i, x.tolist()) for i, x in enumerate(v[1:], 1)]
     rows += [(7, (q + draw.normal(size=16) * 0.01 * (c + 1)).tolist()) for c in range(60)]
     rows += [(8 + c % 3, (q + draw.normal(size=16) * 0.05).tolist()) for c in range(40)]
-    col = __import__("pyspark").sql.functions.col
+    col = F.col
     u = np.array([x for _, x in rows])
     exact = neighbours.cosines(np.repeat(u[:1], len(u), 0), u)
     best = {}
