@@ -3,38 +3,43 @@
 The text view is hashed byte n-grams of the whole text, case and signs
 included, and its make-up; the metadata view is the page's source, language and size: characters,
 bytes a character, lines.  Each view has a linear SVM.  In each round either
-machine marks the unlabelled texts that it is surest of, in the classes' own
-proportion, and the other one learns from those marks too.  Both are then
-calibrated, and combined by a logistic regression, on labelled rows that
-neither was trained on.
+machine judges every unlabelled document; those beyond its margin are its
+marks, and the other one learns from a bounded draw of them too, in the
+classes' own proportion.  Both are then calibrated, and combined by a logistic
+regression, on labelled rows that neither was trained on: rows of fold 2 are
+no training rows, labelled or marked.
 
-Training takes at most SAMPLE labelled rows of each class and POOL unlabelled
-ones, drawn by a hash of the key; all documents are scored, over whole texts.
+Training takes at most SAMPLE labelled rows of each class and MARKS marks of
+each machine and round, on average, drawn by a hash; a round reads all
+documents once, and all are scored, over whole texts.
 
 Cases: null and empty texts have no n-grams and are judged by the rest; null
 metadata is a value of its own; without labels of both classes every document
-gets score 1 and is kept; repeated rows are scored alike; an empty table gives
-an empty result; labels that are null or have no document teach nothing; extra
-columns are ignored, or kept by `accepted`.
+gets score 1 and is kept; repeated rows are scored alike, and of the texts of
+a repeated labelled id the least one teaches; an empty table gives an empty
+result; labels that are null or have no document teach nothing; extra columns
+are ignored, or kept by `accepted`.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fold, map_text, share_hash, slices, table
+from tallyloom.llm.common import broadcast_if_small, checkpointed, fold, map_text, share_hash, slices, table
 from tallyloom.llm.features import DIMENSIONS, fit_logistic, fit_platt, ngram_features, sigmoid, train_svm
 
-#: Labelled rows of each class and unlabelled rows to train on, at most on average.
-SAMPLE, POOL, ROUNDS = 700, 1400, 3
-#: Share of the pool that a machine marks in a round.
-MARKED = 0.1
+#: Labelled rows of each class, and marks of each machine and round, to train on, at most on average.
+SAMPLE, MARKS, ROUNDS = 700, 300, 2
+#: The margin beyond which a machine is sure.
+SURE = 1.0
+#: Keys of labelled rows up to which they are broadcast.
+FEW = 1_000_000
 THRESHOLD = 0.5
 #: Bytes below which n-grams are damped, and further columns of the text view: shares of kinds of byte, repetition, word length.
 SHORT, SHAPE = 400, 6
@@ -101,76 +106,104 @@ class QualityModel:
         return sigmoid(logits[:, 0]), sigmoid(logits[:, 1]), both
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, pool: tuple[np.ndarray, np.ndarray], odds: float, rounds: int = ROUNDS) -> QualityModel:
-    """labelled and pool: features of both views; y: 0 or 1; held: rows for calibration only; odds: of class 1 among all labels, as the sample has its own."""
+#: What a round of marking gives: features of both views, and what each view's machine learns of each row: +1, -1 or 0 for nothing.
+Marks = tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, mark: Callable[[tuple[_View, _View], float, int], Marks], odds: float, rounds: int = ROUNDS) -> QualityModel:
+    """labelled: features of both views; y: 0 or 1; held: rows for calibration only; mark: the marks of two machines at a share of class 1 in a round; odds: of class 1 among all labels, as the sample has its own."""
     if min(y.sum(), len(y) - y.sum()) < 1:
         return QualityModel()
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:  # too few labels to hold any back
         held, train = np.ones(len(y), bool), np.ones(len(y), bool)
     else:
         train = ~held
-    marks = [np.zeros(len(pool[0])), np.zeros(len(pool[0]))]  # of each view's training pool: +1, -1 or 0 for none
-    rate = float(y[train].mean())
+    x, sign = [[v[train]] for v in labelled], [[y[train] * 2 - 1], [y[train] * 2 - 1]]
     for k in range(rounds + 1):
-        views = []
-        for x, p, mark in zip(labelled, pool, marks, strict=True):
-            use = mark != 0
-            views.append(_View(np.concatenate([x[train], p[use]]), np.concatenate([y[train] * 2 - 1, mark[use]])))
-        if k == rounds or not len(pool[0]):
-            break
-        surest = int(MARKED * len(pool[0]))
-        for teacher, pupil in ((0, 1), (1, 0)):
-            margin = views[teacher].margin(pool[teacher])
-            order = np.argsort(margin, kind="stable")
-            high, low = order[::-1][: int(surest * rate)], order[: surest - int(surest * rate)]
-            marks[pupil][high[margin[high] > 1]] = 1
-            marks[pupil][low[margin[low] < -1]] = -1
-    for view, x in zip(views, labelled, strict=True):
-        view.platt = fit_platt(view.margin(x[held]), y[held])
-    logits = np.stack([v.logit(x[held]) for v, x in zip(views, labelled, strict=True)], axis=1)
+        views = tuple(_View(np.concatenate(a), np.concatenate(b)) for a, b in zip(x, sign, strict=True))
+        if k < rounds:
+            for more, taught, a, b in zip(*mark(views, float(y[train].mean()), k), x, sign, strict=True):
+                a.append(more[taught != 0])
+                b.append(taught[taught != 0])
+    for view, v in zip(views, labelled, strict=True):
+        view.platt = fit_platt(view.margin(v[held]), y[held])
+    logits = np.stack([w.logit(v[held]) for w, v in zip(views, labelled, strict=True)], axis=1)
     combined = fit_logistic(logits, y[held])
     combined[-1] += np.log(odds) - np.log(y[held].sum() / (1 - y[held]).sum())
-    return QualityModel((views[0], views[1]), combined)
-
-
-_COLUMNS = ("__text", "__source", "__lang")
+    return QualityModel(views, combined)
 
 
 def _inputs(df: DataFrame, text: str, source: str, lang: str, *more) -> DataFrame:
     return df.select(F.col(text).alias("__text"), F.col(source).cast("string").alias("__source"), F.col(lang).cast("string").alias("__lang"), *more)
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", label: str = "quality", sample: int = SAMPLE, pool: int = POOL) -> QualityModel:
-    """Fit on bounded samples of `documents`, labelled and not."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("__y"))
-    counts = {r["__y"]: r["count"] for r in marks.groupBy("__y").count().collect()}
-    if len(counts) < 2:
-        return QualityModel()
-    rows = _inputs(documents, text, source, lang, F.col(key).alias("__key"))
-    share = F.when(F.col("__y") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0])))
-    drawn = marks.where(share_hash(F.col("__key"), 8) < share)
-    # at most 2 * SAMPLE keys: fit for a broadcast
-    taught = rows.join(F.broadcast(drawn), "__key").withColumn("__held", F.coalesce(fold(F.col("__key")) == 2, F.lit(False)))
-    total = documents.count()
-    # among the rows of the pool, those that are labelled after all lose their label: it is not looked at
-    free = rows.where(share_hash(F.col("__key"), 9) < min(1.0, pool / max(1, total))).withColumns({"__y": F.lit(None).cast("int"), "__held": F.lit(False)})
-    both = taught.select(*_COLUMNS, "__key", F.col("__y").cast("int").alias("__y"), "__held").unionByName(free.select(*_COLUMNS, "__key", "__y", "__held"))
-    kind = both.schema["__key"].dataType.simpleString()
+def _features(rows: DataFrame, also: str) -> list:
+    """Features of rows (__text, __source, __lang and those that `also` declares), at the driver; `rows` are few."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, sources, langs = (batch.column(i).to_pylist() for i in range(3))
         x = [a.tobytes() + b.tobytes() for a, b in zip(text_features(texts), metadata_features(sources, langs, texts), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(x, pa.binary())], ["__key", "__y", "__held", "x"])
+        return pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(x, pa.binary())], [*batch.schema.names[3:], "x"])
+
+    return map_text(rows, "__text", f"{also}, x binary", work).collect()
 
-    found = map_text(both, "__text", f"__key {kind}, __y int, __held boolean, x binary", work).collect()
-    found.sort(key=lambda r: (str(r["__key"]), str(r["__y"]), bytes(r["x"])))
+
+def _views(found: list) -> tuple[np.ndarray, np.ndarray]:
     wide = SOURCES + LANGS + 4
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, 1 + wide), np.float32)
-    views = x[:, :-wide], x[:, -wide:]
-    known = np.array([r["__y"] is not None for r in found], bool)
-    y = np.array([r["__y"] for r in found if r["__y"] is not None], np.float64)
-    held = np.array([r["__held"] for r in found], bool)[known]
-    return co_train(tuple(v[known] for v in views), y, held, tuple(v[~known] for v in views), counts[1] / counts[0])
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMENSIONS + SHAPE + wide), np.float32)
+    return x[:, :-wide], x[:, -wide:]
+
+
+def margins(rows: DataFrame, views: tuple[_View, _View]) -> DataFrame:
+    """(__key, __row, text, metadata): both machines' margins of every one of the rows (__text, __source, __lang, __key, __row)."""
+    sent = rows.sparkSession.sparkContext.broadcast(views)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, sources, langs = (batch.column(i).to_pylist() for i in range(3))
+        x = text_features(texts), metadata_features(sources, langs, texts)
+        return pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array(v.margin(f), pa.float64()) for v, f in zip(sent.value, x, strict=True))], ["__key", "__row", "text", "metadata"])
+
+    return map_text(rows, "__text", f"__key {rows.schema['__key'].dataType.simpleString()}, __row long, text double, metadata double", work)
+
+
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", label: str = "quality", sample: int = SAMPLE, marks: int = MARKS) -> QualityModel:
+    """Fit on a bounded sample of the labelled `documents` and on marks of all others."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(label).alias("__y"))
+    counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+    if len(counts) < 2:
+        return QualityModel()
+    whole = F.struct("__text", "__source", "__lang")
+    rows = _inputs(documents, text, source, lang, F.col(key).alias("__key"))
+    share = F.when(F.col("__y") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0])))
+    drawn = known.where(share_hash(F.col("__key"), 8) < share)
+    # at most 2 * SAMPLE keys: fit for a broadcast; of a key's rows one is left before anything is moved
+    taught = rows.join(F.broadcast(drawn), "__key").groupBy("__key").agg(F.min(whole).alias("w"), F.first("__y").cast("int").alias("__y"))
+    held_out = F.coalesce(fold(F.col("__key")) == 2, F.lit(False))
+    found = _features(taught.select("w.*", F.col("__key").cast("string").alias("__key"), "__y", held_out.alias("__held")), "__key string, __y int, __held boolean")
+    found.sort(key=lambda r: r["__key"])
+    y, held = np.array([r["__y"] for r in found], np.float64), np.array([r["__held"] for r in found], bool)
+    # rows are told apart by their content, as a key may be null or repeat
+    free = rows.where(~held_out).withColumn("__row", F.xxhash64("__key", "__text", "__source", "__lang"))
+    labelled_keys = broadcast_if_small(known.select("__key"), FEW)
+
+    def mark(views: tuple[_View, _View], rate: float, k: int) -> Marks:
+        sure = (F.abs("text") > SURE) | (F.abs("metadata") > SURE)
+        judged = checkpointed(margins(free, views).where(sure).join(labelled_keys, "__key", "left_anti"))
+        sides = [(m, s) for m in ("text", "metadata") for s in (1, -1)]
+        beyond = {(m, s): F.col(m) * s > SURE for m, s in sides}
+        many = judged.agg(*[F.count_if(beyond[x]).alias(f"{x[0]}{x[1]}") for x in sides]).first()
+        draw = share_hash(F.col("__row"), 90 + k)
+        wanted = {(m, s): marks * (rate if s > 0 else 1 - rate) / max(1, many[f"{m}{s}"]) for m, s in sides}
+        sign = lambda m: F.when(beyond[m, 1] & (draw < wanted[m, 1]), 1).when(beyond[m, -1] & (draw < wanted[m, -1]), -1).otherwise(0)
+        chosen = judged.select("__row", sign("text").alias("by_text"), sign("metadata").alias("by_metadata")).where("by_text != 0 or by_metadata != 0").distinct()
+        # some 2 * MARKS rows: fit for a broadcast
+        one = free.join(F.broadcast(chosen), "__row").groupBy("__row", "by_text", "by_metadata").agg(F.min(whole).alias("w"))
+        told = _features(one.select("w.*", "__row", "by_text", "by_metadata"), "__row long, by_text int, by_metadata int")
+        told.sort(key=lambda r: r["__row"])
+        by_text, by_metadata = (np.array([r[c] for r in told], np.float64) for c in ("by_text", "by_metadata"))
+        return _views(told), (by_metadata, by_text)  # each machine learns what the other one marked
+
+    return co_train(_views(found), y, held, mark, counts[1] / counts[0])
 
 
 def score(df: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:

@@ -474,6 +474,30 @@ def test_quality_is_learnt_and_hard_cases_pass(spark, small, odd, empty, labels)
     assert kept.count() == len(ODD) and kept.columns == odd.columns
 
 
+def test_co_training_judges_all_unlabelled_rows_and_spares_the_calibration_fold(spark, small, monkeypatch):
+    docs, labelled = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    seen, learnt = [], []
+    plain, features = quality.margins, quality._features
+    monkeypatch.setattr(quality, "margins", lambda rows, views: seen.append({r[0] for r in rows.select("__key").collect()}) or plain(rows, views))
+    monkeypatch.setattr(quality, "_features", lambda rows, also: learnt.append(rows.select("__text").collect()) or features(rows, also))
+    quality.fit(docs, labelled)
+    ids = {r.doc_id: r.text for r in docs.collect()}
+    fold_two = {i for i in ids if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert seen == [set(ids) - fold_two] * quality.ROUNDS
+    known = {r.doc_id for r in labelled.collect()}
+    marked = {r[0] for rows in learnt[1:] for r in rows}
+    assert marked and marked <= {t for i, t in ids.items() if i not in known | fold_two}
+
+
+def test_a_repeated_labelled_id_teaches_once(spark, labels, monkeypatch):
+    rows = [(i, t, "en", "a") for i, t in [(3, "b")] * 40 + [(3, "a"), (4, "c"), (4, None), (None, "x")]]
+    learnt = []
+    features = quality._features
+    monkeypatch.setattr(quality, "_features", lambda rows, also: learnt.append(rows.collect()) or features(rows, also))
+    quality.fit(frame(spark, rows), labels)
+    assert sorted((r["__key"], r["__text"]) for r in learnt[0]) == [("3", "a"), ("4", None)]
+
+
 # near duplicates
 
 
