@@ -2,35 +2,42 @@
 
 The kernel of two words is the product of their counts of common
 three-letter subsequences, those within five letters, each gap weighing GAP;
-so a word still resembles itself with letters inserted ("id.iot", "lo_ser").
-It is divided by the roots of the words' lengths.  Landmarks are words of the
+so a word still resembles itself with letters inserted ("idxiot").  It is
+divided by the roots of the words' lengths.  Landmarks are words of the
 labelled texts; the support vector machine is trained in the space that they
 span.  As the kernel has explicit features, a trained machine is one weight
 for each of 64^3 subsequences: a text of any length is scored by table
 look-ups over its bytes, which gives what the landmark sum would.
 
+A text is read in two ways.  In the one, words are runs of letters and digits.
+In the other, signs between letters are gaps of no weight ("id.iot",
+"i**d**i**o**t"), and letters that stand alone one after another are one word
+("i d i o t").  Digits and signs that look like letters are read as them.
+
 Labels are of whole texts, while an insult is a word or two.  Training
 therefore looks for the witness in each toxic text: at first the word with
 the piece that most sets toxic texts apart, in later rounds the word with the
-highest margin.  Half of the witnesses' copies get inserted characters.  A
-text's margin is that of its worst word, in any of its sentences, and Platt
-scaling turns it into a score.
-
-Letters that stand alone ("i d i o t") count as one word.
+highest margin.  A witness weighs by the toxic texts that hold it, and copies
+of it with one and two letters put in weigh alike; a clean word weighs by the
+clean texts.  A text's margin is that of its worst word, in any of its
+sentences, and Platt scaling turns it into a score.
 
-Training takes at most SAMPLE labelled texts of each class, drawn by a hash of
-the key, of at most LONGEST characters; scores cover whole texts.
+Training takes at most SAMPLE labelled texts of each class on average, drawn
+by a hash of the key, with all their words; scores cover whole texts.
 
 Cases: null and empty texts have no word and get the score of an empty text;
 without labels of both classes every score is 0; repeated rows are scored
-alike; an empty table gives an empty result; labels that are null or have no
-document teach nothing; extra columns are ignored.
+alike, and of the texts of a repeated labelled id the least one teaches; an
+empty table gives an empty result; labels that are null or have no document
+teach nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +47,13 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import fold, map_text, share_hash, table
 from tallyloom.llm.features import fit_platt, newton_svm, sigmoid
 
-#: Labelled texts of each class to train on, at most on average, and their greatest length.
-SAMPLE, LONGEST = 800, 100_000
-LANDMARKS, NEGATIVES, ROUNDS, SKETCH = 400, 8000, 4, 16
-#: Clean words, the commonest first, among which a round looks for what its machine takes for insults.
-MINED = 60_000
+#: Labelled texts of each class to train on, at most on average.
+SAMPLE = 800
+#: Bounds of the training set: landmarks, words of either class, witnesses that get letters put in, hardest clean words
+#: that a round adds; rounds, and words by which near copies of a text are told.
+LANDMARKS, EXAMPLES, BENT, HARDEST, ROUNDS, SKETCH = 300, 6000, 100, 1000, 4, 16
+#: Words whose subsequences are held at once, and subsequences multiplied at once.
+WORDS, ENTRIES = 50_000, 1 << 15
 #: Weight of each letter that a subsequence skips.
 GAP = 0.6
 THRESHOLD = 0.3
@@ -68,47 +77,62 @@ def _symbol(byte: int) -> int:
 
 
 _SYMBOLS = bytes(map(_symbol, range(256)))
+_NO_MARKS = bytes([*range(MARK), BLANK, *range(MARK + 1, 256)])
+#: Letters parted by signs, and single letters, signs at them or not, parted by white space.
+_PARTED = re.compile(rb"[\x01-\x3e]+(?:\x3f+[\x01-\x3e]+)+")
+_SPACED = re.compile(rb"(?<![\x01-\x3f])\x3f*[\x01-\x3e]\x3f*(?:\x00+\x3f*[\x01-\x3e]\x3f*){2,}(?![\x01-\x3f])")
+
+
+def _readings(text: str) -> tuple[bytes, bytes]:
+    """The text as symbols below 63, words parted by blanks: by runs of letters, and the words that signs or blanks part."""
+    raw = text.lower().encode("utf-8", "surrogatepass").translate(_SYMBOLS)
+    joined = [m.translate(None, b"\x3f") for m in _PARTED.findall(raw)] if MARK in raw else []
+    joined += [m.translate(None, b"\x00\x3f") for m in _SPACED.findall(raw)]
+    return raw.translate(_NO_MARKS), bytes([BLANK]).join(joined)
 
 
-def _symbols(text: str) -> bytes:
-    """A number below 64 for each byte; of signs only those between two letters count, the others are blanks."""
-    s = np.frombuffer(b"\0" + text.lower().encode("utf-8", "surrogatepass").translate(_SYMBOLS) + b"\0", np.uint8)
-    dull = (s == BLANK) | (s == MARK)
-    inside = s[1:-1].copy()
-    inside[dull[1:-1] & (dull[:-2] | dull[2:])] = BLANK
-    return inside.tobytes()
+def units(text: str) -> set[bytes]:
+    """The distinct words of both readings."""
+    return {u for reading in _readings(text) for u in reading.split(bytes([BLANK])) if u}
 
 
 class _Words:
-    """The subsequences of words, each between two blanks: a row of `row`, `code` and `value` for each occurrence."""
+    """The subsequences of words, each between two blanks: `row`, `code` and `value` of each occurrence, by row."""
 
-    def __init__(self, words: list[str]):
-        raws = [_symbols(w).strip(bytes([BLANK])) for w in words]
-        s = np.frombuffer(b"\0" + b"\0\0".join(raws) + b"\0" * 5, np.uint8).astype(np.int64)
-        lengths = np.array([len(r) + 2 for r in raws], np.int64)
+    def __init__(self, words: list[bytes]):
+        s = np.frombuffer(b"\0" + b"\0\0".join(words) + b"\0" * 5, np.uint8).astype(np.int32)
+        lengths = np.array([len(w) + 2 for w in words], np.int64)
         ends = np.cumsum(lengths)
-        row = np.repeat(np.arange(len(raws)), lengths)
+        row = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         room = np.repeat(ends, lengths) - np.arange(len(row)) - 1
         scale = np.repeat(lengths**-0.5, lengths)
         rows, codes, values = [], [], []
         for i, j, gaps in SUBSEQUENCES:
             at = np.flatnonzero(room >= j)
-            rows.append(row[at].astype(np.int32))
-            codes.append(((s[at] << 12) | (s[at + i] << 6) | s[at + j]).astype(np.int32))
+            rows.append(row[at])
+            codes.append((s[at] << 12) | (s[at + i] << 6) | s[at + j])
             values.append((scale[at] * GAP**gaps).astype(np.float32))
-        self.row, self.code, self.value, self.n = np.concatenate(rows), np.concatenate(codes), np.concatenate(values), len(raws)
+        order = np.argsort(np.concatenate(rows), kind="stable")
+        self.row, self.code, self.value = (np.concatenate(x)[order] for x in (rows, codes, values))
+        self.n = len(words)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weights[self.code], self.n)
 
     def kernel(self, landmarks: _Words) -> np.ndarray:
-        out = np.empty((self.n, landmarks.n), np.float32)
-        dense = np.zeros(1 << 18)
-        for k in range(landmarks.n):
-            mine = landmarks.row == k
-            np.add.at(dense, landmarks.code[mine], landmarks.value[mine])
-            out[:, k] = self.times(dense)
-            dense[landmarks.code[mine]] = 0
+        """A row for each word: its subsequences that landmarks have, times the landmarks' counts of them."""
+        held, place = np.unique(landmarks.code, return_inverse=True)
+        table = np.zeros((len(held), landmarks.n), np.float32)
+        np.add.at(table, (place, landmarks.row), landmarks.value)
+        where = np.full(1 << 18, -1, np.int32)
+        where[held] = np.arange(len(held))
+        at = np.flatnonzero(where[self.code] >= 0)
+        row, code, value = self.row[at], where[self.code[at]], self.value[at]
+        out = np.zeros((self.n, landmarks.n), np.float32)
+        for i in range(0, len(row), ENTRIES):
+            part = slice(i, i + ENTRIES)
+            new = np.flatnonzero(np.diff(row[part], prepend=-1))
+            out[row[part][new]] += np.add.reduceat(table[code[part]] * value[part, None], new, axis=0)
         return out
 
 
@@ -117,15 +141,17 @@ class ToxicityModel:
         self.weights, self.bias, self.platt = weights, bias, platt
 
     def margin(self, text: str) -> float:
-        """The highest margin of a word of the text; of the empty word if there is none."""
-        raw, best, begin = _symbols(text), float(self.bias), 0
-        while begin < len(raw):
-            end = min(len(raw), begin + PIECE)
-            if end < len(raw):
-                cut = raw.rfind(bytes([BLANK]), begin, end)
-                end = cut if cut > begin else end
-            best = max(best, self._piece(raw[begin:end]))
-            begin = end
+        """The highest margin of a word of the text in either reading; of the empty word if there is none."""
+        best = float(self.bias)
+        for raw in _readings(text):
+            begin = 0
+            while begin < len(raw):
+                end = min(len(raw), begin + PIECE)
+                if end < len(raw):
+                    cut = raw.rfind(bytes([BLANK]), begin, end)
+                    end = cut if cut > begin else end
+                best = max(best, self._piece(raw[begin:end]))
+                begin = end
         return best
 
     def _piece(self, raw: bytes) -> float:
@@ -136,20 +162,11 @@ class ToxicityModel:
         # a subsequence belongs to the word that it starts in, the blank before the word included
         total = np.zeros(n, np.float32)
         letter = s != BLANK
-        ends_in = np.flatnonzero(~letter)
-        limit = ends_in[np.searchsorted(ends_in, np.arange(1, n + 1))] if n else np.zeros(0, int)
         starts = np.flatnonzero(letter[1:n] & ~letter[: n - 1]) + 1
         if not len(starts):
             return -1e9
-        lone = letter[starts] & ~letter[starts + 1]
-        joined = np.zeros(len(starts), bool)
-        if len(starts) > 1:
-            joined[1:] = lone[1:] & lone[:-1] & (np.diff(starts) == 2)
-        if joined.any():  # the blanks inside a run of lone letters end no word
-            inner = starts[joined] - 1
-            ends_in = np.setdiff1d(ends_in, inner, assume_unique=True)
-            limit = ends_in[np.searchsorted(ends_in, np.arange(1, n + 1))]
-            starts = starts[~joined]
+        ends_in = np.flatnonzero(~letter)
+        limit = ends_in[np.searchsorted(ends_in, np.arange(1, n + 1))]
         room = limit - np.arange(n)
         for i, j, gaps in SUBSEQUENCES:
             code = first | (wide[i : n + i] << 6) | wide[j : n + j]
@@ -169,34 +186,30 @@ class ToxicityModel:
         return sigmoid(a * np.array([self.margin(t or "") for t in texts]) + b)
 
 
-def _pieces(word: str) -> set[str]:
-    s = f" {word} "
-    return {s[i : i + 4] for i in range(len(s) - 3)} | {s}
+def _pieces(word: bytes) -> list[bytes]:
+    s = b"\0" + word + b"\0"
+    return [*{s[i : i + 4] for i in range(len(s) - 3)} | {s}]
 
 
-def _separation(df: dict[str, list[int]], n: tuple[int, int]) -> dict[str, float]:
-    """Signed log-likelihood ratio of each piece's document counts in clean and toxic texts."""
-    found = {}
-    for piece, (clean, toxic) in df.items():
-        both, rate = clean + toxic, (clean + toxic) / (n[0] + n[1])
-        if toxic / n[1] <= clean / n[0]:
-            continue
-        g = 0.0
+def _separation(toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    """Log-likelihood ratio of document counts in toxic and clean texts; 0 for what is no commoner in toxic ones."""
+    rate, g = (clean + toxic) / (n[0] + n[1]), np.zeros(len(toxic))
+    with np.errstate(divide="ignore", invalid="ignore"):
         for k, m in ((clean, n[0]), (toxic, n[1])):
             for x, e in ((k, m * rate), (m - k, m * (1 - rate))):
-                g += 2 * x * np.log(x / e) if x and e else 0.0
-        # a rare word in clean texts is worth little, however often it is in toxic ones
-        found[piece] = g * (1 - min(1.0, 10 * clean / max(1, both)))
-    return found
+                g += np.where((x > 0) & (e > 0), 2 * x * np.log(x / e), 0.0)
+    # a rare word in clean texts is worth little, however often it is in toxic ones
+    return np.where(toxic / n[1] > clean / n[0], g * (1 - np.minimum(1.0, 10 * clean / np.maximum(1, clean + toxic))), 0.0)
 
 
-def _with_insertions(word: str, k: int) -> str:
-    """The word with a sign put in: between all letters or after one of them."""
-    signs = ".*-_x"
-    if k % 2:
-        return signs[k % 4].join(word)
-    at = 1 + k // 2 % max(1, len(word) - 1)
-    return word[:at] + signs[k % 5] + word[at:]
+def _with_letters(word: bytes) -> list[bytes]:
+    """The word with a letter put in, and with two, at each of its inner places; the letters follow from the word."""
+    seed, out = zlib.crc32(word), []
+    for a in range(1, len(word)):
+        one = word[:a] + bytes([1 + (seed + 7 * a) % 26]) + word[a:]
+        b = 1 + (a + 1 + seed) % (len(one) - 1)
+        out += [one, one[:b] + bytes([1 + (seed // 26 + 11 * a) % 26]) + one[b:]]
+    return out
 
 
 def _without_copies(documents: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
@@ -214,74 +227,100 @@ def _without_copies(documents: list[tuple[list[str], int]]) -> list[tuple[list[s
     return kept
 
 
+def _held_by(documents: list[np.ndarray], n: int) -> np.ndarray:
+    """How many of the documents, arrays of distinct numbers below n, hold each number."""
+    return np.bincount(np.concatenate(documents), minlength=n).astype(float) if documents else np.zeros(n)
+
+
+class _Vocabulary:
+    """The words of the labelled texts, as numbers, and what sets each apart."""
+
+    def __init__(self, documents: list[tuple[list[str], int]]):
+        numbers: dict[bytes, int] = {}
+        found = [(sorted(units(" ".join(words))), y) for words, y in documents]
+        number = lambda us: np.array([numbers.setdefault(u, len(numbers)) for u in us], np.int64)
+        held = {side: [number(us) for us, y in found if y == side and us] for side in (0, 1)}
+        self.clean, self.toxic, self.words = held[0], held[1], list(numbers)
+        n = len(self.words)
+        self.in_clean, self.in_toxic = _held_by(self.clean, n), _held_by(self.toxic, n)
+        if not self.toxic or not self.clean:
+            return
+        pieces: dict[bytes, int] = {}
+        of_word = [np.array([pieces.setdefault(p, len(pieces)) for p in _pieces(w)], np.int64) for w in self.words]
+        count = lambda side: _held_by([np.unique(np.concatenate([of_word[i] for i in d])) for d in side], len(pieces))
+        toxic, clean = count(self.toxic), count(self.clean)
+        apart = np.where(toxic > 2, _separation(toxic, clean, (len(self.clean), len(self.toxic))), 0.0)  # rarer ones can't stand out
+        #: What the best of so many pieces reaches by chance.
+        self.chance = 2.0 * np.log(max(2, np.count_nonzero(toxic)))
+        free = self.in_clean == 0
+        self.value = np.where(free, [apart[p].max() for p in of_word], 0.0)
+        self.whole = np.where(free, [apart[pieces[b"\0" + w + b"\0"]] for w in self.words], 0.0)
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        parts = [_Words(self.words[i : i + WORDS]).times(weights) for i in range(0, len(self.words), WORDS)]
+        return np.concatenate(parts)
+
+
+def _best(documents: Iterable[np.ndarray], margin: np.ndarray) -> np.ndarray:
+    """The word of each document with the highest margin."""
+    return np.array([d[np.argmax(margin[d])] for d in documents], np.int64)
+
+
 def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
     """Fit on (distinct lower-case words, label 0 or 1) of labelled texts."""
-    documents = _without_copies(documents)
-    toxic = [w for w, y in documents if y == 1 and w]
-    clean = [w for w, y in documents if y == 0 and w]
-    if not toxic or not clean:
+    v = _Vocabulary(_without_copies(documents))
+    if not v.toxic or not v.clean:
         return ToxicityModel()
-    in_toxic = Counter(piece for words in toxic for piece in set().union(*map(_pieces, words)))
-    pieces = len(in_toxic)
-    counts = {piece: [0, n] for piece, n in in_toxic.items() if n > 2}  # rarer ones can't stand out
-    del in_toxic
-    for words in clean:
-        for piece in set().union(*map(_pieces, words)) & counts.keys():
-            counts[piece][0] += 1
-    apart = _separation(counts, (len(clean), len(toxic)))
-    in_clean = set().union(*map(set, clean))
-    worth = lambda w: max((apart.get(p, 0.0) for p in _pieces(w)), default=0.0)
-    least = 2.0 * np.log(max(2, pieces))  # what the best of so many pieces reaches by chance
-    value = {w: worth(w) for w in set().union(*map(set, toxic)) - in_clean}
-    tops = [max((value.get(w, 0.0) for w in words), default=0.0) for words in toxic]
-    witnesses = {w for words, top in zip(toxic, tops, strict=True) for w in words if top >= least and value.get(w) == top}
-    plain = {w for w in value if apart.get(f" {w} ", 0.0) >= least}
-    witnesses |= plain
-    if not witnesses:
+    plain = v.whole >= v.chance
+    top = _best(v.toxic, v.value)
+    witness = plain.copy()
+    witness[top[v.value[top] >= v.chance]] = True
+    if not witness.any():
         return ToxicityModel()
     draw = np.random.default_rng(5)
-    held_by = Counter(w for words in clean for w in words)
-    every = [w for w, _ in sorted(held_by.items(), key=lambda x: (-x[1], zlib.crc32(x[0].encode("utf-8", "surrogatepass")), x[0]))[:MINED]]
-    common = every[: NEGATIVES // 2]
-    negatives = sorted({*common, *(every[i] for i in draw.choice(len(every), min(NEGATIVES // 2, len(every)), replace=False))})
-    hard = common[: LANDMARKS // 2]
-    all_clean = _Words(every)
-    toxic_words = sorted(set().union(*map(set, toxic)))
-    place = {w: i for i, w in enumerate(toxic_words)}
-    all_toxic = _Words(toxic_words)
-    joined, y_doc, best_loss = [" ".join(w) for w in clean + toxic], np.array([0] * len(clean) + [1] * len(toxic)), np.inf
+    clean = np.flatnonzero(v.in_clean)
+    tie = np.array([zlib.crc32(v.words[i]) for i in clean])
+    common = clean[np.lexsort((tie, -v.in_clean[clean]))]
+    negative = np.zeros(len(v.words), bool)
+    negative[common[: EXAMPLES // 2]] = True
+    negative[draw.choice(clean, min(EXAMPLES // 2, len(clean)), replace=False)] = True
+    hard, y_doc, best_loss = common, np.array([0] * len(v.clean) + [1] * len(v.toxic)), np.inf
     for _ in range(ROUNDS):
-        positives = sorted(witnesses)
-        if len(positives) > NEGATIVES:
-            positives = [positives[i] for i in sorted(draw.choice(len(positives), NEGATIVES, replace=False).tolist())]
-        bent = [_with_insertions(w, k) for k, w in enumerate(positives) if len(w) > 3]
+        positive = np.flatnonzero(witness)
+        if len(positive) > EXAMPLES:  # those that most toxic texts hold
+            positive = np.sort(positive[np.argsort(-v.in_toxic[positive], kind="stable")[:EXAMPLES]])
+        weight = v.in_toxic[positive] ** 0.75
+        # all places of the witnesses that most texts hold
+        bent = [(w, x) for i, x in sorted(zip(positive.tolist(), weight.tolist(), strict=True), key=lambda p: (-p[1], p[0]))[:BENT] if len(v.words[i]) > 3 for w in _with_letters(v.words[i])]
         # half of the landmarks are insults, half the clean words that look most like them so far
-        landmarks = _Words([positives[i] for i in draw.permutation(len(positives))[: LANDMARKS // 2]] + hard[: LANDMARKS // 2])
+        chosen = [*positive[np.argsort(-weight, kind="stable")[: LANDMARKS // 2]], *hard[: LANDMARKS // 2]]
+        landmarks = _Words([v.words[i] for i in chosen])
         values, vectors = np.linalg.eigh(landmarks.kernel(landmarks).astype(np.float64))
         use = values > 1e-6 * values[-1]
         root = vectors[:, use] / np.sqrt(values[use])
-        examples = _Words(positives + bent + negatives)
-        y = np.concatenate([np.ones(len(positives) + len(bent)), -np.ones(len(negatives))])
+        others = np.flatnonzero(negative)
+        examples = _Words([v.words[i] for i in positive] + [w for w, _ in bent] + [v.words[i] for i in others])
+        y = np.concatenate([np.ones(len(positive) + len(bent)), -np.ones(len(others))])
         # a word in many clean texts would spoil them all
-        weight = np.concatenate([np.ones(len(positives)), np.full(len(bent), 0.25), [held_by[w] ** 0.75 for w in negatives]])
-        machine = newton_svm(examples.kernel(landmarks) @ root, y, weight)
+        machine = newton_svm(examples.kernel(landmarks) @ root, y, np.concatenate([weight, [x for _, x in bent], v.in_clean[others] ** 0.75]))
         beta, bias = root @ machine[:-1], float(machine[-1])
         weights = np.bincount(landmarks.code, landmarks.value * beta[landmarks.row], 1 << 18)
-        margins = all_toxic.times(weights) + bias
-        top = all_clean.times(weights) + bias
-        likely = [every[i] for i in np.argsort(-top, kind="stable")[:500]]
-        negatives = sorted({*negatives, *likely})
-        hard = list(dict.fromkeys([*likely[: LANDMARKS // 4], *hard]))
+        margin = v.margins(weights) + bias
+        likely = clean[np.argsort(-margin[clean], kind="stable")[:HARDEST]]
+        negative[likely] = True
+        hard = np.array(list(dict.fromkeys([*likely[: LANDMARKS // 4].tolist(), *hard.tolist()])))
         trial = ToxicityModel(weights.astype(np.float32), bias)
-        found = np.array([trial.margin(t) for t in joined])
+        found = np.array([margin[d].max() for d in v.clean + v.toxic])
         trial.platt = fit_platt(found, y_doc)
         p = np.clip(sigmoid(trial.platt[0] * found + trial.platt[1]), 1e-9, 1 - 1e-9)
         loss = -float((y_doc * np.log(p) + (1 - y_doc) * np.log(1 - p)).mean())
         if loss < best_loss:
             best_loss, model = loss, trial
-        best = [max(words, key=lambda w: margins[place[w]]) for words in toxic]
-        witnesses = plain | {w for w in best if margins[place[w]] > max(0.0, np.quantile(top, 0.9999)) and value.get(w, 0.0) >= least / 2}
-        witnesses = witnesses or set(positives)
+        best = _best(v.toxic, margin)
+        witness = plain.copy()
+        witness[best[(margin[best] > max(0.0, np.quantile(margin[clean], 0.9999))) & (v.value[best] >= v.chance / 2)]] = True
+        if not witness.any():
+            witness[positive] = True
     return model
 
 
@@ -293,11 +332,12 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return ToxicityModel()
     share = F.when(F.col("__y") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0])))
     drawn = marks.where(share_hash(F.col("__key"), 5) < share)
-    words = F.array_distinct(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"))
-    rows = documents.where(F.length(text) <= LONGEST).select(F.col(key).alias("__key"), words.alias("words"))
-    # at most 2 * SAMPLE keys: fit for a broadcast
-    found = rows.join(F.broadcast(drawn), "__key").select("__key", "words", "__y").collect()
-    return train([(sorted(w for w in r["words"] if w), int(r["__y"])) for r in sorted(found, key=lambda r: (str(r["__key"]), r["words"]))])
+    rows = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    # at most 2 * SAMPLE keys: fit for a broadcast; of a key's rows one is left before anything is moved
+    one = rows.join(F.broadcast(drawn), "__key").groupBy("__key").agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
+    words = F.array_distinct(F.split(F.lower("__text"), r"[\x20\x09-\x0D]+"))
+    found = one.select("__key", words.alias("words"), "__y").collect()
+    return train([(sorted(w for w in r["words"] if w), int(r["__y"])) for r in sorted(found, key=lambda r: str(r["__key"]))])
 
 
 def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None) -> DataFrame:

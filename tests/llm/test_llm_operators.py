@@ -319,13 +319,73 @@ def test_toxic_texts_are_found_and_others_left():
     assert bent > 0.3 > clean and 0 <= empty_text < 0.3
 
 
-def test_the_table_gives_the_kernel_sum():
-    words = ["idiot", "loser", "hello", "a", "id.iot"]
-    held = toxicity._Words(words)
-    weights = np.random.default_rng(0).normal(size=1 << 18)
+def plain_subsequences(word):
+    s, found = [0, *word, 0], {}
+    for a in range(len(s)):
+        for b in range(a + 1, min(len(s), a + 4)):
+            for c in range(b + 1, min(len(s), a + 5)):
+                key = (s[a], s[b], s[c])
+                found[key] = found.get(key, 0.0) + toxicity.GAP ** (c - a - 2) / len(s) ** 0.5
+    return found
+
+
+def test_the_kernel_and_its_table_equal_their_definition():
+    words = [max(toxicity.units(w), key=len) for w in ("idiot", "loser", "hello", "a", "id.iot", "idxiot", "banana", "é-b")]
+    assert words[4] == words[0]
+    held, each = toxicity._Words(words), [plain_subsequences(w) for w in words]
+    want = [[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in each] for a in each]
+    assert np.allclose(held.kernel(held), want, atol=1e-5)
+    # one weight for each subsequence gives the landmark sum
+    beta = np.random.default_rng(0).normal(size=len(words))
+    weights = np.bincount(held.code, held.value * beta[held.row], 1 << 18)
     model = toxicity.ToxicityModel(weights.astype(np.float32), 0.0, (1.0, 0.0))
-    for w, want in zip(words, held.times(weights), strict=True):
-        assert model.margin(w) == pytest.approx(max(0.0, want), abs=1e-3)
+    for w, row in zip(("idiot", "loser", "hello", "a"), want, strict=False):
+        assert model.margin(w) == pytest.approx(max(0.0, float(np.dot(row, beta))), abs=1e-3)
+        assert model.margin(f"{w}\n \t") == model.margin(w.upper())
+
+
+def test_both_readings_of_a_text():
+    sym = lambda w: bytes(ord(c) - 96 for c in w)
+    assert toxicity.units("An i.d--i**ot, we! i d i o t x") == {sym(w) for w in ("an", "i", "d", "ot", "idiot", "we", "t", "o", "x", "idiotx")}
+    assert toxicity.units("a b word -- ! ") == {sym(w) for w in ("a", "b", "word")} and toxicity.units("") == set()
+    long = "i d " * 200_000 + "i.d" * 200_000
+    begin = time.perf_counter()
+    assert len(toxicity.units(long)) > 3 and time.perf_counter() - begin < 10
+
+
+def test_gapped_insults_of_held_out_texts_are_found(spark, small):
+    documents, labelled = (spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    taught = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    model = toxicity.fit(documents.where(taught), labelled.where(taught))
+    held = documents.where(~taught & (F.col("lang") == "en")).join(labelled, "doc_id").toPandas()
+    counts = {y: {} for y in (0, 1)}
+    for r in documents.where("lang = 'en'").join(labelled, "doc_id").collect():
+        for w in set(re.findall("[a-z]+", (r.text or "").lower())):
+            counts[r.toxic][w] = counts[r.toxic].get(w, 0) + 1
+    texts = " ".join(t.lower() for t in held[held.toxic == 1].text).split()
+    insults = sorted({w for w in map(str.strip, texts) if counts[1].get(w, 0) >= 8 and not counts[0].get(w) and w.isalpha()})
+    assert len(insults) >= 5
+    draw = random.Random(1)
+
+    def parted(w, signs):
+        at = draw.randrange(1, len(w))
+        return w[:at] + "".join(draw.choices(".*-_!", k=signs)) + w[at:]
+
+    for bend in (str, str.upper, lambda w: parted(w, 1), lambda w: parted(w, 2), ".".join, "--".join, " ".join):
+        scores = model.score([f"you are such a {bend(w)}, really" for w in insults])
+        assert (scores >= toxicity.THRESHOLD).mean() >= 0.9
+    clean = held[held.toxic == 0].text
+    assert (model.score(list(clean)) < toxicity.THRESHOLD).all()
+
+
+def test_long_labelled_texts_teach(spark):
+    filler = " ".join(f"w{i % 500}x" for i in range(30_000))
+    assert len(filler) > 100_000
+    draw = random.Random(8)
+    rows = [(i, f"{filler} {'zwuxor' if i % 2 else 'plain'} {filler} " + " ".join("".join(draw.choices("bcdfglmnprst", k=7)) for _ in range(1500))) for i in range(60)]
+    taught = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), taught)
+    assert model.score(["you zwuxor", "you w7x"])[0] > 0.3 > model.score(["you zwuxor", "you w7x"])[1]
 
 
 def test_toxicity_on_hard_cases(spark, odd, empty, labels):
