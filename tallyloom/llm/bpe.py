@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_text, table
+from tallyloom.llm.common import map_text, spread, table
 
 #: Bytes up to which a word is merged by scanning its rank array.
 SHORT = 128
@@ -208,7 +208,7 @@ def default_vocabulary() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_documents(table(spark, sf_dir, "documents"), default_vocabulary()))
+    return digests(encode_documents(spread(table(spark, sf_dir, "documents")), default_vocabulary()))
 
 
 ORACLES: dict[str, str] = {}

@@ -53,6 +53,12 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame, dealt anew over all cores if its scan has fewer splits than there are cores, as for a table of one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def fold(key: str | Column) -> Column:
     """The cross-validation remainder of a row: crc32 of its key as text, mod 4."""
     key = F.col(key) if isinstance(key, str) else key

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import slices, table
+from tallyloom.llm.common import slices, spread, table
 
 SEED_WORDS, RARE_TIMES = 3, 4
 PENALTY, THRESHOLD, LEAST_SCORE = 0.5, 0.3, 5.0
@@ -317,7 +317,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminations(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 ORACLES: dict[str, str] = {}

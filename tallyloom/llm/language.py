@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fold, map_text, share_hash, table
+from tallyloom.llm.common import fold, map_text, share_hash, spread, table
 from tallyloom.llm.features import ngram_features, sigmoid, train_svm
 
 #: Labelled rows that the models are fitted on, at most on average.
@@ -145,7 +145,7 @@ def predict(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     out = F.coalesce(fold("doc_id") == 2, F.lit(False))
     model = fit(documents.where(~out))
     return predict(documents, model, also={"held_out": out})

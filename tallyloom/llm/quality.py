@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import broadcast_if_small, checkpointed, fold, map_text, share_hash, slices, table
+from tallyloom.llm.common import broadcast_if_small, checkpointed, fold, map_text, share_hash, slices, spread, table
 from tallyloom.llm.features import DIMENSIONS, fit_logistic, fit_platt, ngram_features, sigmoid, train_svm
 
 #: Labelled rows of each class, and marks of each machine and round, to train on, at most on average.
@@ -233,7 +233,7 @@ def accepted(df: DataFrame, model: QualityModel, text: str = "text", source: str
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     return score(documents, fit(documents, table(spark, sf_dir, "labels")))
 
 

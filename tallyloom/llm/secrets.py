@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checkpointed, map_text, new_folder, table
+from tallyloom.llm.common import checkpointed, map_text, new_folder, spread, table
 
 #: Raised with every change of RULES, so that old ledger entries no longer count.
 RULE_VERSION = 2
@@ -170,7 +170,7 @@ def _is(kind: str):
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents come in two deliveries, by a hash of their id: the second scans only what the ledger of the first lacks."""
-    rows, path = screened(table(spark, sf_dir, "documents")), new_folder(spark, "secret-ledger")
+    rows, path = screened(spread(table(spark, sf_dir, "documents"))), new_folder(spark, "secret-ledger")
     delivery = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0))
     update_ledger(rows.where(delivery == 0), path)
     found = findings_by_path(rows, update_ledger(rows.where(delivery == 1), path))

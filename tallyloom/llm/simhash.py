@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checkpointed, map_text, table
+from tallyloom.llm.common import checkpointed, map_text, spread, table
 from tallyloom.llm.graph import components
 
 #: Words of a shingle, seed of its hash and bits in which linked fingerprints differ at most.
@@ -158,7 +158,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -34,7 +34,6 @@ teach nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable
@@ -44,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fold, map_text, share_hash, table
+from tallyloom.llm.common import fold, map_text, share_hash, spread, table
 from tallyloom.llm.features import fit_platt, newton_svm, sigmoid
 
 #: Labelled texts of each class to train on, at most on average.
@@ -77,23 +76,59 @@ def _symbol(byte: int) -> int:
 
 
 _SYMBOLS = bytes(map(_symbol, range(256)))
-_NO_MARKS = bytes([*range(MARK), BLANK, *range(MARK + 1, 256)])
-#: Letters parted by signs, and single letters, signs at them or not, parted by white space.
-_PARTED = re.compile(rb"[\x01-\x3e]+(?:\x3f+[\x01-\x3e]+)+")
-_SPACED = re.compile(rb"(?<![\x01-\x3f])\x3f*[\x01-\x3e]\x3f*(?:\x00+\x3f*[\x01-\x3e]\x3f*){2,}(?![\x01-\x3f])")
+#: Bytes that consecutive pieces of a long text share, so that what is read together stands whole in one of them.
+OVERLAP = 256
 
 
-def _readings(text: str) -> tuple[bytes, bytes]:
-    """The text as symbols below 63, words parted by blanks: by runs of letters, and the words that signs or blanks part."""
-    raw = text.lower().encode("utf-8", "surrogatepass").translate(_SYMBOLS)
-    joined = [m.translate(None, b"\x3f") for m in _PARTED.findall(raw)] if MARK in raw else []
-    joined += [m.translate(None, b"\x00\x3f") for m in _SPACED.findall(raw)]
-    return raw.translate(_NO_MARKS), bytes([BLANK]).join(joined)
+def _words_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and place after the last of each run of letters."""
+    edge = np.flatnonzero(np.diff((s != BLANK) & (s != MARK), prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
+def _parted(s: np.ndarray) -> list[bytes]:
+    """The words that signs part, without the signs."""
+    marks = np.flatnonzero(s == MARK)
+    if not len(marks):
+        return []
+    new = np.diff(marks, prepend=-2) > 1
+    first, last = marks[new], marks[np.append(np.flatnonzero(new)[1:] - 1, len(marks) - 1)]
+    letter = np.zeros(len(s) + 2, bool)  # of the place before each one
+    letter[1:-1] = (s != BLANK) & (s != MARK)
+    inner = letter[first] & letter[last + 2]
+    if not inner.any():
+        return []
+    first, last = first[inner], last[inner]
+    gone = np.zeros(len(s) + 1, np.int64)
+    gone[first] += 1
+    gone[last + 1] -= 1
+    whole = s[np.cumsum(gone[:-1]) == 0]
+    begin, end = _words_of(whole)
+    at = first - (np.cumsum(last - first + 1) - (last - first + 1))  # where the signs stood, in the shorter text
+    return [whole[begin[w] : end[w]].tobytes() for w in np.unique(np.searchsorted(begin, at, side="right") - 1)]
+
+
+def _spaced(s: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Three or more letters that stand alone one after another, as one word."""
+    lone = np.diff(end - begin == 1, prepend=False, append=False)
+    edge = np.flatnonzero(lone)
+    return [s[begin[a:b]].tobytes() for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > 2]
+
+
+def _symbols(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SYMBOLS)
+
+
+def _readings(raw: bytes) -> tuple[bytes, bytes]:
+    """Symbols as words parted by blanks: the runs of letters, and the words that signs or blanks part."""
+    s = np.frombuffer(raw, np.uint8)
+    plain = np.where(s == MARK, np.uint8(BLANK), s)
+    return plain.tobytes(), bytes([BLANK]).join(_parted(s) + _spaced(plain, *_words_of(plain)))
 
 
 def units(text: str) -> set[bytes]:
     """The distinct words of both readings."""
-    return {u for reading in _readings(text) for u in reading.split(bytes([BLANK])) if u}
+    return {u for reading in _readings(_symbols(text)) for u in reading.split(bytes([BLANK])) if u}
 
 
 class _Words:
@@ -142,16 +177,18 @@ class ToxicityModel:
 
     def margin(self, text: str) -> float:
         """The highest margin of a word of the text in either reading; of the empty word if there is none."""
-        best = float(self.bias)
-        for raw in _readings(text):
-            begin = 0
-            while begin < len(raw):
-                end = min(len(raw), begin + PIECE)
-                if end < len(raw):
-                    cut = raw.rfind(bytes([BLANK]), begin, end)
-                    end = cut if cut > begin else end
-                best = max(best, self._piece(raw[begin:end]))
-                begin = end
+        raw, best, begin = _symbols(text), float(self.bias), 0
+        blank = bytes([BLANK])
+        while begin < len(raw):
+            end = min(len(raw), begin + PIECE)
+            if end < len(raw):
+                cut = raw.rfind(blank, begin, end)
+                end = cut if cut > begin else end
+            best = max(best, *map(self._piece, _readings(raw[begin:end])))
+            if end == len(raw):
+                break
+            again = raw.find(blank, max(begin + 1, end - OVERLAP), end)
+            begin = again if again > begin else end
         return best
 
     def _piece(self, raw: bytes) -> float:
@@ -353,7 +390,7 @@ def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str =
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     out = F.coalesce(fold("doc_id") == 2, F.lit(False))
     model = fit(documents.where(~out), table(spark, sf_dir, "labels").where(~out))
     return score(documents, model, also={"held_out": out})
