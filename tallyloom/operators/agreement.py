@@ -149,21 +149,3 @@ def rbo_of_scores(df: DataFrame, by: Sequence[str], model: str, rank: str, elo:
     ranked = positions(positions(both, by, [rank, model], "__first"), by, [F.desc(elo), model], "__second")
     return rbo(ranked, by, "__first", "__second", p)
 
-
-def rbo_lists(first: Sequence, second: Sequence, p: float = 0.9) -> float:
-    """The same for two lists on the driver, with their contract checked."""
-    if not 0 < p < 1:
-        raise ValueError("p must lie between 0 and 1")
-    if len(set(first)) != len(first) or len(set(second)) != len(second):
-        raise ValueError("a ranking names an item twice")
-    if len(first) != len(second):
-        raise ValueError("the rankings differ in length")
-    if not first:
-        return 1.0
-    seen_first, seen_second, total = set(), set(), 0.0
-    for depth, (a, b) in enumerate(zip(first, second, strict=True), start=1):
-        seen_first.add(a)
-        seen_second.add(b)
-        agreement = len(seen_first & seen_second) / depth
-        total += (1 - p) * p ** (depth - 1) * agreement
-    return min(1.0, max(0.0, total + agreement * p ** len(first)))

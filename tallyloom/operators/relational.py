@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ranking import first_per_key
+
 #: Rows of a table that is still broadcast by `join_small`; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -35,6 +37,47 @@ def within(df: DataFrame, universe: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.join(universe.select(*key), list(key), "left_semi")
 
 
+def without(df: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """Rows whose key is none of the values; a null key stays."""
+    return df.where(F.coalesce(~F.col(key).isin(*values), F.lit(True)))
+
+
+def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct keys that both sides have, in order."""
+    return a.select(key).intersect(b.select(key)).orderBy(key)
+
+
+def merge_back(records: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Records with the results of the same key; of a column that both have the result's counts."""
+    return records.drop(*[c for c in results.columns if c != key]).join(results, key)
+
+
+def inner_first(left: DataFrame, right: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Each row of `left` with the given columns of the first row of its key in `right`; keys without one go."""
+    return left.join(first_per_key(right.select(key, *dict.fromkeys([*order, *columns])), [key], order).select(key, *columns), key)
+
+
+def left_wide(keys: DataFrame, long: DataFrame, key: str, category: str, values: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """A row for each of `keys`, those without any category too, and for each category a column of each value: {category}_{value}."""
+    wide = long.groupBy(key).pivot(category, list(categories)).agg(*[F.max(v).alias(v) for v in values])
+    if len(values) == 1:  # Spark names the columns after the categories alone
+        wide = wide.toDF(key, *[f"{c}_{values[0]}" for c in categories])
+    return keys.select(key).distinct().join(wide, key, "left")
+
+
+def score_columns(columns: Sequence[str]) -> list[str]:
+    """The score columns of a wide table: those that end in _score and aren't an Elo."""
+    return [c for c in columns if c.endswith("_score") and not c.startswith("elo_")]
+
+
+def benchmark_scores(wide: DataFrame, key: str, benchmark: str, sanitized: str) -> DataFrame:
+    """(key, score) of one benchmark in a wide table, by its id or its sanitised id; no rows if it has no column."""
+    names = [f"{b}_score" for b in (benchmark, sanitized) if f"{b}_score" in wide.columns]
+    if not names:
+        return wide.select(key, F.lit(None).cast("double").alias("score")).limit(0)
+    return wide.select(key, F.col(f"`{names[0]}`").try_cast("double").alias("score")).where(is_number(F.col("score")))
+
+
 def look_up(df: DataFrame, mapping: DataFrame, on: str, value: str, default: Column | None = None) -> DataFrame:
     """Add the mapped value, `default` (null) where there is none."""
     joined = df.join(mapping.select(on, value), on, "left")

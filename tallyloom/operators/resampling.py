@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators.agreement import kendall_tau
 
 SEED = 42
+#: Random numbers of a simulation that are held at once, unless one trial has more.
+NUMBERS = 1 << 20
 
 
 def midranks(values: np.ndarray) -> np.ndarray:
@@ -128,10 +130,13 @@ def resampled_agreement(df: DataFrame, by: Sequence[str], model: str, x: str, y:
 
 
 def monte_carlo(score: np.ndarray, score_sd: np.ndarray, elo: np.ndarray, elo_sd: np.ndarray, trials: int, rng: np.random.Generator) -> np.ndarray:
-    """Spearman's rho of each trial; a trial draws all scores, then all Elo values."""
-    n = len(score)
-    noise = rng.standard_normal((trials, 2, n))
-    return row_correlation(midranks(score + score_sd * noise[:, 0]), midranks(elo + elo_sd * noise[:, 1]))
+    """Spearman's rho of each trial; a trial draws all scores, then all Elo values; NUMBERS of them are held at once."""
+    n, found = len(score), []
+    step = max(1, NUMBERS // max(1, 2 * n))
+    for k in range(0, trials, step):
+        noise = rng.standard_normal((min(step, trials - k), 2, n))
+        found.append(row_correlation(midranks(score + score_sd * noise[:, 0]), midranks(elo + elo_sd * noise[:, 1])))
+    return np.concatenate(found)
 
 
 def summary_of_trials(rho: np.ndarray) -> dict[str, float | bool]:
@@ -142,12 +147,14 @@ def summary_of_trials(rho: np.ndarray) -> dict[str, float | bool]:
     return {"simulated_rho": float(good.mean()), "ci_lower": float(low), "ci_upper": float(high), "nonpositive_fraction": float((good <= 0).mean()), "stable": bool(low > 0)}
 
 
-def uncertainty(df: DataFrame, by: Sequence[str], model: str, score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000, seed: int = SEED) -> DataFrame:
-    """Monte Carlo of rho for each group, each with a generator of its own, seeded by the group's key, so groups run side by side."""
+def uncertainty(df: DataFrame, by: Sequence[str], model: str, score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000, seed: int = SEED, least: int = 0) -> DataFrame:
+    """Monte Carlo of rho for each group, each with a generator of its own, seeded by the group's key, so groups run side by side; one of fewer than `least` rows is an error."""
     rows = df.select(*by, model, *[F.col(c).cast("double").alias(c) for c in (score, score_sd, elo, elo_sd)]).dropna(subset=[score, score_sd, elo, elo_sd])
     rows = rows.withColumn("__seed", F.pmod(F.xxhash64(*by), F.lit(1 << 31)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < least:
+            raise ValueError(f"{tuple(pdf[c].iloc[0] for c in by)} has fewer than {least} models")
         pdf = pdf.sort_values(model)
         rng = np.random.default_rng([seed, int(pdf["__seed"].iloc[0])])
         rho = monte_carlo(*[pdf[c].to_numpy() for c in (score, score_sd, elo, elo_sd)], trials, rng)

@@ -28,9 +28,11 @@ BASE = {
   FROM steps WINDOW o AS (ORDER BY p, test ROWS UNBOUNDED PRECEDING))""",
     "named": """named AS (
   SELECT p_partkey, p_name AS name, regexp_split_to_array(lower(p_name), '[\\s#]+') AS tokens, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END AS version,
-    CASE WHEN p_size % 2 = 0 THEN p_brand END AS parameters FROM part
+    CASE WHEN p_size % 2 = 0 THEN p_brand END AS parameters,
+    CASE WHEN p_size % 5 > 0 THEN CASE WHEN p_size % 5 < 3 THEN '2025-0' ELSE '2024-0' END || p_size % 5 END AS date,
+    CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN regexp_split_to_array(lower(p_name), '[\\s#]+')[1] ELSE array_to_string(regexp_split_to_array(lower(p_name), '[\\s#]+'), '-') END AS subfamily FROM part
 ), candidates AS (
-  SELECT a.p_partkey AS key, b.p_partkey AS c_key, a.name, b.name AS candidate, a.version, a.parameters, b.parameters AS c_parameters, list_distinct(a.tokens) AS t, list_distinct(b.tokens) AS c_t
+  SELECT a.p_partkey AS key, b.p_partkey AS c_key, a.name, b.name AS candidate, a.version, a.parameters, b.parameters AS c_parameters, list_distinct(a.tokens) AS t, list_distinct(b.tokens) AS c_t, a.date, b.date AS c_date, a.subfamily, b.subfamily AS c_subfamily
   FROM named a JOIN named b ON a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1 AND a.tokens[1] IS NOT DISTINCT FROM b.tokens[1] AND a.version IS NOT DISTINCT FROM b.version
     AND (a.parameters IS NULL OR b.parameters IS NULL OR lower(a.parameters) = lower(b.parameters)))""",
 }
@@ -45,12 +47,12 @@ SQL = {
     "universe_threshold": _with("elos universe", "SELECT * FROM universe"),
     "universe_semi": _with("scores elos universe", "SELECT benchmark_id, model_id, score FROM scores SEMI JOIN universe USING (model_id)"),
     "common_subset_between": _with("elos", "SELECT * FROM elos WHERE elo BETWEEN 31000 AND 32500"),
-    "filter_trim_equal": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE trim(o_orderstatus) = 'F' GROUP BY 1",
+    "filter_trim_equal": """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'FACTS' ELSE p_type END AS benchmark_id, count(*) AS n FROM part WHERE p_partkey % 6 <> 2 GROUP BY 1""",
     "filter_nonempty_score": "SELECT event_id, event_type, trim(json_extract_string(props, '$.k')) AS score_text FROM events WHERE lower(trim(json_extract_string(props, '$.k'))) NOT IN ('', '--', 'nan')",
     "filter_exclude_id": _with("scores", "SELECT benchmark_id, count(*) AS n FROM scores WHERE benchmark_id <> 'ECONOMY' GROUP BY 1"),
     "pairwise_complete": "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_size > 10 AND p_retailprice > 950",
     "filter_finite": "SELECT s_suppkey, round(s_acctbal / s_nationkey, 6) AS ratio FROM supplier WHERE s_nationkey % 5 <> 0 AND s_acctbal IS NOT NULL",
-    "range_check": "SELECT count(*) FILTER (l_discount < 0 OR l_discount > 100) AS n_outside, count(*) AS n FROM lineitem",
+    "range_check": "SELECT abs(min(l_discount)) AS least, max(l_discount) AS most, count(*) AS n FROM lineitem WHERE l_discount BETWEEN 0 AND 100",
     "overlap_having": _with("scores elos universe", "SELECT benchmark_id, count(*) AS n FROM scores SEMI JOIN universe USING (model_id) GROUP BY 1 HAVING count(*) >= 6"),
     "overlap_statistics": _with(
         "scores elos universe",
@@ -92,7 +94,7 @@ SELECT benchmark_id, n_band, round(CASE WHEN n_band >= 5 THEN band END, 8) AS su
     "match_statistics": _with(
         "named",
         """, n AS (SELECT name, count(*) AS n FROM candidates GROUP BY 1)
-SELECT count(*) FILTER (n > 0) AS matched, count(*) FILTER (n = 0) AS unmatched, count(*) FILTER (n > 1) AS several FROM n""",
+SELECT 'parts' AS benchmark_id, count(*) FILTER (n > 0) AS matched, count(*) FILTER (n = 0) AS unmatched, count(*) FILTER (n > 1) AS several FROM n""",
     ),
     "summary": _with(
         "scores elos pairs ranks",
@@ -190,7 +192,7 @@ SELECT benchmark_id, round(quantile_cont(s, 0.025), 8) AS ci_lower, round(quanti
 SELECT c_custkey, score_text, """
     + ", ".join(f"CASE WHEN regexp_full_match({c}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({c} AS DOUBLE) END AS {n}" for c, n in (("a", "score"), ("b", "preliminary_score"), ("c", "digits_score")))
     + " FROM s",
-    "scale_score": _with("scores", "SELECT benchmark_id, model_id, CASE WHEN benchmark_id IN ('PROMO', 'SMALL') THEN score * 100 ELSE score END AS scaled FROM scores"),
+    "scale_score": _with("scores", "SELECT CASE benchmark_id WHEN 'PROMO' THEN 'GPQA' WHEN 'SMALL' THEN 'IFEval' ELSE benchmark_id END AS benchmark_id, model_id, CASE WHEN benchmark_id IN ('PROMO', 'SMALL') THEN score * 100 ELSE score END AS scaled FROM scores"),
     "strip_prefix": """SELECT p_partkey, regexp_replace(CASE p_partkey % 4 WHEN 0 THEN 'OpenAI/' WHEN 1 THEN 'google/' WHEN 2 THEN 'nobody/' ELSE '' END || p_name,
   '^(openai|google|anthropic|alibaba|fireworks|grok|kimi|minimax|mistralai|cohere|ai21labs|together|zai)/', '', 'i') AS name FROM part""",
     "strip_suffix": """SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -204,7 +206,11 @@ SELECT c_custkey, score_text, """
     "match_top1_similarity": _with(
         "named",
         """, s AS (
-  SELECT key, c_key, round(len(list_intersect(t, c_t))::DOUBLE / len(list_distinct(list_concat(t, c_t))), 10) AS similarity FROM candidates
+  SELECT key, c_key, round(least(1.0::DOUBLE, 0.5::DOUBLE * (len(list_intersect(t, c_t))::DOUBLE / len(list_distinct(list_concat(t, c_t))))
+    + 0.2::DOUBLE * CASE WHEN date = c_date THEN 1.0 WHEN date IS NOT NULL AND c_date IS NOT NULL THEN CASE WHEN left(date, 4) = left(c_date, 4) THEN 0.5 ELSE 0.0 END WHEN date IS NOT NULL OR c_date IS NOT NULL THEN 0.2 ELSE 0.0 END::DOUBLE
+    + 0.2::DOUBLE * CASE WHEN lower(parameters) = lower(c_parameters) THEN 1.0 WHEN parameters IS NOT NULL AND c_parameters IS NOT NULL THEN 0.0 WHEN parameters IS NOT NULL OR c_parameters IS NOT NULL THEN 0.3 ELSE 0.0 END::DOUBLE
+    + 0.1::DOUBLE * CASE WHEN subfamily = c_subfamily THEN 1.0 WHEN subfamily IS NOT NULL AND c_subfamily IS NOT NULL THEN CASE WHEN contains(subfamily, c_subfamily) OR contains(c_subfamily, subfamily) THEN 0.5 ELSE 0.0 END
+      WHEN subfamily IS NOT NULL OR c_subfamily IS NOT NULL THEN 0.2 ELSE 0.0 END::DOUBLE), 10) AS similarity FROM candidates
 ), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, c_key) AS k, count(*) OVER (PARTITION BY key) AS n FROM s)
 SELECT key, c_key, similarity FROM r WHERE k = 1 AND (n = 1 OR similarity >= 0.3)""",
     ),
@@ -214,8 +220,8 @@ SELECT key, c_key, similarity FROM r WHERE k = 1 AND (n = 1 OR similarity >= 0.3
     ),
     "fig1_ranks": _with(
         "scores elos pairs",
-        """SELECT model_id, rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS score_rank,
-  rank() OVER (ORDER BY elo DESC) + (count(*) OVER (PARTITION BY elo) - 1) / 2.0::DOUBLE AS elo_rank FROM pairs WHERE benchmark_id = 'PROMO'""",
+        """SELECT model_id::VARCHAR AS model_id, coalesce(s_name, model_id::VARCHAR) AS display_name, rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS board_rank,
+  rank() OVER (ORDER BY elo DESC) + (count(*) OVER (PARTITION BY elo) - 1) / 2.0::DOUBLE AS arena_rank FROM pairs LEFT JOIN supplier ON s_suppkey = model_id AND s_acctbal > 0 WHERE benchmark_id = 'PROMO'""",
     ),
 }
 SQL |= {
@@ -234,3 +240,147 @@ SELECT p_type AS benchmark_id, CASE WHEN p_partkey < 40 THEN 'new ' || name ELSE
 FROM n WHERE p_partkey >= 40 OR p_partkey % 2 = 1""",
 }
 SQL = {k: v.replace(")\n, ", "),\n").replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in SQL.items()}
+
+
+def _ctes(parts: str, body: str, **more: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([BASE[p] for p in parts.split()] + [f"{n} AS ({c})" for n, c in more.items()]) + "\n" + body
+
+
+#: The two-sided p of Student's t with nu degrees of freedom by its finite sums; th: the angle whose tangent is |t| / sqrt(nu).
+_T_P = """(1 - CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum(list_transform(range(nu // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) * pow(cos(th), 2 * k))) / sqrt(pi())
+    ELSE 2 / pi() * (th + CASE WHEN nu > 1 THEN sin(th) * list_sum(list_transform(range((nu - 1) // 2), lambda k: exp(lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * pow(cos(th), 2 * k + 1))) * sqrt(pi()) / 2 ELSE 0 END) END)"""
+#: The complementary error function of z >= 0, which is nothing in 15 decimals from 6 on.
+_ERFC = "(1 - CASE WHEN z = 0 THEN 0 ELSE exp(-(least(z, 6) ** 2)) * list_sum(list_transform(range(150), lambda k: exp((2 * k + 1) * ln(least(z, 6)) - lgamma(k + 1.5::DOUBLE)))) END)"
+_RHO = "SELECT benchmark_id, count(*) AS n, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS r FROM ranks GROUP BY 1"
+_R = "SELECT benchmark_id, count(*) AS n, covar_pop(score, elo) / nullif(stddev_pop(score) * stddev_pop(elo), 0) AS r FROM pairs GROUP BY 1"
+_OF_R = f"SELECT *, CASE WHEN abs(r) >= 1 THEN 0 ELSE {_T_P} END AS p FROM (SELECT *, asin(least(1, abs(r))) AS th, n - 2 AS nu FROM g WHERE n > 2) UNION ALL SELECT *, NULL, NULL, NULL FROM g WHERE n <= 2"
+_KENDALL = SQL["kendall"].rpartition("SELECT benchmark_id, n::BIGINT AS n")[0] + SQL["kendall"].rpartition("SELECT benchmark_id, n::BIGINT AS n")[2].replace(", round(s / nullif(sqrt(ux::DOUBLE * uy::DOUBLE), 0), 8) AS tau", "SELECT benchmark_id, s / nullif(sqrt(ux::DOUBLE * uy::DOUBLE), 0) AS tau").replace("round(s / sqrt(", "s / sqrt(").replace(", 6) AS z", " AS z")
+_BOARD_FILES = "SELECT r_name || ' board' AS benchmark_id, n_regionkey AS region, n_nationkey AS key, CASE WHEN n_regionkey = 0 THEN '模型 ' ELSE '' END || n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey"
+_FIGURES = """SELECT CASE WHEN p_partkey % 50 = 0 THEN 'Creative Writing v3' ELSE p_partkey::VARCHAR END AS benchmark_id, p_size, ['Applying', 'Analyzing', 'Evaluating', 'Creating'][p_size % 4 + 1] AS complexity,
+  CASE WHEN p_size % 7 > 0 THEN make_date(2025, 1, p_size % 28 + 1) END AS day, p_retailprice AS y, p_size * 2.0::DOUBLE AS difficulty, p_size / 64.0::DOUBLE AS cv FROM part"""
+# the fit's state: one row a group with its values as lists, the coefficients and the last loss; t and the scale's divisor are fixed
+_HUBER = """SELECT benchmark_id, xs, ys, n, b0, b1, NULL::DOUBLE AS before, 0 AS k, false AS done FROM (SELECT benchmark_id, list(elo) AS xs, list(score) AS ys, count(*) AS n, regr_intercept(score, elo) AS b0, regr_slope(score, elo) AS b1 FROM pairs GROUP BY 1)
+  UNION ALL
+  SELECT benchmark_id, xs, ys, n, CASE WHEN stop THEN b0 ELSE my - nb * mx END, CASE WHEN stop THEN b1 ELSE nb END, loss, k + 1, stop FROM (
+    SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: w[i] * (xs[i] - mx) * (ys[i] - my))) / list_sum(list_transform(range(1, n + 1), lambda i: w[i] * (xs[i] - mx) ** 2)) AS nb FROM (
+      SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: w[i] * xs[i])) / list_sum(w) AS mx, list_sum(list_transform(range(1, n + 1), lambda i: w[i] * ys[i])) / list_sum(w) AS my FROM (
+        SELECT *, s = 0 OR coalesce(abs(before - loss) <= 1e-8, false) AS stop, list_transform(u, lambda v: least(1.0, 1.345::DOUBLE / greatest(v, 1e-300))) AS w FROM (
+          SELECT *, list_sum(list_transform(u, lambda v: CASE WHEN v <= 1.345::DOUBLE THEN 0.5 * v * v ELSE 1.345::DOUBLE * v - 0.5 * 1.345::DOUBLE * 1.345::DOUBLE END)) AS loss FROM (
+            SELECT *, list_transform(r, lambda v: v / nullif(s, 0)) AS u FROM (
+              SELECT *, list_median(r) / 0.6744897501960817::DOUBLE AS s FROM (
+                SELECT *, list_transform(range(1, n + 1), lambda i: abs(ys[i] - b0 - b1 * xs[i])) AS r FROM fit WHERE NOT done AND k < 50)))))))"""
+_NUMBER = "CASE WHEN {0} IS NULL THEN 'N/A' ELSE printf('%.{1}f', {0}) END"
+
+
+def _number(c: str, digits: int = 3) -> str:
+    return _NUMBER.format(c, digits)
+
+
+def _marked(how: str, text: str, when: str) -> str:
+    return f"CASE WHEN {when} THEN '\\text{how}{{' || {text} || '}}' ELSE {text} END"
+
+
+SQL |= {
+    "spearman_pvalue": _ctes("scores elos pairs ranks", "SELECT benchmark_id, n, round(r, 8) AS rho, round(p, 8) AS pvalue FROM tested", g=_RHO, tested=_OF_R),
+    "pearson_pvalue": _ctes("scores elos pairs", "SELECT benchmark_id, n, round(r, 8) AS r, round(p, 8) AS pvalue FROM tested", g=_R, tested=_OF_R),
+    "linregress_pvalue": _ctes(
+        "scores elos pairs",
+        "SELECT benchmark_id, round(slope, 9) AS slope, round(p, 8) AS pvalue FROM tested JOIN slopes USING (benchmark_id)",
+        g=_R,
+        tested=_OF_R,
+        slopes="SELECT benchmark_id, regr_slope(score, elo) AS slope FROM pairs GROUP BY 1",
+    ),
+    "kendall_pvalue": f"SELECT benchmark_id, round(tau, 8) AS tau, round({_ERFC}, 6) AS pvalue FROM (SELECT *, abs(z0) / sqrt(2) AS z FROM (SELECT benchmark_id, tau, z AS z0 FROM ({_KENDALL}) k) x) y",
+    "kruskal_pvalue": f'SELECT "all", h, round({_ERFC} + sqrt(2 * h / pi()) * exp(-h / 2), 8) AS pvalue FROM (SELECT *, sqrt(h / 2) AS z FROM ({SQL["kruskal"]}) k WHERE k = 4) x',
+    "huber": _ctes(
+        "scores elos pairs",
+        f"SELECT benchmark_id, term, round(coefficient, 6) AS coefficient, round({_ERFC}, 8) AS pvalue FROM terms",
+        fit=_HUBER,
+        last="SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY benchmark_id ORDER BY k DESC) = 1",
+        scaled="SELECT *, list_transform(range(1, n + 1), lambda i: ys[i] - b0 - b1 * xs[i]) AS r FROM last",
+        middled="SELECT *, list_median(list_transform(r, lambda v: abs(v))) / 0.6744897501960817::DOUBLE AS s, list_avg(xs) AS mx FROM scaled",
+        sums="""SELECT *, list_avg(list_transform(r, lambda v: (abs(v / s) <= 1.345::DOUBLE)::INT::DOUBLE)) AS m, list_sum(list_transform(r, lambda v: greatest(-1.345::DOUBLE, least(1.345::DOUBLE, v / s)) ** 2)) AS psi,
+    list_sum(list_transform(xs, lambda v: (v - mx) ** 2)) AS sxx FROM middled""",
+        factors="SELECT *, (1 + 2.0 / n * (m * (1 - m)) / (m * m)) ** 2 * (psi / (n - 2)) * s * s / (m * m) AS f FROM sums",
+        terms="""SELECT benchmark_id, 'intercept' AS term, b0 AS coefficient, abs(b0) / sqrt(f * (1.0 / n + mx * mx / sxx)) / sqrt(2) AS z FROM factors
+  UNION ALL SELECT benchmark_id, 'elo', b1, abs(b1) / sqrt(f / sxx) / sqrt(2) FROM factors""",
+    ),
+    "parse_identity": """SELECT DISTINCT name, family, subfamily, version, date, parameters, other_info FROM (
+  SELECT CASE k WHEN 0 THEN 'gpt-' || b || '-pro-2025-01-1' || c WHEN 1 THEN 'Qwen' || a || ['-Coder 70B', '-coder 80 B', ' Coder 7B'][c + 1] WHEN 2 THEN 'claude-opus-4-' || b || '-20250805-thinking'
+      WHEN 3 THEN 'o' || o || '-mini-high' WHEN 4 THEN 'google/gemini-' || a || '.5-flash-lite non thinking' ELSE 'mystery thing ' || b END AS name,
+    CASE k WHEN 0 THEN 'gpt' WHEN 1 THEN 'qwen' WHEN 2 THEN 'claude' WHEN 3 THEN 'gpt' WHEN 4 THEN 'gemini' END AS family,
+    CASE k WHEN 0 THEN 'gpt-pro' WHEN 1 THEN 'qwen-coder' WHEN 2 THEN 'claude-opus' WHEN 3 THEN 'o' || o WHEN 4 THEN 'gemini-flash-lite' END AS subfamily,
+    CASE k WHEN 0 THEN b || '.0' WHEN 1 THEN a || '.0' WHEN 2 THEN '4.' || b WHEN 3 THEN o || '.0' WHEN 4 THEN a || '.5' ELSE b || '.0' END AS version,
+    CASE k WHEN 0 THEN '2025-01-1' || c WHEN 2 THEN '20250805' END AS date, CASE WHEN k = 1 THEN ['70B', '80 B', '7B'][c + 1] END AS parameters,
+    CASE k WHEN 2 THEN 'thinking' WHEN 3 THEN 'mini high' WHEN 4 THEN 'google/gemini non-thinking' WHEN 5 THEN 'mystery thing' END AS other_info
+  FROM (SELECT p_partkey % 6 AS k, p_size % 6 + 1 AS a, p_size % 9 + 1 AS b, p_size % 3 AS c, p_size % 5 + 1 AS o FROM part))""",
+    # a version is the last digit of the size, none for a nought; "ring" is a family and longer than gpt; all else is equal
+    "review_candidates": """WITH v AS (SELECT p_type, p_size, p_name, nullif(p_size % 10, 0) AS ver, contains(p_name, ' ring') AS ring FROM part), c AS (SELECT ver, ring, count(*) AS k FROM v GROUP BY 1, 2)
+SELECT p_type AS benchmark_id, count(*) FILTER (k > 0) AS matched, 0::BIGINT AS unmatched, count(*) FILTER (k > 1) AS several FROM (SELECT DISTINCT * FROM v) n JOIN c ON n.ver IS NOT DISTINCT FROM c.ver AND n.ring = c.ring GROUP BY 1""",
+    "norm_version": "SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN p_size || '.5' WHEN 3 THEN 'x' ELSE p_size || '.0' END AS version FROM part",
+    "ordinal_map": "SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN (c_custkey % 5 + 1)::INT END AS level FROM customer",
+    "category_to_elo": """SELECT c_custkey, ['elo_coding', 'elo_creative_writing', 'elo_expert', 'elo_hard_prompts', 'elo_instruction_following', 'elo_math'][c_custkey % 7 + 1] AS elo_column,
+  ['Coding', 'CW', 'Expert', 'HP', 'IF', 'Math'][c_custkey % 7 + 1] AS short FROM customer""",
+    "clean_model_name": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || 'Mistral AI' WHEN 1 THEN 'openai/' || p_name ELSE 'openai/' || p_name || 'Mistral AI' END AS name FROM part",
+    "conclusions": _ctes(
+        "tests holm",
+        """SELECT test, CASE WHEN num % 7 < 5 THEN left(test, 2) || ' (' || ['Scale', 'Complexity', 'Recency', 'Variance', 'Difficulty'][num % 7 + 1] || ')' ELSE test END AS name,
+  CASE WHEN num = 3 THEN 'Insufficient data for statistical testing.' ELSE CASE WHEN is_significant THEN 'Statistically' ELSE 'Not statistically' END || ' significant after correction' || printf(' (p_corrected = %.4f). ', p_corrected)
+    || CASE WHEN num % 5 > 0 THEN printf('%s = %.3f.', ['Effect size (β)', 'Spearman correlation (ρ)', 'Pearson correlation (r)', 'Ordinal-regression effect size (R²)', 'Median difference', 'Effect size'][num % 6 + 1], num / 8.0::DOUBLE) ELSE '' END END AS conclusion FROM n""",
+        m="SELECT *, regexp_extract(test, '([0-9]+)$', 1)::INT AS num FROM holm",
+        n="SELECT 'H' || (num % 7 + 1) || '_' || num AS test, num, p_corrected, is_significant FROM m",
+    ),
+    "overall_correlations": _ctes(
+        "scores elos pairs ranks",
+        f"""SELECT benchmark_id, 'CW' AS category, {_marked("bf", _number("a"), "a < 0")} AS spearman_rho_overall, {_marked("bf", _number("b"), "b < 0")} AS kendall_tau_overall, 'N/A' AS rbo_overall FROM signed""",
+        s=_RHO,
+        q=_R,
+        signed="SELECT benchmark_id, CASE WHEN benchmark_id = 'PROMO' THEN -s.r ELSE s.r END AS a, CASE WHEN benchmark_id = 'PROMO' THEN -q.r ELSE q.r END AS b FROM s JOIN q USING (benchmark_id)",
+    ),
+    "reference_report": f"""WITH c AS (SELECT benchmark_id, d.difficulty AS x, reference_difficulty AS y FROM ({SQL["ref_difficulty"]}) f LEFT JOIN ({SQL["difficulty"]}) d USING (benchmark_id)
+), g AS (SELECT count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM c WHERE x IS NOT NULL AND y IS NOT NULL
+), tested AS ({_OF_R}
+), told AS (SELECT *, CASE WHEN n > 3 AND abs(r) < 1 THEN '[' || printf('%.3f', tanh(atanh(r) - 1.96 / sqrt(n - 3))) || ', ' || printf('%.3f', tanh(atanh(r) + 1.96 / sqrt(n - 3))) || ']' ELSE '[null, null]' END AS ci FROM tested)
+SELECT benchmark_id AS row, {_number("x", 1)} AS difficulty, {_number("y", 1)} AS reference_difficulty FROM c UNION ALL SELECT 'Pearson r', {_number("r")}, '' FROM told UNION ALL SELECT '95% CI', ci, '' FROM told
+UNION ALL SELECT 'p', CASE WHEN p IS NULL THEN 'N/A' WHEN p < 0.001 THEN printf('%.2e', p) ELSE printf('%.4f', p) END, '' FROM told""",
+    "report_summary": f"""WITH a AS ({_ctes("scores elos pairs ranks", "SELECT benchmark_id, n, r, p FROM tested", g=_RHO, tested=_OF_R)}
+), b AS (SELECT benchmark_id, tau, {_ERFC} AS q FROM (SELECT benchmark_id, tau, abs(z0) / sqrt(2) AS z FROM (SELECT benchmark_id, tau, z AS z0 FROM ({_KENDALL}) k) x) y
+), c AS ({SQL["rbo"]}
+), j AS (SELECT *, min(r) OVER () AS r0, min(tau) OVER () AS t0, min(rbo) OVER () AS o0 FROM a JOIN b USING (benchmark_id) JOIN c USING (benchmark_id))
+SELECT {_marked("it", "benchmark_id", "p > 0.05 AND q > 0.05")} AS benchmark, 'HP' AS category, n::VARCHAR AS n, {_marked("it", "(" + _marked("bf", _number("r"), "r = r0") + ")", "p > 0.05")} AS spearman,
+  {_marked("it", "(" + _marked("bf", _number("tau"), "tau = t0") + ")", "q > 0.05")} AS kendall, {_marked("bf", _number("rbo"), "rbo = o0")} AS rbo FROM j""",
+    "uncertainty_inputs": _ctes(
+        "scores category_elos",
+        """SELECT benchmark_id, model_id, score, round(sqrt(score / 100.0 * (1 - score / 100.0) / q) * 100, 8) AS score_sd, elo, elo / 20 AS elo_sd
+FROM scores JOIN counts USING (benchmark_id) JOIN category_elos USING (model_id) WHERE category = 'ASIA' AND score <= 100""",
+        counts="SELECT benchmark_id, count(*) AS q FROM scores GROUP BY 1",
+    ),
+    "figure_scale": f"SELECT benchmark_id, round(ln(p_size), 8) AS x, y FROM ({_FIGURES}) f",
+    "figure_complexity": f"SELECT benchmark_id, complexity, (p_size % 4 + 1)::INT AS x, y, round(median(y) OVER (PARTITION BY complexity), 8) AS group_median FROM ({_FIGURES}) f",
+    "figure_recency": f"SELECT benchmark_id, date_diff('day', DATE '2021-01-01', day)::INT AS x, y FROM ({_FIGURES}) f",
+    "figure_difficulty": f"SELECT benchmark_id, difficulty AS x, y, cv, cv > median(cv) OVER () AS high_variation FROM ({_FIGURES}) f WHERE benchmark_id <> 'Creative Writing v3'",
+    "csv_round_trip": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS s_acctbal FROM supplier",
+    "board_files": f"SELECT benchmark_id, name AS model_name, key + 0.5::DOUBLE AS score, (rank() OVER (PARTITION BY benchmark_id ORDER BY key DESC))::INT AS rank, row_number() OVER (PARTITION BY benchmark_id ORDER BY key) - 1 AS row_no FROM ({_BOARD_FILES}) b",
+    "source_csv": f"""SELECT benchmark_id, (row_number() OVER (PARTITION BY benchmark_id ORDER BY key) - 1)::INT AS row_no, name AS model, key || '.5%' AS score_text FROM ({_BOARD_FILES}) b
+UNION ALL SELECT benchmark_id, count(*)::INT, 'nobody', '--' FROM ({_BOARD_FILES}) b GROUP BY 1""",
+    "source_best_table": "SELECT 'ARC-AGI-2' AS benchmark_id, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS row_no, NULL::VARCHAR AS model, n_name AS team, n_nationkey::VARCHAR AS score_text FROM nation UNION ALL SELECT 'Other', 0, 'none', NULL, NULL",
+    "source_combined": "WITH r AS (SELECT *, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS row_no FROM nation) SELECT 'A' AS benchmark_id, row_no, n_name AS model_raw, n_regionkey::VARCHAR AS score_raw FROM r UNION ALL SELECT 'B (x)', row_no, n_name, n_nationkey || '%' FROM r",
+    "json_mapping": "SELECT (row_number() OVER (ORDER BY n_nationkey DESC) - 1)::INT AS pos, n_name AS model_name, 'id ' || n_regionkey AS model_id FROM nation",
+    "json_metadata": "SELECT n_name AS benchmark_id, n_nationkey::INT AS question_count, 'Math' AS category FROM nation WHERE n_nationkey % 4 <> 0",
+    "json_document": "SELECT n_name AS test, n_nationkey / 4.0::DOUBLE AS p, CASE WHEN n_regionkey > 1 THEN n_regionkey::BIGINT END AS region FROM nation",
+    "wide_csv": _with(
+        "scores",
+        "SELECT s_suppkey AS model_id, "
+        + ", ".join(f"max(score) FILTER (benchmark_id = '{t}') AS {t.lower()}" for t in ("ECONOMY", "LARGE", "PROMO"))
+        + " FROM supplier LEFT JOIN scores ON model_id = s_suppkey AND model_id % 5 > 0 GROUP BY 1",
+    ),
+    "benchmark_scores": _with("scores elos universe", "SELECT model_id, score, 2 AS columns FROM scores SEMI JOIN universe USING (model_id) WHERE benchmark_id = 'PROMO'"),
+    "model_list_csv": SQL["model_list"],
+    "cleaned_csv": f"SELECT benchmark_id, model_name, score, rank FROM ({SQL['clean_boards']}) c WHERE benchmark_id IN ('ECONOMY', 'LARGE', 'PROMO')",
+    "missing_names": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
+    "latex_table": _with(
+        "tests",
+        r"""SELECT '\begin{table}' || chr(10) || '\caption{Tests}' || chr(10) || '\label{tab:tests}' || chr(10) || '\begin{tabular}{ll}' || chr(10) || '\toprule' || chr(10) || 'Test & p \\' || chr(10) || '\midrule' || chr(10)
+  || string_agg(test || ' & ' || CASE WHEN p > 0.01 THEN printf('%.4f', p) ELSE 'N/A' END || ' \\', chr(10) ORDER BY test) || chr(10) || '\bottomrule' || chr(10) || '\end{tabular}' || chr(10) || '\end{table}' AS text FROM tests""",
+    ),
+}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning
 from tallyloom.operators.ranking import competition_rank, number_duplicates
+from tallyloom.operators.relational import small
 from tallyloom.sources import tables
 from tallyloom.sources.html import find_column
 
@@ -84,19 +85,22 @@ def raw_scores(df: DataFrame, path: str, benchmark: str, chosen: BoardColumns |
 def read_boards(spark: SparkSession, root: str, name: str = "data.csv", canonical: dict[str, str] | None = None) -> DataFrame:
     """Raw scores of every board below a folder; canonical: lower-case folder names to ids."""
     boards = []
-    for row in tables.discover(spark, root, name).collect():  # a row for each board file
-        encoding = tables.encoding_of(bytes(row["content"]))
+    for row in tables.encodings(tables.discover(spark, root, name)).orderBy("path").collect():  # a short row for each board file
         benchmark = (canonical or {}).get(row["benchmark_id"].lower(), row["benchmark_id"])
-        boards.append(raw_scores(tables.read_text_csv(spark, row["path"], encoding), row["path"], benchmark))
+        boards.append(raw_scores(tables.read_text_csv(spark, row["path"], row["encoding"]), row["path"], benchmark))
     if not boards:
         raise FileNotFoundError(f"no {name} below {root}")
     return reduce(DataFrame.unionByName, boards)
 
 
+def averaged_only(raw: DataFrame) -> DataFrame:
+    """Of the board with a row for each task the average alone; other boards whole."""
+    return raw.where((F.col("benchmark_id") != AVERAGED) | F.col("task_name").isNull() | (F.trim("task_name") == "Average"))
+
+
 def clean(raw: DataFrame) -> DataFrame:
     """(benchmark_id, model_name, score, rank, row_no) of raw scores; rows without model or score go."""
-    rows = raw.where((F.col("benchmark_id") != AVERAGED) | F.col("task_name").isNull() | (F.trim("task_name") == "Average"))
-    named = rows.select("benchmark_id", "row_no", cleaning.clean_model_name(F.col("model_raw"), F.col("source")).alias("model_name"), cleaning.scaled_score(F.col("benchmark_id"), cleaning.parse_score(F.col("score_raw"))).alias("score"))
+    named = averaged_only(raw).select("benchmark_id", "row_no", cleaning.clean_model_name(F.col("model_raw"), F.col("source")).alias("model_name"), cleaning.scaled_score(F.col("benchmark_id"), cleaning.parse_score(F.col("score_raw"))).alias("score"))
     kept = named.where(F.col("score").isNotNull() & (F.coalesce("model_name", F.lit("")) != ""))
     numbered = number_duplicates(kept, ["benchmark_id"], "model_name", ["row_no"])
     return competition_rank(numbered, ["benchmark_id"], "score").select("benchmark_id", "model_name", "score", "rank", "row_no")
@@ -104,7 +108,7 @@ def clean(raw: DataFrame) -> DataFrame:
 
 def review_duplicates(cleaned: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply a reviewer's (benchmark_id, model_name, action, new_name): "rename" or "drop", and rank anew."""
-    joined = cleaned.join(F.broadcast(decisions), ["benchmark_id", "model_name"], "left").where(F.coalesce("action", F.lit("")) != "drop")
+    joined = cleaned.join(small(decisions), ["benchmark_id", "model_name"], "left").where(F.coalesce("action", F.lit("")) != "drop")
     renamed = joined.withColumn("model_name", F.when(F.col("action") == "rename", F.col("new_name")).otherwise(F.col("model_name")))
     return competition_rank(renamed.drop("action", "new_name", "rank"), ["benchmark_id"], "score").select(*cleaned.columns)
 

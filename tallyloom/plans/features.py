@@ -21,12 +21,12 @@ def board_scores(cleaned: DataFrame, mapping: DataFrame, universe: DataFrame, le
     mapped = cleaned.join(mapping, ["benchmark_id", "model_name"]).select("benchmark_id", "model_id", "score")
     inside = relational.within(mapped, universe, ["model_id"])
     enough = relational.with_overlap(inside, ["benchmark_id"], least).select("benchmark_id")
-    return competition_rank(inside.join(F.broadcast(enough), "benchmark_id"), ["benchmark_id"], "score")
+    return competition_rank(inside.join(relational.small(enough), "benchmark_id"), ["benchmark_id"], "score")
 
 
 def paired(scores: DataFrame, elo: DataFrame, metadata: DataFrame) -> DataFrame:
     """Scores with the Elo of the benchmark's category (target "category") and of the overall board ("overall"); elo: (model_id, category, elo)."""
-    with_category = scores.join(F.broadcast(metadata.select("benchmark_id", "category")), "benchmark_id")
+    with_category = scores.join(relational.small(metadata.select("benchmark_id", "category")), "benchmark_id")
     own = with_category.join(elo, ["model_id", "category"]).select("benchmark_id", "model_id", "score", "rank", "elo", F.lit("category").alias("target"))
     overall = scores.join(elo.where(F.col("category") == OVERALL).drop("category"), "model_id").select("benchmark_id", "model_id", "score", "rank", "elo", F.lit("overall").alias("target"))
     return own.unionByName(overall)

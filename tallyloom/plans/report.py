@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import complexity_rank, day_number, format_pvalue, short_category
-from tallyloom.operators import agreement, ranking
+from tallyloom.operators import agreement, ranking, relational
 from tallyloom.plans.features import ELO_SCORED
 
 ALPHA = 0.05
@@ -108,7 +108,7 @@ def figure_recency(features: DataFrame, metric: str = "spearman_rho") -> DataFra
 
 def figure_difficulty(features: DataFrame, metric: str = "spearman_rho") -> DataFrame:
     """Difficulty against agreement, parted at the median coefficient of variation; without boards scored by Elo."""
-    rows = features.where(F.col("benchmark_id") != ELO_SCORED)
+    rows = relational.without(features, "benchmark_id", [ELO_SCORED])
     median = F.median("cv").over(Window.partitionBy())
     return rows.select("benchmark_id", F.col("difficulty").alias("x"), F.col(metric).alias("y"), "cv", (F.col("cv") > median).alias("high_variation"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning
-from tallyloom.operators import ranking, resampling
+from tallyloom.operators import ranking, relational, resampling
 
 TRIALS, LEAST_MODELS = 10_000, 5
 SCHEMA = "benchmark_id string, n long, simulated_rho double, ci_lower double, ci_upper double, nonpositive_fraction double, stable boolean"
@@ -20,18 +20,25 @@ def arena_with_sd(arena: DataFrame) -> DataFrame:
     return ranking.first_per_key(parsed.where(F.col("elo").isNotNull() & F.col("elo_sd").isNotNull()), ["category", "model_id"], [F.desc("row_no")]).drop("row_no")
 
 
+def in_range(df: DataFrame, score: str, name: str, low: float = 0.0, high: float = 100.0) -> DataFrame:
+    """The rows, if every score lies within the bounds; one outside is an error that names its row's `name`."""
+    outside = (F.col(score) < low) | (F.col(score) > high)
+    error = F.raise_error(F.concat(F.col(name).cast("string"), F.lit(f": a score is outside {low:g} to {high:g}")))
+    return df.withColumn(score, F.when(outside, error.cast(df.schema[score].dataType)).otherwise(F.col(score)))
+
+
 def inputs(scores: DataFrame, arena: DataFrame, metadata: DataFrame) -> DataFrame:
     """Common models of each benchmark and its category's arena, with both standard deviations; scores must be 0 to 100."""
-    meta = F.broadcast(metadata.select("benchmark_id", "category", "question_count"))
+    meta = relational.small(metadata.select("benchmark_id", "category", "question_count"))
     joined = scores.join(meta, "benchmark_id").join(arena, ["category", "model_id"])
-    valid = F.when((F.col("score") < 0) | (F.col("score") > 100), F.raise_error(F.concat(F.col("benchmark_id"), F.lit(": a score is outside 0 to 100")))).when(F.coalesce(F.col("question_count"), F.lit(0)) <= 0, F.raise_error(F.concat(F.col("benchmark_id"), F.lit(": no positive question count"))))
-    checked = joined.withColumn("score", F.coalesce(valid.cast("double"), F.col("score")))
+    uncounted = F.when(F.coalesce(F.col("question_count"), F.lit(0)) <= 0, F.raise_error(F.concat(F.col("benchmark_id"), F.lit(": no positive question count"))))
+    checked = in_range(joined, "score", "benchmark_id").withColumn("score", F.coalesce(uncounted.cast("double"), F.col("score")))
     return checked.withColumn("score_sd", resampling.binomial_sd(F.col("score"), F.col("question_count")))
 
 
 def simulate(rows: DataFrame, trials: int = TRIALS, seed: int = resampling.SEED) -> DataFrame:
-    """Every benchmark with a generator of its own, side by side."""
-    return resampling.uncertainty(rows, ["benchmark_id"], "model_id", "score", "score_sd", "elo", "elo_sd", trials, seed)
+    """Every benchmark with a generator of its own, side by side; fewer than LEAST_MODELS common models are an error."""
+    return resampling.uncertainty(rows, ["benchmark_id"], "model_id", "score", "score_sd", "elo", "elo_sd", trials, seed, LEAST_MODELS)
 
 
 def simulate_in_order(rows: DataFrame, order: DataFrame, trials: int = TRIALS, seed: int = resampling.SEED) -> DataFrame:
@@ -40,7 +47,7 @@ def simulate_in_order(rows: DataFrame, order: DataFrame, trials: int = TRIALS, s
     The stream is sequential, so this is one task, over at most a board's
     models for each benchmark; `simulate` is the form that scales.
     """
-    ordered = rows.join(F.broadcast(order.select("benchmark_id", "pos")), "benchmark_id").select("benchmark_id", "pos", "model_id", "score", "score_sd", "elo", "elo_sd").withColumn("all", F.lit(0))
+    ordered = rows.join(relational.small(order.select("benchmark_id", "pos")), "benchmark_id").select("benchmark_id", "pos", "model_id", "score", "score_sd", "elo", "elo_sd").withColumn("all", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng, out = np.random.default_rng(seed), []

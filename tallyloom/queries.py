@@ -8,15 +8,18 @@ are taken in whole cents, so that no result depends on the order of addition.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning, identity
 from tallyloom.operators import agreement, correction, ranking, regression, relational, resampling
-from tallyloom.plans import clean, match, report, uncertainty
-from tallyloom.sources import embedded_json, html, registry
+from tallyloom.plans import clean, hypotheses, match, report, uncertainty
+from tallyloom.session import scratch
+from tallyloom.sources import embedded_json, html, registry, sinks, tables
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 #: The revenue, in thousands, from which a supplier is studied, and the band of the difficulty measure.
@@ -88,7 +91,10 @@ def q_common_subset_between(spark, d):
 
 
 def q_filter_trim_equal(spark, d):
-    return read(spark, d, "orders").where(F.trim("o_orderstatus") == "F").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    """Parts as rows of boards, every other one on the board that has a row for each task."""
+    k = F.col("p_partkey") % 6
+    rows = read(spark, d, "part").select(F.when(k % 2 == 0, clean.AVERAGED).otherwise(F.col("p_type")).alias("benchmark_id"), F.when(k == 0, " Average ").when(k != 4, "Other").alias("task_name"))
+    return clean.averaged_only(rows).groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_filter_nonempty_score(spark, d):
@@ -97,7 +103,7 @@ def q_filter_nonempty_score(spark, d):
 
 
 def q_filter_exclude_id(spark, d):
-    return scores(spark, d).where(F.col("benchmark_id") != "ECONOMY").groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n"))
+    return relational.without(scores(spark, d), "benchmark_id", ["ECONOMY"]).groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_pairwise_complete(spark, d):
@@ -111,8 +117,8 @@ def q_filter_finite(spark, d):
 
 
 def q_range_check(spark, d):
-    outside = (F.col("l_discount") < 0) | (F.col("l_discount") > 100)
-    return read(spark, d, "lineitem").agg(F.count_if(outside).alias("n_outside"), F.count(F.lit(1)).alias("n"))
+    lines = uncertainty.in_range(read(spark, d, "lineitem").select("l_orderkey", "l_discount"), "l_discount", "l_orderkey")
+    return lines.agg(F.abs(F.min("l_discount")).alias("least"), F.max("l_discount").alias("most"), F.count(F.lit(1)).alias("n"))
 
 
 def q_overlap_having(spark, d):
@@ -132,9 +138,8 @@ def q_elo_outer_pivot(spark, d):
 def q_left_benchmark_wide(spark, d):
     types = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
     ranked = ranking.competition_rank(relational.within(scores(spark, d), universe(spark, d), ["model_id"]), ["benchmark_id"], "score")
-    wide = ranked.groupBy("model_id").pivot("benchmark_id", list(types)).agg(F.max("score").alias("score"), F.max("rank").alias("rank"))
-    named = wide.toDF("model_id", *[f"{t.lower()}_{k}" for t in types for k in ("score", "rank")])
-    return universe(spark, d).join(named, "model_id", "left")
+    wide = relational.left_wide(universe(spark, d), ranked, "model_id", "benchmark_id", ["score", "rank"], types)
+    return wide.toDF("model_id", *[f"{t.lower()}_{k}" for t in types for k in ("score", "rank")])
 
 
 def q_map_lookup_coalesce(spark, d):
@@ -143,18 +148,19 @@ def q_map_lookup_coalesce(spark, d):
 
 
 def q_inner_lookup_first(spark, d):
-    first = ranking.first_per_key(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate"), ["c_custkey"], ["o_orderdate", "o_orderkey"])
-    return read(spark, d, "customer").select("c_custkey", "c_name").join(first, "c_custkey").select("c_custkey", "c_name", "o_orderkey")
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    return relational.inner_first(read(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey", ["o_orderdate", "o_orderkey"], ["o_orderkey"])
 
 
 def q_intersection_keys(spark, d):
     a = scores(spark, d).where("benchmark_id = 'PROMO'").select("model_id")
-    return a.intersect(scores(spark, d).where("benchmark_id = 'ECONOMY' and score >= 53").select("model_id"))
+    return relational.common_keys(a, scores(spark, d).where("benchmark_id = 'ECONOMY' and score >= 53"), "model_id")
 
 
 def q_merge_back(spark, d):
     corrected = correction.holm(_tests(spark, d), [], "p", ["test"])
-    return _tests(spark, d).join(corrected.select("test", F.round("p_corrected", 10).alias("p_corrected"), "is_significant"), "test")
+    records = _tests(spark, d).withColumn("is_significant", F.lit(None).cast("boolean"))
+    return relational.merge_back(records, corrected.select("test", F.round("p_corrected", 10).alias("p_corrected"), "is_significant"), "test")
 
 
 def q_difficulty(spark, d):
@@ -202,8 +208,8 @@ def q_fraction(spark, d):
 
 
 def q_match_statistics(spark, d, whole=False):
-    counts = _candidates(spark, d, whole).groupBy("name").agg(F.count("candidate").alias("n"))
-    return counts.agg(F.count_if(F.col("n") > 0).alias("matched"), F.count_if(F.col("n") == 0).alias("unmatched"), F.count_if(F.col("n") > 1).alias("several"))
+    found = _candidates(spark, d, whole)
+    return match.statistics(found.select(F.lit("parts").alias("benchmark_id"), F.col("name").alias("model_name"), F.col("candidate").alias("lmarena_model")))
 
 
 def q_match_statistics_all(spark, d):
@@ -284,6 +290,16 @@ def q_spearman_pvalue(spark, d):
     return agreement.with_t_pvalue(rho, "rho", "n", "pvalue").select("benchmark_id", "n", _r("rho"), _r("pvalue"))
 
 
+def q_pearson_pvalue(spark, d):
+    r = agreement.pearson(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
+    return agreement.with_t_pvalue(r, "r", "n", "pvalue").select("benchmark_id", "n", _r("r"), _r("pvalue"))
+
+
+def q_kendall_pvalue(spark, d):
+    tau = agreement.kendall(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
+    return agreement.with_kendall_pvalue(tau).select("benchmark_id", _r("tau"), _r("pvalue", 6))
+
+
 def q_pearson(spark, d):
     return agreement.pearson(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", "n", _r("r"))
 
@@ -325,7 +341,7 @@ def q_kruskal_pvalue(spark, d):
 
 def q_huber(spark, d):
     found = regression.huber_by_group(scores_with_elo(spark, d), ["benchmark_id"], ["elo"], "score")
-    return found.select("benchmark_id", "term", _r("coefficient"), _r("pvalue"))
+    return found.select("benchmark_id", "term", _r("coefficient", 6), _r("pvalue"))
 
 
 def _tests(spark, d):
@@ -390,7 +406,8 @@ def q_parse_score(spark, d):
 
 
 def q_scale_score(spark, d):
-    return scores(spark, d).select("benchmark_id", "model_id", F.when(F.col("benchmark_id").isin("PROMO", "SMALL"), F.col("score") * 100).otherwise(F.col("score")).alias("scaled"))
+    named = F.when(F.col("benchmark_id") == "PROMO", "GPQA").when(F.col("benchmark_id") == "SMALL", "IFEval").otherwise(F.col("benchmark_id"))
+    return scores(spark, d).select(named.alias("benchmark_id"), "model_id", cleaning.scaled_score(named, F.col("score")).alias("scaled"))
 
 
 def q_strip_prefix(spark, d):
@@ -427,6 +444,25 @@ def q_json_field(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+def q_ordinal_map(spark, d):
+    k = F.col("c_custkey") % 5
+    level = F.when(k == 0, "Applying").when(k == 1, "Analyzing").when(k == 2, "Evaluating").when(k == 3, "Creating")
+    return read(spark, d, "customer").select("c_custkey", cleaning.complexity_rank(level).alias("level"))
+
+
+def q_category_to_elo(spark, d):
+    names = F.array(*map(F.lit, cleaning.CATEGORY_COLUMNS))
+    category = F.get(names, (F.col("c_custkey") % 7).cast("int"))
+    return read(spark, d, "customer").select("c_custkey", cleaning.category_column(category).alias("elo_column"), cleaning.short_category(category).alias("short"))
+
+
+def q_clean_model_name(spark, d):
+    k = F.col("p_partkey") % 3
+    source = F.when(k == 0, "raw/vals_ai/x").when(k == 1, "raw/Selenium/x").otherwise("raw/lmarena/x")
+    made = F.concat(F.lit(" openai/"), F.col("p_name"), F.lit("Mistral AI "))
+    return read(spark, d, "part").select("p_partkey", cleaning.clean_model_name(made, source).alias("name"))
+
+
 # 2.11: matching
 
 
@@ -434,14 +470,24 @@ def _named(spark, d):
     """Part names as models: the first word is the family, the number of words modulo 3 the version, brand the parameter."""
     words = F.split(F.lower("p_name"), r"[\s#]+")
     n = F.col("p_size") % 3
-    return read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), words.alias("tokens"), F.element_at(words, 1).alias("family"), F.when(n > 0, n).alias("version"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("parameters"))
+    first, day = F.element_at(words, 1), F.col("p_size") % 5
+    return read(spark, d, "part").select(
+        "p_partkey",
+        F.col("p_name").alias("name"),
+        words.alias("tokens"),
+        first.alias("family"),
+        F.when(n > 0, n).alias("version"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("parameters"),
+        F.when(day > 0, F.concat(F.when(day < 3, "2025-0").otherwise("2024-0"), day.cast("string"))).alias("date"),
+        F.when(F.col("p_partkey") % 4 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 0, first).otherwise(F.array_join(words, "-")).alias("subfamily"),
+    )
 
 
 def _candidates(spark, d, whole):
     """Pairs of matching parts: of all parts with unequal ids, or the tenths that the SQL of the queries without `_all` names."""
     rows = _named(spark, d)
-    left = (rows if whole else rows.where("p_partkey % 10 = 0")).select("name", "tokens", "family", "version", "parameters", F.col("p_partkey").alias("key"))
-    right = (rows if whole else rows.where("p_partkey % 10 = 1")).select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("p_partkey").alias("c_key"))
+    left = (rows if whole else rows.where("p_partkey % 10 = 0")).select("name", "tokens", "family", "version", "parameters", "date", "subfamily", F.col("p_partkey").alias("key"))
+    right = (rows if whole else rows.where("p_partkey % 10 = 1")).select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("date").alias("c_date"), F.col("subfamily").alias("c_subfamily"), F.col("p_partkey").alias("c_key"))
     either = left["parameters"].isNull() | right["c_parameters"].isNull() | (F.lower(left["parameters"]) == F.lower(right["c_parameters"]))
     either = either & (left["key"] != right["c_key"]) if whole else either
     return relational.null_safe_match(left, right, [("family", "c_family"), ("version", "c_version")], either)
@@ -456,9 +502,9 @@ def q_null_safe_match_all(spark, d):
 
 
 def q_match_top1_similarity(spark, d, whole=False):
-    mine, theirs = identity.normal_tokens(F.col("tokens")), identity.normal_tokens(F.col("c_tokens"))
-    jaccard = F.size(F.array_intersect(mine, theirs)) / F.size(F.array_union(mine, theirs))
-    rows = _candidates(spark, d, whole).select("key", "c_key", F.round(jaccard, 10).alias("similarity"))
+    info = lambda c: F.struct(*[F.col(c + f).alias(f) for f in ("family", "subfamily", "date", "parameters")], F.col(c + "tokens").alias("other_info"))
+    like = identity.similarity(info(""), info("c_"))
+    rows = _candidates(spark, d, whole).select("key", "c_key", F.round(like, 10).alias("similarity"))
     return ranking.best_candidate(rows, ["key"], "similarity", ["c_key"])
 
 
@@ -467,7 +513,22 @@ def q_match_top1_similarity_all(spark, d):
 
 
 def q_parse_identity(spark, d):
-    return identity.identities(read(spark, d, "part").select("p_name"), "p_name").select("p_name", "info.family", "info.version", "info.parameters", "info.date")
+    """Names of six forms, made of the sizes of parts."""
+    k, a, b, c = F.col("p_partkey") % 6, F.col("p_size") % 6 + 1, F.col("p_size") % 9 + 1, F.col("p_size") % 3
+    text = lambda x: x.cast("string")
+    name = F.when(k == 0, F.concat(F.lit("gpt-"), text(b), F.lit("-pro-2025-01-1"), text(c)))
+    name = name.when(k == 1, F.concat(F.lit("Qwen"), text(a), F.when(c == 0, "-Coder 70B").when(c == 1, "-coder 80 B").otherwise(" Coder 7B")))
+    name = name.when(k == 2, F.concat(F.lit("claude-opus-4-"), text(b), F.lit("-20250805-thinking")))
+    name = name.when(k == 3, F.concat(F.lit("o"), text(F.col("p_size") % 5 + 1), F.lit("-mini-high")))
+    name = name.when(k == 4, F.concat(F.lit("google/gemini-"), text(a), F.lit(".5-flash-lite non thinking")))
+    names = read(spark, d, "part").select(name.otherwise(F.concat(F.lit("mystery thing "), text(b))).alias("name"))
+    return identity.identities(names, "name").select("name", "info.family", "info.subfamily", "info.version", "info.date", "info.parameters", F.array_join("info.other_info", " ").alias("other_info"))
+
+
+def q_norm_version(spark, d):
+    k = F.col("p_partkey") % 4
+    made = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, F.concat(F.col("p_size").cast("string"), F.lit(".0"))).when(k == 2, F.concat(F.col("p_size").cast("string"), F.lit(".5"))).otherwise("x")
+    return read(spark, d, "part").select("p_partkey", identity.normal_version(made).alias("version"))
 
 
 # 2.12: report columns
@@ -479,9 +540,10 @@ def q_report_format_p(spark, d):
 
 
 def q_fig1_ranks(spark, d):
-    rows = scores_with_elo(spark, d).where("benchmark_id = 'PROMO'")
-    both = ranking.midrank(ranking.midrank(rows, [], "score", "score_rank", True), [], "elo", "elo_rank", True)
-    return both.select("model_id", "score_rank", "elo_rank")
+    text = F.col("model_id").cast("string").alias("model_id")
+    names = read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("model_id"), F.col("s_name").alias("display_name"))
+    board = scores(spark, d).select("benchmark_id", text, "score")
+    return report.check_rank_pairs(report.rank_pairs(board, elo(spark, d).select(text, "elo"), "PROMO", names))
 
 
 # 2.1, 2.2 and the steps: pages and documents are made from the tables, so that their rows are known
@@ -564,4 +626,166 @@ def q_report_summary(spark, d):
     return report.correlation_summary(rho.join(tau, "benchmark_id").join(overlap, "benchmark_id").withColumn("category", F.lit("Hard Prompts")))
 
 
+def q_conclusions(spark, d):
+    """A sentence on each of the tests, their effect sizes of all kinds."""
+    kinds = F.array(*map(F.lit, ("beta_coefficient", "spearman_rho", "pearson_r", "r_squared", "median_difference", "another")))
+    tests = correction.holm(_tests(spark, d), [], "p", ["test"])
+    at = F.regexp_extract("test", "([0-9]+)$", 1).cast("int")
+    rows = tests.select(F.concat(F.lit("H"), (at % 7 + 1).cast("string"), F.lit("_"), at.cast("string")).alias("test"), F.when(at != 3, F.col("p")).alias("p_raw"), "p_corrected", "is_significant", F.when(at % 5 > 0, at / 8.0).alias("effect_size"), F.get(kinds, at % 6).alias("effect_size_type"))
+    return rows.select("test", report.hypothesis_name(F.col("test")).alias("name"), hypotheses.conclusion().alias("conclusion"))
+
+
+def q_overall_correlations(spark, d):
+    rows = scores_with_elo(spark, d).withColumn("elo", F.when(F.col("benchmark_id") == "PROMO", -F.col("elo")).otherwise(F.col("elo")))
+    rho = agreement.spearman(rows, ["benchmark_id"], "score", "elo").select("benchmark_id", F.col("rho").alias("spearman_rho_overall"))
+    r = agreement.pearson(rows, ["benchmark_id"], "score", "elo").select("benchmark_id", F.col("r").alias("kendall_tau_overall"))
+    return report.overall_correlations(rho.join(r, "benchmark_id").withColumns({"rbo_overall": F.lit(None).cast("double"), "category": F.lit("Creative Writing")}))
+
+
+def q_reference_report(spark, d):
+    both = relational.reference_difficulty(scores(spark, d), ["benchmark_id"], "model_id", "score", (1, 2, 3)).join(relational.difficulty(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo", *BAND), "benchmark_id", "left")
+    return report.reference_difficulties(both.select("benchmark_id", "difficulty", "reference_difficulty"))
+
+
+def q_uncertainty_inputs(spark, d):
+    board = scores(spark, d).where("score <= 100").select("benchmark_id", "model_id", "score")
+    arena = category_elo(spark, d).withColumn("elo_sd", F.col("elo") / 20)
+    metadata = scores(spark, d).groupBy("benchmark_id").agg(F.lit("ASIA").alias("category"), F.count(F.lit(1)).alias("question_count"))
+    return uncertainty.inputs(board, arena, metadata).select("benchmark_id", "model_id", "score", _r("score_sd"), "elo", "elo_sd")
+
+
+def _figures(spark, d):
+    """Parts as benchmarks."""
+    levels = F.array(*map(F.lit, cleaning.COMPLEXITY))
+    day = F.when(F.col("p_size") % 7 == 0, "2025-02-31").otherwise(F.concat(F.lit("2025-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0")))
+    return read(spark, d, "part").select(F.when(F.col("p_partkey") % 50 == 0, "Creative Writing v3").otherwise(F.col("p_partkey").cast("string")).alias("benchmark_id"), F.col("p_size").alias("question_count"), F.get(levels, F.col("p_size") % 4).alias("complexity"), day.alias("release_date"), F.col("p_retailprice").alias("spearman_rho"), (F.col("p_size") * 2.0).alias("difficulty"), (F.col("p_size") / 64.0).alias("cv"))
+
+
+def q_figure_scale(spark, d):
+    return report.figure_scale(_figures(spark, d)).select("benchmark_id", _r("x"), "y")
+
+
+def q_figure_complexity(spark, d):
+    return report.figure_complexity(_figures(spark, d)).select("benchmark_id", "complexity", "x", "y", _r("group_median"))
+
+
+def q_figure_recency(spark, d):
+    return report.figure_recency(_figures(spark, d))
+
+
+def q_figure_difficulty(spark, d):
+    return report.figure_difficulty(_figures(spark, d))
+
+
+# 2.1 and 2.2: files are written to a shared folder and read back
+
+
+def q_csv_round_trip(spark, d):
+    path = scratch(spark, "csv")
+    rows = read(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal")).alias("s_acctbal"))
+    sinks.write_csv(rows, path, ["s_suppkey"])
+    return tables.require_columns(tables.read_csv(spark, path, "s_suppkey long, s_name string, s_acctbal double"), ["s_suppkey", "s_acctbal"])
+
+
+def _write_boards(spark, d):
+    """A data.csv for each region with its nations as models, that of region 0 in GBK; five files of a few lines."""
+    root, files = scratch(spark, "boards"), {}
+    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").select("r_name", "n_regionkey", "n_nationkey", "n_name").collect()
+    for r in rows:
+        files.setdefault((r.r_name, r.n_regionkey), []).append(f'"{"模型 " if r.n_regionkey == 0 else ""}{r.n_name}",{r.n_nationkey}.5%')
+    for (name, key), lines in files.items():
+        sinks.write_text(spark, "\n".join(["Model,Final Score", *lines, "nobody,--", ""]), f"{root}/raw/{name} board/data.csv", "gbk" if key == 0 else "utf-8")
+    return f"{root}/raw"
+
+
+def q_board_files(spark, d):
+    """Boards of two encodings found below a folder, read and cleaned."""
+    return clean.clean(clean.read_boards(spark, _write_boards(spark, d)))
+
+
+def q_source_csv(spark, d):
+    """The same files by the registered source."""
+    return html.wide(registry.read_source("csv", spark, _write_boards(spark, d)), ["Model", "Final Score"]).select("benchmark_id", "row_no", F.col("Model").alias("model"), F.col("Final Score").alias("score_text"))
+
+
+def q_source_best_table(spark, d):
+    """A saved page for each of two boards, of which one wants other columns than the default."""
+    root = scratch(spark, "pages")
+    cells = [(r.n_nationkey, r.n_name) for r in read(spark, d, "nation").orderBy("n_nationkey").collect()]
+    one = "<table><tr><th>Model</th></tr><tr><td>none</td></tr></table>"
+    two = "<table><tr><th>Team</th><th>Score</th></tr>" + "".join(f"<tr><td>{n}</td><td>{k}</td></tr>" for k, n in cells) + "</table>"
+    for board in ("ARC-AGI-2", "Other"):
+        sinks.write_text(spark, f"<html>{one}{two}</html>", f"{root}/{board}/page.html")
+    found = registry.read_source("best_table", spark, root)
+    return html.wide(found, ["Model", "Team", "Score"]).select("benchmark_id", "row_no", F.col("Model").alias("model"), F.col("Team").alias("team"), F.col("Score").alias("score_text"))
+
+
+def q_source_combined(spark, d):
+    """A table with a column for each board, split to boards."""
+    root = scratch(spark, "combined")
+    lines = [f"{r.n_name},{r.n_regionkey},{r.n_nationkey}%" for r in read(spark, d, "nation").orderBy("n_nationkey").collect()]
+    sinks.write_text(spark, "\n".join(["Model,A,B (x)", *lines]), f"{root}/data.csv")
+    return registry.read_source("combined", spark, root).select("benchmark_id", F.col("row_no").cast("int").alias("row_no"), "model_raw", "score_raw")
+
+
+def q_json_mapping(spark, d):
+    path = f"{scratch(spark, 'mapping')}/map.json"
+    names = {r.n_name: f"id {r.n_regionkey}" for r in read(spark, d, "nation").orderBy(F.desc("n_nationkey")).collect()}
+    sinks.write_text(spark, json.dumps(names), path)
+    return tables.read_mapping(spark, path)
+
+
+def q_json_metadata(spark, d):
+    path = f"{scratch(spark, 'metadata')}/meta.json"
+    entries = [{"benchmark_id": r.n_name, "question_count": r.n_nationkey, "category": "Math", **({"elo_column": "e"} if r.n_nationkey % 4 == 0 else {})} for r in read(spark, d, "nation").collect()]
+    sinks.write_text(spark, json.dumps([{"meta_info": {"version": 1}}, *entries]), path)
+    return tables.read_metadata(spark, path).select("benchmark_id", "question_count", "category")
+
+
+def q_json_document(spark, d):
+    """A document written and its entries read back, nulls left out."""
+    path = f"{scratch(spark, 'document')}/out.json"
+    rows = read(spark, d, "nation").select(F.col("n_name").alias("test"), (F.col("n_nationkey") / 4.0).alias("p"), F.when(F.col("n_regionkey") > 1, F.col("n_regionkey")).alias("region"))
+    sinks.write_json_document(rows, "test", path)
+    return tables.read_json_map(spark, path).select(F.col("key").alias("test"), F.expr("try_variant_get(value, '$.p', 'double')").alias("p"), F.expr("try_variant_get(value, '$.region', 'long')").alias("region"))
+
+
+def q_wide_csv(spark, d):
+    """All suppliers as models, those without a board too, with a column for each board, by way of a file."""
+    path, types = scratch(spark, "wide"), ("ECONOMY", "LARGE", "PROMO")
+    models = read(spark, d, "supplier").select(F.col("s_suppkey").alias("model_id"))
+    sinks.write_wide(models, scores(spark, d).where("model_id % 5 > 0"), "model_id", "benchmark_id", ["score"], types, path)
+    return tables.read_csv(spark, path, "model_id long, " + ", ".join(f"{t}_score double" for t in types)).toDF("model_id", "economy", "large", "promo")
+
+
+def q_benchmark_scores(spark, d):
+    """Scores of one benchmark out of the wide table, by its sanitised id, and how many score columns there are."""
+    wide = relational.left_wide(universe(spark, d), scores(spark, d), "model_id", "benchmark_id", ["score"], ("ECONOMY", "PROMO")).withColumnRenamed("PROMO_score", "promo_x_score").withColumn("elo_all_score", F.lit(1.0))
+    columns = relational.score_columns(wide.columns)
+    return relational.benchmark_scores(wide, "model_id", "promo (x)", "promo_x").withColumn("columns", F.lit(len(columns)))
+
+
+def q_model_list_csv(spark, d):
+    path = scratch(spark, "models")
+    sinks.write_model_list(clean.model_list(_raw_board(spark, d)), path)
+    return tables.read_csv(spark, path, "model_name string")
+
+
+def q_cleaned_csv(spark, d):
+    """Cleaned boards as CSV files, a folder for each benchmark, read back board by board."""
+    path = scratch(spark, "cleaned")
+    sinks.write_cleaned(clean.clean(_raw_board(spark, d)), path, "csv")
+    read_board = lambda t: tables.read_cleaned(spark, f"{path}/benchmark_id={t}").withColumn("benchmark_id", F.lit(t))
+    return reduce(DataFrame.unionByName, map(read_board, ("ECONOMY", "LARGE", "PROMO"))).select("benchmark_id", "model_name", "score", "rank")
+
+
+def q_missing_names(spark, d):
+    return tables.missing_names(read(spark, d, "nation").select(F.col("n_nationkey").alias("k")), read(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k")), "k")
+
+
+def q_latex_table(spark, d):
+    rows = _tests(spark, d).orderBy("test").select("test", cleaning.format_pvalue(F.when(F.col("p") > 0.01, F.col("p"))).alias("p"))
+    return spark.createDataFrame([(sinks.latex_table(rows, {"test": "Test", "p": "p"}, "Tests", "tab:tests"),)], "text string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +20,15 @@ def session(app: str = "tallyloom", master: str | None = None, shuffle_partition
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own that driver and executors share: below spark.checkpoint.dir, or where that is unset a local session's temporary folder."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where and context.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{where or tempfile.mkdtemp(prefix='tallyloom-')}/{name}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources import embedded_json, html
+from tallyloom.sources import embedded_json, html, tables
 
 Reader = Callable[[SparkSession, str], DataFrame]
 READERS: dict[str, Reader] = {}
 
+# The folder of raw data that each way of getting boards fills.
+PATHS = {"lmarena": "raw/lmarena", "artificial_analysis": "raw/artificial_analysis", "vals_ai": "raw/vals_ai", "frontiermath": "raw/frontiermath", "pandas_read_html": "raw/pandas_read_html", "selenium": "raw/selenium"}
+
 #: Columns that a browsed page's table should have, by folder; the default is overlaid.
 BROWSED = {"default": ("Model",), "arc_agi_2": ("Team", "Score"), "swe_bench_verified": ("Model", "Resolved"), "swe_bench_bash_only": ("Model", "Resolved")}
 
@@ -38,7 +43,34 @@ def _tables(mode: str) -> Reader:
 
 
 def required_columns(benchmark: str) -> tuple[str, ...]:
-    return BROWSED.get(benchmark, BROWSED["default"])
+    """The columns that a board's table should have; its folder may be spelled with blanks, signs and capitals."""
+    return BROWSED.get(re.sub(r"[^a-z0-9]+", "_", benchmark.lower()).strip("_"), BROWSED["default"])
+
+
+def browsed_tables(pages: DataFrame, key: str = "benchmark_id", content: str = "content") -> DataFrame:
+    """Rows of each page's best table by the columns that its board requires."""
+    folder = F.trim(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), F.lit("_"))
+    own = {columns: [k for k, c in BROWSED.items() if c == columns and k != "default"] for columns in dict.fromkeys(BROWSED.values())}
+    named = [k for k in BROWSED if k != "default"]
+    parts = []
+    for columns, folders in own.items():
+        mine = folder.isin(*folders) if folders else F.lit(False)
+        mine = mine | ~folder.isin(*named) if columns == BROWSED["default"] else mine
+        parts.append(html.html_rows(pages.where(mine), key, content, "best", columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _listed_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The first table at each address; the folder's urls.json maps benchmarks to addresses."""
+    listed = tables.read_mapping(spark, f"{folder}/urls.json").collect()  # a row for each board
+    return reduce(DataFrame.unionByName, [read_url(spark, r.model_name, r.model_id) for r in listed])
+
+
+def _combined(spark: SparkSession, folder: str) -> DataFrame:
+    """(benchmark_id, row_no, model_raw, score_raw) of the folder's data.csv, with a board for each column that isn't the model's."""
+    frame = tables.read_text_csv(spark, f"{folder}/data.csv")
+    model = next((c for c in ("Model", "model") if c in frame.columns), frame.columns[0])
+    return split_boards(frame, {c: c for c in frame.columns if c not in (model, "row_no")}, model)
 
 
 def read_url(spark: SparkSession, benchmark: str, url: str) -> DataFrame:
@@ -60,6 +92,9 @@ def split_boards(combined: DataFrame, boards: dict[str, str], model: str = "Mode
 
 
 register_source("first_table", _tables("first"))
-register_source("best_table", _tables("best"))
+register_source("best_table", lambda spark, folder: browsed_tables(_saved(spark, folder)))
+register_source("csv", tables.read_board_files)
+register_source("combined", _combined)
+register_source("url", _listed_urls)
 register_source("css_rows", _tables("css"))
 register_source("embedded_json", lambda spark, folder: embedded_json.metric_rows(_saved(spark, folder), "benchmark_id", "content"))

@@ -9,13 +9,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators.relational import left_wide
+
 #: Rows up to which a result is a document of the driver's.
 DOCUMENT_ROWS = 1_000_000
 
 
-def write_cleaned(df: DataFrame, path: str) -> None:
-    """Cleaned boards as Parquet, a folder for each benchmark, the best score first."""
-    df.repartition("benchmark_id").sortWithinPartitions("benchmark_id", F.desc("score"), "row_no").drop("row_no").write.partitionBy("benchmark_id").mode("overwrite").parquet(path)
+def write_cleaned(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Cleaned boards as Parquet or CSV, a folder for each benchmark, the best score first."""
+    rows = df.repartition("benchmark_id").sortWithinPartitions("benchmark_id", F.desc("score"), "row_no").drop("row_no")
+    rows.write.partitionBy("benchmark_id").mode("overwrite").format(form).options(**({"header": "true", "lineSep": "\n"} if form == "csv" else {})).save(path)
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
@@ -28,10 +31,9 @@ def write_model_list(df: DataFrame, path: str) -> None:
     write_csv(df.select("model_name").distinct(), path, ["model_name"])
 
 
-def write_wide(long: DataFrame, key: str, category: str, values: Sequence[str], categories: Sequence[str], path: str) -> None:
-    """A row for each key and, for each category, a column of each value."""
-    wide = long.groupBy(key).pivot(category, list(categories)).agg(*[F.max(v).alias(v) for v in values])
-    write_csv(wide, path, [key])
+def write_wide(keys: DataFrame, long: DataFrame, key: str, category: str, values: Sequence[str], categories: Sequence[str], path: str) -> None:
+    """A row for each of `keys`, whether `long` has it or not, and, for each category, a column of each value."""
+    write_csv(left_wide(keys, long, key, category, values, categories), path, [key])
 
 
 def _plain(value: Any) -> Any:
@@ -42,12 +44,12 @@ def _plain(value: Any) -> Any:
     return value
 
 
-def write_text(spark: SparkSession, text: str, path: str) -> None:
+def write_text(spark: SparkSession, text: str, path: str, encoding: str = "utf-8") -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
     try:
-        stream.write(bytearray(text.encode("utf-8")))
+        stream.write(bytearray(text.encode(encoding)))
     finally:
         stream.close()
 

@@ -1,13 +1,17 @@
 """CSV and JSON sources.
 
-Small files of unknown encoding and columns are looked at on the driver, one
-reading of their first bytes each; the rows themselves are read by Spark.
+The encoding of files is found by the executors that hold their bytes; the
+rows themselves are read by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +39,57 @@ def discover(spark: SparkSession, root: str, name: str = "data.csv") -> DataFram
     return files.select("path", benchmark_id_from_path(F.col("path")).alias("benchmark_id"), "content").orderBy("path")
 
 
+def encodings(files: DataFrame) -> DataFrame:
+    """(path, benchmark_id, encoding) of discovered files; a file that no encoding decodes is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [encoding_of(raw) for raw in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["path", "benchmark_id", "encoding"])
+
+    return files.select("path", "benchmark_id", "content").mapInArrow(run, "path string, benchmark_id string, encoding string")
+
+
 def read_text_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All columns as text, with row_no in file order; the encoding is found by trial unless given."""
     if encoding is None:
-        encoding = encoding_of(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+        files = spark.read.format("binaryFile").load(path).select("path", F.lit("").alias("benchmark_id"), "content")
+        encoding = encodings(files).first()["encoding"]
+    if encoding != "utf-8":  # Spark's own reader knows none of the others by name
+        return _decoded_csv(spark, path, encoding)
     reader = spark.read.option("header", "true").option("inferSchema", "false").option("encoding", encoding).option("multiLine", "true").option("escape", '"')
     # one file, read by one task: ids increase in its order
     return reader.csv(path).coalesce(1).withColumn("row_no", F.monotonically_increasing_id())
 
 
+def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The same for a file that an executor decodes; blanks are null, as there."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                rows = [[c or None for c in r] for r in csv.reader(io.StringIO(raw.decode(encoding), newline="")) if r]
+                yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(rows) - 1), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["row_no", "cells"])
+
+    rows = files.mapInArrow(run, "row_no long, cells array<string>")
+    head = rows.where("row_no = -1").first()
+    names = [c or f"_c{i}" for i, c in enumerate(head["cells"] if head else [])]
+    return rows.where("row_no >= 0").select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)], "row_no")
+
+
+def read_board_files(spark: SparkSession, root: str, name: str = "data.csv") -> DataFrame:
+    """(benchmark_id, row_no, cells) of every file of that name below `root`, each in its own encoding; cells: a map of text by column."""
+    parts = []
+    for row in encodings(discover(spark, root, name)).orderBy("path").collect():  # a short row for each board file
+        frame = read_text_csv(spark, row["path"], row["encoding"])
+        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in frame.columns if c != "row_no"]), F.array(*[F.col(f"`{c}`") for c in frame.columns if c != "row_no"]))
+        parts.append(frame.select(F.lit(row["benchmark_id"]).alias("benchmark_id"), F.col("row_no").cast("int").alias("row_no"), cells.alias("cells")))
+    if not parts:
+        raise FileNotFoundError(f"no {name} below {root}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "utf-8") -> DataFrame:
     """Typed columns; NaN and blanks are null."""
     frame = spark.read.schema(schema).option("header", "true").option("nullValue", "NaN").option("encoding", encoding).option("escape", '"').csv(path)
@@ -65,7 +111,7 @@ def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     """(pos, key, value) of a JSON object's entries in document order; value is a variant."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = F.map_entries(F.from_json("value", "map<string,variant>"))
     return whole.select(F.posexplode(entries).alias("pos", "e")).select("pos", "e.key", "e.value")
 

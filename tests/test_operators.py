@@ -1,6 +1,7 @@
 """Operators against hand-made cases, plain Python and DuckDB."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -105,23 +106,60 @@ def test_agreement_on_a_permutation(spark):
     assert p == pytest.approx(0.10408803866182788)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.permutations(list(range(8))))
-def test_overlap_of_lists(order):
-    same = agreement.rbo_lists(list(range(8)), list(range(8)))
-    assert same == pytest.approx(1.0)
-    assert 0 <= agreement.rbo_lists(list(range(8)), order) <= same + 1e-12
+def test_wide_tables_keep_keys_without_a_category(spark):
+    keys, long = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "a", 5.0), (3, "b", None), (9, "a", 1.0)], "k int, c string, v double")
+    wide = relational.left_wide(keys, long, "k", "c", ["v"], ["a", "b"])
+    assert sorted(map(tuple, wide.collect())) == [(1, 5.0, None), (2, None, None), (3, None, None)]
+    assert relational.score_columns(["x_score", "elo_y_score", "score"]) == ["x_score"]
+    scores = lambda name: sorted(map(tuple, relational.benchmark_scores(wide.withColumnRenamed("a_v", "a_b_score"), "k", name, "a_b").collect()))
+    assert scores("a b") == [(1, 5.0)] and scores("a_b") == [(1, 5.0)]
+    assert relational.benchmark_scores(wide, "k", "none", "no_ne").count() == 0
 
 
-def test_overlap_contract_and_frame(spark):
-    assert agreement.rbo_lists([], []) == 1.0
-    for first, second, p in (([1, 1], [1, 2], 0.9), ([1], [1, 2], 0.9), ([1], [1], 1.0)):
-        with pytest.raises(ValueError):
-            agreement.rbo_lists(first, second, p)
-    a, b = [3, 1, 4, 2, 5], [1, 3, 5, 4, 2]
-    df = spark.createDataFrame([("g", m, a.index(m) + 1, b.index(m) + 1) for m in a], "g string, m int, a int, b int")
-    got = agreement.rbo(df, ["g"], "a", "b").first()
-    assert got.k == 5 and got.rbo == pytest.approx(agreement.rbo_lists(a, b))
+def test_keys_and_records(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string"), spark.createDataFrame([(2, "new", 1), (3, "w", 2), (2, "old", 0)], "k int, v string, o int")
+    assert [r.k for r in relational.without(a, "k", [1]).collect()] == [2, None]
+    assert [r.k for r in relational.common_keys(a, b, "k").collect()] == [2]
+    assert [tuple(r) for r in relational.inner_first(a.select("k"), b, "k", ["o"], ["v"]).collect()] == [(2, "old")]
+    assert [tuple(r) for r in relational.merge_back(a, b.where("o = 1"), "k").collect()] == [(2, "new", 1)]
+
+
+def test_simulations_draw_the_same_in_parts(monkeypatch):
+    x = np.linspace(20, 80, 15)
+    whole = resampling.monte_carlo(x, np.full(15, 5.0), x * 10, np.full(15, 40.0), 500, np.random.default_rng(1))
+    monkeypatch.setattr(resampling, "NUMBERS", 100)
+    assert (resampling.monte_carlo(x, np.full(15, 5.0), x * 10, np.full(15, 40.0), 500, np.random.default_rng(1)) == whole).all()
+
+
+def test_entry_leaves_out_what_misses_a_library():
+    import __spark_entry__ as entry
+
+    def missing(name):
+        def load():
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+        return load
+
+    assert entry._optional(missing("tallyloom.llm")) == {} == entry._optional(missing("corpus_pipeline"))
+    with pytest.warns(UserWarning, match="left out"):
+        assert entry._optional(missing("xxhash")) == {}
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional(missing("tallyloom.operators.gone"))
+
+
+def test_overlap_equals_its_definition(spark):
+    draw, rows, want = random.Random(3), [], {}
+    for g in range(12):
+        a = list(range(1 + g))
+        b = draw.sample(a, len(a)) if g else a
+        rows += [(g, m, a.index(m) + 1, b.index(m) + 1) for m in a]
+        # the share of common items of each depth, weighted by 0.9 to the depth; at the end all are common
+        want[g] = sum(0.1 * 0.9**d * len({*a[: d + 1]} & {*b[: d + 1]}) / (d + 1) for d in range(len(a))) + 0.9 ** len(a)
+    df = spark.createDataFrame(rows, "g int, m int, a int, b int")
+    got = {r.g: r for r in agreement.rbo(df, ["g"], "a", "b").collect()}
+    assert {g: r.rbo for g, r in got.items()} == pytest.approx(want) and got[0].rbo == pytest.approx(1.0) and got[7].k == 8
+    with pytest.raises(ValueError):
+        agreement.rbo(df, ["g"], "a", "b", 1.0)
 
 
 def test_distribution_tails():

@@ -62,6 +62,7 @@ def test_encodings_and_files(spark, tmp_path):
     got = {(r.benchmark_id, r.model_name): (r.score, r["rank"]) for r in clean.clean(raw).collect()}
     assert got == {("My Board", "A"): (71.0, 1), ("My Board", "A(2)"): (60.0, 2), ("GPQA", "X"): (50.0, 1)}
     assert [r.model_name for r in clean.model_list(raw).collect()] == ["A", "X"]
+    assert registry.read_source("csv", spark, f"{tmp_path}/raw").count() == 4
     decided = spark.createDataFrame([("My Board", "A(2)", "rename", "A low"), ("GPQA", "X", "drop", None)], "benchmark_id string, model_name string, action string, new_name string")
     assert {r.model_name for r in clean.review_duplicates(clean.clean(raw), decided).collect()} == {"A", "A low"}
     sinks.write_cleaned(clean.clean(raw), f"{tmp_path}/cleaned")
@@ -88,7 +89,7 @@ def test_columns_by_source():
 def test_json_sources_and_sinks(spark, tmp_path):
     (tmp_path / "meta.json").write_text(json.dumps([{"meta_info": {}}, {"benchmark_id": "b", "question_count": 5, "category": "Math"}, {"benchmark_id": "arena", "elo_column": "e"}]))
     assert [r.benchmark_id for r in tables.read_metadata(spark, f"{tmp_path}/meta.json").collect()] == ["b"]
-    (tmp_path / "map.json").write_text(json.dumps({"z": "one", "a": "two"}))
+    (tmp_path / "map.json").write_text(json.dumps({"z": "one", "a": "two"}, indent=2))
     assert [(r.pos, r.model_name, r.model_id) for r in tables.read_mapping(spark, f"{tmp_path}/map.json").orderBy("pos").collect()] == [(0, "z", "one"), (1, "a", "two")]
     entries = {"m1": {"selected_lmarena_model": "x"}, "m2": {"selected_lmarena_model": 0}, "m3": {"selected_lmarena_model": " "}, "m4": {"selected_lmarena_model": "x"}}
     (tmp_path / "review.json").write_text(json.dumps(entries))
@@ -112,6 +113,8 @@ def test_source_registry(spark, tmp_path):
     assert registry.read_source("first_table", spark, str(tmp_path)).where("benchmark_id = 'board'").count() == 3
     with pytest.raises(KeyError):
         registry.read_source("nowhere", spark, str(tmp_path))
+    assert registry.required_columns("ARC-AGI-2") == ("Team", "Score") and registry.required_columns("else") == ("Model",)
+    assert set(registry.PATHS) == {"lmarena", "artificial_analysis", "vals_ai", "frontiermath", "pandas_read_html", "selenium"}
     combined = spark.createDataFrame([(0, "m", "1%")], "row_no int, Model string, `Col A` string")
     boards = registry.split_boards(combined, {"a": "Col A", "b": "Col B"}).orderBy("benchmark_id").collect()
     assert [(r.benchmark_id, r.score_raw) for r in boards] == [("a", "1%"), ("b", None)]
@@ -197,6 +200,8 @@ def test_uncertainty(spark, study):
     for r in own:
         assert r.ci_lower <= r.simulated_rho <= r.ci_upper and abs(r.simulated_rho - shared[r.benchmark_id].simulated_rho) < 0.1
     assert report.uncertainties(spark.createDataFrame(own).join(table.select("benchmark_id", "spearman_rho"), "benchmark_id")).count() == 8
+    with pytest.raises(Exception, match="fewer than 5 models"):
+        uncertainty.simulate(rows.where("model_id < 'm04'"), 20).collect()
     with pytest.raises(Exception, match="outside 0 to 100"):
         uncertainty.inputs(scores.withColumn("score", F.lit(101.0)), arena, metadata).collect()
 
@@ -247,14 +252,25 @@ def test_matching_and_permutation_take_in_every_row(spark, small):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and family[a[0]] == family[b[0]] and a[2] % 3 == b[2] % 3 and (brand[a[0]] is None or brand[b[0]] is None or brand[a[0]] == brand[b[0]])}
     found = queries.QUERIES["null_safe_match_all"](spark, small).collect()
     assert len(found) == len(want) and {(r.key, r.c_key) for r in found} == want
-    like = lambda a, b: round(len(split[a] & split[b]) / len(split[a] | split[b]), 10)
-    best = {a: min((-like(a, b), b) for x, b in want if x == a) for a in {a for a, _ in want}}
+    size = {r[0]: r[2] for r in rows}
+    date = {k: f"{2025 if n % 5 < 3 else 2024}-0{n % 5}" if n % 5 else None for k, n in size.items()}
+    line = {r[0]: None if r[0] % 4 == 0 else family[r[0]] if r[0] % 3 == 0 else "-".join(re.split(r"[\s#]+", r[1].lower())) for r in rows}
+
+    def like(a, b):
+        either = lambda x, equal, less, one: equal if x[a] and x[a] == x[b] else less if x[a] and x[b] else one if x[a] or x[b] else 0.0
+        near = 0.5 if date[a] and date[b] and date[a][:4] == date[b][:4] else 0.0
+        inside = 0.5 if line[a] and line[b] and (line[a] in line[b] or line[b] in line[a]) else 0.0
+        jaccard = len(split[a] & split[b]) / len(split[a] | split[b])
+        return round(min(1.0, 0.5 * jaccard + 0.2 * either(date, 1.0, near, 0.2) + 0.2 * either(brand, 1.0, 0.0, 0.3) + 0.1 * either(line, 1.0, inside, 0.2)), 10)
+
+    likest = {a: sorted((-like(a, b), b) for x, b in want if x == a) for a in {a for a, _ in want}}
+    best = {a: found[0] for a, found in likest.items() if len(found) == 1 or found[0][0] <= -0.3}
     assert {r.key: (-r.similarity, r.c_key) for r in queries.QUERIES["match_top1_similarity_all"](spark, small).collect()} == best
     counts = {}
     for a, _ in want:
         name = next(r[1] for r in rows if r[0] == a)
         counts[name] = counts.get(name, 0) + 1
-    assert queries.QUERIES["match_statistics_all"](spark, small).collect() == [(len(counts), 0, sum(n > 1 for n in counts.values()))]
+    assert queries.QUERIES["match_statistics_all"](spark, small).collect() == [("parts", len(counts), 0, sum(n > 1 for n in counts.values()))]
     names = dict(con.execute("SELECT p_type, count(DISTINCT (p_size, p_name)) FROM part GROUP BY 1").fetchall())
     assert {r.benchmark_id: r.matched + r.unmatched for r in queries.QUERIES["review_candidates"](spark, small).collect()} == names
 
