@@ -1,12 +1,15 @@
 """Bootstrap, permutation and Monte Carlo, each seeded and independent of the partitioning.
 
 The grouped forms draw from one generator a group, over rows sorted by an id,
-as published tables were drawn; `bootstrap_quantiles` spreads the draws of a
-statistic over the cluster with an integer generator that SQL can repeat.
+as published tables were drawn; `bootstrap_quantiles`, `bootstrap_rho`,
+`permutation_rho` and `monte_carlo_rho` spread the draws over the cluster with
+an integer generator that SQL can repeat.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,7 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.agreement import kendall_tau
+from tallyloom.operators.agreement import correlation, kendall_tau, spearman
+from tallyloom.operators.ranking import midrank
+from tallyloom.operators.relational import is_number, quantiles
 
 SEED = 42
 #: Random numbers of a simulation that are held at once, unless one trial has more.
@@ -174,16 +179,69 @@ def interval_sd(half_width: Column) -> Column:
     return half_width / 1.96
 
 
-# Multiplier, increment and modulus of the integer generator, and what sets draws and places apart.
-_A, _C, _M, _DRAW, _PLACE = 1103515245, 12345, 2147483648, 104729, 7919
+# Multiplier, increment and modulus of the integer generator, and what sets draws, places and streams apart.
+_A, _C, _M, _DRAW, _PLACE, _STREAM = 1103515245, 12345, 2147483648, 104729, 7919, 15485863
 
 
-def drawn_position(draw: Column, place: Column, n: Column) -> Column:
-    """The position 0..n-1 that a draw has at a place, by two rounds of an integer generator."""
-    x = (draw * _DRAW + place * _PLACE + SEED) % _M
+def state(draw: Column, place: Column, stream: int = 0) -> Column:
+    """A number below 2^31 for a place of a draw, by two rounds of an integer generator; streams differ by what they add."""
+    x = (draw * _DRAW + place * _PLACE + (SEED + stream * _STREAM)) % _M
     for _ in range(2):
         x = (x * _A + _C) % _M
-    return (x / F.lit(64)).cast("long") % n
+    return x
+
+
+def drawn_position(draw: Column, place: Column, n: Column) -> Column:
+    """The position 0..n-1 that a draw has at a place."""
+    return (state(draw, place) / F.lit(64)).cast("long") % n
+
+
+def normal(draw: Column, place: Column, stream: int) -> Column:
+    """A standard normal number for a place of a draw, from two streams."""
+    u, v = (((state(draw, place, 2 * stream + k) + 0.5) / F.lit(float(_M))) for k in (0, 1))
+    return F.sqrt(-2.0 * F.ln(u)) * F.cos(2.0 * math.pi * v)
+
+
+def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The complete rows with their place __at in the order, from 0, and the size __n of their group."""
+    rows = df.where(functools.reduce(lambda a, b: a & b, [is_number(F.col(c)) for c in columns]))
+    placed = rows.withColumn("__at", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    return placed.select(*by, "__at", F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("__n"), *columns)
+
+
+def _draws(df: DataFrame, draws: int) -> DataFrame:
+    return df.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__draw", F.col("__draw").cast("long"))
+
+
+def bootstrap_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, y: str, draws: int = 2000) -> DataFrame:
+    """(by, ci_lower, ci_upper) of Spearman's rho over paired resamples, as joins, windows and aggregates: draws times the rows are shuffled."""
+    placed = _placed(df, by, order, [x, y])
+    asked = _draws(placed.select(*by, "__at", "__n"), draws).select(*by, "__draw", drawn_position(F.col("__draw"), F.col("__at"), F.col("__n")).alias("__at"))
+    rho = spearman(asked.join(placed.drop("__n"), [*by, "__at"]), [*by, "__draw"], x, y)
+    return quantiles(rho, by, "rho", names=("ci_lower", "ci_upper"))
+
+
+def permutation_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, y: str, draws: int = 2000) -> DataFrame:
+    """(by, n, rho, permutation_p): two-sided p of random pairings, the observed one counted in; a shuffle is an order by random numbers."""
+    ranked = midrank(midrank(_placed(df, by, order, [x, y]), by, x, "__rx"), by, y, "__ry")
+    seen = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+    shuffled = Window.partitionBy(*by, "__draw").orderBy(state(F.col("__draw"), F.col("__at")), "__at")
+    turned = _draws(ranked.select(*by, "__at", "__rx"), draws).select(*by, "__draw", "__rx", (F.row_number().over(shuffled) - 1).cast("long").alias("__at"))
+    null = turned.join(ranked.select(*by, "__at", "__ry"), [*by, "__at"]).groupBy(*by, "__draw").agg(correlation(F.col("__rx"), F.col("__ry")).alias("__null"))
+    slack = 1e-9
+    counts = null.join(seen, list(by)).groupBy(*by, "n", "rho").agg(F.count_if(F.col("__null") >= F.col("rho") - slack).alias("__high"), F.count_if(F.col("__null") <= F.col("rho") + slack).alias("__low"))
+    p = F.least(F.lit(1.0), 2.0 * (F.least("__high", "__low") + 1) / F.lit(draws + 1.0))
+    return counts.select(*by, "n", "rho", F.when(F.col("rho").isNotNull(), p).alias("permutation_p"))
+
+
+def monte_carlo_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000) -> DataFrame:
+    """(by, n, simulated_rho, ci_lower, ci_upper, nonpositive_fraction, stable) of trials spread over the cluster."""
+    placed = _placed(df, by, order, [score, score_sd, elo, elo_sd])
+    at = (F.col("__draw"), F.col("__at"))
+    noisy = _draws(placed, trials).select(*by, "__draw", (F.col(score) + F.col(score_sd) * normal(*at, 1)).alias("__x"), (F.col(elo) + F.col(elo_sd) * normal(*at, 2)).alias("__y"))
+    rho = spearman(noisy, [*by, "__draw"], "__x", "__y")
+    found = rho.groupBy(*by).agg(F.max("n").alias("n"), F.avg("rho").alias("simulated_rho"), F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"), F.avg((F.col("rho") <= 0).cast("int")).alias("nonpositive_fraction"))
+    return found.select(*by, "n", "simulated_rho", F.col("__q")[0].alias("ci_lower"), F.col("__q")[1].alias("ci_upper"), "nonpositive_fraction", (F.col("__q")[0] > 0).alias("stable"))
 
 
 def bootstrap_quantiles(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, draws: int, statistic: Callable[[Column], Column] = F.avg) -> DataFrame:

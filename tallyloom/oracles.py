@@ -384,3 +384,50 @@ UNION ALL SELECT benchmark_id, count(*)::INT, 'nobody', '--' FROM ({_BOARD_FILES
   || string_agg(test || ' & ' || CASE WHEN p > 0.01 THEN printf('%.4f', p) ELSE 'N/A' END || ' \\', chr(10) ORDER BY test) || chr(10) || '\bottomrule' || chr(10) || '\end{tabular}' || chr(10) || '\end{table}' AS text FROM tests""",
     ),
 }
+
+
+def _state(stream: int = 0) -> str:
+    return f"(((((draw * 104729 + place * 7919 + {42 + stream * 15485863}) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648"
+
+
+def _normal(stream: int) -> str:
+    u, v = (f"((({_state(2 * stream + k)}) + 0.5::DOUBLE) / 2147483648.0::DOUBLE)" for k in (0, 1))
+    return f"sqrt(-2.0 * ln({u})) * cos(2.0 * pi() * {v})"
+
+
+def _midrank(value: str, by: str) -> str:
+    return f"rank() OVER (PARTITION BY {by} ORDER BY {value}) + (count(*) OVER (PARTITION BY {by}, {value}) - 1) / 2.0::DOUBLE"
+
+
+_PLACED = "SELECT *, row_number() OVER (PARTITION BY benchmark_id ORDER BY model_id) - 1 AS place, count(*) OVER (PARTITION BY benchmark_id) AS n FROM pairs"
+_CORR = "covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)"
+SQL |= {
+    "bootstrap_rho": _ctes(
+        "scores elos pairs",
+        "SELECT benchmark_id, round(quantile_cont(r, 0.025), 8) AS ci_lower, round(quantile_cont(r, 0.975), 8) AS ci_upper FROM rho GROUP BY 1",
+        placed=_PLACED,
+        asked=f"SELECT benchmark_id, draw, ({_state()}) // 64 % n AS place FROM placed, range(2000) t(draw)",
+        drawn="SELECT benchmark_id, draw, score, elo FROM asked JOIN placed USING (benchmark_id, place)",
+        ranked=f"SELECT benchmark_id, draw, {_midrank('score', 'benchmark_id, draw')} AS rx, {_midrank('elo', 'benchmark_id, draw')} AS ry FROM drawn",
+        rho=f"SELECT benchmark_id, draw, {_CORR} AS r FROM ranked GROUP BY 1, 2",
+    ),
+    "permutation_rho": _ctes(
+        "scores elos pairs",
+        """SELECT benchmark_id, any_value(n) AS n, round(any_value(s.r), 8) AS rho, round(least(1.0::DOUBLE, 2.0 * (least(count(*) FILTER (d.r >= s.r - 1e-9), count(*) FILTER (d.r <= s.r + 1e-9)) + 1) / 2001.0::DOUBLE), 8) AS permutation_p
+FROM null_ d JOIN seen s USING (benchmark_id) GROUP BY 1""",
+        placed=_PLACED,
+        ranked=f"SELECT benchmark_id, place, {_midrank('score', 'benchmark_id')} AS rx, {_midrank('elo', 'benchmark_id')} AS ry FROM placed",
+        seen=f"SELECT benchmark_id, count(*) AS n, {_CORR} AS r FROM ranked GROUP BY 1",
+        turned=f"SELECT benchmark_id, draw, rx, row_number() OVER (PARTITION BY benchmark_id, draw ORDER BY {_state()}, place) - 1 AS place FROM ranked, range(2000) t(draw)",
+        null_=f"SELECT benchmark_id, draw, {_CORR} AS r FROM (SELECT t.benchmark_id, draw, t.rx, k.ry FROM turned t JOIN ranked k ON t.benchmark_id = k.benchmark_id AND t.place = k.place) x GROUP BY 1, 2",
+    ),
+    "monte_carlo_rho": _ctes(
+        "scores elos pairs",
+        """SELECT benchmark_id, max(n) AS n, round(avg(r), 8) AS simulated_rho, round(quantile_cont(r, 0.025), 8) AS ci_lower, round(quantile_cont(r, 0.975), 8) AS ci_upper, round(avg((r <= 0)::INT), 8) AS nonpositive_fraction,
+  quantile_cont(r, 0.025) > 0 AS stable FROM rho GROUP BY 1""",
+        placed=_PLACED.replace("*, row", "*, sqrt(score / 100.0 * (1 - score / 100.0) / n_lines) * 100 AS score_sd, elo / 20 / 1.96::DOUBLE AS elo_sd, row", 1),
+        noisy=f"SELECT benchmark_id, draw, score + score_sd * ({_normal(1)}) AS x, elo + elo_sd * ({_normal(2)}) AS y FROM placed, range(10000) t(draw)",
+        ranked=f"SELECT benchmark_id, draw, {_midrank('x', 'benchmark_id, draw')} AS rx, {_midrank('y', 'benchmark_id, draw')} AS ry FROM noisy",
+        rho=f"SELECT benchmark_id, draw, count(*) AS n, {_CORR} AS r FROM ranked GROUP BY 1, 2",
+    ),
+}

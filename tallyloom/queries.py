@@ -387,6 +387,22 @@ def q_monte_carlo(spark, d):
     return found.select("benchmark_id", "n", _r("simulated_rho"), _r("ci_lower"), _r("ci_upper"), _r("nonpositive_fraction"), "stable")
 
 
+def q_bootstrap_rho(spark, d):
+    found = resampling.bootstrap_rho(scores_with_elo(spark, d), ["benchmark_id"], ["model_id"], "score", "elo")
+    return found.select("benchmark_id", _r("ci_lower"), _r("ci_upper"))
+
+
+def q_permutation_rho(spark, d):
+    found = resampling.permutation_rho(scores_with_elo(spark, d), ["benchmark_id"], ["model_id"], "score", "elo")
+    return found.select("benchmark_id", "n", _r("rho"), _r("permutation_p"))
+
+
+def q_monte_carlo_rho(spark, d):
+    rows = scores_with_elo(spark, d).withColumns({"score_sd": resampling.binomial_sd(F.col("score"), F.col("n_lines")), "elo_sd": resampling.interval_sd(F.col("elo") / 20)})
+    found = resampling.monte_carlo_rho(rows, ["benchmark_id"], ["model_id"], "score", "score_sd", "elo", "elo_sd")
+    return found.select("benchmark_id", "n", _r("simulated_rho"), _r("ci_lower"), _r("ci_upper"), _r("nonpositive_fraction"), "stable")
+
+
 def q_binomial_se(spark, d):
     rows = scores(spark, d).where("score <= 100")
     return rows.select("benchmark_id", "model_id", F.round(resampling.binomial_sd(F.col("score"), F.col("n_lines")), 8).alias("score_sd"), F.round(resampling.interval_sd(F.col("score")), 8).alias("elo_sd"))
