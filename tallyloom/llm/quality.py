@@ -39,7 +39,7 @@ SAMPLE, MARKS, ROUNDS = 700, 300, 2
 #: The margin beyond which a machine is sure.
 SURE = 1.0
 #: Keys of labelled rows up to which they are broadcast.
-FEW = 1_000_000
+FEW = 200_000
 THRESHOLD = 0.5
 #: Bytes below which n-grams are damped, and further columns of the text view: shares of kinds of byte, repetition, word length.
 SHORT, SHAPE = 400, 6
