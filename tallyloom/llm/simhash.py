@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import checkpointed, map_text, spread, table
-from tallyloom.llm.graph import components
+from tallyloom.llm.graph import HOT, MOST_HOT, components
 
 #: Words of a shingle, seed of its hash and bits in which linked fingerprints differ at most.
 WORDS, SEED, RADIUS = 3, 42, 2
@@ -108,7 +108,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bits, component_id, first_bits) of each row; first_bits is the fingerprint of the component's document to keep."""
     prints = checkpointed(fingerprints(df, key, text))
-    nodes = checkpointed(prints.groupBy("bits").agg(F.min(key).alias("least")))
+    nodes = checkpointed(prints.groupBy("bits").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies")))
     # a fingerprint is its own node, so those of null keys alone link and bridge like others; each gives some 35 keys, so
     # the few and small partitions that adaptive execution made are dealt anew first
     dealt = nodes.select("bits", F.col("bits").alias("node")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bits")
@@ -116,8 +116,13 @@ def _grouped(df: DataFrame, key: str, text: str) -> DataFrame:
     first = F.min(F.when(F.col("least").isNotNull(), F.struct("least", "bits"))).alias("first")
     firsts = found.join(nodes, "bits").groupBy("component").agg(first)
     named = nodes.join(found.join(firsts, "component"), "bits", "left")
-    named = named.select("bits", F.coalesce("first.least", "least").alias("component_id"), F.coalesce("first.bits", "bits").alias("first_bits"))
-    return prints.join(named, "bits").select(key, "bits", "component_id", "first_bits")
+    named = named.select("bits", F.coalesce("first.least", "least").alias("component_id"), F.coalesce("first.bits", "bits").alias("first_bits"), "copies")
+    # a fingerprint of very many copies, of which there are MOST_HOT at most, is sent to its rows
+    many = F.col("copies") > max(HOT, (nodes.agg(F.sum("copies")).first()[0] or 0) // MOST_HOT)
+    hot = F.broadcast(named.where(many))
+    cold = prints.join(F.broadcast(nodes.where(many).select("bits")), "bits", "left_anti").join(named.where(~many), "bits")
+    columns = (key, "bits", "component_id", "first_bits")
+    return cold.select(*columns).unionByName(prints.join(hot, "bits").select(*columns))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

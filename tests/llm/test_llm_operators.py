@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, decontaminate, fm_index, language, neighbours, quality, queries, secrets, sharding, simhash, substring, toxicity
+from tallyloom.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bits long, shard int, key string, blob string, text_crc32 string"
 
@@ -715,3 +716,20 @@ def test_registered_queries_run_and_agree_with_sql(spark, small):
         assert columns == sorted(want.columns)
         plain = lambda f, columns=columns: sorted(map(repr, f[columns].astype(object).itertuples(index=False, name=None)))
         assert plain(got) == plain(want), name
+
+
+def test_hot_fingerprints_and_stars_are_split_alike(spark, monkeypatch):
+    draw = random.Random(9)
+    words = [f"h{i}" for i in range(300)]
+    base = " ".join(draw.choices(words, k=120))
+    docs = [(i, base) for i in range(1000, 1150)] + [(None, base)] * 70 + [(i, " ".join(draw.choices(words, k=30))) for i in range(40)]
+    docs += [(2000 + i, base + f" z{i}") for i in range(100)]
+    prints = [plain_fingerprint(t) for _, t in docs]
+    want = sorted((-1 if i is None else i, -1 if c is None else c) for (i, _), c in zip(docs, plain_components([i for i, _ in docs], prints), strict=True))
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    got = simhash.near_duplicates(frame_).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.component_id is None else r.component_id) for r in got) == want
+    # a star around the least node, beyond what makes it hot
+    edges = spark.createDataFrame([(5, 1000 + i) for i in range(200)] + [(1100, 3), (7, 8)], "a long, b long")
+    found = {r.node: r.component for r in components(edges).collect()}
+    assert found == {3: 3, 5: 3, 7: 7, 8: 7} | {1000 + i: 3 for i in range(200)}
