@@ -70,13 +70,13 @@ def share_hash(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE_BYTES of the named string column each, so memory is bounded by the longest row."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of the named string column each, so memory is bounded by the longest row."""
     lengths = batch.column(column)
     sizes = [0 if x is None else x for x in pc.binary_length(lengths).to_pylist()]
     begin = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE_BYTES:
+        if total and total + n > most:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n
@@ -84,12 +84,12 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def map_text(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_text(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLICE_BYTES) -> DataFrame:
     """Apply `work` to slices of bounded size of each partition; no shuffle, no state between slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontaminate", "substring", "language", "toxicity", "bpe", "secrets", "quality", "simhash", "neighbours")
+MODULES = ("sharding", "decontaminate", "substring", "language", "toxicity", "bpe", "secrets", "quality", "simhash", "neighbours", "alignment", "negatives", "topk")
 
 
 def _gather(name: str) -> dict:
