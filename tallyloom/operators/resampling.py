@@ -1,9 +1,12 @@
 """Bootstrap, permutation and Monte Carlo, each seeded and independent of the partitioning.
 
-The grouped forms draw from one generator a group, over rows sorted by an id,
-as published tables were drawn; `bootstrap_quantiles`, `bootstrap_rho`,
-`permutation_rho` and `monte_carlo_rho` spread the draws over the cluster with
-an integer generator that SQL can repeat.
+All of them compute blocks of draws side by side (see draws.py).
+`resampled_agreement` draws from one generator a group, over rows sorted by an
+id, as published tables were drawn: a block passes over what the blocks before
+it have drawn.  `bootstrap_quantiles`, `bootstrap_rho`, `permutation_rho` and
+`monte_carlo_rho` draw by an integer generator that SQL can repeat and that
+gives each draw directly; groups too large to be packed take their draws as
+joins over the cluster, with the same numbers.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.agreement import correlation, kendall_tau, spearman
+from tallyloom.operators.draws import large_groups, map_blocks, of_groups
 from tallyloom.operators.ranking import midrank
 from tallyloom.operators.relational import is_number, quantiles
 
@@ -55,6 +58,7 @@ def spearman_rho(x: np.ndarray, y: np.ndarray) -> float:
 
 
 STATISTICS: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {"spearman": spearman_rho, "kendall": kendall_tau}
+_BUILT_IN = dict(STATISTICS)
 
 
 def register_statistic(name: str, f: Callable[[np.ndarray, np.ndarray], float]) -> None:
@@ -113,25 +117,113 @@ def permutation_pvalue(x: np.ndarray, y: np.ndarray, f: Callable[[np.ndarray, np
     return float(min(1.0, 2 * min(high, low) / (draws + 1)))
 
 
-def _head(df: DataFrame, by: Sequence[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+#: Models up to which the signs of all pairs are held, for Kendall's tau of many resamples at once.
+SIGNS = 4096
 
 
-def resampled_agreement(df: DataFrame, by: Sequence[str], model: str, x: str, y: str, statistics: Sequence[str] = ("spearman", "kendall"), draws: int = 2000, small: int = 30) -> DataFrame:
-    """(by, statistic, n, value, ci_lower, ci_upper, permutation_p): p only below `small` pairs."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, model, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    chosen = {s: STATISTICS[s] for s in statistics}
+def _codes(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(model)
-        a, b, out = pdf[x].to_numpy(), pdf[y].to_numpy(), []
-        for name, f in chosen.items():
-            some = len(a) > 1
-            low, high = bootstrap(a, b, f, draws) if some else (np.nan, np.nan)
-            out.append({**{c: pdf[c].iloc[0] for c in by}, "statistic": name, "n": len(a), "value": f(a, b) if some else np.nan, "ci_lower": low, "ci_upper": high, "permutation_p": permutation_pvalue(a, b, f, draws) if some and len(a) < small else np.nan})
-        return pd.DataFrame(out)
 
-    return rows.groupBy(*by).applyInPandas(run, f"{_head(rows, by)}, statistic string, n long, value double, ci_lower double, ci_upper double, permutation_p double")
+def _resampled_ranks(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Midranks within each row of drawn positions, by counting how often each value was drawn."""
+    kinds, drawn = int(codes.max(initial=0)) + 1, codes[at]
+    place = np.arange(len(at))[:, None] * kinds + drawn
+    count = np.bincount(place.ravel(), minlength=len(at) * kinds).reshape(len(at), kinds)
+    return np.take_along_axis(np.cumsum(count, axis=1) - (count - 1) / 2.0, drawn, 1)
+
+
+def _spearman_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return row_correlation(_resampled_ranks(_codes(x), at), _resampled_ranks(_codes(y), at))
+
+
+def _kendall_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """tau-b of each row of drawn positions: a resample weighs each model by how often it was drawn."""
+    n = len(x)
+    if n > SIGNS:
+        return np.array([kendall_tau(x[p], y[p]) for p in at])
+    sign = lambda v: np.sign(v[:, None] - v[None, :]).astype(np.float32)
+    weight = np.bincount((np.arange(len(at))[:, None] * n + at).ravel(), minlength=len(at) * n).reshape(len(at), n)
+    agree = (weight.astype(np.float32) @ (sign(x) * sign(y))).astype(float)  # whole numbers of at most n
+    excess = (agree * weight).sum(1) / 2
+
+    def tied(v: np.ndarray) -> np.ndarray:
+        order = np.argsort(v, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
+        count = np.add.reduceat(weight[:, order], starts, axis=1)
+        return (count * (count - 1)).sum(1) / 2
+
+    total = n * (n - 1) / 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return excess / np.sqrt((total - tied(x)) * (total - tied(y)))
+
+
+#: Statistics of all rows of drawn positions at once; one without such a form is called row by row.
+RESAMPLED: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"spearman": _spearman_resampled, "kendall": _kendall_resampled}
+
+
+def _resamples(n: int, first: int, last: int, seed: int) -> np.ndarray:
+    """The positions of draws first to last of a seeded generator, a row each."""
+    state = np.random.RandomState(seed)
+    step = max(1, NUMBERS // max(1, n))
+    for k in range(0, first, step):
+        state.randint(0, n, size=(min(step, first - k), n))
+    return state.randint(0, n, size=(last - first, n))
+
+
+def _one(f: Callable[[np.ndarray, np.ndarray], float], x: np.ndarray, y: np.ndarray) -> float:
+    try:
+        return float(f(x, y))
+    except (ArithmeticError, np.linalg.LinAlgError, ValueError):
+        return np.nan
+
+
+def _tails(f: Callable[[np.ndarray, np.ndarray], float], x: np.ndarray, y: np.ndarray, seen: float, first: int, last: int, seed: int) -> tuple[int, int]:
+    """How many of a block's random pairings reach the statistic seen from above and from below."""
+    rng = np.random.default_rng(seed)
+    if f is spearman_rho:
+        null = row_correlation(midranks(x)[None, :], rng.permuted(np.tile(midranks(y), (last, 1)), axis=1)[first:])
+    else:
+        turned = [rng.permutation(y) for _ in range(last)][first:]
+        if f is kendall_tau and len(x) <= 64:
+            i, j = np.triu_indices(len(x), 1)
+            agree = np.sign(np.array(turned)[:, i] - np.array(turned)[:, j]) @ np.sign(x[i] - x[j])
+            scale = (np.count_nonzero(x[i] != x[j]) * float(np.count_nonzero(y[i] != y[j]))) ** 0.5
+            null = agree / scale
+        else:
+            null = np.array([f(x, t) for t in turned])
+    slack = 1e-14 * max(1.0, abs(seen))
+    return int((null >= seen - slack).sum()), int((null <= seen + slack).sum())
+
+
+def resampled_agreement(df: DataFrame, by: Sequence[str], model: str, x: str, y: str, statistics: Sequence[str] = ("spearman", "kendall"), draws: int = 2000, small: int = 30, progress: Callable[[int], None] | None = None) -> DataFrame:
+    """(by, statistic, n, value, ci_lower, ci_upper, permutation_p): p only below `small` pairs; progress: told of the finished draws."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    chosen, resampled = {s: STATISTICS[s] for s in statistics}, {s: RESAMPLED[s] for s in statistics if STATISTICS[s] is _BUILT_IN.get(s)}
+
+    def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
+        a, b = values
+        n, parts = len(a), []
+        at = _resamples(n, first, last, SEED)
+        for name, f in chosen.items():
+            seen = _one(f, a, b) if n > 1 else np.nan
+            if n < 2:
+                drawn = np.array([np.nan])
+            elif name in resampled:
+                drawn = resampled[name](a, b, at)
+            else:
+                drawn = np.array([_one(f, a[p], b[p]) for p in at])
+            high, low = np.zeros(len(drawn), int), np.zeros(len(drawn), int)
+            if 1 < n < small and np.isfinite(seen):
+                high[0], low[0] = _tails(f, a, b, seen, first, last, SEED)
+            parts.append({"statistic": np.full(len(drawn), name, object), "value": np.full(len(drawn), seen), "drawn": drawn, "high": high, "low": low})
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+    found = map_blocks(rows, by, [model], [x, y], draws, work, "statistic string, value double, drawn double, high long, low long", progress=progress)
+    good = F.when(is_number(F.col("drawn")), F.col("drawn"))
+    sums = found.groupBy(*by, "statistic").agg(F.max("n").alias("n"), F.max("value").alias("value"), F.percentile(good, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"), F.sum("high").alias("__high"), F.sum("low").alias("__low"))
+    p = F.least(F.lit(1.0), 2.0 * (F.least("__high", "__low") + 1) / F.lit(draws + 1.0))
+    return sums.select(*by, "statistic", "n", "value", F.col("__q")[0].alias("ci_lower"), F.col("__q")[1].alias("ci_upper"), F.when((F.col("n") < small) & F.col("value").isNotNull(), p).alias("permutation_p"))
 
 
 def monte_carlo(score: np.ndarray, score_sd: np.ndarray, elo: np.ndarray, elo_sd: np.ndarray, trials: int, rng: np.random.Generator) -> np.ndarray:
@@ -152,20 +244,29 @@ def summary_of_trials(rho: np.ndarray) -> dict[str, float | bool]:
     return {"simulated_rho": float(good.mean()), "ci_lower": float(low), "ci_upper": float(high), "nonpositive_fraction": float((good <= 0).mean()), "stable": bool(low > 0)}
 
 
-def uncertainty(df: DataFrame, by: Sequence[str], model: str, score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000, seed: int = SEED, least: int = 0) -> DataFrame:
-    """Monte Carlo of rho for each group, each with a generator of its own, seeded by the group's key, so groups run side by side; one of fewer than `least` rows is an error."""
-    rows = df.select(*by, model, *[F.col(c).cast("double").alias(c) for c in (score, score_sd, elo, elo_sd)]).dropna(subset=[score, score_sd, elo, elo_sd])
-    rows = rows.withColumn("__seed", F.pmod(F.xxhash64(*by), F.lit(1 << 31)))
+#: Trials that share a generator.
+TRIALS_A_STREAM = 250
+
+
+def _summary_of_rho(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    good = F.when(is_number(F.col("rho")), F.col("rho"))
+    sums = found.groupBy(*by).agg(F.max("n").alias("n"), F.avg(good).alias("simulated_rho"), F.percentile(good, F.array(F.lit(0.025), F.lit(0.975))).alias("__q"), F.avg((good <= 0).cast("int")).alias("nonpositive_fraction"))
+    return sums.select(*by, "n", "simulated_rho", F.col("__q")[0].alias("ci_lower"), F.col("__q")[1].alias("ci_upper"), "nonpositive_fraction", (F.col("__q")[0] > 0).alias("stable"))
+
+
+def uncertainty(df: DataFrame, by: Sequence[str], model: str, score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000, seed: int = SEED, least: int = 0, progress: Callable[[int], None] | None = None) -> DataFrame:
+    """Monte Carlo of rho for each group; every TRIALS_A_STREAM trials have a generator of their own, seeded by the group's key; a group of fewer than `least` rows is an error."""
+    rows = df.dropna(subset=[score, score_sd, elo, elo_sd])
+    key = F.pmod(F.xxhash64(*by), F.lit(1 << 31)) if by else F.lit(0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            raise ValueError(f"{tuple(pdf[c].iloc[0] for c in by)} has fewer than {least} models")
-        pdf = pdf.sort_values(model)
-        rng = np.random.default_rng([seed, int(pdf["__seed"].iloc[0])])
-        rho = monte_carlo(*[pdf[c].to_numpy() for c in (score, score_sd, elo, elo_sd)], trials, rng)
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n": len(pdf), **summary_of_trials(rho)}])
+    def work(values: list[np.ndarray], first: int, last: int, own: int) -> dict[str, np.ndarray]:
+        if len(values[0]) < least:
+            raise ValueError(f"a group has fewer than {least} models: {len(values[0])}")
+        streams = range(first // TRIALS_A_STREAM, -(-last // TRIALS_A_STREAM))
+        return {"rho": np.concatenate([monte_carlo(*values, min(TRIALS_A_STREAM, trials - TRIALS_A_STREAM * k), np.random.default_rng([seed, own, k])) for k in streams])}
 
-    return rows.groupBy(*by).applyInPandas(run, f"{_head(rows, by)}, n long, simulated_rho double, ci_lower double, ci_upper double, nonpositive_fraction double, stable boolean")
+    found = map_blocks(rows, by, [model], [score, score_sd, elo, elo_sd], trials, work, "rho double", TRIALS_A_STREAM, key, progress)
+    return _summary_of_rho(found, by)
 
 
 def binomial_sd(score: Column, questions: Column) -> Column:
@@ -202,6 +303,23 @@ def normal(draw: Column, place: Column, stream: int) -> Column:
     return F.sqrt(-2.0 * F.ln(u)) * F.cos(2.0 * math.pi * v)
 
 
+def _state_of(draw: np.ndarray, place: np.ndarray, stream: int = 0) -> np.ndarray:
+    """The same numbers as `state`, a row for each draw."""
+    x = (draw[:, None] * _DRAW + place[None, :] * _PLACE + (SEED + stream * _STREAM)) % _M
+    for _ in range(2):
+        x = (x * _A + _C) % _M
+    return x
+
+
+def _positions_of(first: int, last: int, n: int) -> np.ndarray:
+    return (_state_of(np.arange(first, last), np.arange(n)) // 64) % n
+
+
+def _normal_of(first: int, last: int, n: int, stream: int) -> np.ndarray:
+    u, v = ((_state_of(np.arange(first, last), np.arange(n), 2 * stream + k) + 0.5) / float(_M) for k in (0, 1))
+    return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * math.pi * v)
+
+
 def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The complete rows with their place __at in the order, from 0, and the size __n of their group."""
     rows = df.where(functools.reduce(lambda a, b: a & b, [is_number(F.col(c)) for c in columns]))
@@ -213,43 +331,98 @@ def _draws(df: DataFrame, draws: int) -> DataFrame:
     return df.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__draw", F.col("__draw").cast("long"))
 
 
-def bootstrap_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, y: str, draws: int = 2000) -> DataFrame:
-    """(by, ci_lower, ci_upper) of Spearman's rho over paired resamples, as joins, windows and aggregates: draws times the rows are shuffled."""
-    placed = _placed(df, by, order, [x, y])
-    asked = _draws(placed.select(*by, "__at", "__n"), draws).select(*by, "__draw", drawn_position(F.col("__draw"), F.col("__at"), F.col("__n")).alias("__at"))
-    rho = spearman(asked.join(placed.drop("__n"), [*by, "__at"]), [*by, "__draw"], x, y)
-    return quantiles(rho, by, "rho", names=("ci_lower", "ci_upper"))
+def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.where(functools.reduce(lambda a, b: a & b, [is_number(F.col(c)) for c in columns]))
+
+
+def _by_size(rows: DataFrame, by: Sequence[str], small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups that can be packed by `small`, the others by `large`."""
+    keys = large_groups(rows, by)
+    if keys is None:
+        return small(rows)
+    return small(of_groups(rows, keys, by, "left_anti")).unionByName(large(of_groups(rows, keys, by, "left_semi")))
+
+
+def bootstrap_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, y: str, draws: int = 2000, progress: Callable[[int], None] | None = None) -> DataFrame:
+    """(by, ci_lower, ci_upper) of Spearman's rho over paired resamples."""
+
+    def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
+        return {"rho": _spearman_resampled(*values, _positions_of(first, last, len(values[0])))}
 
+    def small(rows: DataFrame) -> DataFrame:
+        return map_blocks(rows, by, order, [x, y], draws, work, "rho double", progress=progress).select(*by, "rho")
 
-def permutation_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, y: str, draws: int = 2000) -> DataFrame:
+    def large(rows: DataFrame) -> DataFrame:
+        placed = _placed(rows, by, order, [x, y])
+        asked = _draws(placed.select(*by, "__at", "__n"), draws).select(*by, "__draw", drawn_position(F.col("__draw"), F.col("__at"), F.col("__n")).alias("__at"))
+        return spearman(asked.join(placed.drop("__n"), [*by, "__at"]), [*by, "__draw"], x, y).select(*by, "rho")
+
+    return quantiles(_by_size(_complete(df, [x, y]), by, small, large), by, "rho", names=("ci_lower", "ci_upper"))
+
+
+def permutation_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, y: str, draws: int = 2000, progress: Callable[[int], None] | None = None) -> DataFrame:
     """(by, n, rho, permutation_p): two-sided p of random pairings, the observed one counted in; a shuffle is an order by random numbers."""
-    ranked = midrank(midrank(_placed(df, by, order, [x, y]), by, x, "__rx"), by, y, "__ry")
-    seen = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
-    shuffled = Window.partitionBy(*by, "__draw").orderBy(state(F.col("__draw"), F.col("__at")), "__at")
-    turned = _draws(ranked.select(*by, "__at", "__rx"), draws).select(*by, "__draw", "__rx", (F.row_number().over(shuffled) - 1).cast("long").alias("__at"))
-    null = turned.join(ranked.select(*by, "__at", "__ry"), [*by, "__at"]).groupBy(*by, "__draw").agg(correlation(F.col("__rx"), F.col("__ry")).alias("__null"))
     slack = 1e-9
-    counts = null.join(seen, list(by)).groupBy(*by, "n", "rho").agg(F.count_if(F.col("__null") >= F.col("rho") - slack).alias("__high"), F.count_if(F.col("__null") <= F.col("rho") + slack).alias("__low"))
+
+    def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
+        rx, ry = (midranks(v) for v in values)
+        seen = row_correlation(rx[None, :], ry[None, :])
+        turned = np.argsort(_state_of(np.arange(first, last), np.arange(len(rx))), axis=1, kind="stable")
+        null = row_correlation(rx[turned], ry[None, :])
+        return {"rho": seen, "high": np.array([(null >= seen - slack).sum()]), "low": np.array([(null <= seen + slack).sum()])}
+
+    def small(rows: DataFrame) -> DataFrame:
+        return map_blocks(rows, by, order, [x, y], draws, work, "rho double, high long, low long", progress=progress).select(*by, "n", "rho", "high", "low")
+
+    def large(rows: DataFrame) -> DataFrame:
+        ranked = midrank(midrank(_placed(rows, by, order, [x, y]), by, x, "__rx"), by, y, "__ry")
+        seen = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+        shuffled = Window.partitionBy(*by, "__draw").orderBy(state(F.col("__draw"), F.col("__at")), "__at")
+        turned = _draws(ranked.select(*by, "__at", "__rx"), draws).select(*by, "__draw", "__rx", (F.row_number().over(shuffled) - 1).cast("long").alias("__at"))
+        null = turned.join(ranked.select(*by, "__at", "__ry"), [*by, "__at"]).groupBy(*by, "__draw").agg(correlation(F.col("__rx"), F.col("__ry")).alias("__null"))
+        counts = null.join(seen, list(by)).groupBy(*by, "n", "rho").agg(F.count_if(F.col("__null") >= F.col("rho") - slack).alias("high"), F.count_if(F.col("__null") <= F.col("rho") + slack).alias("low"))
+        return counts.select(*by, "n", "rho", "high", "low")
+
+    counts = _by_size(_complete(df, [x, y]), by, small, large).groupBy(*by).agg(F.max("n").alias("n"), F.max("rho").alias("rho"), F.sum("high").alias("__high"), F.sum("low").alias("__low"))
     p = F.least(F.lit(1.0), 2.0 * (F.least("__high", "__low") + 1) / F.lit(draws + 1.0))
     return counts.select(*by, "n", "rho", F.when(F.col("rho").isNotNull(), p).alias("permutation_p"))
 
 
-def monte_carlo_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000) -> DataFrame:
+def monte_carlo_rho(df: DataFrame, by: Sequence[str], order: Sequence[str], score: str, score_sd: str, elo: str, elo_sd: str, trials: int = 10_000, progress: Callable[[int], None] | None = None) -> DataFrame:
     """(by, n, simulated_rho, ci_lower, ci_upper, nonpositive_fraction, stable) of trials spread over the cluster."""
-    placed = _placed(df, by, order, [score, score_sd, elo, elo_sd])
-    at = (F.col("__draw"), F.col("__at"))
-    noisy = _draws(placed, trials).select(*by, "__draw", (F.col(score) + F.col(score_sd) * normal(*at, 1)).alias("__x"), (F.col(elo) + F.col(elo_sd) * normal(*at, 2)).alias("__y"))
-    rho = spearman(noisy, [*by, "__draw"], "__x", "__y")
-    found = rho.groupBy(*by).agg(F.max("n").alias("n"), F.avg("rho").alias("simulated_rho"), F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("__q"), F.avg((F.col("rho") <= 0).cast("int")).alias("nonpositive_fraction"))
-    return found.select(*by, "n", "simulated_rho", F.col("__q")[0].alias("ci_lower"), F.col("__q")[1].alias("ci_upper"), "nonpositive_fraction", (F.col("__q")[0] > 0).alias("stable"))
-
-
-def bootstrap_quantiles(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, draws: int, statistic: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """(by, ci_lower, ci_upper) of an aggregate over resamples, as joins and aggregates over the cluster."""
-    rows = df.where(F.col(value).isNotNull())
-    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).select(*by, "__at", F.col(value).alias("__v"))
-    sized = placed.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    asked = sized.select(*by, "__n", F.col("__at").alias("__place"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("__draw"))
-    asked = asked.select(*by, "__draw", drawn_position(F.col("__draw").cast("long"), F.col("__place").cast("long"), F.col("__n")).alias("__at"))
-    drawn = asked.join(placed, [*by, "__at"]).groupBy(*by, "__draw").agg(statistic(F.col("__v")).alias("__s"))
-    return drawn.groupBy(*by).agg(F.percentile("__s", F.array(F.lit(0.025), F.lit(0.975))).alias("__q")).select(*by, F.col("__q")[0].alias("ci_lower"), F.col("__q")[1].alias("ci_upper"))
+    columns = [score, score_sd, elo, elo_sd]
+
+    def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
+        n = len(values[0])
+        a, b = (v + sd * _normal_of(first, last, n, k) for k, v, sd in ((1, *values[:2]), (2, *values[2:])))
+        return {"rho": row_correlation(midranks(a), midranks(b))}
+
+    def small(rows: DataFrame) -> DataFrame:
+        return map_blocks(rows, by, order, columns, trials, work, "rho double", progress=progress).select(*by, "n", "rho")
+
+    def large(rows: DataFrame) -> DataFrame:
+        at = (F.col("__draw"), F.col("__at"))
+        noisy = _draws(_placed(rows, by, order, columns), trials).select(*by, "__draw", (F.col(score) + F.col(score_sd) * normal(*at, 1)).alias("__x"), (F.col(elo) + F.col(elo_sd) * normal(*at, 2)).alias("__y"))
+        return spearman(noisy, [*by, "__draw"], "__x", "__y").select(*by, "n", "rho")
+
+    return _summary_of_rho(_by_size(_complete(df, columns), by, small, large), by)
+
+
+def bootstrap_quantiles(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, draws: int, statistic: Callable[[np.ndarray], np.ndarray] | None = None, progress: Callable[[int], None] | None = None) -> DataFrame:
+    """(by, ci_lower, ci_upper) of the mean over resamples, or of another statistic of the rows of a matrix, which takes packed groups only."""
+    of_rows = statistic or (lambda drawn: drawn.mean(1))
+
+    def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
+        return {"s": of_rows(values[0][_positions_of(first, last, len(values[0]))])}
+
+    def small(rows: DataFrame) -> DataFrame:
+        return map_blocks(rows, by, order, [value], draws, work, "s double", progress=progress).select(*by, "s")
+
+    def large(rows: DataFrame) -> DataFrame:
+        if statistic:
+            raise ValueError("a group is too large for a statistic of one's own")
+        placed = _placed(rows, by, order, [value])
+        asked = _draws(placed.select(*by, "__at", "__n"), draws).select(*by, "__draw", drawn_position(F.col("__draw"), F.col("__at"), F.col("__n")).alias("__at"))
+        return asked.join(placed.drop("__n"), [*by, "__at"]).groupBy(*by, "__draw").agg(F.avg(value).alias("s")).select(*by, "s")
+
+    return quantiles(_by_size(_complete(df, [value]), by, small, large), by, "s", names=("ci_lower", "ci_upper"))

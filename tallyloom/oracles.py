@@ -179,7 +179,7 @@ SELECT 'suppliers' AS "all", sum(n)::BIGINT AS n, count(*) AS k, round((12 / (su
         """, placed AS (
   SELECT benchmark_id, row_number() OVER (PARTITION BY benchmark_id ORDER BY model_id) - 1 AS place, count(*) OVER (PARTITION BY benchmark_id) AS n, score FROM scores
 ), asked AS (
-  SELECT benchmark_id, draw, (((((((draw * 104729 + place * 7919 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 64) % n AS place FROM placed, range(200) t(draw)
+  SELECT benchmark_id, draw, (((((((draw * 104729 + place * 7919 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 64) % n AS place FROM placed, range(2000) t(draw)
 ), drawn AS (SELECT benchmark_id, draw, avg(score) AS s FROM asked JOIN placed USING (benchmark_id, place) GROUP BY 1, 2)
 SELECT benchmark_id, round(quantile_cont(s, 0.025), 8) AS ci_lower, round(quantile_cont(s, 0.975), 8) AS ci_upper FROM drawn GROUP BY 1""",
     ),

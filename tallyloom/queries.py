@@ -360,16 +360,11 @@ def q_correction_statistics(spark, d):
 # 2.9: resampling
 
 
-def q_bootstrap_ci(spark, d, draws=200):
-    found = resampling.bootstrap_quantiles(scores(spark, d), ["benchmark_id"], ["model_id"], "score", draws)
+def q_bootstrap_ci(spark, d):
+    found = resampling.bootstrap_quantiles(scores(spark, d), ["benchmark_id"], ["model_id"], "score", 2000)
     return found.select("benchmark_id", _r("ci_lower"), _r("ci_upper"))
 
 
-def q_bootstrap_ci_all(spark, d):
-    """With all 2,000 draws; the SQL of `bootstrap_ci` names 200."""
-    return q_bootstrap_ci(spark, d, 2000)
-
-
 def q_bootstrap_agreement(spark, d):
     found = resampling.resampled_agreement(scores_with_elo(spark, d), ["benchmark_id"], "model_id", "score", "elo")
     return found.select("benchmark_id", "statistic", "n", _r("value"), _r("ci_lower"), _r("ci_upper"))

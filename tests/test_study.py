@@ -295,7 +295,7 @@ def test_registered_resamplers_take_every_draw_and_statistic(spark, small, monke
     agreement = queries.QUERIES["bootstrap_agreement"](spark, small).collect()
     permuted = queries.QUERIES["permutation"](spark, small).collect()
     queries.QUERIES["monte_carlo"](spark, small)
-    queries.QUERIES["bootstrap_ci_all"](spark, small)
+    queries.QUERIES["bootstrap_ci"](spark, small)
     assert asked == {"resampled_agreement": [("spearman", "kendall")] * 2, "uncertainty": [10_000], "bootstrap_quantiles": [(2000,)]}
     assert {r.statistic for r in agreement} == {r.statistic for r in permuted} == {"spearman", "kendall"}
     # p counts draws in steps of 2 / 2001
