@@ -66,7 +66,9 @@ def sanitize_id(text: Column) -> Column:
 
 
 def benchmark_id_from_path(path: Column) -> Column:
-    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -2), F.lit("+"), F.lit("%2B")))
+    """The folder's name; of one that a partitioned write has named key=value, the value."""
+    folder = F.regexp_replace(F.element_at(F.split(path, "/"), -2), "^[^=]+=", "")
+    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
 
 
 def day_number(text: Column) -> Column:

@@ -371,12 +371,12 @@ UNION ALL SELECT benchmark_id, count(*)::INT, 'nobody', '--' FROM ({_BOARD_FILES
     "wide_csv": _with(
         "scores",
         "SELECT s_suppkey AS model_id, "
-        + ", ".join(f"max(score) FILTER (benchmark_id = '{t}') AS {t.lower()}" for t in ("ECONOMY", "LARGE", "PROMO"))
-        + " FROM supplier LEFT JOIN scores ON model_id = s_suppkey AND model_id % 5 > 0 GROUP BY 1",
+        + ", ".join(f"max(score) FILTER (benchmark_id = '{t}') AS {t.lower()}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
+        + " FROM supplier LEFT JOIN scores ON model_id = s_suppkey GROUP BY 1",
     ),
-    "benchmark_scores": _with("scores elos universe", "SELECT model_id, score, 2 AS columns FROM scores SEMI JOIN universe USING (model_id) WHERE benchmark_id = 'PROMO'"),
+    "benchmark_scores": _with("scores elos universe", "SELECT model_id, score, 6 AS columns FROM scores SEMI JOIN universe USING (model_id) WHERE benchmark_id = 'PROMO'"),
     "model_list_csv": SQL["model_list"],
-    "cleaned_csv": f"SELECT benchmark_id, model_name, score, rank FROM ({SQL['clean_boards']}) c WHERE benchmark_id IN ('ECONOMY', 'LARGE', 'PROMO')",
+    "cleaned_csv": f"SELECT benchmark_id, model_name, score, rank FROM ({SQL['clean_boards']}) c",
     "missing_names": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
     "latex_table": _with(
         "tests",

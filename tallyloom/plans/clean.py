@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,32 +65,34 @@ def score_column(columns: Sequence[str], path: str, first_row: dict[str, str | N
     return next((c for c in columns if any(w in c.lower() for w in SCORE_WORDS)), None)
 
 
-def columns_of(df: DataFrame, path: str) -> BoardColumns:
+def columns_of(names: Sequence[str], path: str, first_row: Sequence[str | None] | None = None) -> BoardColumns:
     """Model, score and task columns of a board read as text."""
-    names = [c for c in df.columns if c != "row_no"]
-    first = df.limit(1).collect()
-    model, score = model_column(names), score_column(names, path, first[0].asDict() if first else None)
+    model, score = model_column(names), score_column(names, path, dict(zip(names, first_row or (), strict=False)))
     if not model or not score:
         raise ValueError(f"{path} has no model or no score column")
     return BoardColumns(model, score, find_column(names, "task_name"))
 
 
-def raw_scores(df: DataFrame, path: str, benchmark: str, chosen: BoardColumns | None = None) -> DataFrame:
-    """(source, benchmark_id, row_no, model_raw, score_raw, task_name) of one board."""
-    chosen = chosen or columns_of(df, path)
-    text = lambda c: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")
-    return df.select(F.lit(path).alias("source"), F.lit(benchmark).alias("benchmark_id"), "row_no", text(chosen.model).alias("model_raw"), text(chosen.score).alias("score_raw"), text(chosen.task).alias("task_name"))
+class _RawScores:
+    """The raw scores of a board's rows; its columns are chosen by its first rows."""
+
+    def __init__(self) -> None:
+        self.path, self.at = "", BoardColumns("", "")
+
+    def __call__(self, path: str, benchmark: str, names: list[str], rows: list[list[str | None]], first: int) -> dict[str, pa.Array]:
+        if not first or path != self.path:
+            self.path, self.at = path, columns_of(names, path, rows[0] if rows else None)
+        place = {c: i for i, c in reversed(list(enumerate(names)))}
+        text = lambda c: pa.array([r[place[c]] if c else None for r in rows], pa.string())
+        return {"row_no": pa.array(range(first, first + len(rows)), pa.int64()), "model_raw": text(self.at.model), "score_raw": text(self.at.score), "task_name": text(self.at.task)}
 
 
 def read_boards(spark: SparkSession, root: str, name: str = "data.csv", canonical: dict[str, str] | None = None) -> DataFrame:
-    """Raw scores of every board below a folder; canonical: lower-case folder names to ids."""
-    boards = []
-    for row in tables.encodings(tables.discover(spark, root, name)).orderBy("path").collect():  # a short row for each board file
-        benchmark = (canonical or {}).get(row["benchmark_id"].lower(), row["benchmark_id"])
-        boards.append(raw_scores(tables.read_text_csv(spark, row["path"], row["encoding"]), row["path"], benchmark))
-    if not boards:
-        raise FileNotFoundError(f"no {name} below {root}")
-    return reduce(DataFrame.unionByName, boards)
+    """(source, benchmark_id, row_no, model_raw, score_raw, task_name) of every board below a folder, in one scan; canonical: lower-case folder names to ids."""
+    rows = tables.map_board_files(spark, root, name, "row_no long, model_raw string, score_raw string, task_name string", _RawScores())
+    own = F.create_map(*[F.lit(x) for pair in (canonical or {"": ""}).items() for x in pair])
+    benchmark = F.coalesce(F.try_element_at(own, F.lower("benchmark_id")), F.col("benchmark_id"))
+    return rows.select(F.col("path").alias("source"), benchmark.alias("benchmark_id"), "row_no", "model_raw", "score_raw", "task_name")
 
 
 def averaged_only(raw: DataFrame) -> DataFrame:

@@ -8,9 +8,7 @@ are taken in whole cents, so that no result depends on the order of addition.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -699,34 +697,36 @@ def q_csv_round_trip(spark, d):
 
 
 def _write_boards(spark, d):
-    """A data.csv for each region with its nations as models, that of region 0 in GBK; five files of a few lines."""
-    root, files = scratch(spark, "boards"), {}
-    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").select("r_name", "n_regionkey", "n_nationkey", "n_name").collect()
-    for r in rows:
-        files.setdefault((r.r_name, r.n_regionkey), []).append(f'"{"模型 " if r.n_regionkey == 0 else ""}{r.n_name}",{r.n_nationkey}.5%')
-    for (name, key), lines in files.items():
-        sinks.write_text(spark, "\n".join(["Model,Final Score", *lines, "nobody,--", ""]), f"{root}/raw/{name} board/data.csv", "gbk" if key == 0 else "utf-8")
-    return f"{root}/raw"
+    """A file for each region with its nations as models, that of region 0 in GBK."""
+    root = f"{scratch(spark, 'boards')}/raw"
+    rows = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.concat(F.lit('"'), F.when(F.col("n_regionkey") == 0, "模型 ").otherwise(""), "n_name", F.lit('",'), F.col("n_nationkey").cast("string"), F.lit(".5%"))
+    listed = rows.groupBy("r_name", "n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("x"))
+    text = F.array_join(F.concat(F.array(F.lit("Model,Final Score")), F.col("x.line"), F.array(F.lit("nobody,--"))), "\n")
+    boards = listed.select(F.concat("r_name", F.lit(" board")).alias("folder"), text.alias("text"), "n_regionkey")
+    sinks.write_files(boards, "folder", "text", root, F.when(F.col("n_regionkey") == 0, "gbk").otherwise("utf-8"))
+    return root
 
 
 def q_board_files(spark, d):
     """Boards of two encodings found below a folder, read and cleaned."""
-    return clean.clean(clean.read_boards(spark, _write_boards(spark, d)))
+    return clean.clean(clean.read_boards(spark, _write_boards(spark, d), "*.txt"))
 
 
 def q_source_csv(spark, d):
     """The same files by the registered source."""
-    return html.wide(registry.read_source("csv", spark, _write_boards(spark, d)), ["Model", "Final Score"]).select("benchmark_id", "row_no", F.col("Model").alias("model"), F.col("Final Score").alias("score_text"))
+    tables_of = registry.READERS["csv"](spark, _write_boards(spark, d), "*.txt")
+    return html.wide(tables_of, ["Model", "Final Score"]).select("benchmark_id", "row_no", F.col("Model").alias("model"), F.col("Final Score").alias("score_text"))
 
 
 def q_source_best_table(spark, d):
     """A saved page for each of two boards, of which one wants other columns than the default."""
     root = scratch(spark, "pages")
-    cells = [(r.n_nationkey, r.n_name) for r in read(spark, d, "nation").orderBy("n_nationkey").collect()]
-    one = "<table><tr><th>Model</th></tr><tr><td>none</td></tr></table>"
-    two = "<table><tr><th>Team</th><th>Score</th></tr>" + "".join(f"<tr><td>{n}</td><td>{k}</td></tr>" for k, n in cells) + "</table>"
-    for board in ("ARC-AGI-2", "Other"):
-        sinks.write_text(spark, f"<html>{one}{two}</html>", f"{root}/{board}/page.html")
+    row = F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td></tr>"))
+    listed = read(spark, d, "nation").groupBy().agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("tr")))).alias("x"))
+    one = "<html><table><tr><th>Model</th></tr><tr><td>none</td></tr></table><table><tr><th>Team</th><th>Score</th></tr>"
+    page = F.concat(F.lit(one), F.array_join(F.col("x.tr"), ""), F.lit("</table></html>"))
+    sinks.write_files(listed.select(F.explode(F.array(F.lit("ARC-AGI-2"), F.lit("Other"))).alias("board"), page.alias("page")), "board", "page", root)
     found = registry.read_source("best_table", spark, root)
     return html.wide(found, ["Model", "Team", "Score"]).select("benchmark_id", "row_no", F.col("Model").alias("model"), F.col("Team").alias("team"), F.col("Score").alias("score_text"))
 
@@ -734,22 +734,24 @@ def q_source_best_table(spark, d):
 def q_source_combined(spark, d):
     """A table with a column for each board, split to boards."""
     root = scratch(spark, "combined")
-    lines = [f"{r.n_name},{r.n_regionkey},{r.n_nationkey}%" for r in read(spark, d, "nation").orderBy("n_nationkey").collect()]
-    sinks.write_text(spark, "\n".join(["Model,A,B (x)", *lines]), f"{root}/data.csv")
+    rows = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("Model"), F.col("n_regionkey").alias("A"), F.concat(F.col("n_nationkey").cast("string"), F.lit("%")).alias("B (x)"))
+    rows.coalesce(1).sortWithinPartitions("n_nationkey").drop("n_nationkey").write.option("header", "true").csv(f"{root}/data.csv")
     return registry.read_source("combined", spark, root).select("benchmark_id", F.col("row_no").cast("int").alias("row_no"), "model_raw", "score_raw")
 
 
 def q_json_mapping(spark, d):
-    path = f"{scratch(spark, 'mapping')}/map.json"
-    names = {r.n_name: f"id {r.n_regionkey}" for r in read(spark, d, "nation").orderBy(F.desc("n_nationkey")).collect()}
-    sinks.write_text(spark, json.dumps(names), path)
+    path = scratch(spark, "mapping")
+    entry = F.concat(F.lit('"'), "n_name", F.lit('": "id '), F.col("n_regionkey").cast("string"), F.lit('"'))
+    listed = read(spark, d, "nation").groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("n_nationkey")).alias("o"), entry.alias("e")))).alias("x"))
+    listed.select(F.concat(F.lit("{"), F.array_join(F.col("x.e"), ", "), F.lit("}"))).write.text(path)
     return tables.read_mapping(spark, path)
 
 
 def q_json_metadata(spark, d):
-    path = f"{scratch(spark, 'metadata')}/meta.json"
-    entries = [{"benchmark_id": r.n_name, "question_count": r.n_nationkey, "category": "Math", **({"elo_column": "e"} if r.n_nationkey % 4 == 0 else {})} for r in read(spark, d, "nation").collect()]
-    sinks.write_text(spark, json.dumps([{"meta_info": {"version": 1}}, *entries]), path)
+    path = scratch(spark, "metadata")
+    entry = F.to_json(F.struct(F.col("n_name").alias("benchmark_id"), F.col("n_nationkey").alias("question_count"), F.lit("Math").alias("category"), F.when(F.col("n_nationkey") % 4 == 0, "e").alias("elo_column")))
+    listed = read(spark, d, "nation").groupBy().agg(F.collect_list(entry).alias("x"))
+    listed.select(F.concat(F.lit('[{"meta_info": {"version": 1}}, '), F.array_join("x", ", "), F.lit("]"))).write.text(path)
     return tables.read_metadata(spark, path).select("benchmark_id", "question_count", "category")
 
 
@@ -761,17 +763,20 @@ def q_json_document(spark, d):
     return tables.read_json_map(spark, path).select(F.col("key").alias("test"), F.expr("try_variant_get(value, '$.p', 'double')").alias("p"), F.expr("try_variant_get(value, '$.region', 'long')").alias("region"))
 
 
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
 def q_wide_csv(spark, d):
     """All suppliers as models, those without a board too, with a column for each board, by way of a file."""
-    path, types = scratch(spark, "wide"), ("ECONOMY", "LARGE", "PROMO")
+    path = scratch(spark, "wide")
     models = read(spark, d, "supplier").select(F.col("s_suppkey").alias("model_id"))
-    sinks.write_wide(models, scores(spark, d).where("model_id % 5 > 0"), "model_id", "benchmark_id", ["score"], types, path)
-    return tables.read_csv(spark, path, "model_id long, " + ", ".join(f"{t}_score double" for t in types)).toDF("model_id", "economy", "large", "promo")
+    sinks.write_wide(models, scores(spark, d), "model_id", "benchmark_id", ["score"], TYPES, path)
+    return tables.read_csv(spark, path, "model_id long, " + ", ".join(f"{t}_score double" for t in TYPES)).toDF("model_id", *map(str.lower, TYPES))
 
 
 def q_benchmark_scores(spark, d):
-    """Scores of one benchmark out of the wide table, by its sanitised id, and how many score columns there are."""
-    wide = relational.left_wide(universe(spark, d), scores(spark, d), "model_id", "benchmark_id", ["score"], ("ECONOMY", "PROMO")).withColumnRenamed("PROMO_score", "promo_x_score").withColumn("elo_all_score", F.lit(1.0))
+    """Scores of one benchmark out of the wide table of all, by its sanitised id, and how many score columns there are."""
+    wide = relational.left_wide(universe(spark, d), scores(spark, d), "model_id", "benchmark_id", ["score"], TYPES).withColumnRenamed("PROMO_score", "promo_x_score").withColumn("elo_all_score", F.lit(1.0))
     columns = relational.score_columns(wide.columns)
     return relational.benchmark_scores(wide, "model_id", "promo (x)", "promo_x").withColumn("columns", F.lit(len(columns)))
 
@@ -783,11 +788,10 @@ def q_model_list_csv(spark, d):
 
 
 def q_cleaned_csv(spark, d):
-    """Cleaned boards as CSV files, a folder for each benchmark, read back board by board."""
+    """Cleaned boards as CSV files, a folder for each benchmark, read back in one scan."""
     path = scratch(spark, "cleaned")
     sinks.write_cleaned(clean.clean(_raw_board(spark, d)), path, "csv")
-    read_board = lambda t: tables.read_cleaned(spark, f"{path}/benchmark_id={t}").withColumn("benchmark_id", F.lit(t))
-    return reduce(DataFrame.unionByName, map(read_board, ("ECONOMY", "LARGE", "PROMO"))).select("benchmark_id", "model_name", "score", "rank")
+    return tables.read_cleaned(spark, path, "benchmark_id").select("benchmark_id", "model_name", "score", "rank")
 
 
 def q_missing_names(spark, d):
@@ -795,8 +799,8 @@ def q_missing_names(spark, d):
 
 
 def q_latex_table(spark, d):
-    rows = _tests(spark, d).orderBy("test").select("test", cleaning.format_pvalue(F.when(F.col("p") > 0.01, F.col("p"))).alias("p"))
-    return spark.createDataFrame([(sinks.latex_table(rows, {"test": "Test", "p": "p"}, "Tests", "tab:tests"),)], "text string")
+    rows = _tests(spark, d).select("test", cleaning.format_pvalue(F.when(F.col("p") > 0.01, F.col("p"))).alias("p"))
+    return sinks.latex_table(rows, {"test": "Test", "p": "p"}, "Tests", "tab:tests", ["test"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}

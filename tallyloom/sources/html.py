@@ -7,16 +7,13 @@ as a column of text and come out as rows of a map from column to text.
 from __future__ import annotations
 
 import re
-import urllib.request
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AGENT = "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36"
-
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -201,24 +198,25 @@ def _rows_of(html: str | None, mode: str, required: Sequence[str]) -> list[dict[
     return [dict(zip(chosen[0], r, strict=True)) for r in chosen[1]] if chosen else []
 
 
-def html_rows(pages: DataFrame, key: str, html: str, mode: str = "first", required: Sequence[str] = ("Model",)) -> DataFrame:
+def html_rows(pages: DataFrame, key: str, html: str, mode: str = "first", required: Sequence[str] | Column = ("Model",)) -> DataFrame:
     """(key, row_no, cells) of a table of each page.
 
-    mode: "first" table, "best" by the required columns, or "css" rows.  Pages
-    without a table give no row.
+    mode: "first" table, "best" by the required columns, the same for all pages
+    or each page's own, or "css" rows.  Pages without a table give no row.
     """
     if mode not in ("first", "best", "css"):
         raise ValueError(f"unknown mode {mode}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                rows = _rows_of(text, mode, required)
+            for i, (text, columns) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                rows = _rows_of(text, mode, columns or ())
                 if rows:
                     keys = batch.column(0).take(pa.array([i] * len(rows)))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(range(len(rows)), pa.int32()), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))], [key, "row_no", "cells"])
 
-    rows = pages.select(F.col(key).alias(key), F.col(html).cast("string").alias("__html"))
+    wanted = required if isinstance(required, Column) else F.array(*map(F.lit, required)).cast("array<string>")
+    rows = pages.select(F.col(key).alias(key), F.col(html).cast("string").alias("__html"), wanted.alias("__required"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, row_no int, cells map<string,string>")
 
 
@@ -227,13 +225,6 @@ def wide(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "cells"], *[F.col("cells").getItem(c).alias(c) for c in columns])
 
 
-def fetch(url: str, timeout: float = 30.0) -> str:
-    """A page's text, asked for with a browser's name, on the driver."""
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as answer:
-        charset = answer.headers.get_content_charset() or "utf-8"
-        return answer.read().decode(charset, "replace")
-
-
 def find_column(columns: Sequence[str], text: str) -> str | None:
     """The first column whose name contains the text, in either case."""
     return next((c for c in columns if re.search(re.escape(text), c, re.IGNORECASE)), None)

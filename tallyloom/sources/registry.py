@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources import embedded_json, html, tables
+from tallyloom.functions.cleaning import benchmark_id_from_path
+from tallyloom.sources import embedded_json, html, pages, tables
 
 Reader = Callable[[SparkSession, str], DataFrame]
 READERS: dict[str, Reader] = {}
@@ -35,7 +35,7 @@ def read_source(name: str, spark: SparkSession, folder: str) -> DataFrame:
 def _saved(spark: SparkSession, folder: str) -> DataFrame:
     """(benchmark_id, content) of the saved pages below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*.html,*.txt}").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("benchmark_id"), F.col("content").cast("string").alias("content"))
+    return files.select(benchmark_id_from_path(F.col("path")).alias("benchmark_id"), F.col("content").cast("string").alias("content"))
 
 
 def _tables(mode: str) -> Reader:
@@ -48,22 +48,27 @@ def required_columns(benchmark: str) -> tuple[str, ...]:
 
 
 def browsed_tables(pages: DataFrame, key: str = "benchmark_id", content: str = "content") -> DataFrame:
-    """Rows of each page's best table by the columns that its board requires."""
+    """Rows of each page's best table by the columns that its board requires, in one scan of the pages."""
     folder = F.trim(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), F.lit("_"))
-    own = {columns: [k for k, c in BROWSED.items() if c == columns and k != "default"] for columns in dict.fromkeys(BROWSED.values())}
-    named = [k for k in BROWSED if k != "default"]
-    parts = []
-    for columns, folders in own.items():
-        mine = folder.isin(*folders) if folders else F.lit(False)
-        mine = mine | ~folder.isin(*named) if columns == BROWSED["default"] else mine
-        parts.append(html.html_rows(pages.where(mine), key, content, "best", columns))
-    return reduce(DataFrame.unionByName, parts)
+    lists = {k: F.array(*map(F.lit, columns)) for k, columns in BROWSED.items()}
+    own = F.create_map(*[x for k, columns in lists.items() for x in (F.lit(k), columns)])
+    return html.html_rows(pages, key, content, "best", F.coalesce(F.try_element_at(own, folder), lists["default"]))
+
+
+def read_urls(listed: DataFrame, best: bool = False, skip: bool = False) -> DataFrame:
+    """Rows of the first table, or of the best one by what each board requires, at the addresses of (benchmark_id, url).
+
+    The executors fetch; a page that can't be fetched is an error, or with
+    `skip` gives no rows.
+    """
+    found = pages.fetch_pages(listed.select("benchmark_id", "url"))
+    found = found.where(F.col("error").isNull()) if skip else pages.or_raise(found)
+    return browsed_tables(found) if best else html.html_rows(found, "benchmark_id", "content")
 
 
 def _listed_urls(spark: SparkSession, folder: str) -> DataFrame:
     """The first table at each address; the folder's urls.json maps benchmarks to addresses."""
-    listed = tables.read_mapping(spark, f"{folder}/urls.json").collect()  # a row for each board
-    return reduce(DataFrame.unionByName, [read_url(spark, r.model_name, r.model_id) for r in listed])
+    return read_urls(tables.read_mapping(spark, f"{folder}/urls.json").toDF("pos", "benchmark_id", "url"))
 
 
 def _combined(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +80,7 @@ def _combined(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_url(spark: SparkSession, benchmark: str, url: str) -> DataFrame:
     """Rows of the first table at an address."""
-    return html.html_rows(spark.createDataFrame([(benchmark, html.fetch(url))], "benchmark_id string, content string"), "benchmark_id", "content")
+    return read_urls(spark.createDataFrame([(benchmark, url)], "benchmark_id string, url string"))
 
 
 def choose_columns(df: DataFrame, wanted: list[str]) -> DataFrame:

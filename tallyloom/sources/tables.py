@@ -1,15 +1,16 @@
 """CSV and JSON sources.
 
-The encoding of files is found by the executors that hold their bytes; the
-rows themselves are read by Spark.
+All files below a folder are one scan, of any store that Spark reads: small
+files share a task, and each is decoded, by the first encoding that fits, and
+parsed where it is read.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator, Sequence
-from functools import reduce
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +35,9 @@ def encoding_of(raw: bytes, encodings: Sequence[str] = ENCODINGS) -> str:
 
 
 def discover(spark: SparkSession, root: str, name: str = "data.csv") -> DataFrame:
-    """(path, benchmark_id, content) of every file of that name below `root`, in order of path; the id is the folder's name."""
+    """(path, benchmark_id, content) of every file of that name (a glob) below `root`; the id is the folder's name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
-    return files.select("path", benchmark_id_from_path(F.col("path")).alias("benchmark_id"), "content").orderBy("path")
+    return files.select("path", benchmark_id_from_path(F.col("path")).alias("benchmark_id"), "content")
 
 
 def encodings(files: DataFrame) -> DataFrame:
@@ -78,16 +79,64 @@ def _decoded_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return rows.where("row_no >= 0").select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)], "row_no")
 
 
+#: Rows of a board that are held at once.
+ROWS = 8192
+
+
+def _headings(row: Sequence[str]) -> list[str]:
+    """Names of all columns: a blank one by its place, a repeated one numbered."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, name in enumerate(row):
+        name = name or f"_c{i}"
+        k = seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{k}" if k else name)
+    return out
+
+
+def parsed_csv(raw: bytes) -> Iterator[tuple[list[str], list[list[str | None]]]]:
+    """The headings and the rows, ROWS at a time, of a CSV file in any of the encodings; blanks are null, short rows filled up, long ones cut."""
+    lines = csv.reader(io.StringIO(raw.decode(encoding_of(raw)).removeprefix("\ufeff"), newline=""))
+    rows = (r for r in lines if r)
+    names = _headings(next(rows, []))
+    n, sent = len(names), False
+    while part := list(itertools.islice(rows, ROWS)):
+        yield names, [[c or None for c in r[:n]] + [None] * (n - len(r)) for r in part]
+        sent = True
+    if not sent:
+        yield names, []
+
+
+def map_board_files(spark: SparkSession, root: str, name: str, schema: str, work: Callable[[str, str, list[str], list[list[str | None]], int], dict[str, pa.Array]]) -> DataFrame:
+    """(path, benchmark_id, schema): what `work` makes of (path, id, headings, rows, number of the first row) of every file of that name below `root`."""
+    files = discover(spark, root, name)
+    if files.select("path").isEmpty():
+        raise FileNotFoundError(f"no {name} below {root}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, ids, contents = batch.columns
+            for i in range(batch.num_rows):
+                path, benchmark, first = paths[i].as_py(), ids[i].as_py(), 0
+                for names, rows in parsed_csv(contents[i].as_py()):
+                    if not names:
+                        continue
+                    made = work(path, benchmark, names, rows, first)
+                    keys = [pa.array([x] * len(rows), pa.string()) for x in (path, benchmark)]
+                    yield pa.RecordBatch.from_arrays([*keys, *made.values()], ["path", "benchmark_id", *made])
+                    first += len(rows)
+
+    return files.mapInArrow(run, f"path string, benchmark_id string, {schema}")
+
+
+def _as_cells(path: str, benchmark: str, names: list[str], rows: list[list[str | None]], first: int) -> dict[str, pa.Array]:
+    cells = pa.array([list(zip(names, r, strict=True)) for r in rows], pa.map_(pa.string(), pa.string()))
+    return {"row_no": pa.array(range(first, first + len(rows)), pa.int32()), "cells": cells}
+
+
 def read_board_files(spark: SparkSession, root: str, name: str = "data.csv") -> DataFrame:
     """(benchmark_id, row_no, cells) of every file of that name below `root`, each in its own encoding; cells: a map of text by column."""
-    parts = []
-    for row in encodings(discover(spark, root, name)).orderBy("path").collect():  # a short row for each board file
-        frame = read_text_csv(spark, row["path"], row["encoding"])
-        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in frame.columns if c != "row_no"]), F.array(*[F.col(f"`{c}`") for c in frame.columns if c != "row_no"]))
-        parts.append(frame.select(F.lit(row["benchmark_id"]).alias("benchmark_id"), F.col("row_no").cast("int").alias("row_no"), cells.alias("cells")))
-    if not parts:
-        raise FileNotFoundError(f"no {name} below {root}")
-    return reduce(DataFrame.unionByName, parts)
+    return map_board_files(spark, root, name, "row_no int, cells map<string,string>", _as_cells).drop("path")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "utf-8") -> DataFrame:
@@ -103,10 +152,11 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def read_cleaned(spark: SparkSession, path: str) -> DataFrame:
-    """(model_name, score, rank) of a cleaned board; scores must be numbers and ranks whole."""
-    rows = require_columns(spark.read.option("header", "true").option("escape", '"').csv(path), ["model_name", "score", "rank"])
-    return rows.select("model_name", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+def read_cleaned(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(model_name, score, rank) of a cleaned board, or of all boards below a folder with the keys that name their folders; scores must be numbers and ranks whole."""
+    found = spark.read.option("header", "true").option("escape", '"').csv(path)
+    rows = require_columns(found, [*keys, "model_name", "score", "rank"])
+    return rows.select(*keys, "model_name", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
