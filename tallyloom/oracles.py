@@ -33,7 +33,7 @@ BASE = {
     CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN regexp_split_to_array(lower(p_name), '[\\s#]+')[1] ELSE array_to_string(regexp_split_to_array(lower(p_name), '[\\s#]+'), '-') END AS subfamily FROM part
 ), candidates AS (
   SELECT a.p_partkey AS key, b.p_partkey AS c_key, a.name, b.name AS candidate, a.version, a.parameters, b.parameters AS c_parameters, list_distinct(a.tokens) AS t, list_distinct(b.tokens) AS c_t, a.date, b.date AS c_date, a.subfamily, b.subfamily AS c_subfamily
-  FROM named a JOIN named b ON a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1 AND a.tokens[1] IS NOT DISTINCT FROM b.tokens[1] AND a.version IS NOT DISTINCT FROM b.version
+  FROM named a JOIN named b ON a.p_partkey <> b.p_partkey AND a.tokens[1] IS NOT DISTINCT FROM b.tokens[1] AND a.version IS NOT DISTINCT FROM b.version
     AND (a.parameters IS NULL OR b.parameters IS NULL OR lower(a.parameters) = lower(b.parameters)))""",
 }
 
@@ -431,3 +431,21 @@ FROM null_ d JOIN seen s USING (benchmark_id) GROUP BY 1""",
         rho=f"SELECT benchmark_id, draw, count(*) AS n, {_CORR} AS r FROM ranked GROUP BY 1, 2",
     ),
 }
+
+
+def _word(c: int, n: int) -> str:
+    return f"'x' || translate((p_partkey * {c} % {n})::VARCHAR, '0123456789', 'bcfhjvwzkq')"
+
+
+def _six(third: str) -> str:
+    return f"[{_word(1, 3)}, {_word(7, 40)}, {third}, {_word(11, 90)}, {_word(13, 700)}, {_word(17, 50)}]"
+
+
+SQL["match_unparsed"] = f"""WITH w AS (SELECT p_partkey AS pos, {_six(_word(5, 9))} AS t, {_six(_word(5, 11))} AS o FROM part),
+names AS (SELECT DISTINCT t FROM w),
+pairs AS (
+  SELECT t, o, pos, len(list_intersect(list_distinct(t), list_distinct(o)))::DOUBLE / len(list_distinct(list_concat(t, o))) AS j
+  FROM names JOIN (SELECT pos, o FROM w) x ON list_has_any(t, o)
+)
+SELECT 'parts' AS benchmark_id, array_to_string(t, ' ') AS model_name, array_to_string(o, ' ') AS lmarena_model FROM pairs WHERE 0.5::DOUBLE * j >= 0.3::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY t ORDER BY j DESC, pos) = 1"""

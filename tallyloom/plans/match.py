@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning, identity
 from tallyloom.operators.ranking import best_candidate, first_per_key
+from tallyloom.session import cut
+
+#: Places that the names without a family are dealt to when all their candidates are listed, as they share one key.
+SALTS = 16
+#: The least similarity of the best of several candidates, and the share of words in common without which two names
+#: reach it only by an equal date, equal parameters or having no words: half of it is 0.3 less 0.1 for the year and 0.06 for parameters.
+LEAST, SHARED = 0.3, 0.28
 
 NO_MATCH = "NO_MATCH_FOUND"
 UNIVERSE_SCORE = 1330.0
@@ -22,14 +31,19 @@ def candidates(names: DataFrame, arena: DataFrame) -> DataFrame:
     """(benchmark_id, model_name, info, pos, lmarena_model, c_info, similarity): a row with nulls where nothing matches.
 
     Equal family, subfamily and version, two nulls being equal, are keys of a
-    hash join; parameters must be equal unless one side has none.
+    hash join; parameters must be equal unless one side has none.  Names
+    without a family all have one key, which is dealt to SALTS places; all
+    their candidates are listed, as a review asks: `best_matches` finds the
+    automatic choice without the list.
     """
     left = names.join(identity.identities(names, "model_name"), "model_name")
     right = arena.select("pos", "lmarena_model", F.col("info").alias("c_info"))
     version = lambda c: identity.normal_version(F.col(f"{c}.version"))
     keys = F.col("info.family").eqNullSafe(F.col("c_info.family")) & F.col("info.subfamily").eqNullSafe(F.col("c_info.subfamily")) & version("info").eqNullSafe(version("c_info"))
     either = F.col("info.parameters").isNull() | F.col("c_info.parameters").isNull() | (F.lower("info.parameters") == F.lower("c_info.parameters"))
-    joined = left.join(right, keys & either, "left")
+    salt = F.when(F.col("info.family").isNull(), F.pmod(F.xxhash64("model_name"), F.lit(SALTS))).otherwise(0).cast("int")
+    places = F.when(F.col("c_info.family").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    joined = left.withColumn("__salt", salt).join(right.withColumn("__place", F.explode(places)), keys & either & (F.col("__salt") == F.col("__place")), "left").drop("__salt", "__place")
     return joined.withColumn("similarity", F.when(F.col("lmarena_model").isNotNull(), identity.similarity(F.col("info"), F.col("c_info"))))
 
 
@@ -38,6 +52,72 @@ def choose(found: DataFrame) -> DataFrame:
     return best_candidate(found.where(F.col("lmarena_model").isNotNull()), ["benchmark_id", "model_name"], "similarity", ["pos"]).select("benchmark_id", "model_name", "lmarena_model")
 
 
+def _signatures(rows: DataFrame, info: str) -> DataFrame:
+    """The rows with what their similarity depends on, where there is no family: version, date, parameters and words, and all of that as one text."""
+    parts = F.struct(identity.normal_version(F.col(f"{info}.version")).alias("version"), F.col(f"{info}.date").alias("date"), F.lower(f"{info}.parameters").alias("parameters"), F.array_sort(identity.normal_tokens(F.col(f"{info}.other_info"))).alias("words"))
+    return rows.withColumn("s", parts).select("*", "s.*", F.to_json("s").alias("signature")).drop("s")
+
+
+def _rare_words(sides: DataFrame) -> DataFrame:
+    """(id, word) of (id, words): the rarest words, so many that names with SHARED of their words in common share one of them."""
+    words = sides.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    counted = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+    listed = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("x"))
+    most = F.col("n") - F.ceil(SHARED * F.col("n") - 1e-9) + 1
+    return listed.select("id", F.explode(F.slice("x", F.lit(1), most.cast("int"))).alias("e")).select("id", "e.word")
+
+
+def _best_unparsed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(model_name, lmarena_model) of names without a family, by words that two names have in common instead of by all pairs.
+
+    Names of equal signature are one.  A pair that reaches LEAST has SHARED of
+    its words in common, and so one of the rare ones of each, or an equal date,
+    equal parameters or no words on either side; those four are equi-joins.
+    """
+    names = _signatures(left.select("model_name", "info"), "info")
+    arena = _signatures(right.select("pos", "lmarena_model", "c_info"), "c_info")
+    kept = ["signature", "version", "date", "parameters", "words"]
+    # ids of the two sides, even and odd, are fixed by the checkpoint
+    own = lambda df, odd: cut(df.withColumn("id", F.monotonically_increasing_id() * 2 + odd))
+    mine = own(names.groupBy(*kept).agg(F.first("info").alias("info")), 0)
+    theirs = own(arena.groupBy(*kept).agg(F.min(F.struct("pos", "lmarena_model", "c_info")).alias("c"), F.count(F.lit(1)).alias("rows")), 1)
+    m, t = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "version", "date", "parameters", "words")]) for side, df in (("m", mine), ("t", theirs)))
+    fit = F.col("m_parameters").isNull() | F.col("t_parameters").isNull() | (F.col("m_parameters") == F.col("t_parameters"))
+    same = F.col("m_version").eqNullSafe(F.col("t_version")) & fit
+    rare = cut(_rare_words(mine.select("id", "words").union(theirs.select("id", "words"))))
+    in_common = F.size(F.array_intersect("m_words", "t_words"))
+    alike = in_common >= SHARED * (F.size("m_words") + F.size("t_words") - in_common) - 1e-9
+    shared = m.join(rare.toDF("m_id", "m_word"), "m_id").join(t.join(rare.toDF("t_id", "t_word"), "t_id"), (F.col("m_word") == F.col("t_word")) & same & alike)
+    dated = m.join(t, (F.lower("m_date") == F.lower("t_date")) & same)
+    sized = m.join(t, (F.col("m_parameters") == F.col("t_parameters")) & same)
+    bare = m.where(F.size("m_words") == 0).join(t.where(F.size("t_words") == 0), same)
+    pairs = reduce(DataFrame.union, [x.select("m_id", "t_id") for x in (shared, dated, sized, bare)]).distinct()
+    scored = pairs.join(mine.select(F.col("id").alias("m_id"), "signature", "info"), "m_id").join(theirs.select(F.col("id").alias("t_id"), "c"), "t_id")
+    scored = scored.select("signature", F.col("c.pos").alias("pos"), F.col("c.lmarena_model").alias("lmarena_model"), identity.similarity(F.col("info"), F.col("c.c_info")).alias("similarity")).where(F.col("similarity") >= LEAST)
+    best = scored.groupBy("signature").agg(F.min(F.struct((-F.col("similarity")).alias("o"), "pos", "lmarena_model")).alias("best")).select("signature", F.col("best.lmarena_model").alias("by_words"))
+    # a name's only candidate is taken whatever its similarity: candidates are counted by their parameters, not listed
+    kinds = theirs.groupBy("version", "parameters").agg(F.sum("rows").alias("n"), F.min("c").alias("c"))
+    every = kinds.groupBy("version").agg(F.sum("n").alias("n"), F.min("c").alias("c")).toDF("e_version", "e_n", "e_c")
+    plain = kinds.where(F.col("parameters").isNull()).select("version", "n", "c").toDF("p_version", "p_n", "p_c")
+    equal = kinds.where(F.col("parameters").isNotNull()).toDF("q_version", "q_parameters", "q_n", "q_c")
+    counted = mine.select("signature", "version", "parameters").join(every, F.col("version").eqNullSafe(F.col("e_version")), "left").join(plain, F.col("version").eqNullSafe(F.col("p_version")), "left").join(equal, F.col("version").eqNullSafe(F.col("q_version")) & (F.col("parameters") == F.col("q_parameters")), "left")
+    number = F.when(F.col("parameters").isNull(), F.coalesce("e_n", F.lit(0))).otherwise(F.coalesce("p_n", F.lit(0)) + F.coalesce("q_n", F.lit(0)))
+    only = F.when(F.col("parameters").isNull(), F.col("e_c")).otherwise(F.coalesce("p_c", "q_c"))
+    alone = counted.where(number == 1).select("signature", only["lmarena_model"].alias("only"))
+    chosen = mine.select("signature").join(best, "signature", "left").join(alone, "signature", "left").select("signature", F.coalesce("by_words", "only").alias("lmarena_model"))
+    return names.select("model_name", "signature").join(chosen.where(F.col("lmarena_model").isNotNull()), "signature").select("model_name", "lmarena_model")
+
+
+def best_matches(names: DataFrame, arena: DataFrame) -> DataFrame:
+    """(benchmark_id, model_name, lmarena_model) as choose(candidates(names, arena)) gives, without listing the pairs of names that have no family."""
+    known = cut(identity.identities(names, "model_name"))
+    parsed, unparsed = F.col("info.family").isNotNull() | F.col("info.subfamily").isNotNull(), F.col("info.family").isNull() & F.col("info.subfamily").isNull()
+    by_family = choose(candidates(names.join(known.where(parsed).select("model_name"), "model_name", "left_semi"), arena))
+    right = arena.select("pos", "lmarena_model", F.col("info").alias("c_info"))
+    by_words = names.join(_best_unparsed(known.where(unparsed), right.where(F.col("c_info.family").isNull() & F.col("c_info.subfamily").isNull())), "model_name")
+    return by_family.union(by_words.select("benchmark_id", "model_name", "lmarena_model"))
+
+
 def review(found: DataFrame) -> DataFrame:
     """A review row for each model: its identity, the candidates in arena order, untrusted = 1 and the choice, "0" where there is none."""
     one = F.struct("pos", "lmarena_model", F.col("c_info").alias("info"))

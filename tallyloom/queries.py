@@ -205,15 +205,11 @@ def q_fraction(spark, d):
     return scores(spark, d).groupBy("benchmark_id").agg(F.round(F.avg((F.col("score") <= 53).cast("int")), 8).alias("low_fraction"))
 
 
-def q_match_statistics(spark, d, whole=False):
-    found = _candidates(spark, d, whole)
+def q_match_statistics(spark, d):
+    found = _candidates(spark, d)
     return match.statistics(found.select(F.lit("parts").alias("benchmark_id"), F.col("name").alias("model_name"), F.col("candidate").alias("lmarena_model")))
 
 
-def q_match_statistics_all(spark, d):
-    return q_match_statistics(spark, d, True)
-
-
 def q_summary(spark, d):
     rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo")
     return rho.agg(F.round(F.avg("rho"), 8).alias("mean_rho"), F.round(F.avg("n"), 8).alias("mean_n"), F.count("rho").alias("n_rho"))
@@ -492,33 +488,38 @@ def _named(spark, d):
     )
 
 
-def _candidates(spark, d, whole):
-    """Pairs of matching parts: of all parts with unequal ids, or the tenths that the SQL of the queries without `_all` names."""
+def _candidates(spark, d):
+    """Pairs of matching parts with unequal ids."""
     rows = _named(spark, d)
-    left = (rows if whole else rows.where("p_partkey % 10 = 0")).select("name", "tokens", "family", "version", "parameters", "date", "subfamily", F.col("p_partkey").alias("key"))
-    right = (rows if whole else rows.where("p_partkey % 10 = 1")).select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("date").alias("c_date"), F.col("subfamily").alias("c_subfamily"), F.col("p_partkey").alias("c_key"))
+    left = rows.select("name", "tokens", "family", "version", "parameters", "date", "subfamily", F.col("p_partkey").alias("key"))
+    right = rows.select(F.col("name").alias("candidate"), F.col("tokens").alias("c_tokens"), F.col("family").alias("c_family"), F.col("version").alias("c_version"), F.col("parameters").alias("c_parameters"), F.col("date").alias("c_date"), F.col("subfamily").alias("c_subfamily"), F.col("p_partkey").alias("c_key"))
     either = left["parameters"].isNull() | right["c_parameters"].isNull() | (F.lower(left["parameters"]) == F.lower(right["c_parameters"]))
-    either = either & (left["key"] != right["c_key"]) if whole else either
-    return relational.null_safe_match(left, right, [("family", "c_family"), ("version", "c_version")], either)
-
+    return relational.null_safe_match(left, right, [("family", "c_family"), ("version", "c_version")], either & (left["key"] != right["c_key"]))
 
-def q_null_safe_match(spark, d, whole=False):
-    return _candidates(spark, d, whole).select("key", "c_key", "version", "parameters", "c_parameters")
 
+def q_null_safe_match(spark, d):
+    return _candidates(spark, d).select("key", "c_key", "version", "parameters", "c_parameters")
 
-def q_null_safe_match_all(spark, d):
-    return q_null_safe_match(spark, d, True)
 
-
-def q_match_top1_similarity(spark, d, whole=False):
+def q_match_top1_similarity(spark, d):
     info = lambda c: F.struct(*[F.col(c + f).alias(f) for f in ("family", "subfamily", "date", "parameters")], F.col(c + "tokens").alias("other_info"))
-    like = identity.similarity(info(""), info("c_"))
-    rows = _candidates(spark, d, whole).select("key", "c_key", F.round(like, 10).alias("similarity"))
+    rows = _candidates(spark, d).select("key", "c_key", F.round(identity.similarity(info(""), info("c_")), 10).alias("similarity"))
     return ranking.best_candidate(rows, ["key"], "similarity", ["c_key"])
 
 
-def q_match_top1_similarity_all(spark, d):
-    return q_match_top1_similarity(spark, d, True)
+def _unparsed(spark, d):
+    """(pos, text, other) names of six words that belong to no family, made of the ids of parts; in `other` the third word is another."""
+    word = lambda c, n: F.concat(F.lit("x"), F.translate((F.col("p_partkey") * c % n).cast("string"), "0123456789", "bcfhjvwzkq"))
+    names = lambda third: F.concat_ws(" ", word(1, 3), word(7, 40), third, word(11, 90), word(13, 700), word(17, 50))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("pos"), names(word(5, 9)).alias("text"), names(word(5, 11)).alias("other"))
+
+
+def q_match_unparsed(spark, d):
+    """The automatic choice for names that share no family, against an arena of such names, by words in common."""
+    rows = _unparsed(spark, d)
+    names = rows.select(F.lit("parts").alias("benchmark_id"), F.col("text").alias("model_name")).distinct()
+    arena = rows.select(F.col("pos").alias("row_no"), F.col("other").alias("model_raw"), F.lit("1400").alias("score_raw"))
+    return match.best_matches(names, match.arena_identities(arena))
 
 
 def q_parse_identity(spark, d):

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tallyloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -29,6 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where or tempfile.mkdtemp(prefix='tallyloom-')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, computed once and written to the checkpoint folder that driver and executors share, for what is used several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
 _SHIPPED: set[str] = set()
 
 

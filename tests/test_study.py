@@ -250,7 +250,7 @@ def test_matching_and_permutation_take_in_every_row(spark, small):
     family = {r[0]: re.split(r"[\s#]+", r[1].lower())[0] for r in rows}
     brand = {r[0]: r[3].lower() if r[2] % 2 == 0 else None for r in rows}
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and family[a[0]] == family[b[0]] and a[2] % 3 == b[2] % 3 and (brand[a[0]] is None or brand[b[0]] is None or brand[a[0]] == brand[b[0]])}
-    found = queries.QUERIES["null_safe_match_all"](spark, small).collect()
+    found = queries.QUERIES["null_safe_match"](spark, small).collect()
     assert len(found) == len(want) and {(r.key, r.c_key) for r in found} == want
     size = {r[0]: r[2] for r in rows}
     date = {k: f"{2025 if n % 5 < 3 else 2024}-0{n % 5}" if n % 5 else None for k, n in size.items()}
@@ -265,12 +265,12 @@ def test_matching_and_permutation_take_in_every_row(spark, small):
 
     likest = {a: sorted((-like(a, b), b) for x, b in want if x == a) for a in {a for a, _ in want}}
     best = {a: found[0] for a, found in likest.items() if len(found) == 1 or found[0][0] <= -0.3}
-    assert {r.key: (-r.similarity, r.c_key) for r in queries.QUERIES["match_top1_similarity_all"](spark, small).collect()} == best
+    assert {r.key: (-r.similarity, r.c_key) for r in queries.QUERIES["match_top1_similarity"](spark, small).collect()} == best
     counts = {}
     for a, _ in want:
         name = next(r[1] for r in rows if r[0] == a)
         counts[name] = counts.get(name, 0) + 1
-    assert queries.QUERIES["match_statistics_all"](spark, small).collect() == [("parts", len(counts), 0, sum(n > 1 for n in counts.values()))]
+    assert queries.QUERIES["match_statistics"](spark, small).collect() == [("parts", len(counts), 0, sum(n > 1 for n in counts.values()))]
     names = dict(con.execute("SELECT p_type, count(DISTINCT (p_size, p_name)) FROM part GROUP BY 1").fetchall())
     assert {r.benchmark_id: r.matched + r.unmatched for r in queries.QUERIES["review_candidates"](spark, small).collect()} == names
 
