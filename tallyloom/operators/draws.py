@@ -47,9 +47,9 @@ def counter(context: SparkContext, tell: Callable[[int], None] | None):
     return context.accumulator(0, _Reported(tell)) if tell else None
 
 
-def large_groups(rows: DataFrame, by: Sequence[str]) -> DataFrame | None:
-    """The keys of groups that have more than PACKED rows, if there are any."""
-    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PACKED).drop("__n")
+def large_groups(rows: DataFrame, by: Sequence[str], most: int | None = None) -> DataFrame | None:
+    """The keys of groups that have more than `most` rows, PACKED unless given, if there are any."""
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (PACKED if most is None else most)).drop("__n")
     return None if found.isEmpty() else found
 
 
