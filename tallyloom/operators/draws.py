@@ -65,10 +65,12 @@ def of_groups(rows: DataFrame, keys: DataFrame, by: Sequence[str], how: str) ->
     return rows.join(other, on, how)
 
 
-def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], draws: int, work: Work, schema: str, unit: int = 1, seed: Column | None = None, progress: Callable[[int], None] | None = None) -> DataFrame:
+def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], draws: int, work: Work, schema: str, unit: int = 1, seed: Column | None = None, most: int | None = None, progress: Callable[[int], None] | None = None) -> DataFrame:
     """(by, n, schema): what `work` gives for each block of each group's draws; blocks begin at multiples of `unit`.
 
-    The arrays are the columns as doubles, in the given order of rows.
+    The arrays are the columns as doubles, null as NaN, in the given order of
+    rows.  most: draws a block at most, where a draw takes much more than its
+    random numbers.
     """
     item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__rows")).where(F.size("__rows") > 0)
@@ -76,10 +78,12 @@ def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns
     own = seed if seed is not None else F.lit(0)
     sized = packed.select(*by, F.size("__rows").cast("long").alias("n"), own.cast("long").alias("__seed"), *values)
     each = F.expr(f"{unit} * greatest(1, {BLOCK} div (n * {unit}))")
-    blocks = sized.withColumn("__each", F.least(F.lit(draws), each)).withColumn("__first", F.explode(F.expr(f"sequence(0, {draws} - 1, __each)")))
+    blocks = sized.withColumn("__each", F.least(F.lit(draws), F.lit(most or draws), each)).withColumn("__first", F.explode(F.expr(f"sequence(0, {draws} - 1, __each)")))
     context = rows.sparkSession.sparkContext
     done = counter(context, progress)
     names = [*by, "n"]
+    arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+    types = {c: arrow[t] for c, t in (f.split() for f in schema.split(", "))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +96,7 @@ def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns
                     done.add(last - first[i])
                 many = len(next(iter(found.values())))
                 keys = [b.column(c).take(pa.array(np.full(many, i))) for c in names]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v, from_pandas=True) for v in found.values()]], [*names, *found])
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v, types.get(c), from_pandas=True) for c, v in found.items()]], [*names, *found])
 
     head = "".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}, " for c in names)
     # each row is a block of its own: dealt one by one, as hashing few keys would leave cores idle

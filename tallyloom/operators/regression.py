@@ -78,6 +78,48 @@ def huber(x: np.ndarray, y: np.ndarray, t: float = HUBER_T, rounds: int = 50, to
     return beta, np.array([normal_two_sided(z) for z in beta / np.sqrt(np.diag(cov))])
 
 
+def huber_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray, t: float = HUBER_T, rounds: int = 50, tolerance: float = 1e-8) -> np.ndarray:
+    """The coefficients of `huber` for each row of drawn positions, all fitted side by side; NaN where the columns drawn are dependent.
+
+    Each round solves the weighted normal equations of the fits that go on, in
+    columns that are centred and scaled, so that they are well conditioned.
+    """
+    middle, scale = x[:, 1:].mean(0), x[:, 1:].std(0)
+    scale = np.where(scale > 0, scale, 1.0)
+    z = np.column_stack([np.ones(len(x)), (x[:, 1:] - middle) / scale])
+    a, b, k = z[at], y[at], z.shape[1]
+    beta, before, open_ = np.full((len(at), k), np.nan), np.full(len(at), np.inf), np.arange(len(at))
+
+    def solved(which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        weighted = a[which] * weight[:, :, None]
+        left, right = np.einsum("dni,dnj->dij", weighted, a[which]), np.einsum("dni,dn->di", weighted, b[which])
+        whole = np.linalg.cond(left) < 1e12
+        out = np.full((len(which), k), np.nan)
+        out[whole] = np.linalg.solve(left[whole], right[whole][:, :, None])[:, :, 0]
+        return out
+
+    if not at.size:
+        return beta
+    beta = solved(open_, np.ones(at.shape))
+    open_ = open_[np.isfinite(beta[:, 0])]
+    for _ in range(rounds):
+        if not len(open_):
+            break
+        r = b[open_] - np.einsum("dni,di->dn", a[open_], beta[open_])
+        s = np.median(np.abs(r), axis=1) / MAD_SCALE
+        going = s > 0
+        open_, r, s = open_[going], r[going], s[going]
+        u = np.abs(r / s[:, None])
+        loss = np.where(u <= t, 0.5 * u * u, t * u - 0.5 * t * t).sum(1)
+        going = np.abs(before[open_] - loss) > tolerance
+        before[open_] = loss
+        open_, u = open_[going], u[going]
+        if len(open_):
+            beta[open_] = solved(open_, np.minimum(1.0, t / np.maximum(u, 1e-300)))
+    slopes = beta[:, 1:] / scale
+    return np.column_stack([beta[:, 0] - slopes @ middle, slopes])
+
+
 def huber_by_group(df: DataFrame, by: Sequence[str], predictors: Sequence[str], response: str) -> DataFrame:
     """(by, term, coefficient, pvalue): a robust regression with intercept for each group; groups are small by nature."""
     rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in [*predictors, response]]).dropna(subset=[*predictors, response])

@@ -162,7 +162,7 @@ def _kendall_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarr
 RESAMPLED: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"spearman": _spearman_resampled, "kendall": _kendall_resampled}
 
 
-def _resamples(n: int, first: int, last: int, seed: int) -> np.ndarray:
+def drawn_rows(n: int, first: int, last: int, seed: int = SEED) -> np.ndarray:
     """The positions of draws first to last of a seeded generator, a row each."""
     state = np.random.RandomState(seed)
     step = max(1, NUMBERS // max(1, n))
@@ -204,7 +204,7 @@ def resampled_agreement(df: DataFrame, by: Sequence[str], model: str, x: str, y:
     def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
         a, b = values
         n, parts = len(a), []
-        at = _resamples(n, first, last, SEED)
+        at = drawn_rows(n, first, last)
         for name, f in chosen.items():
             seen = _one(f, a, b) if n > 1 else np.nan
             if n < 2:
@@ -265,7 +265,7 @@ def uncertainty(df: DataFrame, by: Sequence[str], model: str, score: str, score_
         streams = range(first // TRIALS_A_STREAM, -(-last // TRIALS_A_STREAM))
         return {"rho": np.concatenate([monte_carlo(*values, min(TRIALS_A_STREAM, trials - TRIALS_A_STREAM * k), np.random.default_rng([seed, own, k])) for k in streams])}
 
-    found = map_blocks(rows, by, [model], [score, score_sd, elo, elo_sd], trials, work, "rho double", TRIALS_A_STREAM, key, progress)
+    found = map_blocks(rows, by, [model], [score, score_sd, elo, elo_sd], trials, work, "rho double", TRIALS_A_STREAM, key, progress=progress)
     return _summary_of_rho(found, by)
 
 

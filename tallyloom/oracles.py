@@ -449,3 +449,66 @@ pairs AS (
 )
 SELECT 'parts' AS benchmark_id, array_to_string(t, ' ') AS model_name, array_to_string(o, ' ') AS lmarena_model FROM pairs WHERE 0.5::DOUBLE * j >= 0.3::DOUBLE
 QUALIFY row_number() OVER (PARTITION BY t ORDER BY j DESC, pos) = 1"""
+
+
+_BOTH = (
+    BASE["category_elos"]
+    + """,
+pairs AS (SELECT benchmark_id || '|overall' AS benchmark_id, model_id, score, elo FROM scores JOIN elos USING (model_id)
+  UNION ALL SELECT benchmark_id || '|category', model_id, score, elo FROM scores JOIN category_elos USING (model_id) WHERE category = 'ASIA')"""
+)
+_SIZES = """SELECT lpad(p_size::VARCHAR, 3, '0') AS benchmark_id, p_size, count(*) AS q, sum(p_partkey * 37 % 101) AS k, sum(p_partkey * p_partkey % 89) AS l FROM part GROUP BY p_size"""
+_METRICS = """SELECT 'spearman_rho' AS metric, *, k::DOUBLE / q / 101 AS y FROM sizes UNION ALL SELECT 'kendall_tau', *, l::DOUBLE / q / 89 FROM sizes UNION ALL SELECT 'rbo', *, (k * 7 % 97) / 97.0::DOUBLE FROM sizes"""
+_LINES = "SELECT n_nationkey AS k, n_name AS name, n_regionkey % 2 AS b, (row_number() OVER (PARTITION BY n_regionkey % 2 ORDER BY n_nationkey) - 1)::INT AS row_no FROM nation"
+SQL |= {
+    "agreement_table": f"""WITH a AS ({_ctes("scores elos pairs ranks", "SELECT benchmark_id, n, r, p FROM tested", g=_RHO, tested=_OF_R)}
+), b AS (SELECT benchmark_id, tau, {_ERFC} AS q FROM (SELECT benchmark_id, tau, abs(z0) / sqrt(2) AS z FROM (SELECT benchmark_id, tau, z AS z0 FROM ({_KENDALL}) k) x) y
+), c AS ({SQL["rbo"]}
+)
+SELECT split_part(benchmark_id, '|', 1) AS benchmark_id, split_part(benchmark_id, '|', 2) AS target, n, round(r, 8) AS spearman_rho, CASE WHEN n >= 30 THEN round(p, 8) END AS spearman_pvalue,
+  round(tau, 8) AS kendall_tau, CASE WHEN n >= 30 THEN round(q, 6) END AS kendall_pvalue, rbo FROM a JOIN b USING (benchmark_id) JOIN c USING (benchmark_id)""".replace(BASE["pairs"], _BOTH),
+    "hypothesis_tests": _ctes(
+        "",
+        f"""SELECT 'H1_' || metric AS test, 'pearson' AS primary_test, round(r, 6) AS statistic, round(r, 6) AS effect_size, round(p, 6) AS p_raw, n::INT AS sample_size FROM h1
+UNION ALL SELECT 'H3_' || metric, 'spearman', round(r, 6), round(r, 6), round(p, 6), n::INT FROM h3
+UNION ALL SELECT 'H2_' || metric, 'kruskal', round(h, 6), round(r2, 6), round({_ERFC} + sqrt(2 * h / pi()) * exp(-h / 2), 6), n::INT FROM h2""",
+        sizes=_SIZES,
+        rows=_METRICS,
+        days="SELECT *, ln(q) AS x, make_date(2025, (p_size % 12 + 1)::INT, (10 + p_size % 7)::INT) AS day FROM rows",
+        ranked=f"SELECT *, {_midrank('day', 'metric')} AS rx, {_midrank('y', 'metric')} AS ry, count(*) OVER (PARTITION BY metric, y)::DOUBLE AS t FROM days",
+        pearson="SELECT metric, count(*) AS n, corr(x, y) AS r FROM days GROUP BY 1",
+        spearman="SELECT metric, count(*) AS n, corr(rx, ry) AS r FROM ranked GROUP BY 1",
+        h1=_OF_R.replace("FROM g", "FROM pearson"),
+        h3=_OF_R.replace("FROM g", "FROM spearman"),
+        groups="SELECT metric, p_size % 4 AS level, count(*)::DOUBLE AS n, sum(ry) AS s, sum(t * t - 1) AS c FROM ranked GROUP BY 1, 2",
+        kruskal="SELECT metric, sum(n) AS n, (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - sum(c) / (pow(sum(n), 3) - sum(n))) AS h FROM groups GROUP BY 1",
+        h2="SELECT metric, n, h, r2, sqrt(h / 2) AS z FROM kruskal JOIN (SELECT metric, corr(p_size % 4 + 1, y) ** 2 AS r2 FROM days GROUP BY 1) s USING (metric)",
+    ).replace("WITH RECURSIVE ,", "WITH RECURSIVE"),
+    "hypothesis_results": _ctes(
+        "tests holm",
+        f"""SELECT CASE code WHEN 'H1' THEN 'H1 (Scale)' WHEN 'H2' THEN 'H2 (Complexity)' WHEN 'H3' THEN 'H3 (Recency)' WHEN 'H4' THEN 'H4 (Variance)' WHEN 'H5' THEN 'H5 (Difficulty)' ELSE code || '_' || num END AS hypothesis,
+  {_number("num / 8.0")} AS effect, CASE WHEN num % 3 > 0 THEN printf('[%.3f, %.3f]', num / 16.0, num / 4.0) ELSE '--' END AS interval, CASE WHEN p < 0.0001 THEN printf('%.2e', p) ELSE printf('%.4f', p) END AS p_raw,
+  CASE WHEN p_corrected < 0.0001 THEN printf('%.2e', p_corrected) ELSE printf('%.4f', p_corrected) END AS p_corrected FROM coded WHERE num % 2 = 0""",
+        coded="SELECT *, regexp_extract(test, '([0-9]+)$', 1)::INT AS num, 'H' || (regexp_extract(test, '([0-9]+)$', 1)::INT % 7 + 1) AS code FROM holm",
+    ),
+    "uncertainty_report": f"""WITH s AS ({SQL["monte_carlo_rho"]}
+), r AS ({SQL["spearman"]}
+), w AS (SELECT benchmark_id, round(rho, 6) AS rho, round(simulated_rho, 6) AS sim, round(ci_lower, 6) AS lo, round(ci_upper, 6) AS hi, nonpositive_fraction AS share FROM s JOIN r USING (benchmark_id))
+SELECT benchmark_id, {_marked("bf", _number("rho"), "rho < 0")} AS spearman, {_marked("bf", _number("sim"), "sim < 0")} AS simulated, printf('[%.3f, %.3f]', lo, hi) AS interval,
+  {_marked("it", _number("share", 4), "share > 0.05")} AS nonpositive, (row_number() OVER (ORDER BY rho DESC, benchmark_id))::INT AS place FROM w""",
+    "too_few_models": _ctes(
+        "scores elos pairs",
+        "SELECT benchmark_id, n, 'a group has fewer than 5 models: ' || n AS error FROM few WHERE n < 5",
+        few="SELECT benchmark_id || ' ' || (model_id % 2) AS benchmark_id, count(*) AS n FROM pairs WHERE model_id % 25 = length(benchmark_id) GROUP BY 1",
+    ),
+    "review_table": """WITH a AS (SELECT (p_size % 6 + 1) AS v, p_size % 2 = 0 AS sized, min(p_partkey) AS pos FROM part GROUP BY 1, 2
+), arena AS (SELECT *, 'gpt-' || v || CASE WHEN sized THEN ' 7B' ELSE '' END AS name FROM a
+), names AS (SELECT DISTINCT p_type, p_size % 7 AS v, p_size % 3 AS k FROM part
+), c AS (SELECT p_type, n.v, k, arena.name, pos, sized FROM names n JOIN arena ON arena.v = n.v AND (k = 2 OR NOT sized OR k = 0)
+), g AS (SELECT p_type, v, k, string_agg(name, '; ' ORDER BY pos) AS candidates, arg_min(name, (CASE WHEN sized THEN 0 ELSE 1 END) * 1000000000 + pos) AS best FROM c GROUP BY 1, 2, 3)
+SELECT n.p_type AS benchmark_id, 'GPT-' || n.v || CASE n.k WHEN 0 THEN ' 7B' WHEN 1 THEN ' 9B' ELSE '' END AS model_name, coalesce(candidates, 'NO_MATCH_FOUND') AS candidates, 1 AS untrusted, coalesce(best, '0') AS selected
+FROM names n LEFT JOIN g ON g.p_type = n.p_type AND g.v = n.v AND g.k = n.k""",
+    "board_layouts": f"""WITH l AS ({_LINES}), s AS (SELECT unnest(['lmarena', 'vals_ai', 'frontiermath', 'artificial_analysis', 'elsewhere']) AS source)
+SELECT source || ' ' || b AS benchmark_id, row_no, name AS model_raw, k || CASE WHEN source IN ('vals_ai', 'artificial_analysis') THEN '%' ELSE '' END AS score_raw FROM l, s""",
+    "combined_table": _ctes("scores", "SELECT (row_number() OVER (ORDER BY 'm' || model_id))::INT AS position, 'm' || model_id AS Model, " + ", ".join(f"max(score) FILTER (benchmark_id = '{t}') AS {t}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM scores GROUP BY model_id"),
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.cleaning import category_column
 from tallyloom.operators import agreement, relational, resampling
 from tallyloom.operators.ranking import competition_rank
+from tallyloom.session import cut
 
 OVERALL = "Overall"
 ELO_SCORED = "Creative Writing v3"
@@ -35,6 +36,7 @@ def paired(scores: DataFrame, elo: DataFrame, metadata: DataFrame) -> DataFrame:
 def agreement_table(pairs: DataFrame, draws: int = DRAWS) -> DataFrame:
     """(benchmark_id, target, n, Spearman, Kendall, overlap, p-values; intervals for the category only)."""
     by = ["benchmark_id", "target"]
+    pairs = cut(pairs)  # five measures read them
     rho = agreement.with_t_pvalue(agreement.spearman(pairs, by, "elo", "score"), "rho", "n", "__pt")
     tau = agreement.with_kendall_pvalue(agreement.kendall(pairs, by, "elo", "score")).select(*by, "tau", F.col("pvalue").alias("__pz"))
     overlap = agreement.rbo_of_scores(pairs, by, "model_id", "rank", "elo").select(*by, "rbo")

@@ -36,6 +36,13 @@ def inputs(scores: DataFrame, arena: DataFrame, metadata: DataFrame) -> DataFram
     return checked.withColumn("score_sd", resampling.binomial_sd(F.col("score"), F.col("question_count")))
 
 
+def too_few(rows: DataFrame, least: int = LEAST_MODELS) -> DataFrame:
+    """(benchmark_id, n, error) of benchmarks that `simulate` refuses: fewer than `least` common models."""
+    n = F.col("n").cast("string")
+    counts = rows.groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
+    return counts.select("benchmark_id", "n", F.concat(F.lit(f"a group has fewer than {least} models: "), n).alias("error"))
+
+
 def simulate(rows: DataFrame, trials: int = TRIALS, seed: int = resampling.SEED) -> DataFrame:
     """Every benchmark with a generator of its own, side by side; fewer than LEAST_MODELS common models are an error."""
     return resampling.uncertainty(rows, ["benchmark_id"], "model_id", "score", "score_sd", "elo", "elo_sd", trials, seed, LEAST_MODELS)

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import cleaning, identity
 from tallyloom.operators import agreement, correction, ranking, regression, relational, resampling
-from tallyloom.plans import clean, hypotheses, match, report, uncertainty
+from tallyloom.plans import clean, features, hypotheses, match, report, uncertainty
 from tallyloom.session import scratch
 from tallyloom.sources import embedded_json, html, registry, sinks, tables
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 #: The revenue, in thousands, from which a supplier is studied, and the band of the difficulty measure.
 UNIVERSE, BAND = 31000.0, (31000.0, 32500.0)
 
@@ -397,6 +398,104 @@ def q_binomial_se(spark, d):
     return rows.select("benchmark_id", "model_id", F.round(resampling.binomial_sd(F.col("score"), F.col("n_lines")), 8).alias("score_sd"), F.round(resampling.interval_sd(F.col("score")), 8).alias("elo_sd"))
 
 
+# the study's steps
+
+
+def q_agreement_table(spark, d):
+    """All measures of each board with the Elo of its category and with the overall one; p from 30 pairs on."""
+    rows = ranking.competition_rank(scores(spark, d), ["benchmark_id"], "score")
+    arena = category_elo(spark, d).where("category = 'ASIA'").unionByName(elo(spark, d).withColumn("category", F.lit(features.OVERALL)))
+    metadata = rows.select("benchmark_id").distinct().withColumn("category", F.lit("ASIA"))
+    found = features.agreement_table(features.paired(rows, arena, metadata))
+    large = lambda c, digits: F.when(F.col("n") >= agreement.LARGE, F.round(c, digits)).alias(c)
+    return found.select("benchmark_id", "target", "n", _r("spearman_rho"), large("spearman_pvalue", 8), _r("kendall_tau"), large("kendall_pvalue", 6), _r("rbo"))
+
+
+def _sizes(spark, d):
+    """Sizes of parts as benchmarks, with features made of their parts."""
+    cents = F.col("p_retailprice").cast("decimal(18,2)")
+    whole = read(spark, d, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("question_count"), F.sum(cents).alias("s"), F.max(cents).alias("hi"), F.min(cents).alias("lo"), F.sum((F.col("p_partkey") * 37 % 101)).alias("k"), F.sum((F.col("p_partkey") * F.col("p_partkey") % 89)).alias("l"))
+    number = lambda e: F.expr(f"cast({e} as double)")
+    levels = F.array(*map(F.lit, cleaning.COMPLEXITY))
+    return whole.select(
+        F.lpad(F.col("p_size").cast("string"), 3, "0").alias("benchmark_id"), "question_count", F.get(levels, F.col("p_size") % 4).alias("complexity"), F.concat(F.lit("2025-"), F.lpad((F.col("p_size") % 12 + 1).cast("string"), 2, "0"), F.lit("-1"), (F.col("p_size") % 7).cast("string")).alias("release_date"),
+        (number("s") / F.col("question_count") / 100).alias("difficulty"), ((number("hi") - number("lo")) / number("s")).alias("cv"), (F.col("k") / F.col("question_count") / 101).alias("spearman_rho"), (F.col("l") / F.col("question_count") / 89).alias("kendall_tau"), (F.col("k") * 7 % 97 / 97.0).alias("rbo"),
+    )
+
+
+def q_hypotheses(spark, d):
+    """H1 to H5 for each of the three measures, with all draws."""
+    found = hypotheses.corrected(hypotheses.test_table(spark, _sizes(spark, d)))
+    return found.select("test", "hypothesis", "metric", "primary_test", _r("statistic", 6), _r("effect_size", 6), _r("ci_lower", 6), _r("ci_upper", 6), _r("p_raw", 6), _r("p_corrected", 6), "is_significant", "sample_size", "conclusion")
+
+
+def q_hypothesis_tests(spark, d):
+    """The tests of H1 to H3, whose results have a closed form."""
+    found = hypotheses.test_table(spark, _sizes(spark, d), draws=250)
+    return found.where(F.col("hypothesis").isin("H1", "H2", "H3")).select("test", "primary_test", _r("statistic", 6), _r("effect_size", 6), F.round("p_raw", 6).alias("p_raw"), "sample_size")
+
+
+def q_hypothesis_results(spark, d):
+    """The table of results of one measure, of made-up tests."""
+    judged = correction.holm(_tests(spark, d), [], "p", ["test"])
+    at = F.regexp_extract("test", "([0-9]+)$", 1).cast("int")
+    rows = judged.select(F.concat(F.lit("H"), (at % 7 + 1).cast("string"), F.lit("_"), at.cast("string")).alias("test"), F.when(at % 2 == 0, "spearman_rho").otherwise("rbo").alias("metric"), (at / 8.0).alias("effect_size"), F.when(at % 3 > 0, at / 16.0).alias("ci_lower"), F.when(at % 3 > 0, at / 4.0).alias("ci_upper"), F.col("p").alias("p_raw"), "p_corrected")
+    return report.hypothesis_results(rows)
+
+
+def q_uncertainty_report(spark, d):
+    """The table of simulated agreement, the strongest rank correlation first, with each row's place."""
+    rows = scores_with_elo(spark, d).withColumns({"score_sd": resampling.binomial_sd(F.col("score"), F.col("n_lines")), "elo_sd": resampling.interval_sd(F.col("elo") / 20)})
+    simulated = resampling.monte_carlo_rho(rows, ["benchmark_id"], ["model_id"], "score", "score_sd", "elo", "elo_sd")
+    rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", F.col("rho").alias("spearman_rho"))
+    whole = simulated.join(rho, "benchmark_id").withColumns({c: F.round(c, 6) for c in ("spearman_rho", "simulated_rho", "ci_lower", "ci_upper")})
+    place = ranking.positions(whole.select("benchmark_id", "spearman_rho"), [], [F.desc("spearman_rho"), F.col("benchmark_id")], "place").drop("spearman_rho")
+    return report.uncertainties(whole).join(place, "benchmark_id")
+
+
+def q_too_few_models(spark, d):
+    """Which benchmarks a simulation refuses, as they share fewer than five models with their arena, and with what error."""
+    few = scores_with_elo(spark, d).where(F.col("model_id") % 25 == F.length("benchmark_id")).select(F.concat("benchmark_id", F.lit(" "), (F.col("model_id") % 2).cast("string")).alias("benchmark_id"), "model_id")
+    return uncertainty.too_few(few)
+
+
+def q_review_table(spark, d):
+    """A review row for each name: its candidates in order, and the automatic choice."""
+    parts = read(spark, d, "part")
+    arena = parts.groupBy((F.col("p_size") % 6 + 1).alias("v"), (F.col("p_size") % 2).alias("b")).agg(F.min("p_partkey").alias("row_no"))
+    arena = arena.select("row_no", F.concat(F.lit("gpt-"), F.col("v").cast("string"), F.when(F.col("b") == 0, " 7B").otherwise("")).alias("model_raw"), F.lit("1400").alias("score_raw"))
+    names = parts.select(F.col("p_type").alias("benchmark_id"), F.concat(F.lit("GPT-"), (F.col("p_size") % 7).cast("string"), F.when(F.col("p_size") % 3 == 0, " 7B").when(F.col("p_size") % 3 == 1, " 9B").otherwise("")).alias("model_name")).distinct()
+    found = match.review(match.candidates(names, match.arena_identities(arena)))
+    return found.select("benchmark_id", "model_name", F.array_join(F.transform("candidates", lambda c: c["lmarena_model"]), "; ").alias("candidates"), "untrusted", "selected")
+
+
+def q_board_layouts(spark, d):
+    """Boards of several layouts: which columns hold the model and the score depends on the source and the headings."""
+    root = f"{scratch(spark, 'layouts')}/raw"
+    k, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    # The folder of a source and a board, its headings, and how many columns stand before the model.
+    layouts = {
+        "lmarena": ("Rank,Model,Votes,Score", F.concat_ws(",", F.lit("1"), name, F.lit("9"), k)),
+        "vals_ai": ("latency,Model,accuracy,cost", F.concat_ws(",", F.lit("3"), name, F.concat(k, F.lit("%")), F.lit("8"))),
+        "frontiermath": ("score,name,score_value", F.concat_ws(",", F.lit("77"), name, k)),
+        "artificial_analysis": ("Agent,Speed,Share", F.concat_ws(",", name, F.lit("12"), F.concat(k, F.lit("%")))),
+        "elsewhere": ("AI System,note,Final Result", F.concat_ws(",", name, F.lit(""), k)),
+    }
+    rows = read(spark, d, "nation")
+    for source, (head, line) in layouts.items():
+        listed = rows.groupBy((F.col("n_regionkey") % 2).alias("b")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("x"))
+        board = listed.select(F.concat(F.lit(f"{source} "), F.col("b").cast("string")).alias("board"), F.array_join(F.concat(F.array(F.lit(head)), F.col("x.line")), "\n").alias("text"))
+        sinks.write_files(board, "board", "text", f"{root}/{source}")
+    found = clean.read_boards(spark, root, "*.txt")
+    return found.select("benchmark_id", F.col("row_no").cast("int").alias("row_no"), "model_raw", "score_raw")
+
+
+def q_combined_table(spark, d):
+    """Boards side by side, a row for each model, in order of its name."""
+    boards = scores(spark, d).select("benchmark_id", F.concat(F.lit("m"), F.col("model_id").cast("string")).alias("Model"), "score")
+    return registry.combine_boards(boards, "Model", "benchmark_id", "score", TYPES)
+
+
 # 2.10: cleaning
 
 
@@ -764,9 +863,6 @@ def q_json_document(spark, d):
     return tables.read_json_map(spark, path).select(F.col("key").alias("test"), F.expr("try_variant_get(value, '$.p', 'double')").alias("p"), F.expr("try_variant_get(value, '$.region', 'long')").alias("region"))
 
 
-TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-
-
 def q_wide_csv(spark, d):
     """All suppliers as models, those without a board too, with a column for each board, by way of a file."""
     path = scratch(spark, "wide")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cleaning import benchmark_id_from_path
+from tallyloom.operators.ranking import positions
 from tallyloom.sources import embedded_json, html, pages, tables
 
 Reader = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,12 @@ def choose_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted if c in df.columns])
 
 
+def combine_boards(long: DataFrame, model: str, board: str, score: str, boards: Sequence[str]) -> DataFrame:
+    """(position, model, a column for each board): a row for each model, in order of its name, from 1."""
+    wide = long.groupBy(model).agg(*[F.max(F.when(F.col(board) == b, F.col(score))).alias(b) for b in boards])
+    return positions(wide, [], [model], "position", large=True).select("position", model, *[F.col(f"`{b}`") for b in boards])
+
+
 def split_boards(combined: DataFrame, boards: dict[str, str], model: str = "Model") -> DataFrame:
     """(benchmark_id, row_no, model_raw, score_raw) of a table with a column for each board; a board whose column is absent has null scores."""
     score = lambda c: F.col(f"`{c}`").cast("string") if c in combined.columns else F.lit(None).cast("string")
