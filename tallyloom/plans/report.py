@@ -42,8 +42,7 @@ def hypothesis_results(report: DataFrame, metric: str = "spearman_rho") -> DataF
 
 def correlation_summary(features: DataFrame) -> DataFrame:
     """All measures; the least of a measure is bold, those not significant italic, and so is the name where neither correlation is."""
-    whole = Window.partitionBy()
-    least = lambda c: F.col(c) == F.min(c).over(whole)
+    least = lambda c: F.col(c) == features.agg(F.min(c)).scalar()
     weak = lambda p: F.col(p) > ALPHA
     return features.select(
         italic(F.col("benchmark_id"), weak("spearman_pvalue") & weak("kendall_pvalue")).alias("benchmark"),
@@ -109,7 +108,7 @@ def figure_recency(features: DataFrame, metric: str = "spearman_rho") -> DataFra
 def figure_difficulty(features: DataFrame, metric: str = "spearman_rho") -> DataFrame:
     """Difficulty against agreement, parted at the median coefficient of variation; without boards scored by Elo."""
     rows = relational.without(features, "benchmark_id", [ELO_SCORED])
-    median = F.median("cv").over(Window.partitionBy())
+    median = rows.agg(F.median("cv")).scalar()
     return rows.select("benchmark_id", F.col("difficulty").alias("x"), F.col(metric).alias("y"), "cv", (F.col("cv") > median).alias("high_variation"))
 
 
