@@ -14,16 +14,28 @@ In the other, signs between letters are gaps of no weight ("id.iot",
 "i**d**i**o**t"), and letters that stand alone one after another are one word
 ("i d i o t").  Digits and signs that look like letters are read as them.
 
-Labels are of whole texts, while an insult is a word or two.  Training
-therefore looks for the witness in each toxic text: at first the word with
+Two machines judge a text.  A score is the higher of what the first says alone
+and of what a logistic regression makes of both.
+
+The one takes the text as a sentence: the mean of its words' features, each
+subsequence scaled by the root of how often it occurs.  Its landmarks are
+labelled texts.  It learns what shows in how often something is said.  A text
+of few words is drawn towards the mean of all.
+
+The other looks for an insult, a word or two.  Training therefore looks for the witness in each toxic text: at first the word with
 the piece that most sets toxic texts apart, in later rounds the word with the
 highest margin.  A witness weighs by the toxic texts that hold it, and copies
 of it with one and two letters put in weigh alike; a clean word weighs by the
 clean texts.  A text's margin is that of its worst word, in any of its
-sentences, and Platt scaling turns it into a score.
+sentences.
 
-Training takes at most SAMPLE labelled texts of each class on average, drawn
-by a hash of the key, with all their words; scores cover whole texts.
+The first machine's scaling and the regression are fitted on its margins on
+texts that didn't teach it, the regression on clean texts that didn't teach the
+second one either.  With too few labels for that, the worst word alone counts.
+
+Training takes at most SAMPLE toxic and CLEAN times as many clean texts on
+average, drawn by a hash of the key, with all their words; scores cover whole
+texts.
 
 Cases: null and empty texts have no word and get the score of an empty text;
 without labels of both classes every score is 0; repeated rows are scored
@@ -46,13 +58,18 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import fold, map_text, share_hash, spread, table
 from tallyloom.llm.features import fit_platt, newton_svm, sigmoid
 
-#: Labelled texts of each class to train on, at most on average.
-SAMPLE = 800
+#: Toxic texts to train on, at most on average, and how many times as many clean ones; the insult machine learns from SAMPLE of these or two thirds, the others judge.
+SAMPLE, CLEAN = 800, 4
 #: Bounds of the training set: landmarks, words of either class, witnesses that get letters put in, hardest clean words
 #: that a round adds; rounds, and words by which near copies of a text are told.
 LANDMARKS, EXAMPLES, BENT, HARDEST, ROUNDS, SKETCH = 300, 6000, 100, 1000, 4, 16
 #: Words whose subsequences are held at once, and subsequences multiplied at once.
 WORDS, ENTRIES = 50_000, 1 << 15
+#: Landmarks of the sentence machine, folds that set its scaling, words of no account that a text is filled up with, texts that
+#: have to hold a subsequence, its least rate, and the machine's cost.
+TEXT_LANDMARKS, FOLDS, FILLED, HELD, RATE, COST = 1000, 4, 30, 3, 1e-5, 1e5
+#: Texts of either class below which only the worst word counts.
+LEAST = 30
 #: Weight of each letter that a subsequence skips.
 GAP = 0.6
 THRESHOLD = 0.3
@@ -174,34 +191,45 @@ class _Words:
 class ToxicityModel:
     def __init__(self, weights: np.ndarray | None = None, bias: float = 0.0, platt: tuple[float, float] = (0.0, 0.0)):
         self.weights, self.bias, self.platt = weights, bias, platt
+        #: The sentence machine, weights and bias, what the two margins, kept within bounds, weigh, and the first one's scaling; none if it could not be trained.
+        self.sentence: tuple[np.ndarray, float] | None = None
+        self.both: tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]] | None = None
 
     def margin(self, text: str) -> float:
-        """The highest margin of a word of the text in either reading; of the empty word if there is none."""
-        raw, best, begin = _symbols(text), float(self.bias), 0
+        return self.margins(text)[0]
+
+    def margins(self, text: str) -> tuple[float, float]:
+        """The highest margin of a word of the text in either reading, or of the empty word if there is none, and the margin of the text as a sentence."""
+        raw, best, begin, counted = _symbols(text), float(self.bias), 0, 0
+        total, words = 0.0, 0
         blank = bytes([BLANK])
         while begin < len(raw):
             end = min(len(raw), begin + PIECE)
             if end < len(raw):
                 cut = raw.rfind(blank, begin, end)
                 end = cut if cut > begin else end
-            best = max(best, *map(self._piece, _readings(raw[begin:end])))
+            plain, parted = _readings(raw[begin:end])
+            worst, part, n = self._piece(plain, counted - begin)
+            best, total, words, counted = max(best, worst, self._piece(parted, len(parted))[0]), total + part, words + n, end
             if end == len(raw):
                 break
             again = raw.find(blank, max(begin + 1, end - OVERLAP), end)
             begin = again if again > begin else end
-        return best
+        return best, total / (words + FILLED) + self.sentence[1] if self.sentence else 0.0
 
-    def _piece(self, raw: bytes) -> float:
+    def _piece(self, raw: bytes, skip: int) -> tuple[float, float, int]:
+        """The highest margin of a word, and, of the words that begin from `skip` on, the sum for the sentence and the number."""
         s = np.frombuffer(b"\0" + raw + b"\0\0\0\0\0", np.uint8)
         n = len(s) - 4
         wide = s.astype(np.int32)
         first = wide[:n] << 12
         # a subsequence belongs to the word that it starts in, the blank before the word included
-        total = np.zeros(n, np.float32)
+        total, said = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        as_sentence = self.sentence is not None and skip < len(raw)
         letter = s != BLANK
         starts = np.flatnonzero(letter[1:n] & ~letter[: n - 1]) + 1
         if not len(starts):
-            return -1e9
+            return -1e9, 0.0, 0
         ends_in = np.flatnonzero(~letter)
         limit = ends_in[np.searchsorted(ends_in, np.arange(1, n + 1))]
         room = limit - np.arange(n)
@@ -211,16 +239,25 @@ class ToxicityModel:
             if gaps:
                 part = part * np.float32(GAP**gaps)
             total += np.where(room >= j, part, np.float32(0))
+            if as_sentence:
+                said += np.where(room >= j, self.sentence[0][code] * np.float32(GAP**gaps), np.float32(0))
         begins = starts - 1
         sums = np.add.reduceat(total, begins)
-        lengths = limit[begins] - begins + 1
-        return float((sums / np.sqrt(lengths)).max()) + self.bias
+        root = np.sqrt(limit[begins] - begins + 1)
+        new = begins >= skip
+        of_all = float((np.add.reduceat(said, begins) / root)[new].sum()) if as_sentence else 0.0
+        return float((sums / root).max()) + self.bias, of_all, int(new.sum())
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
         a, b = self.platt
-        return sigmoid(a * np.array([self.margin(t or "") for t in texts]) + b)
+        found = np.array([self.margins(t or "") for t in texts]).reshape(-1, 2)
+        if self.both is None:
+            return sigmoid(a * found[:, 0] + b)
+        weights, low, high, (a, b) = self.both
+        p, q = sigmoid(np.clip(found, low, high) @ weights[:-1] + weights[-1]), sigmoid(a * found[:, 1] + b)
+        return np.maximum(p, q)
 
 
 def _pieces(word: bytes) -> list[bytes]:
@@ -249,18 +286,18 @@ def _with_letters(word: bytes) -> list[bytes]:
     return out
 
 
-def _without_copies(documents: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+def _without_copies(documents: list[tuple]) -> list[tuple]:
     """Near copies teach once: a text that shares half of the SKETCH words with the least hashes with an earlier one goes."""
     holders: dict[int, list[int]] = {}
     kept = []
-    for words, y in documents:
-        sketch = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words)[:SKETCH]
+    for document in documents:
+        sketch = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in document[0])[:SKETCH]
         shared = Counter(k for h in sketch for k in holders.get(h, ()))
         if shared and 2 * max(shared.values()) >= len(sketch):
             continue
         for h in sketch:
             holders.setdefault(h, []).append(len(kept))
-        kept.append((words, y))
+        kept.append(document)
     return kept
 
 
@@ -303,9 +340,112 @@ def _best(documents: Iterable[np.ndarray], margin: np.ndarray) -> np.ndarray:
     return np.array([d[np.argmax(margin[d])] for d in documents], np.int64)
 
 
-def train(documents: list[tuple[list[str], int]]) -> ToxicityModel:
-    """Fit on (distinct lower-case words, label 0 or 1) of labelled texts."""
-    v = _Vocabulary(_without_copies(documents))
+def said_in(text: str) -> Counter[bytes]:
+    """How often each word of the plain reading occurs."""
+    return Counter(w for w in _readings(_symbols(text))[0].split(bytes([BLANK])) if w)
+
+
+def _sentence_machine(said: list[Counter[bytes]], y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Weights of all subsequences and bias of the machine over texts as sentences, and each text's margin by a machine that it didn't teach."""
+    number = {w: i for i, w in enumerate(sorted({w for c in said for w in c}))}
+    if not number or len(set(y.tolist())) < 2 or min(np.bincount(y)) < FOLDS:
+        return None
+    words = _Words(list(number))
+    first = np.searchsorted(words.row, np.arange(words.n + 1))
+
+    def rates(c: Counter[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The subsequences of a text and their rates."""
+        which = np.array([number[w] for w in c], np.int64)
+        n = first[which + 1] - first[which]
+        at = np.arange(n.sum()) + np.repeat(first[which] - (np.cumsum(n) - n), n)
+        codes, place = np.unique(words.code[at], return_inverse=True)
+        return codes, np.bincount(place, words.value[at] * np.repeat(np.fromiter(c.values(), float), n), len(codes)) / (sum(c.values()) + FILLED)
+
+    held, total = np.zeros(1 << 18, np.int32), np.zeros(1 << 18)
+    for c in said:
+        code, value = rates(c)
+        held[code] += 1
+        total[code] += value
+    # what few texts hold weighs nothing
+    scale = np.where(held >= HELD, 1 / np.sqrt(total / len(said) + RATE), 0.0).astype(np.float32)
+    used = np.flatnonzero(scale)
+    if not len(used):
+        return None
+    place = np.full(1 << 18, -1, np.int32)
+    place[used] = np.arange(len(used))
+    draw = np.random.default_rng(7)
+    chosen = np.concatenate([draw.permutation(np.flatnonzero(y == k))[: TEXT_LANDMARKS // 2] for k in (0, 1)])
+    landmarks = np.zeros((len(used), len(chosen)), np.float32)
+    for k, i in enumerate(chosen):
+        code, value = rates(said[i])
+        known = place[code] >= 0
+        landmarks[place[code[known]], k] = value[known] * scale[code[known]]
+    values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
+    some = values > 1e-6 * values[-1]
+    root = vectors[:, some] / np.sqrt(values[some])
+    like = np.zeros((len(said), len(chosen)))
+    for row, c in zip(like, said, strict=True):
+        code, value = rates(c)
+        known = place[code] >= 0
+        row[:] = (value[known] * scale[code[known]]).astype(np.float32) @ landmarks[place[code[known]]]
+    z, sign = like @ root, np.where(y == 1, 1.0, -1.0)
+    fold_of = draw.permutation(len(y)) % FOLDS
+    apart = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest = fold_of != k
+        machine = newton_svm(z[rest], sign[rest], np.ones(rest.sum()), COST)
+        apart[~rest] = z[~rest] @ machine[:-1] + machine[-1]
+    machine = newton_svm(z, sign, np.ones(len(y)), COST)
+    weights = np.zeros(1 << 18, np.float32)
+    weights[used] = landmarks @ (root @ machine[:-1]) * scale[used]
+    return weights, float(machine[-1]), apart
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights and, last, the intercept of a logistic regression on columns of about unit size, by Newton's method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-9])
+    for _ in range(50):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve(penalty + x.T @ (x * (weight * p * (1 - p) + 1e-12)[:, None]), x.T @ (weight * (y - p)) - penalty @ w)
+        w = w + step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def train(documents: list[tuple], odds: float = 0.0) -> ToxicityModel:
+    """Fit on (distinct lower-case words, label 0 or 1) of labelled texts, or with how often words are said as a third part, which the sentence machine needs.
+
+    odds: by how much, as a logarithm, the sample prefers toxic texts.
+    """
+    kept = _without_copies(documents)
+    y = np.array([d[1] for d in kept], int)
+    if not kept or len(kept[0]) < 3 or min(np.bincount(y, minlength=2)) < LEAST:
+        return _word_machine([d[:2] for d in kept])
+    clean = np.random.default_rng(9).permutation(np.flatnonzero(y == 0))
+    judges = clean[: max(len(clean) // 3, len(clean) - SAMPLE)]
+    teach = np.setdiff1d(np.arange(len(y)), judges)
+    model, found = _word_machine([kept[i][:2] for i in teach]), _sentence_machine([d[2] for d in kept], y)
+    if model.weights is None or found is None:
+        return model
+    at = np.append(judges, np.flatnonzero(y == 1))
+    words = [sorted(units(" ".join(kept[i][0]))) for i in at]
+    worst = np.array([model.bias + (_Words(w).times(model.weights).max() if w else 0.0) for w in words])
+    both = np.column_stack([worst, found[2][at]])
+    low, high = np.quantile(both, 0.001, axis=0), np.quantile(both, 0.999, axis=0)
+    size = np.where(high > low, high - low, 1.0)
+    weight = np.where(y[at] == 1, 1.0, len(clean) / max(1, len(judges)))
+    w = _logistic((np.clip(both, low, high) - low) / size, y[at], weight)
+    scaled = w[:-1] / size
+    model.sentence = found[:2]
+    a, b = fit_platt(found[2], y)
+    model.both = np.append(scaled, w[-1] - low @ scaled - odds), low, high, (a, b - odds)
+    return model
+
+
+def _word_machine(documents: list[tuple[list[str], int]]) -> ToxicityModel:
+    v = _Vocabulary(documents)
     if not v.toxic or not v.clean:
         return ToxicityModel()
     plain = v.whole >= v.chance
@@ -367,14 +507,24 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     counts = {r["__y"]: r["count"] for r in marks.groupBy("__y").count().collect()}
     if len(counts) < 2:
         return ToxicityModel()
-    share = F.when(F.col("__y") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, sample / counts[0])))
+    share = F.when(F.col("__y") == 1, F.lit(min(1.0, sample / counts[1]))).otherwise(F.lit(min(1.0, CLEAN * sample / counts[0])))
     drawn = marks.where(share_hash(F.col("__key"), 5) < share)
     rows = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     # at most 2 * SAMPLE keys: fit for a broadcast; of a key's rows one is left before anything is moved
     one = rows.join(F.broadcast(drawn), "__key").groupBy("__key").agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
     words = F.array_distinct(F.split(F.lower("__text"), r"[\x20\x09-\x0D]+"))
-    found = one.select("__key", words.alias("words"), "__y").collect()
-    return train([(sorted(w for w in r["words"] if w), int(r["__y"])) for r in sorted(found, key=lambda r: str(r["__key"]))])
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        said = [said_in(t) for t in batch.column(0).to_pylist()]
+        lists = [pa.array([list(c) for c in said], pa.list_(pa.binary())), pa.array([list(c.values()) for c in said], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], ["__key", "__y", "words", "said", "times"])
+
+    kind = one.schema["__key"].dataType.simpleString()
+    counted = map_text(one.select("__text", "__key", "__y", words.alias("words")), "__text", f"__key {kind}, __y {one.schema['__y'].dataType.simpleString()}, words array<string>, said array<binary>, times array<int>", count)
+    found = sorted(counted.collect(), key=lambda r: str(r["__key"]))
+    shares = [min(1.0, CLEAN * sample / counts[0]), min(1.0, sample / counts[1])]
+    documents_ = [(sorted(w for w in r["words"] if w), int(r["__y"]), Counter(dict(zip(map(bytes, r["said"]), r["times"], strict=True)))) for r in found]
+    return train(documents_, float(np.log(shares[1] / shares[0])))
 
 
 def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None) -> DataFrame:

@@ -389,6 +389,34 @@ def test_long_labelled_texts_teach(spark):
     assert model.score(["you zwuxor", "you w7x"])[0] > 0.3 > model.score(["you zwuxor", "you w7x"])[1]
 
 
+def test_toxic_texts_of_each_language_on_the_held_out_fold(spark):
+    """What sets toxic texts apart outside English is how often pieces occur, which only the sentence machine learns."""
+    where = "/root/testdata/sf0.1"
+    got = toxicity.op5_toxicity(spark, where).join(spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "toxic"), "doc_id").join(spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    found = got.where("held_out and toxic in (0, 1) and lang is not null").groupBy("lang", "toxic").agg(F.avg("predicted").alias("rate"), F.count("*").alias("n")).collect()
+    rate = {(r.lang, r.toxic): r.rate for r in found}
+    assert len(rate) == 8
+    for lang in ("en", "de", "fr", "es"):
+        assert rate[lang, 1] >= 0.9 and rate[lang, 0] <= (0.01 if lang == "en" else 0.08)
+
+
+def test_sentence_machine_counts_each_word_once():
+    """A text of many pieces has the sentence margin of its words, whatever the cuts."""
+    weights = np.random.default_rng(1).standard_normal(1 << 18).astype(np.float32)
+    model = toxicity.ToxicityModel(weights, 0.0, (1.0, 0.0))
+    model.sentence = weights, 0.25
+    words = [f"{chr(97 + i % 26)}ord{chr(97 + i % 7)}s" for i in range(700)]
+    want = sum(float(toxicity._Words([toxicity._symbols(w)]).times(weights)[0]) for w in words) / (700 + toxicity.FILLED) + 0.25
+    whole = toxicity.PIECE
+    try:
+        for piece in (whole, 900, 300):
+            toxicity.PIECE = piece
+            assert model.margins(" ".join(words))[1] == pytest.approx(want, rel=1e-4)
+    finally:
+        toxicity.PIECE = whole
+    assert model.margins("")[1] == 0.25 and model.margins("!!")[1] == 0.25
+
+
 def test_toxicity_on_hard_cases(spark, odd, empty, labels):
     model = toxicity.fit(odd, labels)
     got = toxicity.score(odd, model).toPandas()
