@@ -345,21 +345,20 @@ def said_in(text: str) -> Counter[bytes]:
     return Counter(w for w in _readings(_symbols(text))[0].split(bytes([BLANK])) if w)
 
 
-def _sentence_machine(said: list[Counter[bytes]], y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
+#: The distinct words of a text's plain reading and how often each occurs.
+Said = tuple[list[bytes], np.ndarray]
+
+
+def _sentence_machine(said: list[Said], y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray] | None:
     """Weights of all subsequences and bias of the machine over texts as sentences, and each text's margin by a machine that it didn't teach."""
-    number = {w: i for i, w in enumerate(sorted({w for c in said for w in c}))}
-    if not number or len(set(y.tolist())) < 2 or min(np.bincount(y)) < FOLDS:
+    if len(set(y.tolist())) < 2 or min(np.bincount(y)) < FOLDS:
         return None
-    words = _Words(list(number))
-    first = np.searchsorted(words.row, np.arange(words.n + 1))
 
-    def rates(c: Counter[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The subsequences of a text and their rates."""
-        which = np.array([number[w] for w in c], np.int64)
-        n = first[which + 1] - first[which]
-        at = np.arange(n.sum()) + np.repeat(first[which] - (np.cumsum(n) - n), n)
-        codes, place = np.unique(words.code[at], return_inverse=True)
-        return codes, np.bincount(place, words.value[at] * np.repeat(np.fromiter(c.values(), float), n), len(codes)) / (sum(c.values()) + FILLED)
+    def rates(text: Said) -> tuple[np.ndarray, np.ndarray]:
+        """The subsequences of a text and their rates, worked out anew where they are needed: all texts' at once would be large."""
+        words = _Words(text[0])
+        codes, place = np.unique(words.code, return_inverse=True)
+        return codes, np.bincount(place, words.value * text[1][words.row], len(codes)) / (int(text[1].sum()) + FILLED)
 
     held, total = np.zeros(1 << 18, np.int32), np.zeros(1 << 18)
     for c in said:
@@ -389,6 +388,7 @@ def _sentence_machine(said: list[Counter[bytes]], y: np.ndarray) -> tuple[np.nda
         known = place[code] >= 0
         row[:] = (value[known] * scale[code[known]]).astype(np.float32) @ landmarks[place[code[known]]]
     z, sign = like @ root, np.where(y == 1, 1.0, -1.0)
+    del like
     fold_of = draw.permutation(len(y)) % FOLDS
     apart = np.zeros(len(y))
     for k in range(FOLDS):
@@ -521,10 +521,16 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     kind = one.schema["__key"].dataType.simpleString()
     counted = map_text(one.select("__text", "__key", "__y", words.alias("words")), "__text", f"__key {kind}, __y {one.schema['__y'].dataType.simpleString()}, words array<string>, said array<binary>, times array<int>", count)
-    found = sorted(counted.collect(), key=lambda r: str(r["__key"]))
+    # a word that many texts hold is one object
+    held: dict[str | bytes, str | bytes] = {}
+    once = lambda words: [held.setdefault(w, w) for w in words]
+    documents_ = []
+    for batch in counted.toArrow().to_batches(max_chunksize=64):
+        for k, y, w, said, times in zip(*[c.to_pylist() for c in batch.columns[:4]], batch.column(4), strict=True):
+            documents_.append((str(k), (once(sorted(x for x in w if x)), int(y), (once(said), times.values.to_numpy(zero_copy_only=False).astype(np.float32)))))
+    documents_.sort(key=lambda d: d[0])
     shares = [min(1.0, CLEAN * sample / counts[0]), min(1.0, sample / counts[1])]
-    documents_ = [(sorted(w for w in r["words"] if w), int(r["__y"]), Counter(dict(zip(map(bytes, r["said"]), r["times"], strict=True)))) for r in found]
-    return train(documents_, float(np.log(shares[1] / shares[0])))
+    return train([d[1] for d in documents_], float(np.log(shares[1] / shares[0])))
 
 
 def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
