@@ -83,6 +83,13 @@ def best_candidate(df: DataFrame, key: Sequence[str], similarity: str, order: Se
     A key's only row is taken whatever its similarity; the best of several
     only from `least` on.
     """
+    if all(isinstance(o, str) for o in order) and not any("map<" in t or "variant" in t for _, t in df.dtypes):
+        # an aggregate, which combines before it shuffles
+        rest = [c for c in df.columns if c not in key]
+        place = F.struct(F.coalesce(-F.col(similarity), F.lit(float("inf"))).alias("o"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+        best = df.groupBy(*key).agg(F.min(place).alias("__best"), F.count(F.lit(1)).alias("__several"))
+        fit = (F.col("__several") == 1) | (F.col("__best.row")[similarity] >= least)
+        return best.where(fit).select(*[F.col(f"`{c}`") if c in key else F.col("__best.row")[c].alias(c) for c in df.columns])
     several = F.count(F.lit(1)).over(Window.partitionBy(*key))
     ranked = positions(df.withColumn("__several", several), key, [F.col(similarity).desc_nulls_last(), *_columns(order)], "__n")
     return ranked.where((F.col("__n") == 1) & ((F.col("__several") == 1) | (F.col(similarity) >= least))).drop("__n", "__several")

@@ -578,7 +578,7 @@ def _named(spark, d):
     return read(spark, d, "part").select(
         "p_partkey",
         F.col("p_name").alias("name"),
-        words.alias("tokens"),
+        identity.normal_tokens(words).alias("tokens"),
         first.alias("family"),
         F.when(n > 0, n).alias("version"),
         F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("parameters"),
@@ -602,7 +602,7 @@ def q_null_safe_match(spark, d):
 
 def q_match_top1_similarity(spark, d):
     info = lambda c: F.struct(*[F.col(c + f).alias(f) for f in ("family", "subfamily", "date", "parameters")], F.col(c + "tokens").alias("other_info"))
-    rows = _candidates(spark, d).select("key", "c_key", F.round(identity.similarity(info(""), info("c_")), 10).alias("similarity"))
+    rows = _candidates(spark, d).select("key", "c_key", F.round(identity.similarity(info(""), info("c_"), True), 10).alias("similarity"))
     return ranking.best_candidate(rows, ["key"], "similarity", ["c_key"])
 
 
