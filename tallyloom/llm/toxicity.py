@@ -68,8 +68,8 @@ WORDS, ENTRIES = 50_000, 1 << 15
 #: Landmarks of the sentence machine, folds that set its scaling, words of no account that a text is filled up with, texts that
 #: have to hold a subsequence, its least rate, and the machine's cost.
 TEXT_LANDMARKS, FOLDS, FILLED, HELD, RATE, COST = 1000, 4, 30, 3, 1e-5, 1e5
-#: Texts of either class below which only the worst word counts.
-LEAST = 30
+#: Texts of either class below which only the worst word counts: from fewer a machine over whole texts can't be told from chance.
+LEAST = 100
 #: Weight of each letter that a subsequence skips.
 GAP = 0.6
 THRESHOLD = 0.3
