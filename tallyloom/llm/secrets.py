@@ -14,6 +14,9 @@ findings of all blobs back to all their paths.
 3. `findings_by_path` joins the findings of one rule version to the suspects.
 
 A pair that was appended twice, by a run that was tried again, counts once.
+The ledger is parted by rule version, and within one by whether a blob has
+findings: a run reads the names of its own version's blobs to tell which are
+unseen, and the spans of those with findings alone.
 
 Rules: the kinds `assign`, `access` and `hex` of the contract, found leftmost
 and without overlap kind by kind, and two kinds that this operator adds, `pem`
@@ -51,7 +54,7 @@ BASE = ("assign", "access", "hex")
 SCREEN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |\.eyJ[A-Za-z0-9_-]"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 FINDINGS = f"blob binary, spans {SPANS}"
-LEDGER = f"blob binary, rule_version int, spans {SPANS}"
+LEDGER = f"blob binary, spans {SPANS}, rule_version int, found int"
 #: Blobs with findings up to which `redact` broadcasts them, some 100 bytes each.
 FEW = 200_000
 
@@ -93,25 +96,38 @@ def _empty() -> Column:
 
 
 def scan_unseen(rows: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, spans) of the blobs in screened `rows` whose pair with the rule version the ledger lacks."""
+    """Ledger rows of the blobs in screened `rows` whose pair with the rule version the ledger lacks."""
     blobs = rows.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return scan_blobs(blobs).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    return scan_blobs(blobs).select("blob", "spans", F.lit(rule_version).alias("rule_version"), (F.size("spans") > 0).cast("int").alias("found"))
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at `path`, each pair once; an empty one if there is none."""
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the ledger at `path` as they were appended; none if there is none."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at `path`, each pair once; an empty one if there is none.
+
+    Its files are parted by rule version and by whether the blob has findings;
+    a filter on either reaches them through the grouping.
+    """
+    return entries(spark, path).groupBy("blob", "rule_version", "found").agg(F.first("spans").alias("spans"))
+
+
+def _findings(ledger: DataFrame, rule_version: int) -> DataFrame:
+    return ledger.where((F.col("rule_version") == rule_version) & (F.col("found") == 1)).select("blob", "spans")
 
 
 def update_ledger(rows: DataFrame, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
     """Append what the ledger at `path` lacks of the screened `rows` and return the whole ledger."""
     spark = rows.sparkSession
-    scan_unseen(rows, read_ledger(spark, path), rule_version).write.mode("append").parquet(path)
+    scan_unseen(rows, entries(spark, path), rule_version).write.mode("append").partitionBy("rule_version", "found").parquet(path)
     return read_ledger(spark, path)
 
 
@@ -121,8 +137,7 @@ def findings_by_path(rows: DataFrame, ledger: DataFrame, key: str = "doc_id", ru
     Copies of one blob may hold a third of the rows: only suspects are joined,
     and adaptive execution splits the partitions of a hot blob.
     """
-    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    suspects = rows.where("suspect").join(found, "blob", "left")
+    suspects = rows.where("suspect").join(_findings(ledger, rule_version), "blob", "left")
     return suspects.select(key, "blob", F.coalesce("spans", _empty()).alias("spans")).unionByName(rows.where(~F.col("suspect")).select(key, "blob", _empty().alias("spans")))
 
 
@@ -132,26 +147,32 @@ def scan(versions: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     return rows, update_ledger(rows, path)
 
 
+def redacted(text: str, spans: list[dict]) -> str:
+    """The text with each span, in order of their starts, replaced by [redacted:kind]; spans that overlap become one, of the first's kind."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"[redacted:{s['kind']}]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
+def _redacted(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else redacted(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+
 def redact(versions: DataFrame, ledger: DataFrame, text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
     """The rows with each finding's span replaced by [redacted:kind]; overlapping spans become one.
 
     While the blobs with findings are few they are broadcast and no text is
     moved; beyond FEW the texts that pass the screen are shuffled to them.
+    Only texts with findings reach Python, which cuts each in one walk.
     """
     columns = versions.columns
-    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = _findings(ledger, rule_version).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     few = found.limit(FEW + 1).count() <= FEW
-    tail = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    piece = lambda a, s: F.when(
-        s["end"] <= a["at"], a
-    ).otherwise(
-        F.struct(
-            F.concat(a["out"], F.when(s["start"] < a["at"], F.lit("")).otherwise(F.concat(F.col(text).substr(a["at"] + 1, s["start"] - a["at"]), F.lit("[redacted:"), s["kind"], F.lit("]")))).alias("out"),
-            s["end"].alias("at"),
-        )
-    )
-    rest = lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(text)))
-    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.aggregate("__spans", tail, piece, rest))
+    cut = F.arrow_udf(_redacted, "string")(F.when(F.col("__spans").isNotNull(), F.col(text)), F.col("__spans"))
+    clean = F.coalesce(cut, F.col(text))
     kept = [F.col(f"`{c}`") for c in columns]
     if few:
         return versions.withColumn("__blob", blob_of(F.col(text))).join(F.broadcast(found), "__blob", "left").withColumn(text, clean).select(*kept)
