@@ -24,10 +24,12 @@ are hashed whole, SHINGLES at a time; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import checkpointed, map_text, spread, table
@@ -139,7 +141,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     A key that repeats with different texts may be kept once in each of several
     groups; of rows with the same key and fingerprint the one with the least
-    text stays.
+    text stays, of equal texts that with the least other columns.
 
     Rows of keys that occur once need no more than to know whether they go.
     While the keys that go or repeat are FEW at most they are broadcast, and
@@ -157,9 +159,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     here = F.col(key) == F.col("__key")
     again = df.join(repeats, here, "left_semi").withColumn("__print", F.arrow_udf(_fingerprints, "long")(F.col(text)))
     again = again.join(wanted, (F.col(key) == F.col("__kept")) & (F.col("__print") == F.col("__bits")), "left_semi")
-    first = Window.partitionBy(key, "__print").orderBy(F.col(text))
-    once = again.withColumn("__copy", F.row_number().over(first)).where(F.col("__copy") == 1)
-    return df.join(lost, here, "left_anti").select(*columns).unionByName(once.select(*columns))
+    # the rows of one key and fingerprint are cut to the least where they are, before any is moved
+    ordered = [F.col(text), *(F.col(f"`{f.name}`") for f in df.schema if not re.search(r"map<|variant", f.dataType.simpleString()))]
+    once = again.groupBy(F.col(key).alias("__key"), "__print").agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias("__row"))
+    return df.join(lost, here, "left_anti").join(repeats, here, "left_anti").select(*columns).unionByName(once.select(*(F.col(f"__row.`{c}`") for c in df.columns)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
