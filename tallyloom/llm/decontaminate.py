@@ -14,14 +14,15 @@ The score is that of the best local alignment (a match 1, a mismatch or an
 inserted or missing word -PENALTY) over the number of the item's words; it has
 to reach THRESHOLD, and LEAST_SCORE before the division, as a common phrase is
 much of a short item.  An item of LEAST_SCORE words or fewer is matched by an
-untouched copy only.
+untouched copy only.  One of fewer than SEED_WORDS words, which holds no seed,
+is matched where `lines` asks for it, by a line of its words alone: within a
+sentence it says nothing.
 
 Items are broadcast in blocks of at most BLOCK_WORDS words (some tens of MB),
 with one pair of passes a block, so no broadcast grows with the benchmark.
 
 Cases: null and empty texts match nothing, nor do items that are null or have
-fewer than SEED_WORDS words, which hold no seed; repeated items are matched each, repeated rows
-alike; a document of any length is searched whole; empty tables give no
+no words, nor, without `lines`, those of fewer than SEED_WORDS words; repeated items are matched each, repeated rows alike; a document of any length is searched whole; empty tables give no
 match; extra columns are ignored, or kept by `decontaminated`.
 """
 
@@ -75,11 +76,15 @@ def align(items: np.ndarray, item_lengths: np.ndarray, windows: np.ndarray) -> t
 class Items:
     """Test items with their seeds; `rare` marks the seeds in use, all at first."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], lines: bool = False):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words = [], []
+        #: Items without a seed by their words.
+        self.short: dict[tuple[str, ...], list[int]] = {}
         for item, text in rows:
             words = words_of(text)
+            if lines and 0 < len(words) < SEED_WORDS:
+                self.short.setdefault(tuple(words), []).append(item)
             if len(words) >= SEED_WORDS:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
@@ -149,6 +154,23 @@ class Items:
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, word after the last) of the best alignment of each pair that is close enough."""
+        return sorted(self._aligned_items(texts) + self._lines(texts), key=lambda m: m[:2])
+
+    def _lines(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
+        """The matches of items without a seed: the first line of each text that holds an item's words and no other."""
+        out = []
+        for t, text in enumerate(texts if self.short else []):
+            found: dict[tuple[str, ...], int] = {}
+            n = 0
+            for line in (text or "").splitlines():
+                words = words_of(line)
+                if 0 < len(words) < SEED_WORDS and tuple(words) in self.short:
+                    found.setdefault(tuple(words), n)
+                n += len(words)
+            out += [(t, item, 1.0, at, at + len(words)) for words, at in found.items() for item in self.short[words]]
+        return out
+
+    def _aligned_items(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
         flat, starts = self.read(texts)
         at, seed = self.hits(flat)
         if not len(at):
@@ -157,7 +179,7 @@ class Items:
         times = self.count[seed]
         if len(texts) > 1 and int(times.sum()) > HITS:
             half = len(texts) // 2
-            return self.matches(texts[:half]) + [(t + half, *rest) for t, *rest in self.matches(texts[half:])]
+            return self._aligned_items(texts[:half]) + [(t + half, *rest) for t, *rest in self._aligned_items(texts[half:])]
         entry = np.repeat(self.first[seed] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
         at = np.repeat(at, times)
         text = np.searchsorted(starts, at, side="right") - 1
@@ -250,9 +272,9 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[i
         yield block
 
 
-def _with_rare_seeds(documents: DataFrame, block: list[tuple[int, str]], text: str) -> Items:
+def _with_rare_seeds(documents: DataFrame, block: list[tuple[int, str]], text: str, lines: bool) -> Items:
     """The items of a block, their rare seeds marked by counts over all documents."""
-    items = Items(block)
+    items = Items(block, lines)
     sent = documents.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,12 +303,12 @@ def _with_rare_seeds(documents: DataFrame, block: list[tuple[int, str]], text: s
 MATCHES = "item_id long, score double, first_word int, end_word int"
 
 
-def contaminations(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row (key, item_id, score, first_word, end_word) for each document and item that align."""
+def contaminations(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", lines: bool = False) -> DataFrame:
+    """A row (key, item_id, score, first_word, end_word) for each document and item that align; with `lines` also for items without a seed."""
     spark, out = documents.sparkSession, None
     rows = documents.select(F.col(text).alias("__text"), F.col(key).cast("long").alias(key))
     for block in _blocks(benchmark, item, item_text):
-        sent = spark.sparkContext.broadcast(_with_rare_seeds(documents, block, text))
+        sent = spark.sparkContext.broadcast(_with_rare_seeds(documents, block, text, lines))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -300,11 +322,11 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, key: str = "doc_i
     return spark.createDataFrame([], f"{key} long, {MATCHES}") if out is None else out
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", lines: bool = True) -> DataFrame:
     """The rows of `documents`, all columns, that align with no test item; each block is one more filter, without a shuffle."""
     out = documents
     for block in _blocks(benchmark, item, item_text):
-        sent = documents.sparkSession.sparkContext.broadcast(_with_rare_seeds(documents, block, text))
+        sent = documents.sparkSession.sparkContext.broadcast(_with_rare_seeds(documents, block, text, lines))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -317,7 +339,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminations(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return contaminations(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), lines=True)
 
 
 ORACLES: dict[str, str] = {}
