@@ -10,7 +10,10 @@ consecutive windows with the same anchor travel as one segment of at most
 
 1. Buckets of documents (by a hash of id and text) send each shard its anchors.
 2. A shard answers which anchors at least two documents have; windows with
-   any other anchor are unique, and only segments with a shared one go on.
+   any other anchor are unique, and only segments with a shared one go on.  It
+   also answers which anchors are hot, those that more than HOT different
+   segments have in all, as a stock phrase in ever new surroundings does: their
+   windows travel one by one, each to the shard that its whole content names.
 3. Buckets send each such segment once, as words, with the least id that has it.
 4. A shard cuts its segments, in order of their ids, into LAYERS layers, and
    each layer's index holds that layer alone.  The windows of a layer are
@@ -22,7 +25,8 @@ consecutive windows with the same anchor travel as one segment of at most
 5. Buckets put the bits together and cut the words out.
 
 A passage that a third of all documents share is sent at most once a bucket,
-whatever the number of copies.  Buckets and shards hold BUCKET_BYTES and
+whatever the number of copies; equal rows are counted, worked on once and
+repeated at the end.  Buckets and shards hold BUCKET_BYTES and
 SHARD_BYTES of text, so their number follows the input.
 
 Hashes only choose shards and sort; words, segments and windows are compared
@@ -44,13 +48,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_text, table
+from tallyloom.llm.common import broadcast_if_small, checkpointed, map_text, table
 from tallyloom.llm.fm_index import FMIndex
 
 WIDTH, ANCHOR = 13, 7
 BUCKET_BYTES, SHARD_BYTES, LEAST_BYTES = 8 << 20, 8 << 20, 1 << 20
 #: Indexes of a shard, and windows searched at once.
 LAYERS, SEARCHED = 4, 1 << 18
+#: Different segments of an anchor above which its windows are dealt one by one; a shard has some 100,000.
+HOT = 8192
+#: Keys up to which those of repeated rows are broadcast, and copies of a row that are made at once.
+FEW, COPIES = 200_000, 1 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -193,6 +201,7 @@ class Bucket:
         self.windows = np.diff(np.append(first, len(starts)))
         self.doc = doc_ids[document[self.first]]
         anchor = least[first]
+        self.shards = shards
         # anchors are least hashes, so their high bits are low: the shard comes from the low ones
         self.shard_of = (_mixed(anchor) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((anchor, self.shard_of))
@@ -209,20 +218,38 @@ class Bucket:
         else:
             self.several = np.zeros(0, bool)
 
-    def anchors_by_shard(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """Shard, its distinct anchors in order, and which of them several documents here have."""
+    def anchors_by_shard(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Shard, its distinct anchors in order, which of them several documents here have, and how many different segments each has here, 65,535 at most."""
+        keys = _segment_keys(_runs(self.hash, WIDTH), self.first, self.windows) if len(self.first) else np.zeros(0, np.uint64)
+        order = np.lexsort((keys, self.anchor_of))
+        new = np.ones(len(keys), bool)
+        new[1:] = (self.anchor_of[order][1:] != self.anchor_of[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+        counts = np.minimum(np.bincount(self.anchor_of[order][new], minlength=len(self.anchor)), 65535).astype(np.uint16)
         cuts = np.flatnonzero(np.diff(self.anchor_shard)) + 1
         parts = np.split(np.arange(len(self.anchor)), cuts)
-        return [(int(self.anchor_shard[p[0]]), self.anchor[p], self.several[p]) for p in parts if len(p)]
+        return [(int(self.anchor_shard[p[0]]), self.anchor[p], self.several[p], counts[p]) for p in parts if len(p)]
 
-    def choose(self, shared: dict[int, np.ndarray]) -> None:
-        """Keep the segments whose anchors are shared; find the distinct ones, by shard, and the least id of each."""
+    def _flags(self, said: dict[int, np.ndarray]) -> np.ndarray:
+        """What the shards said of each distinct anchor."""
         flags = np.zeros(len(self.anchor), bool)
-        for shard, bits in shared.items():
+        for shard, bits in said.items():
             a, b = np.searchsorted(self.anchor_shard, [shard, shard + 1])
             flags[a:b] = bits[: b - a]
-        self.kept = np.flatnonzero(flags[self.anchor_of]) if len(self.first) else np.zeros(0, np.int64)
-        first, windows = self.first[self.kept], self.windows[self.kept]
+        return flags
+
+    def choose(self, shared: dict[int, np.ndarray], hot: dict[int, np.ndarray] | None = None) -> None:
+        """Keep the segments whose anchors are shared, those of hot anchors as single windows; find the distinct ones, by shard, and the least id of each."""
+        live, single = self._flags(shared), self._flags(hot or {})
+        kept = np.flatnonzero((live & ~single)[self.anchor_of]) if len(self.first) else np.zeros(0, np.int64)
+        split = np.flatnonzero((live & single)[self.anchor_of]) if single.any() else np.zeros(0, np.int64)
+        run = _runs(self.hash, WIDTH)
+        times = self.windows[split]
+        alone = np.repeat(self.first[split], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        #: First word, number of windows, document and shard of what is kept.
+        self.kept_first = first = np.concatenate([self.first[kept], alone])
+        self.kept_windows = windows = np.concatenate([self.windows[kept], np.ones(len(alone), np.int64)])
+        self.kept_doc = np.concatenate([self.doc[kept], np.repeat(self.doc[split], times)])
+        shard_of = np.concatenate([self.shard_of[kept], (_mixed(run[alone]) % np.uint64(self.shards)).astype(np.int64)])
         # the words of kept segments get numbers by content
         edge = np.bincount(first, minlength=len(self.hash) + 1) - np.bincount(first + windows + WIDTH - 1, minlength=len(self.hash) + 1)
         at = np.flatnonzero(np.cumsum(edge[:-1]))
@@ -231,17 +258,17 @@ class Bucket:
         self.value = np.full(len(self.hash), -1, np.int32)
         self.value[at] = np.fromiter((numbers[raw[a:b]] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)), np.int32, len(at))
         self.dictionary = np.array(list(numbers), object)
-        keys = _segment_keys(_runs(self.hash, WIDTH), first, windows)
+        keys = _segment_keys(run, first, windows)
         group, begins, order = _groups(keys, self.value, first, windows + WIDTH - 1)
-        least = np.minimum.reduceat(self.doc[self.kept][order], begins) if len(begins) else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(self.kept_doc[order], begins) if len(begins) else np.zeros(0, np.int64)
         sample = order[begins]
-        by_shard = np.argsort(self.shard_of[self.kept][sample], kind="stable")
+        by_shard = np.argsort(shard_of[sample], kind="stable")
         turn = np.empty(len(sample), np.int64)
         turn[by_shard] = np.arange(len(sample))
         #: Of each kept segment, its distinct one; of the distinct ones, least id, first word, windows and shard.
         self.distinct = turn[group]
         self.least, self.sample = least[by_shard], first[sample[by_shard]]
-        self.sample_windows, self.sample_shard = windows[sample[by_shard]], self.shard_of[self.kept][sample[by_shard]]
+        self.sample_windows, self.sample_shard = windows[sample[by_shard]], shard_of[sample[by_shard]]
 
     def segments_by_shard(self) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
         """Shard, dictionary of words, word codes, lengths and least ids of its distinct segments."""
@@ -266,15 +293,27 @@ class Bucket:
             if b > a:
                 n = int(self.sample_windows[a:b].sum())
                 flags[offset[a] : offset[a] + n] = found[:n]
-        windows = self.windows[self.kept]
+        windows = self.kept_windows
         within = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        start = np.repeat(self.first[self.kept], windows) + within
-        later = np.repeat(self.doc[self.kept] > self.least[self.distinct], windows) if len(windows) else np.zeros(0, bool)
+        start = np.repeat(self.kept_first, windows) + within
+        later = np.repeat(self.kept_doc > self.least[self.distinct], windows) if len(windows) else np.zeros(0, bool)
         gone = start[later | flags[np.repeat(offset[self.distinct], windows) + within]] if len(windows) else start
         edge = np.bincount(gone, minlength=len(self.hash) + 1) - np.bincount(gone + WIDTH, minlength=len(self.hash) + 1)
         return np.cumsum(edge[:-1]) > 0
 
 
+def judged_anchors(lists: list[np.ndarray], several: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each bucket's distinct anchors at a shard, which of them at least two documents have and which are hot."""
+    every = np.concatenate(lists)
+    begins, order = _in_order(every)
+    times = np.diff(np.append(begins, len(every)))
+    live, hot = np.empty(len(every), bool), np.empty(len(every), bool)
+    live[order] = np.repeat((times > 1) | np.logical_or.reduceat(np.concatenate(several)[order], begins), times)
+    hot[order] = np.repeat(np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], begins) > HOT, times)
+    ends = np.cumsum([0, *map(len, lists)])
+    return tuple([flags[a:b] for a, b in itertools.pairwise(ends)] for flags in (live, hot))
+
+
 def repeated_windows(parts: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """For each part (dictionary, codes, lengths, least ids) of a shard a flag for each of its windows: does a smaller document have it?"""
     lengths = np.concatenate([p[2] for p in parts]).astype(np.int64)
@@ -354,6 +393,22 @@ def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
 _REPLY = "bucket int, kind int, shard int, bits binary"
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(__key, __text, __copies) of the different rows; only rows of keys that repeat are grouped."""
+    repeats = checkpointed(rows.groupBy("__key").count().where("count > 1").select("__key"))
+    few = broadcast_if_small(repeats, FEW)
+    again = rows.join(few, "__key", "left_semi").groupBy("__key", "__text").agg(F.count(F.lit(1)).alias("__copies"))
+    return rows.join(few, "__key", "left_anti").withColumn("__copies", F.lit(1).cast("long")).unionByName(again)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as __copies says, COPIES at a time."""
+    columns = [c for c in rows.columns if c != "__copies"]
+    parts = rows.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / COPIES))))
+    most = F.least(F.lit(COPIES).cast("long"), F.col("__copies") - F.col("__part") * COPIES)
+    return parts.withColumn("__part", F.explode(F.sequence(F.lit(1).cast("long"), most))).select(*columns)
+
+
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept) of each row; kept is the text that is left, its words joined by a blank."""
     spark = df.sparkSession
@@ -364,26 +419,21 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     cores = min(spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES))
     buckets, shards = max(1, cores, -(-size // BUCKET_BYTES)), max(1, cores, -(-size // SHARD_BYTES))
     bucket = F.pmod(F.xxhash64("__key", "__text"), F.lit(buckets)).cast("int")
-    documents = rows.withColumn("bucket", bucket)
+    documents = _counted(rows).withColumn("bucket", bucket)
 
     def load(t: pa.Table) -> Bucket:
         return Bucket(t.column("__key").to_pylist(), t.column("__text").to_pylist(), shards)
 
     def anchors(t: pa.Table) -> pa.Table:
         found, own = load(t).anchors_by_shard(), t.column("bucket")[0].as_py()
-        return pa.table({"shard": pa.array([f[0] for f in found], pa.int32()), "bucket": pa.array([own] * len(found), pa.int32()), "anchors": pa.array([f[1].tobytes() for f in found], pa.binary()), "several": pa.array([np.packbits(f[2]).tobytes() for f in found], pa.binary())})
+        return pa.table({"shard": pa.array([f[0] for f in found], pa.int32()), "bucket": pa.array([own] * len(found), pa.int32()), "anchors": pa.array([f[1].tobytes() for f in found], pa.binary()), "several": pa.array([np.packbits(f[2]).tobytes() for f in found], pa.binary()), "counts": pa.array([f[3].tobytes() for f in found], pa.binary())})
 
     def shared(t: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in t.column("anchors").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(t.column("several").to_pylist(), lists, strict=True)])
-        every = np.concatenate(lists)
-        begins, order = _in_order(every)
-        counts = np.diff(np.append(begins, len(every)))
-        live = np.empty(len(every), bool)
-        live[order] = np.repeat((counts > 1) | np.logical_or.reduceat(several[order], begins), counts)
-        ends = np.cumsum([0, *map(len, lists)])
-        n = t.num_rows
-        return pa.table({"bucket": t.column("bucket"), "kind": pa.array([0] * n, pa.int32()), "shard": t.column("shard"), "bits": pa.array([np.packbits(live[a:b]).tobytes() for a, b in itertools.pairwise(ends)], pa.binary())})
+        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)).astype(bool) for x, a in zip(t.column("several").to_pylist(), lists, strict=True)]
+        live, hot = judged_anchors(lists, several, [np.frombuffer(x, np.uint16) for x in t.column("counts").to_pylist()])
+        said = [(b, k, s, np.packbits(flags).tobytes()) for k, kind in ((0, live), (2, hot)) for b, s, flags in zip(t.column("bucket").to_pylist(), t.column("shard").to_pylist(), kind, strict=True) if k == 0 or flags.any()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*said, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "shard", "bits"])
 
     def replies(t: pa.Table, kind: int) -> dict[int, np.ndarray]:
         return {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for k, s, b in zip(t.column("kind").to_pylist(), t.column("shard").to_pylist(), t.column("bits").to_pylist(), strict=True) if k == kind}
@@ -392,7 +442,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         out = []
         if docs.num_rows:
             held = load(docs)
-            held.choose(replies(said, 0))
+            held.choose(replies(said, 0), replies(said, 2))
             out = held.segments_by_shard()
         own = docs.column("bucket")[0].as_py() if docs.num_rows else 0
         columns = [pa.array([f[i] for f in out], pa.binary()) for i in range(1, 5)]
@@ -408,25 +458,25 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     def cut(docs: pa.Table, said: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"__key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
+            return pa.table({"__key": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string()), "__copies": pa.array([], pa.int64())})
         held = load(docs)
-        held.choose(replies(said, 0))
+        held.choose(replies(said, 0), replies(said, 2))
         gone = held.removed(replies(said, 1))
         ends, kept, removed = held.ends, [], []
         for text, n, end in zip(held.texts, held.counts, ends, strict=True):
             mine, words = gone[end - n : end], text.split()
             removed.append(int(mine.sum()))
             kept.append(b" ".join(itertools.compress(words, (~mine).tolist()) if removed[-1] else words))
-        return pa.table({"__key": docs.column("__key"), "n_words": pa.array(held.counts), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"__key": docs.column("__key"), "n_words": pa.array(held.counts), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "__copies": docs.column("__copies")})
 
     by_bucket = documents.groupBy("bucket")
     # one plan: the exchanges of the documents and of the anchors are written once and read again
-    live = by_bucket.applyInArrow(anchors, "shard int, bucket int, anchors binary, several binary").groupBy("shard").applyInArrow(shared, _REPLY)
+    live = by_bucket.applyInArrow(anchors, "shard int, bucket int, anchors binary, several binary, counts binary").groupBy("shard").applyInArrow(shared, _REPLY)
     sent = by_bucket.cogroup(live.groupBy("bucket")).applyInArrow(segments, "shard int, bucket int, dictionary binary, codes binary, lengths binary, least binary")
     found = sent.groupBy("shard").applyInArrow(look_up, _REPLY)
-    out = by_bucket.cogroup(live.unionByName(found).groupBy("bucket")).applyInArrow(cut, "__key long, n_words long, n_removed long, kept string")
+    out = by_bucket.cogroup(live.unionByName(found).groupBy("bucket")).applyInArrow(cut, "__key long, n_words long, n_removed long, kept string, __copies long")
     nameless = map_text(every.where(F.col("__key").isNull()), "__text", "__key long, n_words long, n_removed long, kept string", _whole)
-    return out.unionByName(nameless).withColumnRenamed("__key", key)
+    return _repeated(out).unionByName(nameless).withColumnRenamed("__key", key)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
