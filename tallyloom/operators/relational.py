@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -136,3 +137,19 @@ def null_safe_match(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str,
         equal = left[a].eqNullSafe(right[b])
         on = equal if on is None else on & equal
     return left.join(right, on if residual is None else on & residual)
+
+
+def count_matches(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], soft: tuple[str, str]) -> DataFrame:
+    """Each row of `left` with `matches`: how many rows of `right` have equal keys, two nulls included, and an equal soft value, in either case, or a null on either side.
+
+    Rows of `right` are counted by keys and soft value and never listed beside
+    those of `left`, so the work grows with the two sides, not with their pairs.
+    """
+    kinds = right.groupBy(*[F.col(r).alias(f"__k{i}") for i, (_, r) in enumerate(keys)], F.lower(soft[1]).alias("__soft")).agg(F.count(F.lit(1)).alias("__n"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    every = kinds.groupBy(*names).agg(F.sum("__n").alias("__every"), F.sum(F.when(F.col("__soft").isNull(), F.col("__n"))).alias("__plain"))
+    equal = kinds.where(F.col("__soft").isNotNull()).select(*[F.col(c).alias(f"{c}e") for c in names], F.col("__soft").alias("__softe"), F.col("__n").alias("__equal"))
+    same = lambda df, end: functools.reduce(lambda a, b: a & b, [left[a].eqNullSafe(df[f"{c}{end}"]) for c, (a, _) in zip(names, keys, strict=True)])
+    joined = left.join(every, same(every, ""), "left").join(equal, same(equal, "e") & (F.lower(left[soft[0]]) == equal["__softe"]), "left")
+    some = F.coalesce("__plain", F.lit(0)) + F.coalesce("__equal", F.lit(0))
+    return joined.select(*[left[c] for c in left.columns], F.when(left[soft[0]].isNull(), F.coalesce("__every", F.lit(0))).otherwise(some).alias("matches"))

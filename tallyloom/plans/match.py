@@ -130,7 +130,11 @@ def review(found: DataFrame) -> DataFrame:
 
 def statistics(found: DataFrame) -> DataFrame:
     """matched, unmatched and several-candidate models of each benchmark."""
-    counts = found.groupBy("benchmark_id", "model_name").agg(F.count("lmarena_model").alias("n"))
+    return statistics_of_counts(found.groupBy("benchmark_id", "model_name").agg(F.count("lmarena_model").alias("n")))
+
+
+def statistics_of_counts(counts: DataFrame) -> DataFrame:
+    """The same of (benchmark_id, model_name, n), n being how many candidates a model has."""
     return counts.groupBy("benchmark_id").agg(F.count_if(F.col("n") > 0).alias("matched"), F.count_if(F.col("n") == 0).alias("unmatched"), F.count_if(F.col("n") > 1).alias("several"))
 
 
