@@ -31,12 +31,17 @@ NUMBERS = 1 << 20
 
 def midranks(values: np.ndarray) -> np.ndarray:
     """Midranks along the last axis."""
-    order = np.argsort(values, axis=-1, kind="stable")
+    # only NaN have ranks that depend on the order of equals
+    order = np.argsort(values, axis=-1, kind="stable" if np.isnan(values).any() else None)
     ordered = np.take_along_axis(values, order, -1)
     n = values.shape[-1]
     place = np.broadcast_to(np.arange(n), values.shape)
     new = np.ones(values.shape, bool)
     new[..., 1:] = ordered[..., 1:] != ordered[..., :-1]
+    if new.all():
+        out = np.empty(values.shape)
+        np.put_along_axis(out, order, place + 1.0, -1)
+        return out
     first = np.maximum.accumulate(np.where(new, place, 0), axis=-1)
     last_flag = np.ones(values.shape, bool)
     last_flag[..., :-1] = new[..., 1:]
@@ -133,42 +138,128 @@ def _resampled_ranks(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take_along_axis(np.cumsum(count, axis=1) - (count - 1) / 2.0, drawn, 1)
 
 
+def _spearman_of(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    x, y = _codes(x), _codes(y)
+    return lambda at: row_correlation(_resampled_ranks(x, at), _resampled_ranks(y, at))
+
+
 def _spearman_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return row_correlation(_resampled_ranks(_codes(x), at), _resampled_ranks(_codes(y), at))
+    return _spearman_of(x, y)(at)
 
 
-def _kendall_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+class _Weighed:
+    """tau-b of pairs that are weighed, as resamples are: what doesn't depend on the weights is worked out once.
+
+    Pairs stand in the order of x and, within equal x, of y.  A discordant pair
+    is one with the larger y first.  Of two unequal codes of y the highest bit
+    in which they differ tells which is larger, so for each bit, from the
+    highest, the pairs are parted by the bits above it and in each part the
+    weight of ones before a zero is counted: as many passes as a code of y has
+    bits.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        x, y = _codes(x), _codes(y)
+        if x.max(initial=0) < y.max(initial=0):  # tau is the same either way round
+            x, y = y, x
+        self.order = order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.append(True, x[1:] != x[:-1])
+        self.x_starts, self.both_starts = np.flatnonzero(new), np.flatnonzero(new | np.append(True, y[1:] != y[:-1]))
+        self.levels, at = [], np.arange(len(y))
+        for bit in reversed(range(int(y.max(initial=0)).bit_length())):
+            one = ((y[at] >> bit) & 1).astype(bool)
+            above = y[at] >> (bit + 1)
+            starts = np.flatnonzero(np.append(True, above[1:] != above[:-1]))
+            turn = np.lexsort((one, above))  # stable: within a part zeros, then ones, each in the order of x
+            self.levels.append((at, one, starts))
+            at = at[turn]
+        self.y_order, y = at, y[at]
+        self.y_starts = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+
+    @staticmethod
+    def _tied(weight: np.ndarray, starts: np.ndarray) -> int:
+        t = np.add.reduceat(weight, starts)
+        return int((t * (t - 1) // 2).sum())
+
+    def tau(self, weight: np.ndarray) -> float:
+        """weight: whole numbers, one for each pair."""
+        w = weight[self.order].astype(np.int64)
+        n, discordant = int(w.sum()), 0
+        for at, one, starts in self.levels:
+            v = w[at]
+            ones = np.where(one, v, 0)
+            zeros = v - ones
+            before = np.cumsum(ones)
+            base = before[starts] - ones[starts]
+            discordant += int((zeros * before).sum()) - int((np.add.reduceat(zeros, starts) * base).sum())
+        tx, ty, both = self._tied(w, self.x_starts), self._tied(w[self.y_order], self.y_starts), self._tied(w, self.both_starts)
+        total = n * (n - 1) // 2
+        scale = float(total - tx) * float(total - ty)
+        return (total - tx - ty + both - 2 * discordant) / scale**0.5 if scale > 0 else np.nan
+
+
+def _kendall_of(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """tau-b of each row of drawn positions: a resample weighs each model by how often it was drawn."""
     n = len(x)
-    if n > SIGNS:
-        return np.array([kendall_tau(x[p], y[p]) for p in at])
+    if n <= SIGNS:
+        return _kendall_by_signs(x, y)
+    weighed = _Weighed(x, y)
+    return lambda at: np.array([weighed.tau(np.bincount(p, minlength=n)) for p in at])
+
+
+def _kendall_resampled(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _kendall_of(x, y)(at)
+
+
+def _kendall_by_signs(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    n = len(x)
     sign = lambda v: np.sign(v[:, None] - v[None, :]).astype(np.float32)
-    weight = np.bincount((np.arange(len(at))[:, None] * n + at).ravel(), minlength=len(at) * n).reshape(len(at), n)
-    agree = (weight.astype(np.float32) @ (sign(x) * sign(y))).astype(float)  # whole numbers of at most n
-    excess = (agree * weight).sum(1) / 2
+    signs = sign(x) * sign(y)
+    total = n * (n - 1) / 2
 
-    def tied(v: np.ndarray) -> np.ndarray:
+    def tied(weight: np.ndarray, v: np.ndarray) -> np.ndarray:
         order = np.argsort(v, kind="stable")
         starts = np.flatnonzero(np.append(True, np.diff(v[order]) != 0))
         count = np.add.reduceat(weight[:, order], starts, axis=1)
         return (count * (count - 1)).sum(1) / 2
 
-    total = n * (n - 1) / 2
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return excess / np.sqrt((total - tied(x)) * (total - tied(y)))
+    def tau(at: np.ndarray) -> np.ndarray:
+        weight = np.bincount((np.arange(len(at))[:, None] * n + at).ravel(), minlength=len(at) * n).reshape(len(at), n)
+        agree = (weight.astype(np.float32) @ signs).astype(float)  # whole numbers of at most n
+        excess = (agree * weight).sum(1) / 2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return excess / np.sqrt((total - tied(weight, x)) * (total - tied(weight, y)))
+
+    return tau
 
 
 #: Statistics of all rows of drawn positions at once; one without such a form is called row by row.
 RESAMPLED: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"spearman": _spearman_resampled, "kendall": _kendall_resampled}
+#: The same for two given sides, of which what no draw changes is worked out once.
+RESAMPLED_OF: dict[str, Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]] = {"spearman": _spearman_of, "kendall": _kendall_of}
 
 
 def drawn_rows(n: int, first: int, last: int, seed: int = SEED) -> np.ndarray:
     """The positions of draws first to last of a seeded generator, a row each."""
-    state = np.random.RandomState(seed)
-    step = max(1, NUMBERS // max(1, n))
-    for k in range(0, first, step):
-        state.randint(0, n, size=(min(step, first - k), n))
-    return state.randint(0, n, size=(last - first, n))
+    return Drawn(n, seed)(first, last)
+
+
+class Drawn:
+    """The positions of a seeded generator's draws, a row each: asked in order it goes on, else it passes over what comes before."""
+
+    def __init__(self, n: int, seed: int = SEED):
+        self.n, self.seed = n, seed
+        self.state, self.next = np.random.RandomState(seed), 0
+
+    def __call__(self, first: int, last: int) -> np.ndarray:
+        if first < self.next:
+            self.state, self.next = np.random.RandomState(self.seed), 0
+        step = max(1, NUMBERS // max(1, self.n))
+        for k in range(self.next, first, step):
+            self.state.randint(0, self.n, size=(min(step, first - k), self.n))
+        self.next = last
+        return self.state.randint(0, self.n, size=(last - first, self.n))
 
 
 def _one(f: Callable[[np.ndarray, np.ndarray], float], x: np.ndarray, y: np.ndarray) -> float:
@@ -199,18 +290,21 @@ def _tails(f: Callable[[np.ndarray, np.ndarray], float], x: np.ndarray, y: np.nd
 def resampled_agreement(df: DataFrame, by: Sequence[str], model: str, x: str, y: str, statistics: Sequence[str] = ("spearman", "kendall"), draws: int = 2000, small: int = 30, progress: Callable[[int], None] | None = None) -> DataFrame:
     """(by, statistic, n, value, ci_lower, ci_upper, permutation_p): p only below `small` pairs; progress: told of the finished draws."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    chosen, resampled = {s: STATISTICS[s] for s in statistics}, {s: RESAMPLED[s] for s in statistics if STATISTICS[s] is _BUILT_IN.get(s)}
+    chosen, resampled = {s: STATISTICS[s] for s in statistics}, {s: RESAMPLED_OF[s] for s in statistics if STATISTICS[s] is _BUILT_IN.get(s)}
+    held: dict = {}  # of the stretch that a task is at: the generator and what no draw changes
 
     def work(values: list[np.ndarray], first: int, last: int, _: int) -> dict[str, np.ndarray]:
         a, b = values
         n, parts = len(a), []
-        at = drawn_rows(n, first, last)
+        if held.get("values") is not values:
+            held.update(values=values, drawn=Drawn(n), seen={s: _one(f, a, b) if n > 1 else np.nan for s, f in chosen.items()}, forms={s: of(a, b) for s, of in resampled.items()} if n > 1 else {})
+        at = held["drawn"](first, last)
         for name, f in chosen.items():
-            seen = _one(f, a, b) if n > 1 else np.nan
+            seen = held["seen"][name]
             if n < 2:
                 drawn = np.array([np.nan])
             elif name in resampled:
-                drawn = resampled[name](a, b, at)
+                drawn = held["forms"][name](at)
             else:
                 drawn = np.array([_one(f, a[p], b[p]) for p in at])
             high, low = np.zeros(len(drawn), int), np.zeros(len(drawn), int)
@@ -305,9 +399,11 @@ def normal(draw: Column, place: Column, stream: int) -> Column:
 
 def _state_of(draw: np.ndarray, place: np.ndarray, stream: int = 0) -> np.ndarray:
     """The same numbers as `state`, a row for each draw."""
-    x = (draw[:, None] * _DRAW + place[None, :] * _PLACE + (SEED + stream * _STREAM)) % _M
+    x = (draw[:, None] * _DRAW + place[None, :] * _PLACE + (SEED + stream * _STREAM)) & (_M - 1)  # a power of two
     for _ in range(2):
-        x = (x * _A + _C) % _M
+        x *= _A
+        x += _C
+        x &= _M - 1
     return x
 
 
