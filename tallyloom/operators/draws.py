@@ -1,8 +1,10 @@
 """Draws in blocks: a group's rows are packed into arrays once, and each task computes a block of its draws in numpy.
 
-What is shuffled is a copy of a group for every BLOCK numbers that its draws
-take, not a row for every draw; of a draw only its result goes on.  A group of
-more rows than PACKED isn't packed: the callers spread its draws over the
+What is shuffled is a copy of a group for each stretch of its draws, not a row
+for every draw; of a draw only its result goes on.  There are at most SPREAD
+stretches or one for each core, however large the group: a task takes the
+blocks of its stretch, of about BLOCK numbers each, one after another.  A group
+of more rows than PACKED isn't packed: the callers spread its draws over the
 cluster as joins instead.
 """
 
@@ -17,8 +19,8 @@ from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a group that are packed, and random numbers that a block of draws takes.
-PACKED, BLOCK = 1 << 17, 1 << 20
+#: Rows of a group that are packed, random numbers that a block of draws takes, and stretches of a group's draws.
+PACKED, BLOCK, SPREAD = 1 << 19, 1 << 20, 32
 
 #: From a group's arrays, a block's first draw, the one after its last and the group's seed: arrays of one length by column.
 Work = Callable[[list[np.ndarray], int, int, int], dict[str, np.ndarray]]
@@ -70,7 +72,8 @@ def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns
 
     The arrays are the columns as doubles, null as NaN, in the given order of
     rows.  most: draws a block at most, where a draw takes much more than its
-    random numbers.
+    random numbers.  Blocks of one stretch are worked out in order, so that
+    `work` may go on with a generator where the block before it stopped.
     """
     item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__rows")).where(F.size("__rows") > 0)
@@ -78,8 +81,10 @@ def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns
     own = seed if seed is not None else F.lit(0)
     sized = packed.select(*by, F.size("__rows").cast("long").alias("n"), own.cast("long").alias("__seed"), *values)
     each = F.expr(f"{unit} * greatest(1, {BLOCK} div (n * {unit}))")
-    blocks = sized.withColumn("__each", F.least(F.lit(draws), F.lit(most or draws), each)).withColumn("__first", F.explode(F.expr(f"sequence(0, {draws} - 1, __each)")))
     context = rows.sparkSession.sparkContext
+    spread = max(SPREAD, context.defaultParallelism)
+    stretched = sized.withColumn("__each", F.least(F.lit(draws), F.lit(most or draws), each)).withColumn("__stretch", F.expr(f"__each * greatest(1, ceil({draws} / (__each * {spread})))"))
+    blocks = stretched.withColumn("__first", F.explode(F.expr(f"sequence(0, {draws} - 1, __stretch)")))
     done = counter(context, progress)
     names = [*by, "n"]
     arrow = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
@@ -87,16 +92,18 @@ def map_blocks(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first, each_, seeds = (b.column(c).to_pylist() for c in ("__first", "__each", "__seed"))
+            starts, stretches, each_, seeds = (b.column(c).to_pylist() for c in ("__first", "__stretch", "__each", "__seed"))
             for i in range(b.num_rows):
                 arrays = [b.column(f"__{k}")[i].values.to_numpy(zero_copy_only=False) for k in range(len(columns))]
-                last = min(draws, first[i] + each_[i])
-                found = work(arrays, first[i], last, seeds[i])
-                if done is not None:
-                    done.add(last - first[i])
-                many = len(next(iter(found.values())))
-                keys = [b.column(c).take(pa.array(np.full(many, i))) for c in names]
-                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v, types.get(c), from_pandas=True) for c, v in found.items()]], [*names, *found])
+                end = min(draws, starts[i] + stretches[i])
+                for first in range(starts[i], end, each_[i]):
+                    last = min(end, first + each_[i])
+                    found = work(arrays, first, last, seeds[i])
+                    if done is not None:
+                        done.add(last - first)
+                    many = len(next(iter(found.values())))
+                    keys = [b.column(c).take(pa.array(np.full(many, i))) for c in names]
+                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array(v, types.get(c), from_pandas=True) for c, v in found.items()]], [*names, *found])
 
     head = "".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}, " for c in names)
     # each row is a block of its own: dealt one by one, as hashing few keys would leave cores idle

@@ -90,3 +90,49 @@ def test_empty_and_tiny_groups(spark):
     assert [r.ci_lower for r in resampling.bootstrap_rho(one, ["g"], ["m"], "x", "y", 20).collect()] == [None, None]
     with pytest.raises(Exception, match="fewer than 5"):
         resampling.uncertainty(one.selectExpr("*", "1.0 s"), ["g"], "m", "x", "s", "y", "s", 10, least=5).collect()
+
+
+def test_kendall_of_large_resamples_equals_that_of_the_rows():
+    """The weighed form, which isn't called row by row, gives the very same numbers."""
+    rng = np.random.default_rng(5)
+    for n, kx, ky in ((2, 1, 2), (9, 3, 4), (300, 7, 290), (300, 290, 7), (resampling.SIGNS + 1, 40, 900)):
+        x, y = rng.integers(0, kx, n) / 2, rng.integers(0, ky, n) / 4
+        at = rng.integers(0, n, (5, n))
+        weighed = resampling._Weighed(x, y)
+        got = [weighed.tau(np.bincount(p, minlength=n)) for p in at]
+        assert np.array_equal(got, [resampling.kendall_tau(x[p], y[p]) for p in at], equal_nan=True)
+
+
+def test_generator_goes_on_from_block_to_block():
+    one = resampling.Drawn(11)
+    blocks = [one(a, b) for a, b in ((0, 3), (3, 4), (9, 12), (2, 5))]
+    assert all(np.array_equal(b, resampling.drawn_rows(11, 0, 12)[i:j]) for b, (i, j) in zip(blocks, ((0, 3), (3, 4), (9, 12), (2, 5)), strict=True))
+
+
+def test_copies_of_a_group_are_bounded(spark, monkeypatch):
+    """However small a block, a group is dealt to at most SPREAD stretches, not to each block; each draw comes once."""
+    _, df = boards(spark)
+    monkeypatch.setattr(draws, "BLOCK", 10)  # a draw a block
+    monkeypatch.setattr(draws, "SPREAD", 6)
+
+    def work(values, first, last, seed):
+        return {"first": np.arange(first, last)}
+
+    found = draws.map_blocks(df, ["g"], ["m"], ["x", "y"], 100, work, "first long")
+    assert sorted((str(r.g), r.first) for r in found.collect()) == sorted((str(g), i) for g in (1, 2, 3, None) for i in range(100))
+    assert dealt(found) == 4 * 6
+
+
+def dealt(df):
+    """Rows that the plan's explode of stretches gave."""
+
+    def walk(node):
+        own = [node.metrics().apply("numOutputRows").value()] if node.nodeName().startswith("Generate") else []
+        inner = [node.children().apply(i) for i in range(node.children().size())]
+        if "AdaptiveSparkPlan" in node.nodeName():
+            inner.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            inner.append(node.plan())
+        return own + [n for i in inner for n in walk(i)]
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
