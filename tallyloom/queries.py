@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import cleaning, identity
 from tallyloom.operators import agreement, correction, ranking, regression, relational, resampling
 from tallyloom.plans import clean, features, hypotheses, match, report, uncertainty
-from tallyloom.session import scratch
+from tallyloom.session import cut, scratch
 from tallyloom.sources import embedded_json, html, registry, sinks, tables
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -452,7 +452,7 @@ def q_uncertainty_report(spark, d):
     rows = scores_with_elo(spark, d).withColumns({"score_sd": resampling.binomial_sd(F.col("score"), F.col("n_lines")), "elo_sd": resampling.interval_sd(F.col("elo") / 20)})
     simulated = resampling.monte_carlo_rho(rows, ["benchmark_id"], ["model_id"], "score", "score_sd", "elo", "elo_sd")
     rho = agreement.spearman(scores_with_elo(spark, d), ["benchmark_id"], "score", "elo").select("benchmark_id", F.col("rho").alias("spearman_rho"))
-    whole = simulated.join(rho, "benchmark_id").withColumns({c: F.round(c, 6) for c in ("spearman_rho", "simulated_rho", "ci_lower", "ci_upper")})
+    whole = cut(simulated.join(rho, "benchmark_id").withColumns({c: F.round(c, 6) for c in ("spearman_rho", "simulated_rho", "ci_lower", "ci_upper")}))
     place = ranking.positions(whole.select("benchmark_id", "spearman_rho"), [], [F.desc("spearman_rho"), F.col("benchmark_id")], "place").drop("spearman_rho")
     return report.uncertainties(whole).join(place, "benchmark_id")
 
