@@ -11,11 +11,13 @@ from tallyloom.llm.common import checkpointed
 MOST_ROUNDS = 200
 #: A node with more edges than this, and than a MOST_HOT-th part of all, is hot: there are at most 2 * MOST_HOT hot nodes.
 HOT, MOST_HOT = 64, 100_000
+#: Edges up to which a node may have them all in one task, 16 bytes each, and no labels are broadcast.
+FEW_EDGES = 1 << 20
 
 
 def _tied(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """(a, b, m) of the edges, with the label m of a: labels of hot nodes are broadcast, so that their edges stay where they are."""
-    if total <= HOT:
+    if total <= FEW_EDGES:
         return edges.join(least, "a").select("a", "b", "m")
     hot = F.broadcast(least.where(F.col("degree") > max(HOT, total // MOST_HOT)).select("a", "m"))
     cold = edges.join(hot, "a", "left_anti").join(least, "a").select("a", "b", "m")
