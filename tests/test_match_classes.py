@@ -78,3 +78,31 @@ def test_only_and_poor_matches_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([*rows, (5, "a x", "B", "T", 1)], schema).write.parquet(f"{tmp_path}/b/part.parquet")
     one, two = ({r.key: r.c_key for r in queries.q_match_top1_similarity(spark, f"{tmp_path}/{x}").collect()} for x in "ab")
     assert one == {1: 5, 5: 1, 9: 10, 10: 9} and two == one
+
+
+def test_listed_pairs_are_dealt_over_tasks(spark, tmp_path):
+    """Parts of one file and three kinds have over a million pairs; they are those of the plain join, and no task lists half of them."""
+    spark.read.parquet(f"{parts(spark, tmp_path / 'a', 3000, ['hot bolt', 'hot rod', 'old rod'])}/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/b/part.parquet")
+    d = str(tmp_path / "b")
+    found = queries.q_null_safe_match(spark, d)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    listed = queries._candidates(spark, d).select(*found.columns)
+    assert sum(tasks) == listed.count() > 1_000_000 and max(tasks) < sum(tasks) / 2
+    assert found.exceptAll(listed).isEmpty() and listed.exceptAll(found).isEmpty()
+
+
+def test_listed_pairs_of_nulls_cases_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(relational, "BLOCK", 8)
+    monkeypatch.setattr(relational, "SLICE", 3)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, "f", "g"]), rng.choice([None, 1]), rng.choice([None, "7b", "7B", "8b"])) for _ in range(200)]
+    left = spark.createDataFrame(rows, "key long, k string, v int, p string")
+    right = left.toDF("c_key", "c_k", "c_v", "c_p")
+    keys = [("k", "c_k"), ("v", "c_v")]
+    got = relational.list_matches(left, right, keys, ("p", "c_p"), ("key", "c_key")).select("key", "c_key", "k", "v", "p", "c_p").collect()
+    either = left["p"].isNull() | right["c_p"].isNull() | (F.lower(left["p"]) == F.lower(right["c_p"]))
+    want = relational.null_safe_match(left, right, keys, either & (left["key"] != right["c_key"])).select("key", "c_key", "k", "v", "p", "c_p").collect()
+    order = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert len(want) > 1000 and order(got) == order(want)
+    nothing = relational.list_matches(left.limit(0), right, keys, ("p", "c_p"), ("key", "c_key"))
+    assert nothing.collect() == []
