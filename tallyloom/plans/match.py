@@ -13,9 +13,8 @@ from tallyloom.session import cut
 
 #: Places that the names without a family are dealt to when all their candidates are listed, as they share one key.
 SALTS = 16
-#: The least similarity of the best of several candidates, and the share of words in common without which two names
-#: reach it only by an equal date, equal parameters or having no words: half of it is 0.3 less 0.1 for the year and 0.06 for parameters.
-LEAST, SHARED = 0.3, 0.28
+#: The least similarity of the best of several candidates.
+LEAST = 0.3
 
 NO_MATCH = "NO_MATCH_FOUND"
 UNIVERSE_SCORE = 1330.0
@@ -24,7 +23,7 @@ UNIVERSE_SCORE = 1330.0
 def arena_identities(arena: DataFrame, least: float = UNIVERSE_SCORE) -> DataFrame:
     """(pos, lmarena_model, info) of the arena's raw (row_no, model_raw, score_raw) whose score, "Preliminary" or not, reaches `least`."""
     rows = arena.where(cleaning.parse_preliminary_score(F.col("score_raw")) >= least).select(F.col("row_no").alias("pos"), F.col("model_raw").alias("lmarena_model"))
-    return rows.join(identity.identities(rows, "lmarena_model"), "lmarena_model")
+    return rows.join(cut(identity.identities(rows, "lmarena_model")), "lmarena_model")
 
 
 def candidates(names: DataFrame, arena: DataFrame) -> DataFrame:
@@ -58,40 +57,76 @@ def _signatures(rows: DataFrame, info: str) -> DataFrame:
     return rows.withColumn("s", parts).select("*", "s.*", F.to_json("s").alias("signature")).drop("s")
 
 
-def _rare_words(sides: DataFrame) -> DataFrame:
-    """(id, word) of (id, words): the rarest words, so many that names with SHARED of their words in common share one of them."""
-    words = sides.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+def _share(mine: tuple[bool, bool], theirs: tuple[bool, bool]) -> float:
+    """The share of words in common without which names that are (dated, sized) don't reach LEAST; what equal dates or parameters add is left to their own joins."""
+    date = 0.1 if mine[0] and theirs[0] else 0.04 if mine[0] or theirs[0] else 0.0
+    return 2 * (LEAST - date - (0.06 if mine[1] != theirs[1] else 0.0))
+
+
+def _by_rarity(sides: DataFrame) -> DataFrame:
+    """(id, by_rarity) of (id, words): the words, rarest first."""
+    words = sides.select("id", F.explode("words").alias("word"))
     counted = words.join(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
-    listed = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("x"))
-    most = F.col("n") - F.ceil(SHARED * F.col("n") - 1e-9) + 1
-    return listed.select("id", F.explode(F.slice("x", F.lit(1), most.cast("int"))).alias("e")).select("id", "e.word")
+    return counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word")))["word"].alias("by_rarity"))
+
+
+def _word_keys(side: DataFrame, name: str, pairs_of_kinds: list[tuple[tuple[bool, bool], tuple[bool, bool]]]) -> DataFrame:
+    """The rows of a side with a row for each `key` under which another name that has the needed share of its words in common stands too.
+
+    A share J of n words is k = ceil(J n) words or more.  The two rarest that
+    two names have in common are among the n - k + 2 rarest of each, and any two
+    of those are a key.  Where one word is enough each is a key as well.  `held`
+    is the number of the key's words and `rest` how many words come after them.
+    """
+    place = 0 if name == "m" else 1
+    of_kind = lambda values: F.get(F.array(*map(F.lit, values)), F.col("kind"))
+    n = F.size("by_rarity")
+    rows = side.withColumn("kind", F.explode(F.array(*map(F.lit, range(len(pairs_of_kinds))))))
+    rows = rows.where((of_kind([k[place][0] for k in pairs_of_kinds]) == F.col(f"{name}_date").isNotNull()) & (of_kind([k[place][1] for k in pairs_of_kinds]) == F.col(f"{name}_parameters").isNotNull()))
+    rows = rows.withColumn("share", of_kind([_share(*k) for k in pairs_of_kinds]))
+    rows = rows.withColumn("least", F.greatest(F.ceil(F.col("share") * n - 1e-9), F.lit(1)).cast("int"))
+    # a name of whose words one is enough may meet one that needs two
+    most = F.least(n, n - F.col("least") + 2)
+    rows = rows.select("*", F.posexplode(F.slice("by_rarity", F.lit(1), most)).alias("at", "word"))
+    before = F.slice("by_rarity", F.lit(1), F.col("at"))
+    firsts = F.when(F.col("least") == 1, F.concat(F.array(F.lit(None).cast("string")), before)).otherwise(before)
+    rows = rows.withColumn("first", F.explode(firsts))
+    return rows.select(*side.columns, F.xxhash64("kind", F.col("first").isNull(), F.coalesce("first", F.lit("")), "word").alias("key"), "share", F.when(F.col("first").isNull(), 1).otherwise(2).alias("held"), (n - F.col("at") - 1).alias("rest")).drop("by_rarity")
 
 
 def _best_unparsed(left: DataFrame, right: DataFrame) -> DataFrame:
     """(model_name, lmarena_model) of names without a family, by words that two names have in common instead of by all pairs.
 
-    Names of equal signature are one.  A pair that reaches LEAST has SHARED of
-    its words in common, and so one of the rare ones of each, or an equal date,
-    equal parameters or no words on either side; those four are equi-joins.
+    Names of equal signature are one.  A pair that reaches LEAST has a share of
+    its words in common, so much as its dates and parameters leave open, and so
+    two of the rare ones of each, or an equal date, equal parameters or no words
+    on either side; those four are equi-joins.
     """
     names = _signatures(left.select("model_name", "info"), "info")
-    arena = _signatures(right.select("pos", "lmarena_model", "c_info"), "c_info")
+    first = F.when(F.count("pos") == F.count(F.lit(1)), F.min("pos"))  # a null comes before all
+    arena = _signatures(right.groupBy("lmarena_model", "c_info").agg(first.alias("pos"), F.count(F.lit(1)).alias("rows")), "c_info")
     kept = ["signature", "version", "date", "parameters", "words"]
     # ids of the two sides, even and odd, are fixed by the checkpoint
     own = lambda df, odd: cut(df.withColumn("id", F.monotonically_increasing_id() * 2 + odd))
     mine = own(names.groupBy(*kept).agg(F.first("info").alias("info")), 0)
-    theirs = own(arena.groupBy(*kept).agg(F.min(F.struct("pos", "lmarena_model", "c_info")).alias("c"), F.count(F.lit(1)).alias("rows")), 1)
+    theirs = own(arena.groupBy(*kept).agg(F.min(F.struct("pos", "lmarena_model", "c_info")).alias("c"), F.sum("rows").alias("rows")), 1)
     m, t = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "version", "date", "parameters", "words")]) for side, df in (("m", mine), ("t", theirs)))
     fit = F.col("m_parameters").isNull() | F.col("t_parameters").isNull() | (F.col("m_parameters") == F.col("t_parameters"))
     same = F.col("m_version").eqNullSafe(F.col("t_version")) & fit
-    rare = cut(_rare_words(mine.select("id", "words").union(theirs.select("id", "words"))))
+    ordered = cut(_by_rarity(mine.select("id", "words").union(theirs.select("id", "words"))))
+    # at most four kinds a side; of two names with parameters these are equal, and `sized` finds them
+    present = [[tuple(r) for r in df.select(F.col("date").isNotNull(), F.col("parameters").isNotNull()).distinct().collect()] for df in (mine, theirs)]
+    met = [(a, b) for a in present[0] for b in present[1] if not (a[1] and b[1])]
+    keyed = lambda df, n: _word_keys(df.join(ordered.withColumnRenamed("id", f"{n}_id"), f"{n}_id"), n, met).withColumnsRenamed({c: f"{n}_{c}" for c in ("rest", "held")})
     in_common = F.size(F.array_intersect("m_words", "t_words"))
-    alike = in_common >= SHARED * (F.size("m_words") + F.size("t_words") - in_common) - 1e-9
-    shared = m.join(rare.toDF("m_id", "m_word"), "m_id").join(t.join(rare.toDF("t_id", "t_word"), "t_id"), (F.col("m_word") == F.col("t_word")) & same & alike)
+    every = F.size("m_words") + F.size("t_words")
+    far = F.col("m_held") + F.least("m_rest", "t_rest") >= F.col("share") / (F.col("share") + 1) * every - 1e-9
+    alike = in_common >= F.col("share") * (every - in_common) - 1e-9
+    apart = [] if not met else [keyed(m, "m").join(keyed(t, "t").drop("share"), "key").where(same & far).where(alike)]
     dated = m.join(t, (F.lower("m_date") == F.lower("t_date")) & same)
     sized = m.join(t, (F.col("m_parameters") == F.col("t_parameters")) & same)
     bare = m.where(F.size("m_words") == 0).join(t.where(F.size("t_words") == 0), same)
-    pairs = reduce(DataFrame.union, [x.select("m_id", "t_id") for x in (shared, dated, sized, bare)]).distinct()
+    pairs = reduce(DataFrame.union, [x.select("m_id", "t_id") for x in (*apart, dated, sized, bare)]).distinct()
     scored = pairs.join(mine.select(F.col("id").alias("m_id"), "signature", "info"), "m_id").join(theirs.select(F.col("id").alias("t_id"), "c"), "t_id")
     scored = scored.select("signature", F.col("c.pos").alias("pos"), F.col("c.lmarena_model").alias("lmarena_model"), identity.similarity(F.col("info"), F.col("c.c_info")).alias("similarity")).where(F.col("similarity") >= LEAST)
     best = scored.groupBy("signature").agg(F.min(F.struct((-F.col("similarity")).alias("o"), "pos", "lmarena_model")).alias("best")).select("signature", F.col("best.lmarena_model").alias("by_words"))
@@ -112,9 +147,8 @@ def best_matches(names: DataFrame, arena: DataFrame) -> DataFrame:
     """(benchmark_id, model_name, lmarena_model) as choose(candidates(names, arena)) gives, without listing the pairs of names that have no family."""
     known = cut(identity.identities(names, "model_name"))
     parsed, unparsed = F.col("info.family").isNotNull() | F.col("info.subfamily").isNotNull(), F.col("info.family").isNull() & F.col("info.subfamily").isNull()
-    by_family = choose(candidates(names.join(known.where(parsed).select("model_name"), "model_name", "left_semi"), arena))
-    right = arena.select("pos", "lmarena_model", F.col("info").alias("c_info"))
-    by_words = names.join(_best_unparsed(known.where(unparsed), right.where(F.col("c_info.family").isNull() & F.col("c_info.subfamily").isNull())), "model_name")
+    by_family = choose(candidates(names.join(known.where(parsed).select("model_name"), "model_name", "left_semi"), arena.where(parsed)))
+    by_words = names.join(_best_unparsed(known.where(unparsed), arena.where(unparsed).select("pos", "lmarena_model", F.col("info").alias("c_info"))), "model_name")
     return by_family.union(by_words.select("benchmark_id", "model_name", "lmarena_model"))
 
 

@@ -106,3 +106,15 @@ def test_listed_pairs_of_nulls_cases_and_repeated_ids(spark, monkeypatch):
     assert len(want) > 1000 and order(got) == order(want)
     nothing = relational.list_matches(left.limit(0), right, keys, ("p", "c_p"), ("key", "c_key"))
     assert nothing.collect() == []
+
+
+def test_names_of_common_words_make_few_pairs(spark, tmp_path):
+    """1,500 names of six words each, all but one of which many share: the choice is that from all pairs, and pairs that can't be chosen aren't made."""
+    spark.createDataFrame([(k,) for k in range(1500)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.q_match_unparsed(spark, str(tmp_path))
+    got = sorted(map(tuple, found.collect()))
+    assert most_rows(found) <= 30_000  # all pairs are 2,250,000
+    rows = queries._unparsed(spark, str(tmp_path))
+    names = rows.select(F.lit("parts").alias("benchmark_id"), F.col("text").alias("model_name")).distinct()
+    arena = match.arena_identities(rows.select(F.col("pos").alias("row_no"), F.col("other").alias("model_raw"), F.lit("1400").alias("score_raw")))
+    assert got == sorted(map(tuple, match.choose(match.candidates(names, arena)).collect())) and got
