@@ -15,6 +15,8 @@ from tallyloom.session import cut
 SALTS = 16
 #: The least similarity of the best of several candidates.
 LEAST = 0.3
+#: Words of a name that is found by two words in common; longer ones are found by one.
+LONG = 16
 
 NO_MATCH = "NO_MATCH_FOUND"
 UNIVERSE_SCORE = 1330.0
@@ -75,8 +77,10 @@ def _word_keys(side: DataFrame, name: str, pairs_of_kinds: list[tuple[tuple[bool
 
     A share J of n words is k = ceil(J n) words or more.  The two rarest that
     two names have in common are among the n - k + 2 rarest of each, and any two
-    of those are a key.  Where one word is enough each is a key as well.  `held`
-    is the number of the key's words and `rest` how many words come after them.
+    of those are a key.  Where one word is enough each is a key as well; so it is
+    for names that may meet one of more than LONG words, which have no other keys,
+    as their pairs of words are many.  `held` is the number of the key's words and
+    `rest` how many words come after them.
     """
     place = 0 if name == "m" else 1
     of_kind = lambda values: F.get(F.array(*map(F.lit, values)), F.col("kind"))
@@ -89,7 +93,9 @@ def _word_keys(side: DataFrame, name: str, pairs_of_kinds: list[tuple[tuple[bool
     most = F.least(n, n - F.col("least") + 2)
     rows = rows.select("*", F.posexplode(F.slice("by_rarity", F.lit(1), most)).alias("at", "word"))
     before = F.slice("by_rarity", F.lit(1), F.col("at"))
-    firsts = F.when(F.col("least") == 1, F.concat(F.array(F.lit(None).cast("string")), before)).otherwise(before)
+    none = F.array().cast("array<string>")
+    single = ((F.col("least") == 1) | (n > F.col("share") * LONG)) & (F.col("at") <= n - F.col("least"))
+    firsts = F.concat(F.when(single, F.array(F.lit(None).cast("string"))).otherwise(none), F.when(n <= LONG, before).otherwise(none))
     rows = rows.withColumn("first", F.explode(firsts))
     return rows.select(*side.columns, F.xxhash64("kind", F.col("first").isNull(), F.coalesce("first", F.lit("")), "word").alias("key"), "share", F.when(F.col("first").isNull(), 1).otherwise(2).alias("held"), (n - F.col("at") - 1).alias("rest")).drop("by_rarity")
 

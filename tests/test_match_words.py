@@ -70,3 +70,16 @@ def test_whole_path_with_and_without_families(spark):
     got = sorted(tuple(r) for r in match.best_matches(names, arena).collect())
     assert got == sorted(tuple(r) for r in match.choose(match.candidates(names, arena)).collect())
     assert ("b", "strange thing one", "one thing strange") in got and ("b", "gpt-5-high", "gpt-5-high") in got
+
+
+def test_long_names_meet_by_one_word(spark, monkeypatch):
+    """Names above LONG words and those that they may meet; a name of 600 words has no key for each two of them."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(9)]
+    names = [(f"n{i}", made(rng, words)) for i in range(150)]
+    left, right = frames(spark, names, [made(rng, words) for _ in range(60)])
+    monkeypatch.setattr(match, "LONG", 3)
+    assert {(r.model_name, r.lmarena_model) for r in match._best_unparsed(left, right).collect()} == listed(left, right)
+    monkeypatch.undo()
+    one = spark.createDataFrame([(0, None, None, [f"w{i}" for i in range(600)])], "m_id long, m_date string, m_parameters string, by_rarity array<string>")
+    assert match._word_keys(one, "m", [((False, False), (False, False))]).count() == 241
