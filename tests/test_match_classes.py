@@ -28,6 +28,21 @@ def most_rows(df):
     return most(df._jdf.queryExecution().executedPlan())
 
 
+def generated(df):
+    """The rows that each explode of the executed plan gave, the last one first."""
+
+    def walk(node):
+        inner = [node.children().apply(i) for i in range(node.children().size())]
+        if "AdaptiveSparkPlan" in node.nodeName():
+            inner.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            inner.append(node.plan())
+        own = [node.metrics().apply("numOutputRows").value()] if "Generate" in node.nodeName() and "CodeGen" not in node.nodeName() else []
+        return own + [n for x in inner for n in walk(x)]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def parts(spark, folder, n, names):
     rng = random.Random(3)
     rows = [(k, rng.choice(names), f"Brand#{rng.randint(1, 3)}", "PROMO", rng.randint(1, 12)) for k in range(n)]
@@ -91,6 +106,16 @@ def test_listed_pairs_are_dealt_over_tasks(spark, tmp_path):
     assert found.exceptAll(listed).isEmpty() and listed.exceptAll(found).isEmpty()
 
 
+def test_few_pairs_are_held_at_once(spark, tmp_path):
+    """Spark holds what two explodes make of a row: parts of one kind, over a million pairs, come from rows of 1,024 pairs or fewer."""
+    rows = [(k, "hot bolt", "Brand#1", "PROMO", 3) for k in range(1200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.q_null_safe_match(spark, str(tmp_path))
+    assert len(found.collect()) == 1200 * 1199
+    pairs, _, held, *_ = generated(found)
+    assert pairs >= 1200 * 1199 and held >= pairs / 1024
+
+
 def test_listed_pairs_of_nulls_cases_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(relational, "BLOCK", 8)
     monkeypatch.setattr(relational, "SLICE", 3)
